@@ -108,17 +108,25 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a, b, np.searchsorted(offsets, a, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each byte range (A-Z lower-cased), from one running polynomial over the bytes."""
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of values, from one running polynomial over all of them."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(data) + 1)
-    total = np.empty(len(data) + 1, np.uint64)
+    power, inverse = _powers(len(values) + 1)
+    total = np.empty(len(values) + 1, np.uint64)
     total[0] = 0
-    np.cumsum((_LOWER[data] if lower else data).astype(np.uint64) * power[: len(data)] + power[: len(data)], out=total[1:])
+    terms = values.astype(np.uint64)
+    terms += _U64(1)
+    terms *= power[: len(values)]
+    np.cumsum(terms, out=total[1:])
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """A 64-bit hash of each byte range (A-Z lower-cased)."""
+    return range_hashes(_LOWER[data] if lower else data, starts, ends)
+
+
 def shingle_hashes(hashes: np.ndarray, doc: np.ndarray, n_docs: int, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all k-word shingles, the document of each, and the index of its first word.
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -83,6 +84,7 @@ class Codec:
         self.ranks = ranks
         whole = tiktoken.Encoding("pair-merges", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.merge = whole.encode_ordinary  # of one pre-token: joins the adjacent pair of lowest rank until none is left
+        self.split_and_merge = tiktoken.Encoding("texts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cache = _Cache(self.merge)
         tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
