@@ -5,10 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewell.session import shared_dir
+from tracewell.llm import bpe, decontam, exact_dedup, jaccard_join, langid, queries
+from tracewell.session import materialise, shared_dir
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language cannot be told: no letters, or two codewords almost as near."""
+    columns = docs.columns
+    model = langid.fit(docs.filter(~queries.held_out()))
+    return langid.predict(docs, model).filter(f"lang_pred <> '{langid.UNKNOWN}' and not ambiguous").select(*columns)
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts stays."""
+    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id")
+    return _of_ids(docs, kept)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similarity the one with the smallest id stays."""
+    kept = jaccard_join.jaccard_components(docs).filter("doc_id <=> component_id").select("doc_id")
+    return _of_ids(docs, kept)
+
+
+def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of these ids, one of each."""
+    kept = materialise(ids.distinct().withColumnRenamed("doc_id", "_kept"), "kept-ids")
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return rows.dropDuplicates(["doc_id"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a passage of the benchmark."""
+    return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with the offsets that decoding a part needs."""
+    return bpe.encode(docs, queries.VOCABULARY)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_duplicates),
+    ("jaccard_join", near_duplicates),
+    ("decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
+]
 
 #: SQL cannot express the stages (learned classifier, tokenizer); tests hold them against brute force.
 ORACLE_SQL = None

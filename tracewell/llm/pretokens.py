@@ -160,3 +160,24 @@ def pretoken_starts(cp: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     index *= _STATES
     index += before
     return np.flatnonzero(starts[index])
+
+
+def pretoken_starts_of(text: str) -> list[int]:
+    """The same for one short text: the automaton, a step a code point."""
+    kinds, n, out, state = classes(), len(text), [], _START
+    kind = [int(kinds[ord(c)]) for c in text]
+    for i, k in enumerate(kind):
+        if k == _BLANK:
+            symbol = _IN if i + 1 == n or kind[i + 1] == _BLANK else _SP if text[i] == " " else _WS
+        elif text[i] == "'":
+            ahead = text[i + 1 : i + 3]
+            symbol = _A1 if ahead[:1] in ("s", "t", "m", "d") and ahead else _A2 if ahead in ("re", "ve", "ll") else _O
+        else:
+            symbol = (_L, _N, _O)[k]
+        state, new = _STEPS[symbol][state]
+        if new:
+            out.append(i)
+    return out
+
+
+_STEPS = [[_step(q, s) for q in range(_STATES)] for s in range(_SYMBOLS)]

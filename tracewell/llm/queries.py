@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, decontam, exact_dedup, jaccard_join, secrets_scan, url_rules, warc
+from tracewell.llm import bpe, decontam, edit_counts, exact_dedup, jaccard_join, langid, secrets_scan, url_rules, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -36,6 +36,18 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def held_out() -> Column:
+    """Whether a document is kept from training: crc32 of its id as text is a multiple of 5."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~held_out()))
+    predicted = langid.predict(docs.select("doc_id", "text", held_out().alias("held_out")), model, keep=["doc_id", "held_out"])
+    return predicted.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -44,6 +56,15 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with three edits: an insertion, a deletion and a replacement at the quarters of its text."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.coalesce(F.char_length("text"), F.lit(0))
+    edit = lambda place, removed, inserted: F.struct(F.floor(n * place / 4).cast("int").alias("position"), F.lit(removed).alias("removed"), F.lit(inserted).alias("inserted"))
+    edits = F.array(edit(1, 0, " edited's"), edit(2, 7, ""), edit(3, 5, "  New\n"))
+    return edit_counts.count_edited(docs.withColumn("edits", edits), VOCABULARY)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.withColumn("similarity", F.round("similarity", 6))
@@ -57,7 +78,7 @@ FROM d WINDOW w AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id)
 """
 
 
-_QUERIES = (op1_warc, op2_byte_bpe, op3_secrets, op4_exact_dedup, op6_url_rules, op7_jaccard_join, op10_decontamination)
+_QUERIES = (op1_warc, op2_byte_bpe, op3_secrets, op4_exact_dedup, op5_language_id, op6_url_rules, op7_jaccard_join, op8_edit_counts, op10_decontamination)
 
 
 def queries() -> dict:
