@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, decontam, edit_counts, exact_dedup, jaccard_join, langid, secrets_scan, url_rules, warc
+from tracewell.llm import bpe, decontam, edit_counts, exact_dedup, jaccard_join, langid, secrets_scan, surrogates, url_rules, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -65,6 +65,16 @@ def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.count_edited(docs.withColumn("edits", edits), VOCABULARY)
 
 
+#: The query's key. A job that publishes its texts passes a secret one.
+SURROGATE_KEY = b"tracewell"
+
+
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = surrogates.pseudonymise(_table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    spans = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e.kind, e.start, e.end)), ",")
+    return made.select("doc_id", F.size("entities").cast("long").alias("n_entities"), spans.alias("spans"), "text")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.withColumn("similarity", F.round("similarity", 6))
@@ -78,7 +88,7 @@ FROM d WINDOW w AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id)
 """
 
 
-_QUERIES = (op1_warc, op2_byte_bpe, op3_secrets, op4_exact_dedup, op5_language_id, op6_url_rules, op7_jaccard_join, op8_edit_counts, op10_decontamination)
+_QUERIES = (op1_warc, op2_byte_bpe, op3_secrets, op4_exact_dedup, op5_language_id, op6_url_rules, op7_jaccard_join, op8_edit_counts, op9_surrogates, op10_decontamination)
 
 
 def queries() -> dict:
