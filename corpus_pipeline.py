@@ -12,10 +12,13 @@ from tracewell.session import materialise, shared_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told: no letters, or two codewords almost as near."""
+    """Drops documents whose language cannot be told: no letters, or several codewords as near and none likely.
+
+    A document in two languages is ambiguous too, but one of them is half likely, so it stays.
+    """
     columns = docs.columns
     model = langid.fit(docs.filter(~queries.held_out()))
-    return langid.predict(docs, model).filter(f"lang_pred <> '{langid.UNKNOWN}' and not ambiguous").select(*columns)
+    return langid.predict(docs, model).filter(f"lang_pred <> '{langid.UNKNOWN}' and not (ambiguous and score < 0.5)").select(*columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +34,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of these ids, one of each."""
-    kept = materialise(ids.distinct().withColumnRenamed("doc_id", "_kept"), "kept-ids")
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """The rows of these ids, of repeated rows one; rows of a null id count as of one id."""
+    key = F.coalesce("doc_id", F.lit(-(2**63))).alias("_key")
+    kept = materialise(ids.select(key).distinct(), "kept-ids")
+    rows = docs.select("*", key, F.md5(F.coalesce("text", F.lit(""))).alias("_text_key")).join(kept, "_key", "left_semi")
+    return rows.dropDuplicates(["_key", "_text_key"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
