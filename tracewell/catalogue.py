@@ -1,11 +1,658 @@
-"""All registered queries of the engine and their SQL."""
+"""All registered queries of the engine and the SQL that gives the same rows.
+
+Queries read the driver's tables as an experience store (see fixtures). Searches take the items of the
+benchmark table as their batch of questions.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tracewell import fixtures as fx
+from tracewell.fixtures import NOW, with_sql
+from tracewell.functions import text as tx
+from tracewell.operators import bm25, consolidate, fusion, graph, hops, patterns, predict, trace, vector
+from tracewell.plans import router
+from tracewell.schema import entries
+
+_REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        _REGISTRY[f.__name__] = (f, sql)
+        return f
+
+    return register
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, (f, _) in _REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _REGISTRY.items() if sql}
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    return entries(fx.edges(spark, d), fx.chunks(spark, d))
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return fx.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+def _r(c: str | Column, n: int = 6) -> Column:
+    return F.round(c, n)
+
+
+# ---- SQL building blocks
+
+_STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
+
+
+def tokens_sql(text: str) -> str:
+    runs = rf"regexp_extract_all(coalesce({text}, ''), '[A-Za-z0-9]+|[^\x00-\x7F\PL]+|[^\x00-\x7F\PN]+')"
+    of = "CASE WHEN ascii(w) < 128 THEN [lower(w)] WHEN length(w) = 1 THEN [w] ELSE list_transform(range(1, length(w)), lambda i: substr(w, i::INT, 2)) END"
+    return f"list_filter(flatten(list_transform({runs}, lambda w: {of})), lambda t: t NOT IN ({_STOP}))"
+
+
+def polarity_sql(text: str) -> str:
+    words = "|".join(tx.SUCCESS_WORDS)
+    return rf"CASE WHEN regexp_matches(lower({text}), '(^|[^\pL\pN])(({words})([^\pL\pN]|$)|success)') OR regexp_matches(lower({text}), '{'|'.join(tx.SUCCESS_SIGNALS)}') THEN true WHEN regexp_matches(lower({text}), '{'|'.join(tx.FAILURE_SIGNALS)}') THEN false END"
+
+
+def effective_sql(stored: str, text: str) -> str:
+    return f"CASE WHEN {stored} = 'negative' THEN false WHEN {stored} = 'positive' THEN true WHEN {stored} IS NULL THEN {polarity_sql(text)} END"
+
+
+def bm25_sql(docs: str, limit: int) -> str:
+    """docs: SQL of rows (id, text); questions from the benchmark."""
+    return f"""d AS MATERIALIZED (SELECT id::VARCHAR AS id, {tokens_sql('text')} AS tokens FROM ({docs})),
+stats AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d),
+asked AS (SELECT qid, term, count(*) AS times FROM (SELECT item_id AS qid, unnest({tokens_sql('text')}) AS term FROM benchmark) GROUP BY ALL),
+post AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(tokens) AS dl, unnest(tokens) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+scored AS (SELECT qid, id, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM asked JOIN df USING (term) JOIN post USING (term), stats GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM scored)
+SELECT qid, id, round(score, 6) AS score, rank FROM ranked WHERE rank <= {limit}"""
+
+
+def top_sql(rows: str, limit: int, order: str, columns: str, by: str = "qid") -> str:
+    return f"SELECT {columns}, rank FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS rank FROM ({rows})) WHERE rank <= {limit}"
+
+
+# ---- Scans and predicates
+
+
+@query(with_sql("chunks edges entries", "SELECT id, from_id, to_id, relation, round(confidence, 6) AS confidence, task_tag, length(decision) AS n_decision, length(outcome) AS n_outcome FROM entries"))
+def entries_valid(spark, d):
+    e = _entries(spark, d)
+    return e.select("id", "from_id", "to_id", "relation", _r("confidence").alias("confidence"), "task_tag", F.char_length("decision").cast("long").alias("n_decision"), F.char_length("outcome").cast("long").alias("n_outcome"))
+
+
+@query(with_sql("edges", "SELECT count(*) AS edges, count(*) FILTER (valid_to IS NULL) AS valid, count(DISTINCT relation) AS relations FROM edges"))
+def count_edges(spark, d):
+    return fx.edges(spark, d).agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("valid_to").isNull()).alias("valid"), F.countDistinct("relation").alias("relations"))
+
+
+@query(with_sql("edges", "SELECT id, relation, valid_to IS NULL AS valid FROM edges WHERE id IN (SELECT l_orderkey FROM lineitem)"))
+def edges_by_ids(spark, d):
+    ids = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"))
+    return fx.edges(spark, d).join(ids, "id", "left_semi").select("id", "relation", F.col("valid_to").isNull().alias("valid"))
+
+
+@query(with_sql("chunks", "SELECT id, row_number() OVER (ORDER BY coalesce(TRY_CAST(substr(id, 3) AS BIGINT), 0), id) AS place FROM chunks WHERE starts_with(id, 'c1')"))
+def chunks_by_prefix(spark, d):
+    rows = fx.chunks(spark, d).filter(F.col("id").startswith("c1"))
+    number = F.coalesce(F.expr("try_cast(substr(id, 3) as bigint)"), F.lit(0))
+    return rows.select("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(number, "id")).cast("long").alias("place"))
+
+
+@query(with_sql("facts", "SELECT id, key, value, scope, updated_at FROM facts WHERE valid_to IS NULL ORDER BY updated_at DESC, id LIMIT 100"))
+def list_facts(spark, d):
+    return fx.facts(spark, d).filter("valid_to is null").orderBy(F.col("updated_at").desc(), "id").limit(100).select("id", "key", "value", "scope", "updated_at")
+
+
+@query(with_sql("facts", "SELECT o_orderkey AS place, f.id, f.value FROM orders JOIN facts f ON f.id = o_custkey WHERE f.valid_to IS NULL"))
+def facts_by_ids(spark, d):
+    asked = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("place"), F.col("o_custkey").alias("id"))
+    return asked.join(fx.facts(spark, d).filter("valid_to is null"), "id").select("place", "id", "value")
+
+
+@query(with_sql("edges", "SELECT id FROM edges WHERE valid_to IS NULL AND NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = edges.id)"))
+def edges_without_embedding(spark, d):
+    vectors = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
+    return fx.edges(spark, d).filter("valid_to is null").join(vectors, "id", "left_anti").select("id")
+
+
+@query(with_sql("chunks edges entries", f"SELECT id, {polarity_sql('outcome')} AS by_words FROM entries WHERE outcome_polarity IS NULL"))
+def edges_without_polarity(spark, d):
+    return _entries(spark, d).filter("outcome_polarity is null").select("id", tx.outcome_polarity(F.col("outcome")).alias("by_words"))
+
+
+@query("SELECT conv_id, count(*) AS turns, min(conv_id * 1000 + turn) AS started, arg_min(role, turn) AS first_role FROM conversations GROUP BY conv_id")
+def session_summary(spark, d):
+    c = fx.table(spark, d, "conversations")
+    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("started"), F.min_by("role", "turn").alias("first_role"))
+
+
+@query(with_sql("chunks edges entries", "SELECT id, round(confidence, 6) AS confidence FROM entries WHERE task_tag = 't1' AND (contains(lower(decision), 'tion') OR contains(lower(outcome), 'tion'))"))
+def search_causal(spark, d):
+    has = lambda c: F.contains(F.lower(c), F.lit("tion"))
+    return _entries(spark, d).filter(F.col("task_tag") == "t1").filter(has("decision") | has("outcome")).select("id", _r("confidence").alias("confidence"))
+
+
+@query(with_sql("edges meta", "SELECT id, pattern, round(confidence, 6) AS confidence FROM meta WHERE valid_to IS NULL AND (from_id IN (SELECT from_id FROM edges WHERE task_tag = 't3') OR to_id IN (SELECT from_id FROM edges WHERE task_tag = 't3'))"))
+def search_patterns(spark, d):
+    meta = fx.meta_edges(spark, d).filter("valid_to is null")
+    tagged = fx.edges(spark, d).filter("task_tag = 't3'").select("from_id").distinct()
+    hit = meta.join(tagged, "from_id", "left_semi").select("id").union(meta.join(tagged.withColumnRenamed("from_id", "to_id"), "to_id", "left_semi").select("id")).distinct()
+    return meta.join(hit, "id", "left_semi").select("id", "pattern", _r("confidence").alias("confidence"))
+
+
+@query(with_sql("edges", "SELECT id, valid_to, superseded_by FROM edges WHERE valid_to IS NOT NULL AND superseded_by IS NOT NULL"))
+def superseded_edges(spark, d):
+    return fx.edges(spark, d).filter("valid_to is not null and superseded_by is not null").select("id", "valid_to", "superseded_by")
+
+
+@query(with_sql("chunks edges", "SELECT e.id, CASE WHEN length(f.text) > 80 THEN substr(f.text, 1, 80) || '...' ELSE f.text END AS decision, e.event_time FROM edges e JOIN chunks f ON f.id = e.from_id ORDER BY e.event_time DESC, e.id LIMIT 50"))
+def recent_decisions(spark, d):
+    chunks = fx.chunks(spark, d).select(F.col("id").alias("from_id"), "text")
+    latest = fx.edges(spark, d).orderBy(F.col("event_time").desc(), "id").limit(50)
+    return latest.join(chunks, "from_id").select("id", tx.snippet(F.col("text")).alias("decision"), "event_time")
+
+
+# ---- Text functions
+
+
+@query(f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)")
+def tokenize_docs(spark, d):
+    t = fx.table(spark, d, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
+@query(f"SELECT token, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({tokens_sql('text')})) AS token FROM documents) GROUP BY token HAVING count(*) > 1")
+def token_df(spark, d):
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return bm25.postings(docs).groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+
+
+@query(r"SELECT doc_id, cjk + ceil((length(text) - cjk)::DOUBLE / 4)::BIGINT AS n FROM (SELECT doc_id, text, length(regexp_replace(text, '[^一-鿿　-〿]', '', 'g')) AS cjk FROM documents)")
+def estimate_tokens(spark, d):
+    return fx.table(spark, d, "documents").select("doc_id", tx.estimate_tokens(F.col("text")).alias("n"))
+
+
+_DATED = "'[2025-06-05] order ' || o_orderkey || ' of ' || strftime(o_orderdate, '%Y-%m-%d') || ' due 2025-02-30 or ' || strftime(o_orderdate, '%Y-%m-%d')"
+
+
+@query(rf"SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(regexp_replace({_DATED}, '^\[.*?\] \s*', ''), '\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\b'), lambda x: try_strptime(x, '%Y-%m-%d') IS NOT NULL))), ',') AS dates FROM orders")
+def date_tokens(spark, d):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.concat(F.lit("[2025-06-05] order "), "o_orderkey", F.lit(" of "), day, F.lit(" due 2025-02-30 or "), day)
+    return fx.table(spark, d, "orders").select("o_orderkey", F.array_join(tx.date_tokens(text), ",").alias("dates"))
+
+
+_VERDICTS = ["all tests passed", "build failed with an error", "deadlock resolved", "unresolved question", "successfully deployed", "no longer needed, moved on", "部署成功", "测试失败", "invoke the compass", "timeout"]
+_SAID = "CASE event_id % 10 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_VERDICTS)) + " END"
+
+
+@query(f"SELECT event_id, {polarity_sql('said')} AS polarity, regexp_matches(lower(said), '{'|'.join(tx.RETRACTION_MARKERS)}') AS retracted, {effective_sql('stored', 'said')} AS effective FROM (SELECT event_id, {_SAID} AS said, CASE event_id % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'mixed' END AS stored FROM events)")
+def polarity(spark, d):
+    number = F.col("event_id") % 10
+    said = F.element_at(F.array(*map(F.lit, _VERDICTS)), (number + 1).cast("int"))
+    stored = F.when(F.col("event_id") % 3 == 0, "negative").when(F.col("event_id") % 3 == 1, "mixed")
+    rows = fx.table(spark, d, "events").select("event_id", said.alias("said"), stored.alias("stored"))
+    return rows.select("event_id", tx.outcome_polarity(F.col("said")).alias("polarity"), tx.is_retraction(F.col("said")).alias("retracted"), tx.effective_polarity(F.col("stored"), F.col("said")).alias("effective"))
+
+
+@query(router.classify_sql("SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'why did it fail' WHEN 1 THEN 'what is the config' WHEN 2 THEN 'recent decisions' WHEN 3 THEN 'trace the chain' WHEN 4 THEN 'yesterday evening' WHEN 5 THEN '什么时候 2024-01-02' WHEN 6 THEN '部署目录' ELSE event_type END AS query FROM events"))
+def classify_queries(spark, d):
+    said = ["why did it fail", "what is the config", "recent decisions", "trace the chain", "yesterday evening", "什么时候 2024-01-02", "部署目录"]
+    n = F.col("event_id") % 8
+    text = F.when(n == 7, F.col("event_type")).otherwise(F.element_at(F.array(*map(F.lit, said)), F.least(n + 1, F.lit(7)).cast("int")))
+    return fx.table(spark, d, "events").select("event_id", router.classify(text).alias("intent"))
+
+
+# ---- Retrieval
+
+
+@query("WITH " + bm25_sql("SELECT doc_id AS id, text FROM documents", 10))
+def bm25_topk_docs(spark, d):
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return bm25.bm25(docs, _questions(spark, d), 10).select("qid", "id", _r("score").alias("score"), "rank")
+
+
+@query(with_sql("chunks edges entries", ", " + bm25_sql("SELECT id, decision || ' ' || outcome AS text FROM entries", 10)))
+def bm25_topk_edges(spark, d):
+    docs = _entries(spark, d).select("id", F.concat_ws(" ", "decision", "outcome").alias("text"))
+    return bm25.bm25(docs, _questions(spark, d), 10).select("qid", "id", _r("score").alias("score"), "rank")
+
+
+@query(f"WITH a AS (SELECT item_id AS qid, unnest(list_distinct({tokens_sql('text')})) AS token FROM benchmark), h AS (SELECT doc_id::VARCHAR AS id, unnest(list_distinct({tokens_sql('text')})) AS token FROM documents) " + top_sql("SELECT qid, id, count(*) AS overlap FROM a JOIN h USING (token) GROUP BY ALL", 16, "overlap DESC, id", "qid, id, overlap"))
+def bm25_seed_overlap(spark, d):
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return bm25.token_overlap(docs, _questions(spark, d), 16)
+
+
+_COS = "list_cosine_similarity(i.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+_NEAREST = top_sql(f"SELECT q.vec_id AS qid, i.vec_id AS id, {_COS} AS similarity FROM embeddings i, embeddings q WHERE q.vec_id % 100 = 0", 10, "round(similarity, 9) DESC, id", "qid, id, round(similarity, 6) AS similarity")
+
+
+def _vectors(spark, d):
+    v = fx.table(spark, d, "embeddings")
+    return v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label"), v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector"), F.col("label").alias("query_label"))
+
+
+@query(_NEAREST)
+def cosine_topk(spark, d):
+    items, asked = _vectors(spark, d)
+    return vector.semantic(items, asked, 10).select("qid", "id", _r("similarity").alias("similarity"), "rank")
+
+
+@query(f"SELECT * FROM ({_NEAREST}) WHERE similarity >= 0.3")
+def similar_decisions(spark, d):
+    items, asked = _vectors(spark, d)
+    return vector.semantic(items, asked, 10, 0.3).select("qid", "id", _r("similarity").alias("similarity"), "rank")
+
+
+@query(top_sql(f"SELECT q.vec_id AS qid, i.vec_id AS id, {_COS} * (1 + 0.5::DOUBLE * (i.label = q.label)::INT) AS similarity FROM embeddings i, embeddings q WHERE q.vec_id % 100 = 0", 10, "round(similarity, 9) DESC, id", "qid, id, round(similarity, 6) AS similarity"))
+def cosine_boosted(spark, d):
+    items, asked = _vectors(spark, d)
+    items, asked = items.withColumn("entities", F.array("label")), asked.withColumn("query_entities", F.array("query_label"))
+    return vector.entity_boosted(items, asked, 10).select("qid", "id", _r("similarity").alias("similarity"), "rank")
+
+
+_RANK_A = "SELECT o_custkey % 97 AS qid, o_orderkey::VARCHAR AS id, row_number() OVER (PARTITION BY o_custkey % 97 ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders"
+_RANK_B = "SELECT o_custkey % 97 AS qid, o_orderkey::VARCHAR AS id, row_number() OVER (PARTITION BY o_custkey % 97 ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders"
+
+
+def _ranked(spark, d, column):
+    w = Window.partitionBy("qid").orderBy(F.col(column).desc(), "o_orderkey")
+    return fx.table(spark, d, "orders").withColumn("qid", F.col("o_custkey") % 97).select("qid", F.col("o_orderkey").cast("string").alias("id"), F.row_number().over(w).cast("long").alias("rank"), "o_orderpriority")
+
+
+@query(f"WITH l AS (SELECT *, 0 AS list FROM ({_RANK_A}) UNION ALL SELECT *, 1 FROM ({_RANK_B})), s AS (SELECT qid, id, sum(1::DOUBLE / (60 + rank)) AS score, min(list * 1000000 + rank) AS first FROM l GROUP BY ALL) " + top_sql("SELECT * FROM s", 20, "round(score, 9) DESC, first, id", "qid, id, round(score, 6) AS score"))
+def rrf_fuse(spark, d):
+    return fusion.rrf([_ranked(spark, d, "o_totalprice"), _ranked(spark, d, "o_orderdate")], 20).select("qid", "id", _r("score").alias("score"), "rank")
+
+
+@query(f"SELECT qid, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, low ORDER BY rank) AS n FROM (SELECT r.*, o_orderpriority = '5-LOW' AS low FROM ({_RANK_A}) r JOIN orders ON o_orderkey::VARCHAR = id)) WHERE NOT low OR n <= 3")
+def episode_quota(spark, d):
+    return fusion.quota(_ranked(spark, d, "o_totalprice"), 3, F.col("o_orderpriority") == "5-LOW").select("qid", "id", "rank")
+
+
+@query(f"SELECT qid, id, rank FROM (SELECT *, sum(CASE WHEN rank <= 2 THEN 100 WHEN rank <= 5 THEN 60 ELSE 25 END) OVER (PARTITION BY qid ORDER BY rank) AS used FROM ({_RANK_A})) WHERE used <= 600")
+def token_budget(spark, d):
+    cost = F.when(F.col("rank") <= 2, fusion.LEVEL_COST["L2"]).when(F.col("rank") <= 5, fusion.LEVEL_COST["L1"]).otherwise(fusion.LEVEL_COST["L0"])
+    return fusion.budget(_ranked(spark, d, "o_totalprice"), 600, cost).select("qid", "id", "rank")
+
+
+@query("SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY (t BETWEEN 800000000 AND 900000000)::INT DESC, t DESC, id) AS rank FROM (SELECT o_custkey % 97 AS qid, o_orderkey::VARCHAR AS id, floor(epoch(o_orderdate))::BIGINT AS t FROM orders)")
+def time_weighted(spark, d):
+    rows = fx.table(spark, d, "orders").select((F.col("o_custkey") % 97).alias("qid"), F.col("o_orderkey").cast("string").alias("id"), F.unix_timestamp("o_orderdate").alias("event_time"))
+    return fusion.time_weighted(rows, 800_000_000, 900_000_000).select("qid", "id", "rank")
+
+
+@query("""WITH w AS (SELECT qid, session, count(*) * count(DISTINCT tok) AS weight FROM (SELECT o_custkey % 97 AS qid, o_custkey AS session, o_orderpriority AS tok FROM orders) GROUP BY ALL),
+g AS (SELECT *, greatest(1, floor(40 * weight / sum(weight) OVER (PARTITION BY qid)))::BIGINT AS slots, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, session) AS place FROM w)
+SELECT qid, session, weight, (slots + CASE WHEN place <= 40 - sum(slots) OVER (PARTITION BY qid) THEN 1 ELSE 0 END)::BIGINT AS slots FROM g""")
+def session_density(spark, d):
+    hits = fx.table(spark, d, "orders").select((F.col("o_custkey") % 97).alias("qid"), F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("id"), F.array("o_orderpriority").alias("covered"))
+    return fusion.session_budget(hits, 40).select("qid", "session", "weight", "slots")
+
+
+# ---- Hops
+
+_SEEDS = "seeds AS (SELECT item_id AS qid, e.id FROM benchmark JOIN edges e ON e.id % 199 = item_id % 199)"
+
+
+def _seeds(spark, d):
+    q = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), (F.col("item_id") % 199).alias("k"))
+    return fx.edges(spark, d).select("id", (F.col("id") % 199).alias("k")).join(q, "k").select("qid", "id")
+
+
+_ENDS = "ends AS (SELECT id, confidence, discovered_by, from_id AS node FROM entries UNION SELECT id, confidence, discovered_by, to_id FROM entries)"
+
+
+@query(with_sql("chunks edges entries", f""", {_SEEDS}, {_ENDS},
+near1 AS (SELECT DISTINCT qid, node FROM ends JOIN seeds USING (id)),
+one AS (SELECT DISTINCT qid, id, confidence FROM ends JOIN near1 USING (node) WHERE (qid, id) NOT IN (SELECT qid, id FROM seeds)),
+near2 AS (SELECT DISTINCT qid, node FROM ends JOIN one USING (id)),
+two AS (SELECT DISTINCT qid, ends.id, ends.confidence FROM ends JOIN near2 USING (node) WHERE discovered_by = 'distill' AND (qid, ends.id) NOT IN (SELECT qid, id FROM seeds UNION ALL SELECT qid, id FROM one)),
+b AS (SELECT *, 1 AS hop FROM one UNION ALL SELECT *, 2 FROM two),
+o AS (SELECT b.*, len(list_intersect(list_distinct({tokens_sql("decision || ' ' || outcome")}), list_distinct({tokens_sql('q.text')}))) AS overlap FROM b JOIN entries USING (id) JOIN benchmark q ON q.item_id = qid)
+""" + top_sql("SELECT qid, id, hop, overlap, confidence FROM o WHERE hop = 1 OR overlap > 0", 30, "hop, overlap DESC, confidence DESC, id", "qid, id, hop, overlap, round(confidence, 6) AS confidence")))
+def hop_expand(spark, d):
+    out = hops.hop_expansion(_entries(spark, d), _seeds(spark, d), _questions(spark, d), 30)
+    return out.select("qid", "id", "hop", "overlap", _r("confidence").alias("confidence"), "rank")
+
+
+@query(with_sql("edges", """, s AS (SELECT * FROM edges WHERE id % 97 = 5), n AS (SELECT from_id AS node FROM s UNION SELECT to_id FROM s),
+r AS (SELECT id, confidence, true AS is_seed FROM s UNION ALL SELECT id, confidence, false FROM edges WHERE valid_to IS NULL AND id % 97 <> 5 AND (from_id IN (SELECT node FROM n) OR to_id IN (SELECT node FROM n)))
+SELECT id, is_seed, round(confidence, 6) AS confidence, row_number() OVER (ORDER BY is_seed DESC, CASE WHEN NOT is_seed THEN -confidence END NULLS FIRST, id) AS rank FROM r ORDER BY rank LIMIT 500"""))
+def markov_blanket(spark, d):
+    edges = fx.edges(spark, d)
+    return hops.markov_blanket(edges, edges.filter("id % 97 = 5").select("id"), 500).select("id", "is_seed", _r("confidence").alias("confidence"), "rank")
+
+
+@query(with_sql("chunks edges entries", f""", {_ENDS}, n AS (SELECT conv_id % 7 AS qid, 'c' || conv_id || '::s0::' || turn AS node FROM conversations WHERE turn = 1)
+""" + top_sql("SELECT DISTINCT qid, id, confidence FROM ends JOIN n USING (node)", 25, "confidence DESC, id", "qid, id, round(confidence, 6) AS confidence")))
+def edges_touching(spark, d):
+    nodes = fx.table(spark, d, "conversations").filter("turn = 1").select((F.col("conv_id") % 7).alias("qid"), F.concat(F.lit("c"), "conv_id", F.lit("::s0::"), "turn").alias("node"))
+    return hops.touching(_entries(spark, d), nodes, 25).select("qid", "id", _r("confidence").alias("confidence"), "rank")
+
+
+# ---- Traces
+
+
+def _chain_sql(backward: bool, anchors: str, depth: int, least: float, min_depth: int, source: str = "edges") -> str:
+    near, far = ("to_id", "from_id") if backward else ("from_id", "to_id")
+    return f""", c AS (SELECT a.qid, e.confidence AS confidence, e.id::VARCHAR AS path, e.{far} AS at, 1 AS depth FROM {source} e JOIN ({anchors}) a ON a.id = e.id WHERE e.valid_to IS NULL AND e.confidence >= {least}::DOUBLE
+UNION ALL SELECT c.qid, c.confidence * e.confidence, c.path || '>' || e.id, e.{far}, c.depth + 1 FROM c JOIN {source} e ON e.{near} = c.at WHERE c.depth < {depth} AND e.valid_to IS NULL AND e.confidence >= {least}::DOUBLE AND c.confidence * e.confidence >= {least}::DOUBLE)
+""" + top_sql(f"SELECT * FROM c WHERE depth >= {min_depth}", 50, "depth DESC, round(confidence, 9) DESC, path", "qid, depth, round(confidence, 6) AS confidence, path")
+
+
+def _chains(rows):
+    return rows.select("qid", "depth", _r("confidence").alias("confidence"), "path", "rank")
+
+
+@query(with_sql("event_edges", _chain_sql(True, "SELECT user_id % 50 AS qid, id FROM event_edges WHERE relation = 'caused'", 3, 0.5, 2, "(SELECT *, NULL AS valid_to FROM event_edges)")))
+def cause_chain(spark, d):
+    edges = fx.event_edges(spark, d)
+    return _chains(trace.cause_chains(edges, edges.filter("relation = 'caused'").select((F.col("user_id") % 50).alias("qid"), "id")))
+
+
+@query(with_sql("event_edges", _chain_sql(False, "SELECT user_id % 50 AS qid, id FROM event_edges WHERE relation = 'enabled'", 3, 0.5, 1, "(SELECT *, NULL AS valid_to FROM event_edges)")))
+def effect_chain(spark, d):
+    edges = fx.event_edges(spark, d)
+    return _chains(trace.effect_chains(edges, edges.filter("relation = 'enabled'").select((F.col("user_id") % 50).alias("qid"), "id")))
+
+
+@query(with_sql("edges", ", own AS (SELECT * FROM edges WHERE task_tag = 't2')" + _chain_sql(True, "SELECT 2 AS qid, id FROM own WHERE to_id LIKE '%::3'", 3, 0.3, 1, "own")))
+def session_chain(spark, d):
+    edges = fx.edges(spark, d)
+    nodes = edges.filter("to_id like '%::3'").select(F.lit(2).alias("qid"), F.col("to_id").alias("node"), F.lit("t2").alias("tag")).distinct()
+    return _chains(trace.session_chains(edges, nodes, 3, 0.3))
+
+
+@query(with_sql("meta", ", b AS (SELECT from_id AS node, to_id AS other, id, confidence FROM meta WHERE valid_to IS NULL UNION ALL SELECT to_id, from_id, id, confidence FROM meta WHERE valid_to IS NULL AND from_id <> to_id) " + top_sql("SELECT 0 AS qid, * FROM b WHERE confidence >= 0.5::DOUBLE", 20, "confidence DESC, id", "qid, node, other, id, round(confidence, 6) AS confidence", "node")))
+def meta_bridges(spark, d):
+    meta = fx.meta_edges(spark, d)
+    nodes = meta.select(F.explode(F.array("from_id", "to_id")).alias("node")).distinct().withColumn("qid", F.lit(0))
+    return trace.bridges(meta, nodes, 0.5).select("qid", "node", "other", "id", _r("confidence").alias("confidence"), "rank")
+
+
+@query(with_sql("edges", "SELECT node, arg_max(task_tag, event_time * 1000000 + id) AS task_tag FROM (SELECT from_id AS node, * FROM edges WHERE valid_to IS NULL UNION ALL SELECT to_id, * FROM edges WHERE valid_to IS NULL) GROUP BY node"))
+def latest_tags(spark, d):
+    return trace.latest_tag(fx.edges(spark, d))
+
+
+# ---- Graph
+
+
+def _graph(spark, d):
+    return graph.build(fx.edges(spark, d), fx.meta_edges(spark, d))
+
+
+def _spread_sql(reverse: bool, inhibition: bool, seeds: str) -> str:
+    s, t = ("dst", "src") if reverse else ("src", "dst")
+    weights = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in graph.COEFFICIENTS.items())
+    body = f""", g AS MATERIALIZED (SELECT {s} AS s, {t} AS t, weight * CASE relation {weights} ELSE 0 END * 0.7::DOUBLE AS v FROM
+ (SELECT from_id AS src, to_id AS dst, relation, confidence AS weight FROM edges WHERE valid_to IS NULL UNION ALL SELECT from_id, to_id, 'meta', confidence FROM meta WHERE valid_to IS NULL)),
+a0 AS MATERIALIZED (SELECT node, 0.5::DOUBLE + 0.5::DOUBLE * q AS a, true AS fresh FROM ({seeds}))"""
+    for h in range(1, 6):
+        p = f"a{h - 1}"
+        body += f""",
+n{h} AS (SELECT t, greatest(-1, least(1, sum(a * v))) AS n FROM {p} JOIN g ON node = s WHERE abs(a) >= 0.1::DOUBLE AND v <> 0 {'' if inhibition else 'AND v > 0'} AND EXISTS (SELECT 1 FROM {p} WHERE fresh) GROUP BY t),
+a{h} AS MATERIALIZED (SELECT coalesce(node, t) AS node, CASE WHEN abs(coalesce(n, 0)) > abs(coalesce(a, 0)) THEN n ELSE coalesce(a, 0) END AS a,
+ abs(coalesce(a, 0)) < 0.1::DOUBLE AND abs(coalesce(n, 0)) >= 0.1::DOUBLE AS fresh FROM {p} FULL JOIN n{h} ON node = t)"""
+    return body + "\nSELECT node, round(a, 6) AS activation FROM a5 WHERE abs(a) >= 0.1::DOUBLE"
+
+
+_FIRST = "SELECT id AS node, q_value AS q FROM chunks WHERE id LIKE '%::0'"
+
+
+def _first(spark, d):
+    return fx.chunks(spark, d).filter("id like '%::0'").select(F.col("id").alias("node"), F.col("q_value").alias("q"))
+
+
+@query(with_sql("chunks edges meta", _spread_sql(False, True, _FIRST)))
+def spread_forward(spark, d):
+    return graph.spread(_graph(spark, d), _first(spark, d)).select("node", _r("activation").alias("activation"))
+
+
+@query(with_sql("chunks edges meta", _spread_sql(True, True, _FIRST.replace("::0", "::3"))))
+def spread_reverse(spark, d):
+    seeds = fx.chunks(spark, d).filter("id like '%::3'").select(F.col("id").alias("node"), F.col("q_value").alias("q"))
+    return graph.spread(_graph(spark, d), seeds, reverse=True).select("node", _r("activation").alias("activation"))
+
+
+@query(with_sql("chunks edges meta", _spread_sql(False, False, _FIRST)))
+def spread_no_inhibition(spark, d):
+    return graph.spread(_graph(spark, d), _first(spark, d), inhibition=False).select("node", _r("activation").alias("activation"))
+
+
+@query(with_sql("edges", "SELECT node, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (SELECT from_id AS node, 0 AS i, 1 AS o FROM edges WHERE valid_to IS NULL UNION ALL SELECT to_id, 1, 0 FROM edges WHERE valid_to IS NULL) GROUP BY node"))
+def degrees(spark, d):
+    return graph.degrees(fx.edges(spark, d))
+
+
+@query(with_sql("chunks edges", """, u AS (SELECT from_id AS a, to_id AS b FROM edges WHERE valid_to IS NULL UNION SELECT to_id, from_id FROM edges WHERE valid_to IS NULL),
+r AS (SELECT id AS node, id AS root FROM chunks UNION SELECT b, root FROM r JOIN u ON a = node), l AS (SELECT node, min(root) AS c FROM r GROUP BY node), s AS (SELECT c, count(*) AS n FROM l GROUP BY c)
+SELECT count(*) AS components, max(n) AS largest, count(*) FILTER (n = 1) AS isolated, (SELECT count(*) FROM edges WHERE valid_to IS NULL) AS valid_edges FROM s"""))
+def components(spark, d):
+    return graph.component_stats(fx.chunks(spark, d).select(F.col("id").alias("node")), fx.edges(spark, d))
+
+
+_CUSTOMERS = "nodes AS (SELECT c_custkey AS node, ((c_custkey * 7) % 100)::DOUBLE / 100 AS q FROM customer), links AS (SELECT o_orderkey AS id, o_custkey AS from_id, (o_custkey * 31 + o_orderkey * 17) % (SELECT count(*) FROM customer) AS to_id, 0.2::DOUBLE + (o_orderkey % 8)::DOUBLE / 10 AS confidence FROM orders)"
+
+
+def _links(spark, d):
+    n = fx.table(spark, d, "customer").agg(F.count(F.lit(1)).alias("n"))
+    c, o = F.col("o_custkey").cast("long"), F.col("o_orderkey").cast("long")
+    return fx.table(spark, d, "orders").crossJoin(F.broadcast(n)).select(o.alias("id"), c.alias("from_id"), ((c * 31 + o * 17) % F.col("n")).alias("to_id"), (F.lit(0.2) + o % 8 / 10).alias("confidence"), F.lit(None).cast("long").alias("valid_to"))
+
+
+def _customers(spark, d):
+    k = F.col("c_custkey").cast("long")
+    return fx.table(spark, d, "customer").select(k.alias("node"), (k * 7 % 100 / 100).alias("q"))
+
+
+@query(f"WITH {_CUSTOMERS} SELECT node, round(greatest(0, least(1, q + 0.1::DOUBLE * (1 + 0.9::DOUBLE * greatest(0, coalesce((SELECT max(m.q) FROM links JOIN nodes m ON m.node = to_id WHERE from_id = nodes.node), 0)) - q))), 6) AS q FROM nodes")
+def q_update(spark, d):
+    return graph.q_update(_customers(spark, d), _links(spark, d)).select("node", _r("q").alias("q"))
+
+
+@query(f"""WITH RECURSIVE {_CUSTOMERS}, w AS MATERIALIZED (SELECT from_id, to_id, confidence / sum(confidence) OVER (PARTITION BY from_id) AS w FROM links), s AS (SELECT node, 1::DOUBLE / (SELECT count(*) FROM nodes WHERE node % 50 = 1) AS s FROM nodes WHERE node % 50 = 1),
+p0 AS MATERIALIZED (SELECT node, s AS p FROM s)""" + "".join(f", p{i} AS MATERIALIZED (SELECT node, sum(p) AS p FROM (SELECT to_id AS node, 0.85::DOUBLE * p * w AS p FROM p{i - 1} JOIN w ON from_id = node UNION ALL SELECT node, 0.15::DOUBLE * s FROM s) GROUP BY node)" for i in range(1, 6)) + " SELECT node, round(p, 6) AS p FROM p5")
+def pagerank(spark, d):
+    return graph.personalised_pagerank(_links(spark, d), _customers(spark, d).filter("node % 50 = 1"), iterations=5).select("node", _r("p").alias("p"))
+
+
+_NEIGHBOURS = "u AS (SELECT from_id AS n, to_id AS m FROM links WHERE from_id <> to_id UNION SELECT to_id, from_id FROM links WHERE from_id <> to_id)"
+
+
+@query(f"""WITH {_CUSTOMERS}, {_NEIGHBOURS}, b AS (SELECT id, m, sum(s) AS s FROM (SELECT DISTINCT id, m, 1 AS s FROM links JOIN u ON n = from_id WHERE m <> to_id UNION ALL SELECT DISTINCT id, m, 2 FROM links JOIN u ON n = to_id WHERE m <> from_id) GROUP BY ALL),
+c AS (SELECT id, count(*) FILTER (s = 3) AS shared, count(*) AS u FROM b GROUP BY id)
+SELECT id, coalesce(shared, 0) AS shared, round(coalesce(shared::DOUBLE / u, 0), 6) AS jaccard FROM links LEFT JOIN c USING (id)""")
+def neighbor_jaccard(spark, d):
+    return graph.neighbour_overlap(_links(spark, d)).select("id", "shared", _r("jaccard").alias("jaccard"))
+
+
+@query()
+def refute_edges(spark, d):
+    return graph.refute(_links(spark, d).filter("id % 4 = 1 or from_id < to_id"), max_hops=3)
+
+
+@query("""WITH r AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS id, min(l_linenumber) OVER (PARTITION BY l_orderkey, l_suppkey) AS place FROM lineitem), p AS (SELECT a.id AS from_id, b.id AS to_id, count(*) AS n FROM r a JOIN r b ON a.g = b.g AND a.place < b.place AND a.id <> b.id GROUP BY ALL)
+SELECT from_id, to_id, n, round(least(1, 0.2::DOUBLE + 0.05::DOUBLE * (n - 1)), 6) AS weight FROM p""")
+def cooccurrence(spark, d):
+    rows = fx.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("retrieval"), F.col("l_suppkey").alias("id")).agg(F.min("l_linenumber").alias("place"))
+    return graph.cooccurrence(rows).select("from_id", "to_id", "n", _r("weight").alias("weight"))
+
+
+@query("SELECT p_partkey, round(least(2, (1 - 0.995::DOUBLE) * (p_size::DOUBLE / 10) + CASE WHEN p_partkey % 2 = 0 THEN 0.02::DOUBLE ELSE 0 END), 6) AS weight FROM part")
+def hebbian(spark, d):
+    rows = fx.table(spark, d, "part").select("p_partkey", (F.col("p_size") / 10).alias("weight"), (F.col("p_partkey") % 2 == 0).alias("active"))
+    return graph.hebbian(rows).select("p_partkey", _r("weight").alias("weight"))
+
+
+@query(f"""WITH f AS (SELECT item_id AS fact_id, unnest(list_distinct({tokens_sql("'item ' || text")})) AS token FROM benchmark), c AS (SELECT doc_id AS chunk_id, unnest(list_distinct({tokens_sql('text')})) AS token FROM documents),
+rare AS (SELECT token FROM c GROUP BY token HAVING count(*) <= 20), p AS (SELECT fact_id, chunk_id, count(*) AS shared FROM f JOIN rare USING (token) JOIN c USING (token) GROUP BY ALL HAVING count(*) >= 3)
+SELECT fact_id, chunk_id, shared, round(least(0.8::DOUBLE, 0.3::DOUBLE + 0.1::DOUBLE * shared), 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY shared DESC, chunk_id) AS n FROM p) WHERE n <= 8""")
+def entity_links(spark, d):
+    facts = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("item").alias("key"), F.col("text").alias("value"), F.lit(None).cast("long").alias("valid_to"))
+    chunks = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return graph.entity_links(facts, chunks).select("fact_id", "chunk_id", "shared", _r("weight").alias("weight"))
+
+
+# ---- Prediction
+
+
+_EVIDENCE = "ev AS (SELECT user_id % 20 AS k, task_tag, CASE WHEN outcome_polarity IS NULL THEN 'neutral' ELSE outcome_polarity END AS bucket, id, id % 2 AS side FROM event_edges)"
+
+
+def _evidence(spark, d):
+    e = fx.event_edges(spark, d)
+    return e.select((F.col("user_id") % 20).alias("k"), (F.col("user_id") % 3).cast("string").alias("task_tag"), F.coalesce("outcome_polarity", F.lit("neutral")).alias("bucket"), "id", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("side"))
+
+
+@query(with_sql("event_edges", f""", {_EVIDENCE.replace("task_tag,", "(user_id % 3)::VARCHAR AS task_tag,")}, m AS (SELECT k, task_tag, count(*) AS n, min(id) AS first FROM ev GROUP BY ALL), r AS (SELECT k, arg_max(task_tag, n * 10000000 + first) AS reference FROM m GROUP BY k)
+SELECT k, count(*) FILTER (bucket = 'positive') AS pooled_positive, count(*) FILTER (bucket = 'negative') AS pooled_negative, count(*) FILTER (bucket = 'positive' AND task_tag = reference) AS within_positive, count(*) FILTER (bucket = 'negative' AND task_tag = reference) AS within_negative,
+ count(*) FILTER (bucket = 'positive' AND task_tag <> reference) AS others_positive, count(*) FILTER (bucket = 'negative' AND task_tag <> reference) AS others_negative, sign(within_positive - within_negative) * sign(pooled_positive - pooled_negative) < 0 AS reversed FROM ev JOIN r USING (k) GROUP BY k"""))
+def intervention_strata(spark, d):
+    ev = _evidence(spark, d)
+    return predict.stratified(ev, "k", predict.modal_tag(ev, "k", "id"))
+
+
+@query(with_sql("event_edges", f""", {_EVIDENCE}, c AS (SELECT k, side, count(*) AS n, count(*) FILTER (bucket = 'positive') - count(*) FILTER (bucket = 'negative') - 0.5::DOUBLE * count(*) FILTER (bucket = 'mixed') AS score FROM ev GROUP BY ALL)
+SELECT a.k, a.score AS score_a, b.score AS score_b, CASE WHEN a.score > b.score THEN 'a' WHEN a.score < b.score THEN 'b' ELSE 'insufficient' END AS verdict FROM c a JOIN c b ON a.k = b.k AND a.side = 0 AND b.side = 1"""))
+def counterfactual_dist(spark, d):
+    return predict.contrast(_evidence(spark, d), "k")
+
+
+@query(with_sql("event_edges", f", {_EVIDENCE} SELECT k, count(*) FILTER (bucket = 'positive') AS positive, count(*) FILTER (bucket = 'negative') AS negative, count(*) FILTER (bucket = 'mixed') AS mixed, count(*) FILTER (bucket = 'neutral') AS neutral, positive - negative - 0.5::DOUBLE * mixed AS score FROM ev GROUP BY k"))
+def outcome_distribution(spark, d):
+    return predict.distribution(_evidence(spark, d), "k")
+
+
+@query("SELECT first, count(*) AS n, count(*) FILTER (failed) AS failures FROM (SELECT row_number() OVER (PARTITION BY user_id, props ORDER BY ts) = 1 AS first, event_type = 'error' AS failed FROM events) GROUP BY first")
+def exposure_stats(spark, d):
+    rows = fx.table(spark, d, "events").select(F.struct("user_id", "props").alias("subject"), F.col("ts").alias("at"), (F.col("event_type") == "error").alias("failed"))
+    return predict.exposures(rows)
+
+
+@query("""SELECT session, min(at_us) AS start, count(*) AS n, c AS command FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY at_us) - row_number() OVER (PARTITION BY session, c ORDER BY at_us) AS i FROM (SELECT user_id AS session, epoch_us(ts) AS at_us, event_type AS c FROM events)) GROUP BY session, c, i HAVING count(*) >= 3""")
+def command_loops(spark, d):
+    return predict.loops(fx.table(spark, d, "events").select(F.col("user_id").alias("session"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.upper("event_type").alias("command")))
+
+
+@query("SELECT session, at_us AS "at", (SELECT arg_max(event_type, ts) FROM events w WHERE w.user_id = r.session AND w.event_type IN ('click', 'view') AND epoch_us(w.ts) < r.at_us) AS last_signal, verdict FROM (SELECT user_id AS session, epoch_us(ts) AS at_us, event_type AS verdict FROM events WHERE event_type IN ('error', 'purchase')) r")
+def warnings_tracked(spark, d):
+    kind = F.col("event_type")
+    rows = fx.table(spark, d, "events").select(F.col("user_id").alias("session"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.when(kind.isin("click", "view"), kind).alias("signal"), F.when(kind.isin("error", "purchase"), kind).alias("verdict"))
+    return predict.warnings_before(rows)
+
+
+@query("SELECT o_orderkey AS task, round(greatest(0, (o_orderkey % 11)::DOUBLE / 10 - (o_custkey % 5)::DOUBLE / (o_custkey % 5 + 3) * (1 - (o_orderkey % 7)::DOUBLE / 6)), 6) AS fama FROM orders")
+def fama(spark, d):
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = fx.table(spark, d, "orders").select(o.alias("task"), (o % 11 / 10).alias("mpa"), (o % 7 / 6).alias("faa"), F.lit(3).alias("n_keep"), (c % 5).alias("n_forget"))
+    return predict.fama(rows).select("task", _r("fama").alias("fama"))
+
+
+# ---- Patterns and consolidation
+
+_SETS = f"""t AS MATERIALIZED (SELECT doc_id AS id, list_distinct({tokens_sql('text')}) AS tokens FROM documents), x AS (SELECT id, unnest(tokens) AS token, len(tokens) AS n FROM t),
+o AS (SELECT a.id AS a, b.id AS b, count(*)::DOUBLE / any_value(a.n + b.n - 0) AS part, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.token = b.token AND a.id < b.id GROUP BY 1, 2), p AS (SELECT a, b, c::DOUBLE / (na + nb - c) AS similarity FROM o)"""
+
+
+@query(f"WITH {_SETS} SELECT a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.65::DOUBLE AND similarity < 1")
+def similar_pairs(spark, d):
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(tx.tokens(F.col("text"))).alias("tokens"))
+    return patterns.similar_pairs(docs).select("a", "b", _r("similarity").alias("similarity"))
+
+
+_SAID_DOC = "CASE doc_id % 5 WHEN 0 THEN 'build failed' WHEN 1 THEN 'all tests passed' ELSE 'done' END"
+
+
+@query(f"""WITH {_SETS}, i AS (SELECT doc_id AS id, source AS tag, doc_id AS t, {polarity_sql(_SAID_DOC)} AS p FROM documents),
+r AS (SELECT p.a, p.b, similarity, CASE WHEN x.tag = y.tag AND ((x.p = false AND y.p = true AND y.t > x.t) OR (y.p = false AND x.p = true AND x.t > y.t)) THEN 'refines' WHEN (x.p IS NOT DISTINCT FROM false) <> (y.p IS NOT DISTINCT FROM false) THEN 'contradicts' WHEN x.tag <> y.tag AND x.p = y.p THEN 'repeated' ELSE 'similar_to' END AS relation FROM p JOIN i x ON x.id = p.a JOIN i y ON y.id = p.b WHERE similarity >= 0.65::DOUBLE AND similarity < 1)
+SELECT a, b, relation, round(similarity * CASE relation WHEN 'refines' THEN 0.85::DOUBLE WHEN 'contradicts' THEN 0.8::DOUBLE WHEN 'repeated' THEN 0.9::DOUBLE ELSE 1 END, 6) AS confidence FROM r""")
+def pattern_classify(spark, d):
+    k = F.col("doc_id") % 5
+    items = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(tx.tokens(F.col("text"))).alias("tokens"), F.col("source").alias("task_tag"), F.col("doc_id").alias("event_time"), F.when(k == 0, "build failed").when(k == 1, "all tests passed").otherwise("done").alias("outcome"))
+    return patterns.classify(patterns.similar_pairs(items), items).select("a", "b", "relation", _r("confidence").alias("confidence"))
+
+
+@query("""WITH e AS (SELECT l_suppkey % 40 AS signature, coalesce(CASE WHEN l_partkey % 4 > 0 THEN 'tag' || (l_partkey % 4) END, 'untagged') AS tag, l_returnflag = 'A' AND l_partkey % 4 <> 2 AS s, l_returnflag = 'R' AND l_partkey % 4 = 2 AS f FROM lineitem WHERE l_suppkey % 40 > 0 OR l_partkey % 4 = 1), g AS (SELECT signature, tag, bool_or(s) AS s, bool_or(f) AS f FROM e GROUP BY ALL)
+SELECT signature, count(*) AS strata, count(*) < 2 AS confounded, bool_or(s AND NOT f) AND bool_or(f) AS simpson FROM g GROUP BY signature""")
+def strata_verdict(spark, d):
+    p = F.col("l_partkey") % 4
+    rows = fx.table(spark, d, "lineitem").select((F.col("l_suppkey") % 40).alias("signature"), F.when(p > 0, F.concat(F.lit("tag"), p)).alias("task_tag"), ((F.col("l_returnflag") == "A") & (p != 2)).alias("succeeded"), ((F.col("l_returnflag") == "R") & (p == 2)).alias("failed"), p.alias("p"))
+    return patterns.strata(rows.filter("signature > 0 or p = 1"))
+
+
+@query()
+def mined_patterns(spark, d):
+    return patterns.mine(_entries(spark, d))
+
+
+@query(f"""WITH x AS (SELECT {tokens_sql('text')} AS t FROM documents ORDER BY doc_id DESC LIMIT 64), c AS (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM x) GROUP BY token), s AS (SELECT sum(n) AS total, count(*) AS kinds FROM c)
+SELECT round(sum(-(n::DOUBLE / total) * ln(n::DOUBLE / total)) / ln(max(kinds)), 6) AS diversity FROM c, s""")
+def diversity(spark, d):
+    rows = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("doc_id").alias("created_at"))
+    return consolidate.diversity(rows).select(_r("diversity").alias("diversity"))
+
+
+_SCORE = f"""sc AS (SELECT id, s AS score, round(s, 9) >= 1 AS protected FROM (SELECT id, confidence + CASE WHEN ({polarity_sql('outcome')}) IS NOT DISTINCT FROM false THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN {NOW} - last_accessed_at <= 604800 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN EXISTS (SELECT 1 FROM entries b WHERE list_sort(list_distinct({tokens_sql('b.decision')})) = list_sort(list_distinct({tokens_sql('entries.decision')})) AND (({polarity_sql('b.outcome')}) IS NOT DISTINCT FROM false) <> (({polarity_sql('entries.outcome')}) IS NOT DISTINCT FROM false)) THEN 0.2::DOUBLE ELSE 0 END AS s FROM entries))"""
+
+
+@query()
+def reactivation(spark, d):
+    return consolidate.reactivation(_entries(spark, d), NOW).select("id", _r("score").alias("score"), "protected")
+
+
+@query(with_sql("event_edges", f", k AS (SELECT user_id AS f, task_tag, relation, id, row_number() OVER (PARTITION BY user_id, task_tag, relation ORDER BY confidence DESC, event_time DESC, id DESC) AS n FROM event_edges) SELECT id, CASE WHEN n > 1 THEN {NOW} END AS valid_to FROM k"))
+def merge_redundant(spark, d):
+    edges = fx.event_edges(spark, d).withColumns({"from_id": F.col("user_id").cast("string"), "to_id": F.col("task_tag")})
+    return consolidate.merge_redundant(edges, NOW).select("id", F.col("valid_to").cast("long").alias("valid_to"))
+
+
+@query(with_sql("edges", f""", p AS (SELECT *, confidence >= 0.8::DOUBLE AS protected, ({NOW} - discovered_at)::DOUBLE / 86400 AS days FROM edges WHERE valid_to IS NULL), f AS (SELECT *, CASE WHEN days >= 1 THEN confidence * pow(0.99::DOUBLE, CASE WHEN protected THEN days / 2 ELSE days END) ELSE confidence END AS c FROM p),
+b AS (SELECT *, CASE WHEN {NOW} - last_accessed_at <= 604800 THEN least(0.95::DOUBLE, c + 0.05::DOUBLE) ELSE c END AS new FROM f) SELECT id, round(new, 6) AS confidence, round(new, 9) < CASE WHEN protected THEN 0.1 ELSE 0.2 END AS retired FROM b"""))
+def downscale_edges(spark, d):
+    edges = fx.edges(spark, d)
+    scores = edges.select("id", (F.col("confidence") >= 0.8).alias("protected"))
+    return consolidate.downscale_edges(edges, scores, NOW).select("id", _r("confidence").alias("confidence"), "retired")
+
+
+@query(with_sql("facts", f", n AS (SELECT id, ({NOW} - updated_at)::DOUBLE / 86400 AS days, confidence FROM facts WHERE valid_to IS NULL), m AS (SELECT id, days, CASE WHEN days >= 1 THEN confidence * pow(0.5::DOUBLE, days * 24 / 2160) ELSE confidence END AS c FROM n) SELECT id, round(c, 6) AS confidence, days >= 1 AND round(c, 9) < 0.2 AS retired FROM m"))
+def downscale_facts(spark, d):
+    return consolidate.downscale_facts(fx.facts(spark, d), NOW).select("id", _r("confidence").alias("confidence"), "retired")
+
+
+@query("SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations QUALIFY before IS NOT NULL")
+def adjacent_turns(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return fx.table(spark, d, "conversations").withColumn("before", F.lag("turn").over(w)).filter("before is not null").select("conv_id", "turn", "before")
+
+
+def _said_at(spark, d):
+    k = F.col("event_id") % 5
+    word = F.element_at(F.array(*map(F.lit, ["payment service", "search index", "login page", "image cache", "mail queue"])), (F.col("user_id") % 5 + 1).cast("int"))
+    return fx.table(spark, d, "events").select(F.col("event_id").alias("id"), F.unix_timestamp("ts").alias("event_time"), F.concat(word, F.lit(" restarted")).alias("decision"), F.when(k == 0, F.concat(word, F.lit(" failed"))).otherwise(F.concat(word, F.lit(" restarted again"))).alias("outcome"), F.lit(None).cast("string").alias("outcome_polarity"))
+
+
+_WORDS = "CASE user_id % 5 WHEN 0 THEN ['payment', 'service'] WHEN 1 THEN ['search', 'index'] WHEN 2 THEN ['login', 'page'] WHEN 3 THEN ['image', 'cache'] ELSE ['mail', 'queue'] END"
+
+
+@query(f"""WITH e AS (SELECT event_id AS id, floor(epoch(ts))::BIGINT AS t, {_WORDS} || ['restarted'] AS dw, CASE WHEN event_id % 5 = 0 THEN {_WORDS} || ['failed'] ELSE {_WORDS} || ['restarted', 'again'] END AS ow, event_id % 5 = 0 AS bad FROM events),
+r AS (SELECT a.id AS a, b.id AS b, b.t - a.t AS gap, len(list_intersect(a.ow, b.dw)) AS shared, a.bad FROM e a JOIN e b ON b.t >= a.t AND b.t < a.t + 300 AND a.id < b.id),
+v AS (SELECT a, b, CASE WHEN bad AND shared >= 2 THEN 0.65::DOUBLE WHEN shared >= 3 THEN 0.55::DOUBLE END * CASE WHEN gap < 60 THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS c FROM r) SELECT a, b, round(c, 6) AS confidence FROM v WHERE c >= 0.3""")
+def temporal_links(spark, d):
+    return patterns.temporal_links(_said_at(spark, d)).select("a", "b", _r("confidence").alias("confidence"))
