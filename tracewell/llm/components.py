@@ -1,38 +1,5 @@
-"""Connected components of a graph given as an edge table, by alternating large-star and small-star steps."""
+"""Connected components, for the operators of this subpackage."""
 
-from __future__ import annotations
+from tracewell.operators.components import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tracewell.session import materialise
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first())
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of the edges (a, b): component is the smallest node reachable.
-
-    Edges may be repeated, directed either way, or loops; null ends are ignored. Rounds grow with the
-    logarithm of the longest path, and every round's edges are written to the shared folder.
-    """
-    clean = edges.select("a", "b").filter("a is not null and b is not null")
-    loops = clean.filter("a = b").select(F.col("a").alias("node")).distinct()
-    now = materialise(clean.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-    state = _state(now)
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = materialise(small.filter("a <> b").distinct(), "components")
-        last, state = state, _state(now)
-        if state == last:
-            break
-    nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    alone = loops.join(nodes.select("node").unionByName(roots.select("node")), "node", "left_anti").select("node", F.col("node").alias("component"))
-    return nodes.unionByName(roots).unionByName(alone)
+__all__ = ["connected_components"]

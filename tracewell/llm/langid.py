@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm import arrays
-from tracewell.llm.grouping import join_counted
+from tracewell.llm.grouping import SALTS, join_counted
 from tracewell.llm.pretokens import classes
 from tracewell.session import materialise
 
@@ -105,8 +105,11 @@ class Model:
 def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> DataFrame:
     """(_text, _lang, _turn) of at most sample labelled texts of each language."""
     labelled = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang")).filter("_id is not null and _lang is not null")
-    turn = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    chosen = materialise(labelled.withColumn("_turn", turn).filter(F.col("_turn") <= sample).dropDuplicates(["_id", "_lang"]), "langid-sample")
+    order = (F.xxhash64("_id"), "_id")
+    part = labelled.distinct().withColumn("_salt", F.pmod(F.hash("_id"), F.lit(SALTS)))
+    part = part.withColumn("_turn", F.row_number().over(Window.partitionBy("_lang", "_salt").orderBy(*order))).filter(F.col("_turn") <= sample)
+    turn = F.row_number().over(Window.partitionBy("_lang").orderBy(*order))  # over SALTS times sample rows at most
+    chosen = materialise(part.drop("_salt").withColumn("_turn", turn).filter(F.col("_turn") <= sample), "langid-sample")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
     return join_counted(texts, chosen, ["_id", "_lang"], "inner", chosen.count()).select("_text", "_lang", "_turn")
 
