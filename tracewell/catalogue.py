@@ -551,7 +551,7 @@ def command_loops(spark, d):
     return predict.loops(fx.table(spark, d, "events").select(F.col("user_id").alias("session"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.upper("event_type").alias("command")))
 
 
-@query("SELECT session, at_us AS "at", (SELECT arg_max(event_type, ts) FROM events w WHERE w.user_id = r.session AND w.event_type IN ('click', 'view') AND epoch_us(w.ts) < r.at_us) AS last_signal, verdict FROM (SELECT user_id AS session, epoch_us(ts) AS at_us, event_type AS verdict FROM events WHERE event_type IN ('error', 'purchase')) r")
+@query("""SELECT session, at_us AS "at", (SELECT arg_max(event_type, ts) FROM events w WHERE w.user_id = r.session AND w.event_type IN ('click', 'view') AND epoch_us(w.ts) < r.at_us) AS last_signal, verdict FROM (SELECT user_id AS session, epoch_us(ts) AS at_us, event_type AS verdict FROM events WHERE event_type IN ('error', 'purchase')) r""")
 def warnings_tracked(spark, d):
     kind = F.col("event_type")
     rows = fx.table(spark, d, "events").select(F.col("user_id").alias("session"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.when(kind.isin("click", "view"), kind).alias("signal"), F.when(kind.isin("error", "purchase"), kind).alias("verdict"))
@@ -656,3 +656,92 @@ r AS (SELECT a.id AS a, b.id AS b, b.t - a.t AS gap, len(list_intersect(a.ow, b.
 v AS (SELECT a, b, CASE WHEN bad AND shared >= 2 THEN 0.65::DOUBLE WHEN shared >= 3 THEN 0.55::DOUBLE END * CASE WHEN gap < 60 THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS c FROM r) SELECT a, b, round(c, 6) AS confidence FROM v WHERE c >= 0.3""")
 def temporal_links(spark, d):
     return patterns.temporal_links(_said_at(spark, d)).select("a", "b", _r("confidence").alias("confidence"))
+
+
+# ---- Changes and hashes
+
+
+@query(with_sql("event_edges", """, k AS (SELECT id, task_tag || '-' || (user_id % 40) AS f, to_id, outcome_polarity FROM event_edges)
+SELECT a.id AS old, b.id AS new FROM k a JOIN k b ON a.f = b.f AND a.id < b.id WHERE (a.outcome_polarity IS NOT DISTINCT FROM 'negative') <> (b.outcome_polarity IS NOT DISTINCT FROM 'negative')"""))
+def falsified_pairs(spark, d):
+    from tracewell.operators import dml
+
+    rows = fx.event_edges(spark, d).select("id", F.concat("task_tag", F.lit("-"), F.col("user_id") % 40).alias("from_id"), F.col("to_id").cast("string").alias("outcome"), "outcome_polarity")
+    return dml.falsified_pairs(rows)
+
+
+@query()
+def simhash_near_duplicates(spark, d):
+    from tracewell.functions import hashing
+
+    codes = fx.table(spark, d, "documents").filter(F.char_length("text") >= 20).select(F.col("doc_id").alias("id"), hashing.simhash(F.col("text")).alias("code"))
+    groups = codes.groupBy("code").agg(F.min("id").alias("id"))
+    return hashing.near_duplicates(groups)
+
+
+@query("SELECT event_id, 'key ' || CASE event_id % 4 WHEN 0 THEN '[REDACTED] end' WHEN 1 THEN 'Bearer [REDACTED] end' WHEN 2 THEN 'password=[REDACTED] end' ELSE 'nothing  here end' END AS text FROM events")
+def redacted(spark, d):
+    from tracewell.functions.hashing import redact
+
+    k = F.col("event_id") % 4
+    said = F.when(k == 0, F.concat(F.lit("sk-abcdefgh"), "event_id")).when(k == 1, F.concat(F.lit("Bearer  tok"), "event_id")).when(k == 2, F.concat(F.lit("password: hunter"), "event_id")).otherwise("nothing  here")
+    return fx.table(spark, d, "events").select("event_id", redact(F.concat(F.lit("key "), said, F.lit(" end"))).alias("text"))
+
+
+@query(with_sql("facts", f""", b AS (SELECT id + 1000000 AS id, key, value, scope, 0.9::DOUBLE AS confidence FROM facts WHERE id % 5 = 0), g AS (SELECT key, value, scope, max(id) AS id, arg_max(confidence, id) AS confidence FROM b GROUP BY ALL),
+o AS (SELECT f.id, f.key, f.value, f.scope, coalesce(g.confidence, f.confidence) AS confidence, CASE WHEN g.id IS NOT NULL THEN {NOW} ELSE f.updated_at END AS updated_at, CASE WHEN g.id IS NULL THEN f.valid_to END AS valid_to FROM facts f LEFT JOIN g USING (key, value, scope))
+SELECT id, key, value, scope, round(confidence, 6) AS confidence, updated_at, valid_to FROM o UNION ALL SELECT g.id, g.key, g.value, g.scope, round(g.confidence, 6), {NOW}, NULL FROM g WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.key = g.key AND f.value = g.value AND f.scope = g.scope)"""))
+def upsert_facts(spark, d):
+    from tracewell.operators import dml
+
+    facts = fx.facts(spark, d)
+    batch = facts.filter("id % 5 = 0").select((F.col("id") + 1_000_000).alias("id"), "key", "value", "scope", F.lit(0.9).alias("confidence"))
+    return dml.upsert_facts(facts, batch, NOW).withColumns({"confidence": _r("confidence"), "valid_to": F.col("valid_to").cast("long"), "updated_at": F.col("updated_at").cast("long")})
+
+
+@query(with_sql("edges", f", l AS (SELECT o_orderkey AS id, count(DISTINCT o_custkey) AS n, max({NOW} + o_custkey) AS at FROM (SELECT o_orderkey % 3000 AS o_orderkey, o_custkey FROM orders) GROUP BY 1) SELECT e.id, access_count + coalesce(n, 0) AS access_count, greatest(last_accessed_at, at) AS last_accessed_at FROM edges e LEFT JOIN l ON l.id = e.id"))
+def access_counts(spark, d):
+    from tracewell.operators import dml
+
+    log = fx.table(spark, d, "orders").select((F.col("o_orderkey") % 3000).cast("long").alias("id"), F.col("o_custkey").alias("flush"), (F.lit(NOW) + F.col("o_custkey")).cast("long").alias("at"))
+    return dml.add_access(fx.edges(spark, d), log).select("id", F.col("access_count").cast("long").alias("access_count"), F.col("last_accessed_at").cast("long").alias("last_accessed_at"))
+
+
+@query(with_sql("edges meta", """, p AS (SELECT * FROM meta WHERE valid_to IS NULL), s AS (SELECT 'c' || conv_id || '::s0::0' AS node FROM conversations WHERE turn = 0 AND conv_id % 2 = 0),
+n AS (SELECT DISTINCT o AS node FROM (SELECT from_id AS node, to_id AS o FROM p WHERE relation = 'similar_to' UNION ALL SELECT to_id, from_id FROM p WHERE relation = 'similar_to') WHERE node IN (SELECT node FROM s) AND o NOT IN (SELECT node FROM s))
+SELECT count(*) AS analogues FROM n"""))
+def analogue_nodes(spark, d):
+    meta = fx.meta_edges(spark, d).filter("valid_to is null and relation = 'similar_to'")
+    seeds = fx.table(spark, d, "conversations").filter("turn = 0 and conv_id % 2 = 0").select(F.concat(F.lit("c"), "conv_id", F.lit("::s0::0")).alias("node"))
+    both = meta.select(F.col("from_id").alias("node"), F.col("to_id").alias("other")).unionByName(meta.select(F.col("to_id").alias("node"), F.col("from_id").alias("other")))
+    return both.join(seeds, "node", "left_semi").select(F.col("other").alias("node")).distinct().join(seeds, "node", "left_anti").agg(F.count(F.lit(1)).alias("analogues"))
+
+
+@query(f"SELECT item_id, doc_id, hit FROM (SELECT item_id, {tokens_sql('text')} AS t, list_distinct(t) AS k FROM benchmark) CROSS JOIN (SELECT doc_id, list_distinct({tokens_sql('text')}) AS w FROM documents) CROSS JOIN LATERAL (SELECT len(list_intersect(k, w)) AS hit) WHERE hit >= greatest(1, len(k) // 2 + 1)")
+def evidence_coverage(spark, d):
+    asked = fx.table(spark, d, "benchmark").select("item_id", F.array_distinct(tx.tokens(F.col("text"))).alias("k"))
+    key = asked.select("item_id", F.size("k").alias("n"), F.explode("k").alias("token"))
+    held = fx.table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("token"))
+    hits = held.join(key, "token").groupBy("item_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("hit"))
+    return hits.filter(F.col("hit") >= F.greatest(F.lit(1), F.floor(F.col("n") / 2) + 1)).select("item_id", "doc_id", "hit")
+
+
+@query()
+def cross_session(spark, d):
+    edges, meta = fx.edges(spark, d), fx.meta_edges(spark, d)
+    anchors = edges.filter("valid_to is null").select(F.col("task_tag").alias("qid"), "id")
+    return trace.cross_session(edges, meta, anchors, min_confidence=0.2).select("qid", "first_edge", "second_edge", _r("confidence").alias("confidence"), "rank")
+
+
+@query("""WITH RECURSIVE e AS (SELECT l_partkey % 200 AS a, l_suppkey % 200 AS b FROM lineitem WHERE l_returnflag = 'R'), r AS (SELECT 5 AS node UNION SELECT a FROM e JOIN r ON b = node) SELECT node FROM r""")
+def backward_reachable(spark, d):
+    """Nodes from which a node can be reached: distinct frontiers until nothing is new."""
+    from tracewell.session import materialise
+
+    e = materialise(fx.table(spark, d, "lineitem").filter("l_returnflag = 'R'").select((F.col("l_partkey") % 200).alias("a"), (F.col("l_suppkey") % 200).alias("b")).distinct(), "reach-edges")
+    seen = frontier = spark.range(1).select(F.lit(5).cast("long").alias("node"))
+    while True:
+        frontier = materialise(e.join(frontier, F.col("b") == F.col("node")).select(F.col("a").cast("long").alias("node")).distinct().join(seen, "node", "left_anti"), "reach")
+        if frontier.isEmpty():
+            return seen
+        seen = materialise(seen.unionByName(frontier), "reach-seen")
