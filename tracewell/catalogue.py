@@ -599,7 +599,10 @@ def strata_verdict(spark, d):
 
 @query()
 def mined_patterns(spark, d):
-    return patterns.mine(_entries(spark, d))
+    k = F.col("doc_id") % 5
+    outcome = F.when(k == 0, "build failed").when(k == 1, "all tests passed").otherwise("done")
+    rows = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("decision"), outcome.alias("outcome"), F.col("source").alias("task_tag"), F.col("doc_id").alias("event_time"))
+    return patterns.mine(rows).withColumn("confidence", _r("confidence"))
 
 
 @query(f"""WITH x AS (SELECT {tokens_sql('text')} AS t FROM documents ORDER BY doc_id DESC LIMIT 64), c AS (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM x) GROUP BY token), s AS (SELECT sum(n) AS total, count(*) AS kinds FROM c)
@@ -661,12 +664,12 @@ def temporal_links(spark, d):
 # ---- Changes and hashes
 
 
-@query(with_sql("event_edges", """, k AS (SELECT id, task_tag || '-' || (user_id % 40) AS f, to_id, outcome_polarity FROM event_edges)
+@query(with_sql("event_edges", """, k AS (SELECT id, user_id || '-' || (id % 50) AS f, to_id, outcome_polarity FROM event_edges)
 SELECT a.id AS old, b.id AS new FROM k a JOIN k b ON a.f = b.f AND a.id < b.id WHERE (a.outcome_polarity IS NOT DISTINCT FROM 'negative') <> (b.outcome_polarity IS NOT DISTINCT FROM 'negative')"""))
 def falsified_pairs(spark, d):
     from tracewell.operators import dml
 
-    rows = fx.event_edges(spark, d).select("id", F.concat("task_tag", F.lit("-"), F.col("user_id") % 40).alias("from_id"), F.col("to_id").cast("string").alias("outcome"), "outcome_polarity")
+    rows = fx.event_edges(spark, d).select("id", F.concat("user_id", F.lit("-"), F.col("id") % 50).alias("from_id"), F.col("to_id").cast("string").alias("outcome"), "outcome_polarity")
     return dml.falsified_pairs(rows)
 
 
@@ -699,7 +702,7 @@ def upsert_facts(spark, d):
     return dml.upsert_facts(facts, batch, NOW).withColumns({"confidence": _r("confidence"), "valid_to": F.col("valid_to").cast("long"), "updated_at": F.col("updated_at").cast("long")})
 
 
-@query(with_sql("edges", f", l AS (SELECT o_orderkey AS id, count(DISTINCT o_custkey) AS n, max({NOW} + o_custkey) AS at FROM (SELECT o_orderkey % 3000 AS o_orderkey, o_custkey FROM orders) GROUP BY 1) SELECT e.id, access_count + coalesce(n, 0) AS access_count, greatest(last_accessed_at, at) AS last_accessed_at FROM edges e LEFT JOIN l ON l.id = e.id"))
+@query(with_sql("edges", f", l AS (SELECT o_orderkey AS id, count(DISTINCT o_custkey) AS n, max({NOW} + o_custkey) AS last FROM (SELECT o_orderkey % 3000 AS o_orderkey, o_custkey FROM orders) GROUP BY 1) SELECT e.id, access_count + coalesce(n, 0) AS access_count, greatest(last_accessed_at, last) AS last_accessed_at FROM edges e LEFT JOIN l ON l.id = e.id"))
 def access_counts(spark, d):
     from tracewell.operators import dml
 

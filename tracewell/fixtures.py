@@ -46,10 +46,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def meta_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links from the first turn of a conversation to that of the third next one."""
+    """Links from the first turn of a conversation to the third turn of the third next one."""
     first = table(spark, sf_dir, "conversations").filter("turn = 0 and conv_id % 3 = 0")
     c = F.col("conv_id")
-    return first.select(c.alias("id"), F.concat(F.lit("c"), c, F.lit("::s0::0")).alias("from_id"), F.concat(F.lit("c"), c + 3, F.lit("::s0::0")).alias("to_id"),
+    return first.select(c.alias("id"), F.concat(F.lit("c"), c, F.lit("::s0::0")).alias("from_id"), F.concat(F.lit("c"), c + 3, F.lit("::s0::2")).alias("to_id"),
                         _case(c % 4, ["similar_to", "repeated", "contradicts", "refines"]).alias("relation"), F.concat(F.lit("pattern "), c % 10).alias("pattern"), (F.lit(0.4) + c % 6 / 10).alias("confidence"), F.when(c % 7 == 0, F.lit(NOW)).cast("long").alias("valid_to"))
 
 
@@ -86,7 +86,7 @@ SQL = {
         CASE (conv_id * 3 + turn) % 5 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' WHEN 2 THEN 'mixed' WHEN 3 THEN 'neutral' END AS outcome_polarity, CASE WHEN (conv_id + turn) % 22 = 0 THEN conv_id * 100 + turn + 1 END AS superseded_by
         FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL)""",
     "entries": "entries AS (SELECT e.*, f.text AS decision, t.text AS outcome FROM edges e JOIN chunks f ON f.id = e.from_id JOIN chunks t ON t.id = e.to_id WHERE e.valid_to IS NULL)",
-    "meta": f"meta AS (SELECT conv_id AS id, 'c' || conv_id || '::s0::0' AS from_id, 'c' || (conv_id + 3) || '::s0::0' AS to_id, CASE conv_id % 4 WHEN 0 THEN 'similar_to' WHEN 1 THEN 'repeated' WHEN 2 THEN 'contradicts' ELSE 'refines' END AS relation, 'pattern ' || (conv_id % 10) AS pattern, 0.4::DOUBLE + (conv_id % 6)::DOUBLE / 10 AS confidence, CASE WHEN conv_id % 7 = 0 THEN {NOW} END AS valid_to FROM conversations WHERE turn = 0 AND conv_id % 3 = 0)",
+    "meta": f"meta AS (SELECT conv_id AS id, 'c' || conv_id || '::s0::0' AS from_id, 'c' || (conv_id + 3) || '::s0::2' AS to_id, CASE conv_id % 4 WHEN 0 THEN 'similar_to' WHEN 1 THEN 'repeated' WHEN 2 THEN 'contradicts' ELSE 'refines' END AS relation, 'pattern ' || (conv_id % 10) AS pattern, 0.4::DOUBLE + (conv_id % 6)::DOUBLE / 10 AS confidence, CASE WHEN conv_id % 7 = 0 THEN {NOW} END AS valid_to FROM conversations WHERE turn = 0 AND conv_id % 3 = 0)",
     "facts": f"facts AS (SELECT c_custkey AS id, 'market_segment_' || (c_custkey % 50) AS key, c_mktsegment AS value, CASE WHEN c_custkey % 3 = 0 THEN 'user' ELSE 'tenant:' || c_nationkey END AS scope, 0.3::DOUBLE + (c_custkey % 7)::DOUBLE / 10 AS confidence, {NOW} - c_custkey * 3600 AS updated_at, CASE WHEN c_custkey % 13 = 0 THEN {NOW} END AS valid_to FROM customer)",
     "event_edges": "event_edges AS (SELECT event_id AS id, before AS from_id, event_id AS to_id, CASE event_type WHEN 'error' THEN 'caused' WHEN 'purchase' THEN 'enabled' WHEN 'signup' THEN 'prevented' ELSE 'no_effect' END AS relation, 0.5::DOUBLE + (event_id % 50)::DOUBLE / 100 AS confidence, floor(epoch(ts))::BIGINT AS event_time, event_type AS task_tag, CASE event_type WHEN 'error' THEN 'negative' WHEN 'purchase' THEN 'positive' END AS outcome_polarity, user_id FROM (SELECT *, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NOT NULL)",
 }

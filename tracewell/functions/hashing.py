@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,16 +21,19 @@ def fnv1a(text: str) -> int:
     return h
 
 
+@lru_cache(maxsize=200_000)
+def _word_bits(word: str) -> bytes:
+    return fnv1a(word).to_bytes(8, "little") + fnv1a(word + "#2").to_bytes(8, "little")
+
+
 def simhash128(text: str | None) -> str | None:
     """32 hex digits: bit i is set if more words have it set than not, words in lower case; the high half hashes the word with '#2'."""
     if text is None:
         return None
-    bits = [0] * 128
-    for word in text.lower().split():
-        value = fnv1a(word) | fnv1a(word + "#2") << 64
-        for i in range(128):
-            bits[i] += 1 if value >> i & 1 else -1
-    return f"{sum(1 << i for i, b in enumerate(bits) if b > 0):032x}"
+    words = text.lower().split()
+    rows = np.frombuffer(b"".join(map(_word_bits, words)), np.uint8).reshape(-1, 16)
+    ones = np.unpackbits(rows, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(words), bitorder="little")[::-1].tobytes().hex()
 
 
 @F.pandas_udf(StringType())
