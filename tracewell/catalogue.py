@@ -346,6 +346,32 @@ def edges_touching(spark, d):
     return hops.touching(_entries(spark, d), nodes, 25).select("qid", "id", _r("confidence").alias("confidence"), "rank")
 
 
+_WORD = r"(?:^|[^\s])?\s*[A-Za-z][A-Za-z0-9'']*"
+_INNER = r"^(?:\s+|[^\s.!?“”" + '"' + r"A-Za-z]\s*)[A-Z][A-Za-z0-9'']+$"
+
+
+def entities_sql(text: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in tx.ENTITY_STOP)
+    inner = f"list_filter(regexp_extract_all(ltrim(coalesce({text}, '')), '{_WORD}'), lambda w: regexp_matches(w, '{_INNER}'))"
+    names = f"list_transform({inner}, lambda w: lower(regexp_replace(regexp_extract(w, '([A-Z][A-Za-z0-9'']*)$', 1), '''s$', '')))"
+    return f"list_filter({names}, lambda w: length(w) >= 2 AND w NOT IN ({stop}))"
+
+
+_NAMED = "'Then ' || CASE {n} % 4 WHEN 0 THEN 'Alice' WHEN 1 THEN 'Bob''s dog' WHEN 2 THEN 'Carol and Dave' ELSE 'nobody' END || ' met customer ' || {n} % 7 || '. Paris'"
+
+
+@query(f"""WITH a AS (SELECT c_custkey AS qid, unnest(list_distinct({entities_sql(_NAMED.format(n='c_custkey'))})) AS e FROM customer WHERE c_custkey % 100 = 0), h AS (SELECT p_partkey AS id, unnest(list_distinct({entities_sql(_NAMED.format(n='p_partkey'))})) AS e FROM part)
+""" + top_sql("SELECT qid, id, count(*) AS overlap FROM a JOIN h USING (e) GROUP BY ALL", 10, "overlap DESC, id", "qid, id, overlap"))
+def entity_search(spark, d):
+    def named(n):
+        k = F.col(n) % 4
+        return F.concat(F.lit("Then "), F.when(k == 0, "Alice").when(k == 1, "Bob's dog").when(k == 2, "Carol and Dave").otherwise("nobody"), F.lit(" met customer "), F.col(n) % 7, F.lit(". Paris"))
+
+    asked = fx.table(spark, d, "customer").filter("c_custkey % 100 = 0").select(F.col("c_custkey").alias("qid"), named("c_custkey").alias("query"))
+    held = fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), named("p_partkey").alias("decision"), F.lit("").alias("outcome"))
+    return hops.entity_search(held, asked, 10)
+
+
 # ---- Traces
 
 

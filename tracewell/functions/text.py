@@ -134,7 +134,8 @@ def entity_tokens(text: Column) -> Column:
     A word starts at an ASCII letter and goes on over ASCII letters, digits and apostrophes.
     """
     stop = _lit_array(ENTITY_STOP)
-    with_before = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?:^|[^\s])?\s*[A-Za-z][A-Za-z0-9']*"), F.lit(0))
-    inner = F.filter(with_before, lambda w: F.regexp_like(w, F.lit("^(?:[^\\s.!?\"“”A-Z]\\s*|[A-Z]\\s+)[A-Z][A-Za-z0-9']+$")))
-    names = F.transform(inner, lambda w: F.lower(F.regexp_replace(F.regexp_extract(w, F.lit("([A-Z][A-Za-z0-9']*)$"), F.lit(1)), "'s$", "")))
+    # Each match is a word with what stands before it: white space after the last word, or one other character.
+    with_before = F.regexp_extract_all(F.ltrim(F.coalesce(text, F.lit(""))), F.lit(r"(?:^|[^\s])?\s*[A-Za-z][A-Za-z0-9']*"), F.lit(0))
+    inner = F.filter(with_before, lambda w: F.regexp_like(w, F.lit("^(?:\\s+|[^\\s.!?\"“”A-Za-z]\\s*)[A-Z][A-Za-z0-9']+$")))
+    names = F.transform(inner, lambda w: F.lower(F.regexp_replace(F.regexp_extract(w, "([A-Z][A-Za-z0-9']*)$", 1), "'s$", "")))
     return F.filter(names, lambda w: (F.char_length(w) >= 2) & ~F.array_contains(stop, w))

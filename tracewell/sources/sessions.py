@@ -3,7 +3,7 @@
 Each reader gives Session(decisions, results, events, texts):
 decisions (session, line, call, tool, arguments), results (session, call, content),
 events (session, line, tool, outcome), texts (session, line, text) of assistants, 100 bytes or more.
-Lines that are no JSON are left out. A session is the file a line came from.
+Lines that are no JSON are left out. A session is the file a line came from, or its folder.
 """
 
 from __future__ import annotations
@@ -41,8 +41,9 @@ _CALLS = "array<struct<id: string, name: string, arguments: string>>"
 
 def directory(spark: SparkSession, path: str) -> Session:
     """chat_history.jsonl with tool_calls and tool_result lines, and events.jsonl with tool_completed lines."""
-    chat = _lines(spark, f"{path}/chat_history.jsonl", f"type string, content string, tool_calls {_CALLS}, tool_call_id string")
-    events = _lines(spark, f"{path}/events.jsonl", "type string, tool_name string, outcome string, ts string")
+    folder = F.regexp_replace("session", "/[^/]*$", "")
+    chat = _lines(spark, f"{path}/chat_history.jsonl", f"type string, content string, tool_calls {_CALLS}, tool_call_id string").withColumn("session", folder)
+    events = _lines(spark, f"{path}/events.jsonl", "type string, tool_name string, outcome string, ts string").withColumn("session", folder)
     calls = chat.filter("j.type = 'assistant'").select("session", "line", F.explode("j.tool_calls").alias("c"))
     return Session(
         calls.select("session", "line", F.col("c.id").alias("call"), F.col("c.name").alias("tool"), F.col("c.arguments").alias("arguments")),
