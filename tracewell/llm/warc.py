@@ -56,7 +56,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     lines = [f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 2000-01-01T00:00:00Z"]
-    lines += [f"WARC-Target-URI: {quote(url, safe=_URI)}"] * (url is not None)
+    lines += [f"WARC-Target-URI: {quote(url or '', safe=_URI)}"] * (url is not None)
     lines += [f"WARC-Payload-Digest: sha1:{digest}"] + [f"Page-ID: {page_id}"] * (page_id is not None)
     if revisit:
         lines += [f"WARC-Profile: {_REVISIT_PROFILE}"] + [f"Refers-To-Page-ID: {refers_to}"] * (refers_to is not None)
