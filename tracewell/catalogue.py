@@ -774,3 +774,82 @@ def backward_reachable(spark, d):
         if frontier.isEmpty():
             return seen
         seen = materialise(seen.unionByName(frontier), "reach-seen")
+
+
+# ---- Novelty, agreement, retractions
+
+_SAYINGS = ["likes tea and cake", "no longer likes tea", "switched from coffee to water", "drinks coffee daily", "plays chess", "used to play chess", "walks at dawn"]
+_SAYING = "CASE event_id % 7 " + " ".join(f"WHEN {i} THEN 'user {t}'" for i, t in enumerate(_SAYINGS)) + " END"
+
+
+def _sayings(spark, d):
+    text = F.concat(F.lit("user "), F.element_at(F.array(*map(F.lit, _SAYINGS)), (F.col("event_id") % 7 + 1).cast("int")))
+    return fx.table(spark, d, "events").select("user_id", "event_id", text.alias("text"))
+
+
+@query("SELECT round(coalesce(sum(-(n::DOUBLE / t) * log2(n::DOUBLE / t)) / 3, 0), 6) AS novelty FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS t FROM part GROUP BY least(7, floor(log2(p_size + 1))))")
+def replay_entropy(spark, d):
+    from tracewell.operators import novelty
+
+    return novelty.replay_entropy(fx.table(spark, d, "part").select(F.col("p_size").alias("replay_count"))).select(_r("novelty").alias("novelty"))
+
+
+@query(f"""WITH a AS (SELECT event_id AS id, list_distinct(string_split({_SAYING}, ' ')) AS x FROM events), p AS (SELECT event_id + 1 AS id, list_distinct(string_split({_SAYING}, ' ')) AS y FROM events WHERE event_id % 3 < 2)
+SELECT id, round(1 - coalesce(len(list_intersect(x, y))::DOUBLE / len(list_distinct(x || y)), 0), 6) AS surprise, round(1 - coalesce(len(list_intersect(x, y))::DOUBLE / len(list_distinct(x || y)), 0), 9) > 0.5 AS novel FROM a LEFT JOIN p USING (id)""")
+def prediction_gap(spark, d):
+    from tracewell.operators import novelty
+
+    rows = _sayings(spark, d)
+    predicted = rows.filter("event_id % 3 < 2").select((F.col("event_id") + 1).alias("id"), "text")
+    return novelty.prediction_gap(rows.select(F.col("event_id").alias("id"), "text"), predicted).select("id", _r("surprise").alias("surprise"), "novel")
+
+
+@query(f"""WITH h AS (SELECT user_id AS qid, event_id AS id, list_distinct({tokens_sql(_SAYING)}) AS t FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n <= 6)
+SELECT a.qid, round(coalesce(avg(CASE WHEN b.id IS NOT NULL THEN len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(a.t || b.t)) END), 1), 6) AS agreement FROM h a LEFT JOIN h b ON a.qid = b.qid AND a.id < b.id GROUP BY a.qid""")
+def agreement(spark, d):
+    from tracewell.operators import novelty
+
+    e = fx.table(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).filter("n <= 6").select("event_id")
+    rows = _sayings(spark, d).join(e, "event_id")
+    return novelty.agreement(rows.select(F.col("user_id").alias("qid"), F.col("event_id").alias("id"), "text")).select("qid", _r("agreement").alias("agreement"))
+
+
+@query(f"""WITH s AS (SELECT user_id AS qid, event_id AS id, {_SAYING} AS text, user_id % 4 = 0 AS past FROM events), t AS (SELECT DISTINCT qid, unnest([regexp_extract(text, 'no longer (?:likes|wants|uses|eats|plays) ([a-z0-9]+)', 1), regexp_extract(text, 'switched from ([a-z0-9]+) to', 1), regexp_extract(text, 'used to (?:like|want|use|eat|play) ([a-z0-9]+)', 1)]) AS topic FROM s WHERE NOT past)
+SELECT qid, id, text FROM s WHERE past OR (NOT regexp_matches(text, '{'|'.join(tx.RETRACTION_MARKERS)}') AND NOT EXISTS (SELECT 1 FROM t WHERE t.qid = s.qid AND topic <> '' AND contains(text, topic)))""")
+def retraction_filter(spark, d):
+    from tracewell.operators import novelty
+
+    rows = _sayings(spark, d).select(F.col("user_id").alias("qid"), F.col("event_id").alias("id"), "text")
+    asked = rows.select("qid", F.when(F.col("qid") % 4 == 0, "what did the user like in the past").otherwise("what does the user like").alias("query")).distinct()
+    return novelty.without_retracted(rows, asked)
+
+
+@query()
+def rem_transfer(spark, d):
+    """Benchmark items and documents as patterns of two tasks."""
+    items = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.array("source").alias("tags"), (F.col("doc_id") % 2 == 0).alias("is_new"))
+    return patterns.rem_transfer(items, spark.createDataFrame([], "a long, b long")).withColumn("similarity", _r("similarity"))
+
+
+@query(with_sql("edges", """, g AS (SELECT id, from_id AS src, to_id AS dst, relation, confidence AS w FROM edges WHERE valid_to IS NULL), f AS (SELECT src, arg_min(id, id) AS id, arg_min(dst, id) AS dst FROM g WHERE relation = 'caused' GROUP BY src),
+w AS (SELECT 'c' || conv_id || '::s0::0' AS node, 0 AS step FROM conversations WHERE turn = 0 UNION ALL SELECT f.dst, w.step + 1 FROM w JOIN f ON f.src = w.node WHERE w.step < 5),
+r AS (SELECT f.id, count(*) AS n FROM w JOIN f ON f.src = w.node WHERE w.step < 5 GROUP BY f.id)
+SELECT g.id, coalesce(n, 0) AS replays, round(CASE WHEN n > 0 THEN least(2, w * pow(1.05::DOUBLE, n)) ELSE w * 0.99::DOUBLE END, 6) AS weight FROM g LEFT JOIN r USING (id) WHERE n > 0 OR w * 0.99::DOUBLE >= 0.05"""))
+def swr_replay(spark, d):
+    g = fx.edges(spark, d).filter("valid_to is null").select("id", F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "relation", F.col("confidence").alias("weight"), F.lit(True).alias("valid"))
+    starts = fx.table(spark, d, "conversations").filter("turn = 0").select(F.concat(F.lit("c"), "conv_id", F.lit("::s0::0")).alias("node"))
+    return graph.replay(g, starts).select("id", F.col("replays").cast("long").alias("replays"), _r("weight").alias("weight"))
+
+
+@query()
+def supersede_hints(spark, d):
+    """Each turn as a hint against the turns before it in its task."""
+    from tracewell.operators import dml
+
+    hints = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("hint"), "text", F.lit("t1").alias("task_tag"), F.lit(2**40).alias("event_time"))
+    return dml.supersede_by_hint(_entries(spark, d), hints)
+
+
+@query()
+def consolidate_report(spark, d):
+    return consolidate.consolidate(fx.edges(spark, d), fx.chunks(spark, d), NOW)[1]

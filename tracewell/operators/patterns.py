@@ -21,8 +21,8 @@ def decisions(entries: DataFrame) -> DataFrame:
     return rows.filter(F.size("tokens") >= MIN_TOKENS)
 
 
-def similar_pairs(items: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(a, b, similarity), a < b, of items (id, tokens) with a Jaccard similarity of at least threshold and different token sets.
+def similar_pairs(items: DataFrame, threshold: float = SIMILARITY, equal: bool = False) -> DataFrame:
+    """(a, b, similarity), a < b, of items (id, tokens) with a Jaccard similarity of at least threshold; equal: equal sets too.
 
     A set-similarity join: tokens are put in order of rarity, two similar sets share one of the first
     n - ceil(threshold n) + 1 of each, and only such pairs of compatible sizes are compared.
@@ -37,7 +37,7 @@ def similar_pairs(items: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     found = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
     x, y = items.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), items.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     scored = found.join(x, "a").join(y, "b").select("a", "b", tx.jaccard(F.col("ta"), F.col("tb")).alias("similarity"))
-    return scored.filter((F.col("similarity") >= threshold) & (F.col("similarity") < 1))
+    return scored.filter((F.col("similarity") >= threshold) & (F.lit(equal) | (F.col("similarity") < 1)))
 
 
 def classify(pairs: DataFrame, items: DataFrame) -> DataFrame:
@@ -96,6 +96,17 @@ def mine(entries: DataFrame) -> DataFrame:
     return judged.join(taken, ["a", "b"]).select("a", "b", "relation", F.when(F.col("confounded"), F.col("confidence") * 0.5).otherwise(F.col("confidence")).alias("confidence"), "confounded", "simpson")
 
 
+def rem_transfer(patterns: DataFrame, linked: DataFrame) -> DataFrame:
+    """(a, b, similarity): new patterns beside later ones of other tasks: (id, text, tags, is_new), both with tags and none in common.
+
+    Pairs in linked (a, b) are left out; take what accept gives of the rest.
+    """
+    items = materialise(patterns.withColumn("tokens", F.array_distinct(tx.tokens(F.col("text")))).filter("size(tags) > 0 and size(tokens) > 0"), "rem-items")
+    side = lambda s: items.select(F.col("id").alias(s), F.col("tags").alias(f"t_{s}"), F.col("is_new").alias(f"n_{s}"))
+    rows = similar_pairs(items, equal=True).join(side("a"), "a").join(side("b"), "b").filter("n_a and not arrays_overlap(t_a, t_b)")
+    return rows.join(linked.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "similarity")
+
+
 def temporal_links(entries: DataFrame, window: int = 300) -> DataFrame:
     """(a, b, confidence): an outcome followed within window seconds by a decision that takes it up.
 
