@@ -11,7 +11,12 @@ RELATIONS = ["caused", "enabled", "prevented", "no_effect"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts that comes in fewer parts than there are cores is dealt out, as a small single file is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "conversations", "embeddings") and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,17 +24,24 @@ def decisions(entries: DataFrame) -> DataFrame:
 def similar_pairs(items: DataFrame, threshold: float = SIMILARITY, equal: bool = False) -> DataFrame:
     """(a, b, similarity), a < b, of items (id, tokens) with a Jaccard similarity of at least threshold; equal: equal sets too.
 
-    A set-similarity join: tokens are put in order of rarity, two similar sets share one of the first
-    n - ceil(threshold n) + 1 of each, and only such pairs of compatible sizes are compared.
+    A set-similarity join: tokens are put in order of rarity, and two similar sets share one of the first
+    n - ceil(threshold n) + 1 of each. Pairs meet on those tokens; their number and the last places bound
+    the overlap from above, and only pairs that can still reach the threshold are compared.
     """
     items = materialise(items.select("id", "tokens", F.size("tokens").alias("n")), "similar-items")
     held = items.select("id", "n", F.explode("tokens").alias("token"))
-    df = held.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ordered = held.join(df, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    lead = (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int")
-    prefix = materialise(ordered.select("id", "n", F.explode(F.slice("t", F.lit(1), lead)).alias("t")).filter("t.df > 1").select("id", "n", F.col("t.token").alias("token")), "similar-prefixes")
-    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "token"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "token")
-    found = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
+    df = held.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    shared = held.join(df, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    alone = F.col("n") - F.size("t")  # tokens that no other set has come first in the order
+    lead = (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int") - alone
+    rows = shared.filter(lead > 0).select("id", "n", alone.alias("alone"), F.posexplode(F.slice("t", F.lit(1), lead)).alias("k", "t"))
+    prefix = materialise(rows.select("id", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("t.token").alias("token")), "similar-prefixes")
+    side = lambda s: prefix.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("at").alias(f"at_{s}"), "token")
+    met = side("a").join(side("b"), "token").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
+    needed = F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
+    ahead = F.least(F.col("na") - F.col("at_a"), F.col("nb") - F.col("at_b"))  # of the shared token and those behind it
+    counts = met.filter(ahead >= needed - F.least("at_a", "at_b")).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+    found = counts.filter(F.col("c") - 1 + ahead >= needed).select("a", "b")
     x, y = items.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), items.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     scored = found.join(x, "a").join(y, "b").select("a", "b", tx.jaccard(F.col("ta"), F.col("tb")).alias("similarity"))
     return scored.filter((F.col("similarity") >= threshold) & (F.lit(equal) | (F.col("similarity") < 1)))
