@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import hashing
 from tracewell.functions import text as tx
-from tracewell.operators import bm25, consolidate, dml, fusion, graph, hops, patterns, predict, trace, vector
+from tracewell.operators import blocks, bm25, consolidate, dml, fusion, graph, hops, patterns, predict, trace, vector
 from tracewell.plans import router
 from tracewell.schema import TABLES, ensure_schema, entries
 
@@ -259,3 +259,14 @@ def test_plans():
     assert router.time_window("yesterday", NOW) == (NOW - day, NOW)
     assert router.time_window("in january", NOW) == (NOW, NOW + 31 * day)
     assert router.time_window("on 2024-02-30", NOW) is None
+
+
+def test_blocks_give_the_same_pairs(spark, monkeypatch):
+    items = spark.range(50).selectExpr("nullif(id, 7) as id", "id % 5 as a")
+    asked = spark.range(23).selectExpr("nullif(id, 3) as qid", "id % 5 as b")
+    where = F.col("a") == F.col("b")
+    whole = [sorted(map(str, blocks.against(items, asked, "id", "qid", w).collect())) for w in (None, where)]
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 4)
+    assert [sorted(map(str, blocks.against(items, asked, "id", "qid", w).collect())) for w in (None, where)] == whole
+    assert len(whole[0]) == 50 * 23
+    assert blocks.against(items, asked.limit(0), "id", "qid").count() == 0

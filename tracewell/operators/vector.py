@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.blocks import against
 from tracewell.operators.bm25 import top
 
 
@@ -21,10 +22,10 @@ def cosine(a: Column, b: Column) -> Column:
 def semantic(items: DataFrame, queries: DataFrame, limit: int, min_similarity: float | None = None) -> DataFrame:
     """(qid, id, similarity, rank) of the items (id, vector) nearest to each query (qid, query_vector).
 
-    Each query row meets every item, which is what exact search means; queries are few and are sent to
-    the items. The threshold applies after the cut to limit rows.
+    Each query row meets every item, which is what exact search means; a set too large
+    to be sent to the items is dealt in blocks. The threshold applies after the cut to limit rows.
     """
-    scored = items.crossJoin(F.broadcast(queries)).select("qid", "id", cosine(F.col("vector"), F.col("query_vector")).alias("similarity"))
+    scored = against(items, queries, "id", "qid").select("qid", "id", cosine(F.col("vector"), F.col("query_vector")).alias("similarity"))
     out = top(scored, limit, F.round("similarity", 9).desc(), "id")
     return out if min_similarity is None else out.filter(F.col("similarity") >= min_similarity)
 
@@ -32,5 +33,5 @@ def semantic(items: DataFrame, queries: DataFrame, limit: int, min_similarity: f
 def entity_boosted(items: DataFrame, queries: DataFrame, limit: int, boost: float = 0.5) -> DataFrame:
     """As semantic, over items (id, vector, entities) and queries (qid, query_vector, query_entities): similarity grows by boost for each shared entity."""
     shared = F.size(F.array_intersect("entities", "query_entities"))
-    scored = items.crossJoin(F.broadcast(queries)).select("qid", "id", (cosine(F.col("vector"), F.col("query_vector")) * (1 + boost * shared)).alias("similarity"))
+    scored = against(items, queries, "id", "qid").select("qid", "id", (cosine(F.col("vector"), F.col("query_vector")) * (1 + boost * shared)).alias("similarity"))
     return top(scored, limit, F.round("similarity", 9).desc(), "id")

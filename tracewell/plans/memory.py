@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators import bm25, consolidate, dml, fusion, graph, hops, patterns, predict, trace
+from tracewell.operators.blocks import against
 from tracewell.plans import router
 from tracewell.schema import entries
 
@@ -66,7 +67,7 @@ class Memory:
 
     def _anchors(self, queries: DataFrame, seeds: int, column: str) -> DataFrame:
         """Edges whose text contains the question, or else those that BM25 finds."""
-        rows = self.entries.join(F.broadcast(queries), F.contains(F.lower(F.col(column)), F.lower(F.col("query")))).select("qid", "id")
+        rows = against(self.entries, queries, "id", "qid", F.contains(F.lower(F.col(column)), F.lower(F.col("query")))).select("qid", "id")
         other = queries.join(rows.select("qid").distinct(), "qid", "left_anti")
         return rows.unionByName(bm25.bm25(self.entries.select("id", F.col(column).alias("text")), other, seeds).select("qid", F.col("id").cast("long").alias("id")))
 
