@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import hashing
 from tracewell.functions import text as tx
-from tracewell.operators import blocks, bm25, consolidate, dml, fusion, graph, hops, patterns, predict, trace, vector
+from tracewell.operators import blocks, bm25, consolidate, dml, fusion, graph, hops, ingest, patterns, predict, trace, vector
 from tracewell.plans import router
 from tracewell.schema import TABLES, ensure_schema, entries
+from tracewell.session import materialise
 
 NOW = 1_735_689_600
 
@@ -270,3 +271,34 @@ def test_blocks_give_the_same_pairs(spark, monkeypatch):
     assert [sorted(map(str, blocks.against(items, asked, "id", "qid", w).collect())) for w in (None, where)] == whole
     assert len(whole[0]) == 50 * 23
     assert blocks.against(items, asked.limit(0), "id", "qid").count() == 0
+
+
+def test_replies_are_parsed():
+    one = '{"type": "Lesson", "description": " a }", "date": "2025-02-30", "supersedes": "null"}'
+    want = {"kind": "lesson", "text": "a }", "date": "2025-03-01", "supersedes": None, "causal_relation": None, "decision": None}
+    for reply in (one, f"[{one}]", f'```json\n{{"items": [{one}]}}\n```', f'[{one}, {{"text": "cut', f"so: {one} and {{bad}}"):
+        assert ingest.parse_items(reply, "2025-03-01") == [want], reply
+    assert ingest.parse_items('[{"text": ""}, 3, {"text": "b", "causal_relation": "Enabled", "kind": "fact"}]')[0]["kind"] == "causal"
+    assert ingest.parse_items(None) == ingest.parse_items("no") == ingest.parse_items("3") == []
+
+
+def test_distilled_items(spark):
+    kinds = "id long, kind string, text string, date string, supersedes string, causal_relation string, decision string, task_tag string"
+    rows = [(10, "fact", "User likes green tea daily", "2025-01-01", None, None, None, "t"), (11, "fact", "User likes green tea daily", "2025-01-01", None, None, None, "t"), (12, "causal", "tests passed", "2025-01-02", None, "enabled", "ran the suite", None), (13, "event", "User switched drinks", "2025-01-03", "likes green tea", None, None, "t")]
+    chunks = spark.createDataFrame([], "id string, text string, created_at long, q_value double")
+    edges = ensure_schema(spark.createDataFrame([], "id long"), "causal_edges")
+    batch = spark.createDataFrame(rows, kinds)
+    for _ in range(2):  # a second time changes nothing
+        chunks, edges = (materialise(x, "t") for x in ingest.record_distilled(chunks, edges, batch, NOW))
+        texts = {r.id: r.text for r in chunks.collect()}
+        got = {r.id: (texts[r.from_id], texts[r.to_id], r.relation, r.confidence, r.valid_to, r.superseded_by) for r in edges.collect()}
+        tea, void, drinks = "[2025-01-01] User likes green tea daily", "[2025-01-03] Cancelled/superseded: [2025-01-01] User likes green tea daily", "[2025-01-03] User switched drinks"
+        assert got == {10: (tea, tea, "caused", 0.6, NOW, 13), 12: ("ran the suite", "[2025-01-02] tests passed", "enabled", 0.7, None, None), 13: (drinks, drinks, "caused", 0.6, None, None), -10: (void, void, "caused", 0.6, None, None)}
+        assert edges.count() == 4 and chunks.count() == len(texts)
+
+
+def test_raw_turns(spark):
+    turns = spark.createDataFrame([("s", 0, "ann", "hi"), ("s", 1, None, None), ("s", 1, None, None), ("r", 0, "b", "x")], "session string, place long, speaker string, text string")
+    chunks, edges = ingest.raw_turns(turns, NOW)
+    assert sorted((r.id, r.text) for r in chunks.collect()) == [("raw:r:0", "[r] b: x"), ("raw:s:0", "[s] ann: hi"), ("raw:s:1", "[s] : ")]
+    assert [(r.from_id, r.to_id, r.relation, r.confidence) for r in edges.collect()] == [("raw:s:0", "raw:s:1", "no_effect", 0.4)]

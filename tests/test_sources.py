@@ -2,6 +2,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from pyspark.sql import functions as F
+
+from tracewell.functions import calls
 from tracewell.plans.memory import Memory
 from tracewell.sources import jsonl, sessions
 from tracewell.streaming import ingest
@@ -15,18 +18,26 @@ def write(path, rows):
 def test_directory_session(spark, tmp_path):
     call = lambda i, name, args: {"id": i, "name": name, "arguments": args}
     write(tmp_path / "chat_history.jsonl", [{"type": "assistant", "content": "x" * 120, "tool_calls": [call("1", "write", '{"path": "a.py"}'), call("2", "read", "{}"), call("3", "read", "{}"), call("4", "write", "{}")]}, "not json", {"type": "tool_result", "tool_call_id": "1", "content": "ok"}, {"type": "tool_result", "tool_call_id": "2", "content": "fine"}, {"type": "tool_result", "tool_call_id": "3", "content": "error: No such file"}])
-    write(tmp_path / "events.jsonl", [{"type": "tool_completed", "tool_name": "write", "outcome": "denied"}])
-    got = {(r.tool, r.decision, r.outcome, r.failed) for r in sessions.extract(sessions.PARSERS["directory"](spark, f"file://{tmp_path}")).collect()}
-    assert got == {("write", "write: a.py", "ok", False), ("read", "read: {}", "error: No such file", True), ("write", "write: {}", "denied", True)}
+    write(tmp_path / "events.jsonl", [{"type": "tool_completed", "tool_name": "write", "outcome": "success", "ts": "2026-07-26T06:03:11.008Z"}])
+    got = {(r.tool, r.decision, r.outcome, r.failed, r.confidence, r.source, r.task_tag, r.at) for r in sessions.extract(sessions.PARSERS["directory"](spark, f"file://{tmp_path}")).collect()}
+    assert got == {("write", "write(a.py)", "ok", False, 0.4, "temporal", "code-edit", 1785045791), ("read", "read({})", "error: No such file", True, 0.65, "rule", "general", None)}
 
 
 def test_positional_and_call_sessions(spark, tmp_path):
     p = write(tmp_path / "p.jsonl", [{"type": "assistant", "toolCalls": [{"name": "write", "arguments": "1"}, {"name": "write", "arguments": "2"}]}, {"type": "toolResult", "content": "first"}, {"type": "toolResult", "content": "second"}])
-    assert sorted((r.decision, r.outcome) for r in sessions.extract(sessions.positional(spark, p)).collect()) == [("write: 1", "first"), ("write: 2", "second")]
+    assert sorted((r.decision, r.outcome) for r in sessions.extract(sessions.positional(spark, p)).collect()) == [("write(1)", "first"), ("write(2)", "second")]
     c = write(tmp_path / "c.jsonl", [{"type": "function_call", "call_id": "a", "name": "exec_command", "arguments": "{}"}, {"type": "function_call_output", "call_id": "a", "output": "exited with code 2"}])
     assert [r.failed for r in sessions.extract(sessions.calls(spark, c)).collect()] == [True]
 
 
+def test_call_rules(spark):
+    rows = [("write", '{"file_path": "src/main.rs", "a": 1}', "src/main.rs updated", "success"), ("exec", '{"b": [1], "a": null}', "fatal: x", None), ("Edit", "x" * 60, "conflict", None), ("search", "{}", None, None)]
+    df = spark.createDataFrame(rows, "t string, a string, r string, e string")
+    d = calls.decision(F.col("t"), F.col("a"))
+    got = [tuple(r) for r in df.select(d, calls.task_tag(F.col("t"), F.col("a")), calls.worthy(F.col("t"), F.col("r")), *calls.grade(d, F.col("r"), F.col("e"))).collect()]
+    assert got == [("write(src/main.rs)", "code-edit", True, 0.55, "llm_inferred"), ("exec(null)", "general", True, 0.65, "rule"), ("Edit(" + "x" * 50 + "...)", "code-edit", True, 0.65, "rule"), ("search({})", "search", False, 0.3, "temporal")]
+
+
 def tables(spark):
     chunks = spark.createDataFrame([("a", "deploy server sk-abcdefgh123", 1, 0.5), ("b", "build failed", 1, 0.5), ("c", "unused", 1, 0.5)], "id string, text string, created_at long, q_value double")
     edges = spark.createDataFrame([(1, "a", "b", "caused", 0.9, "agent", 5, None, "t", None)], "id long, from_id string, to_id string, relation string, confidence double, discovered_by string, event_time long, valid_to long, task_tag string, outcome_polarity string")

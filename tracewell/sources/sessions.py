@@ -1,8 +1,8 @@
 """Readers of agents' session logs: four JSONL layouts into one set of tables.
 
 Each reader gives Session(decisions, results, events, texts):
-decisions (session, line, call, tool, arguments), results (session, call, content),
-events (session, line, tool, outcome), texts (session, line, text) of assistants, 100 bytes or more.
+decisions (session, line, place, call, tool, arguments), results (session, line, call, content),
+events (session, line, tool, outcome, ts), texts (session, line, text) of assistants, 100 bytes or more.
 Lines that are no JSON are left out. A session is the file a line came from, or its folder.
 """
 
@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions import calls as calls_of
+
 
 @dataclass
 class Session:
@@ -44,11 +46,11 @@ def directory(spark: SparkSession, path: str) -> Session:
     folder = F.regexp_replace("session", "/[^/]*$", "")
     chat = _lines(spark, f"{path}/chat_history.jsonl", f"type string, content string, tool_calls {_CALLS}, tool_call_id string").withColumn("session", folder)
     events = _lines(spark, f"{path}/events.jsonl", "type string, tool_name string, outcome string, ts string").withColumn("session", folder)
-    calls = chat.filter("j.type = 'assistant'").select("session", "line", F.explode("j.tool_calls").alias("c"))
+    calls = chat.filter("j.type = 'assistant'").select("session", "line", F.posexplode("j.tool_calls").alias("place", "c"))
     return Session(
-        calls.select("session", "line", F.col("c.id").alias("call"), F.col("c.name").alias("tool"), F.col("c.arguments").alias("arguments")),
-        chat.filter("j.type = 'tool_result'").select("session", F.col("j.tool_call_id").alias("call"), F.col("j.content").alias("content")),
-        events.filter("j.type = 'tool_completed'").select("session", "line", F.col("j.tool_name").alias("tool"), F.col("j.outcome").alias("outcome")),
+        calls.select("session", "line", "place", F.col("c.id").alias("call"), F.col("c.name").alias("tool"), F.col("c.arguments").alias("arguments")),
+        chat.filter("j.type = 'tool_result'").select("session", "line", F.col("j.tool_call_id").alias("call"), F.col("j.content").alias("content")),
+        events.filter("j.type = 'tool_completed'").select("session", "line", F.col("j.tool_name").alias("tool"), F.col("j.outcome").alias("outcome"), F.col("j.ts").alias("ts")),
         _texts(chat.filter("j.type = 'assistant'"), F.col("j.content")),
     )
 
@@ -58,11 +60,11 @@ _BLOCKS = "array<struct<type: string, id: string, name: string, input: string, t
 
 def blocks(spark: SparkSession, path: str) -> Session:
     """One file with messages of nested blocks: tool_use, tool_result, text."""
-    rows = _lines(spark, path, f"type string, message struct<content: {_BLOCKS}>").select("session", "line", F.explode("j.message.content").alias("b"))
+    rows = _lines(spark, path, f"type string, message struct<content: {_BLOCKS}>").select("session", "line", F.posexplode("j.message.content").alias("place", "b"))
     return Session(
-        rows.filter("b.type = 'tool_use'").select("session", "line", F.col("b.id").alias("call"), F.col("b.name").alias("tool"), F.col("b.input").alias("arguments")),
-        rows.filter("b.type = 'tool_result'").select("session", F.col("b.tool_use_id").alias("call"), F.col("b.content").alias("content")),
-        _nothing(spark, "session string, line long, tool string, outcome string"),
+        rows.filter("b.type = 'tool_use'").select("session", "line", "place", F.col("b.id").alias("call"), F.col("b.name").alias("tool"), F.col("b.input").alias("arguments")),
+        rows.filter("b.type = 'tool_result'").select("session", "line", F.col("b.tool_use_id").alias("call"), F.col("b.content").alias("content")),
+        _nothing(spark, "session string, line long, tool string, outcome string, ts string"),
         _texts(rows.filter("b.type = 'text'"), F.col("b.text")),
     )
 
@@ -76,9 +78,9 @@ def positional(spark: SparkSession, path: str) -> Session:
     key = lambda turn, k: F.concat_ws(":", turn, k)
     answers = rows.filter("j.type = 'toolResult'").withColumn("k", F.row_number().over(Window.partitionBy("session", "turn").orderBy("line")) - 1)
     return Session(
-        calls.select("session", "line", key(F.col("line"), F.col("k")).alias("call"), F.col("c.name").alias("tool"), F.col("c.arguments").alias("arguments")),
-        answers.select("session", key(F.col("turn"), F.col("k")).alias("call"), F.col("j.content").alias("content")),
-        _nothing(spark, "session string, line long, tool string, outcome string"),
+        calls.select("session", "line", F.col("k").alias("place"), key(F.col("line"), F.col("k")).alias("call"), F.col("c.name").alias("tool"), F.col("c.arguments").alias("arguments")),
+        answers.select("session", "line", key(F.col("turn"), F.col("k")).alias("call"), F.col("j.content").alias("content")),
+        _nothing(spark, "session string, line long, tool string, outcome string, ts string"),
         _texts(rows.filter("j.type = 'assistant'"), F.col("j.content")),
     )
 
@@ -88,9 +90,9 @@ def calls(spark: SparkSession, path: str) -> Session:
     rows = _lines(spark, path, "type string, call_id string, name string, arguments string, output string, text string")
     code = F.regexp_extract("j.output", r"exited with code (\d+)", 1)
     return Session(
-        rows.filter("j.type = 'function_call'").select("session", "line", F.col("j.call_id").alias("call"), F.col("j.name").alias("tool"), F.col("j.arguments").alias("arguments")),
-        rows.filter("j.type = 'function_call_output'").select("session", F.col("j.call_id").alias("call"), F.when((code != "") & (code != "0"), F.concat(F.lit("failed: "), "j.output")).otherwise(F.col("j.output")).alias("content")),
-        _nothing(spark, "session string, line long, tool string, outcome string"),
+        rows.filter("j.type = 'function_call'").select("session", "line", F.lit(0).alias("place"), F.col("j.call_id").alias("call"), F.col("j.name").alias("tool"), F.col("j.arguments").alias("arguments")),
+        rows.filter("j.type = 'function_call_output'").select("session", "line", F.col("j.call_id").alias("call"), F.when((code != "") & (code != "0"), F.concat(F.lit("Process exited with non-zero: "), "j.output")).otherwise(F.col("j.output")).alias("content")),
+        _nothing(spark, "session string, line long, tool string, outcome string, ts string"),
         _texts(rows.filter("j.type = 'message'"), F.col("j.text")),
     )
 
@@ -98,30 +100,21 @@ def calls(spark: SparkSession, path: str) -> Session:
 #: Readers by the names that callers use.
 PARSERS = {"directory": directory, "blocks": blocks, "positional": positional, "calls": calls}
 
-# Tools whose calls are decisions, and marks of a failed result.
-STATE_CHANGING = ["write", "search_replace", "image_gen", "image_edit", "spawn_subagent", "scheduler_create", "scheduler_delete", "Write", "Edit", "NotebookEdit"]
-READ_ONLY = ["run_terminal_command", "Bash", "exec", "exec_command", "read", "Read", "WebSearch", "WebFetch", "update_goal", "update_plan", "kill_command_or_subagent", "list_dir", "List", "search_tool", "use_tool"]
-FAILURES = ["error", "Error", "ERROR", "failed", "Failed", "FAILED", "panic", "Panic", "traceback", "Traceback", "exception", "Exception", "denied", "not found", "No such file", "fatal", "FATAL", "exit: 1", "exit code: 1", "exit code 1", "cannot find", "cannot resolve", "unresolved", "timeout", "timed out", "conflict", "CONFLICT"]
-
-
-def clear_failure(content: Column) -> Column:
-    """A mark of failure in the first 200 characters or 5 lines."""
-    head = F.substring_index(F.substring(content, 1, 200), "\n", 5)
-    return F.coalesce(F.regexp_like(head, F.lit("|".join(FAILURES))), F.lit(False))
-
 
 def extract(session: Session) -> DataFrame:
-    """(session, line, tool, decision, outcome, failed): decisions worth keeping with what came of them.
+    """(session, line, tool, decision, outcome, failed, relation, confidence, source, task_tag, at): calls worth keeping with what came of them.
 
-    Calls that change state always count, those that read only where they clearly failed, others never.
-    The k-th event of a tool is the outcome of its k-th call that has no result.
+    Calls that change state always count, those that read only where they clearly failed, others never, and
+    none without a result; of several results of a call the last counts. The k-th event of a tool belongs to
+    its k-th call kept; its time is the edge's (else null, for the caller to fill).
     """
-    joined = session.decisions.join(session.results.groupBy("session", "call").agg(F.first("content").alias("content")), ["session", "call"], "left")
-    w = Window.partitionBy("session", "tool").orderBy("line")
-    open_calls = joined.filter("content is null").withColumn("k", F.row_number().over(w))
-    queue = session.events.withColumn("k", F.row_number().over(w)).select("session", "tool", "k", "outcome")
-    rows = joined.filter("content is not null").drop("k").unionByName(open_calls.join(queue, ["session", "tool", "k"], "left").withColumn("content", F.col("outcome")).drop("k", "outcome"))
-    failed = clear_failure(F.col("content"))
-    keep = F.col("tool").isin(STATE_CHANGING) | (F.col("tool").isin(READ_ONLY) & failed)
-    decision = F.concat(F.col("tool"), F.lit(": "), F.substring(F.coalesce(F.get_json_object("arguments", "$.command"), F.get_json_object("arguments", "$.path"), F.get_json_object("arguments", "$.file_path"), F.col("arguments")), 1, 50))
-    return rows.filter(keep).select("session", "line", "tool", decision.alias("decision"), F.coalesce("content", F.lit("no result")).alias("outcome"), failed.alias("failed"))
+    last = session.results.groupBy("session", "call").agg(F.max_by("content", "line").alias("content"))
+    rows = session.decisions.join(last, ["session", "call"]).filter(calls_of.worthy(F.col("tool"), F.col("content")))
+    kth = lambda *order: F.row_number().over(Window.partitionBy("session", "tool").orderBy(*order))
+    queue = session.events.select("session", "tool", kth("line").alias("k"), F.col("outcome").alias("event"), "ts")
+    rows = rows.withColumn("k", kth("line", "place", "call")).join(queue, ["session", "tool", "k"], "left")
+    rows = rows.withColumn("decision", calls_of.decision(F.col("tool"), F.col("arguments")))
+    confidence, source = calls_of.grade(F.col("decision"), F.col("content"), F.col("event"))
+    failed = calls_of.clear_failure(F.col("content")) | calls_of.has_any(F.col("content"), calls_of.FAILURES) | F.coalesce(F.col("event").isin(calls_of.FAILED_EVENTS), F.lit(False))
+    return rows.select("session", "line", "tool", "decision", F.substring("content", 1, 200).alias("outcome"), failed.alias("failed"), F.lit("caused").alias("relation"), confidence.alias("confidence"), source.alias("source"),
+                       calls_of.task_tag(F.col("tool"), F.col("arguments")).alias("task_tag"), F.unix_timestamp(F.try_to_timestamp("ts")).alias("at"))
