@@ -302,3 +302,15 @@ def test_raw_turns(spark):
     chunks, edges = ingest.raw_turns(turns, NOW)
     assert sorted((r.id, r.text) for r in chunks.collect()) == [("raw:r:0", "[r] b: x"), ("raw:s:0", "[s] ann: hi"), ("raw:s:1", "[s] : ")]
     assert [(r.from_id, r.to_id, r.relation, r.confidence) for r in edges.collect()] == [("raw:s:0", "raw:s:1", "no_effect", 0.4)]
+
+
+def test_session_expansion(spark):
+    chunks = spark.createDataFrame([(f"c{c}::s0::{t}", f"apple {c}" if t == 10 else "pear") for c in (1, 2, 3) for t in (0, 2, 10)] + [("odd", "apple"), ("q::session_expansion::1", "apple")], "id string, text string")
+    hits = spark.createDataFrame([(0, i) for i in ("c1::s0::10", "c2::s0::0", "c2::s0::2", "q::session_expansion::1", "gone::s0::1")] + [(1, "c2::s0::0"), (1, "c2::s0::2"), (1, "c1::s0::0")], "qid long, id string")
+    asked = spark.createDataFrame([(0, "apple 1 fig"), (1, "the")], "qid long, query string")
+    def got(slots):
+        rows = fusion.expand_sessions(hits, chunks, asked, slots).orderBy("qid", "rank").collect()
+        return [[r.id.replace("::s0", "") for r in rows if r.qid == q] for q in (0, 1)]
+    assert got(2) == [["c1::0", "c2::0"], ["c2::0", "c2::2"]]
+    assert got(5) == [["c1::0", "c1::2", "c2::0", "c2::2", "c1::10"], ["c2::0", "c2::2", "c2::10", "c1::0", "c1::2"]]
+    assert [len(x) for x in got(50)] == [6, 6]

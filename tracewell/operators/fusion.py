@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions import text as tx
+
 #: Fixed value: what reciprocal rank fusion adds to ranks.
 RRF_K = 60
 #: Tokens that a line of each level of detail costs.
@@ -63,3 +65,37 @@ def session_budget(hits: DataFrame, slots: int) -> DataFrame:
     left = F.lit(slots) - F.sum("slots").over(w)
     place = F.row_number().over(w.orderBy(F.col("weight").desc(), "session"))
     return given.withColumn("slots", F.col("slots") + F.when(place <= left, 1).otherwise(0))
+
+
+def expand_sessions(hits: DataFrame, chunks: DataFrame, queries: DataFrame, slots: int) -> DataFrame:
+    """(qid, id, session, rank): the turns of the sessions that a query's hits (qid, id) lie in, slots of them a query.
+
+    A session is the first two parts of a chunk's id; ids of earlier expansions do not count. Sessions rank by
+    hits times distinct query tokens in the hit turns (one at least), then by name, and get slots in proportion,
+    one at least, for their first turns; slots left over go to further turns of the first sessions. A query
+    without tokens fills sessions in order of their hits. Queries: (qid, query).
+    """
+    parts = F.split("id", "::")
+    number = F.expr("try_cast(element_at(split(id, '::'), -1) as bigint)")
+    turns = chunks.filter(F.size(parts) >= 2).withColumn("session", F.array_join(F.slice(parts, 1, 2), "::"))
+    asked = queries.select("qid", F.array_distinct(tx.tokens(F.col("query"))).alias("asked"))
+    texts = turns.select("id", "session", tx.tokens(F.col("text")).alias("tokens"))
+    found = hits.select("qid", "id").filter(~F.contains("id", F.lit("::session_expansion"))).join(texts, "id").join(asked, "qid")
+    by_session = found.groupBy("qid", "session").agg(F.count(F.lit(1)).alias("hits"))
+    covered = found.select("qid", "session", F.explode(F.array_intersect("tokens", "asked")).alias("token")).groupBy("qid", "session").agg(F.count_distinct("token").alias("covered"))
+    weight = F.col("hits") * F.greatest(F.coalesce("covered", F.lit(0)), F.lit(1))
+    ranked = by_session.join(covered, ["qid", "session"], "left").join(asked.select("qid", (F.size("asked") > 0).alias("_any")), "qid").withColumn("weight", weight)
+
+    w = Window.partitionBy("qid")
+    upto = w.orderBy(F.col("weight").desc(), "session").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = F.when(F.col("_any"), F.greatest(F.lit(1), F.floor(slots * F.col("weight") / F.sum("weight").over(w)))).otherwise(0)
+    sizes = turns.join(ranked.select("session").distinct(), "session", "left_semi").groupBy("session").agg(F.count(F.lit(1)).alias("size"))
+    plan = ranked.join(sizes, "session").withColumn("place", F.row_number().over(w.orderBy(F.col("weight").desc(), "session"))).withColumn("take", F.least(wanted, "size").cast("long"))
+    within = lambda c, most: F.least(most, F.sum(c).over(upto)) - F.least(most, F.sum(c).over(upto) - F.col(c))
+    plan = plan.withColumn("first", within("take", F.lit(slots).cast("long"))).withColumn("more", F.col("size") - F.col("first"))
+    plan = plan.withColumn("left", F.lit(slots) - F.sum("first").over(w)).withColumn("extra", within("more", F.col("left"))).select("qid", "session", "place", "first", "extra").filter("first + extra > 0")
+
+    order = F.row_number().over(Window.partitionBy("session").orderBy(F.col("number").asc_nulls_last(), "id"))
+    placed = turns.select("id", "session", number.alias("number")).join(plan.select("session").distinct(), "session", "left_semi").withColumn("n", order)
+    rows = plan.join(placed, "session").filter("n <= first + extra")
+    return rows.select("qid", "id", "session", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("n") > F.col("first"), "place", "n")).cast("long").alias("rank"))
