@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewell import fixtures as fx
 from tracewell.fixtures import NOW, with_sql
+from tracewell.functions import calls
 from tracewell.functions import text as tx
 from tracewell.operators import bm25, consolidate, fusion, graph, hops, patterns, predict, trace, vector
 from tracewell.plans import router
@@ -853,3 +854,95 @@ def supersede_hints(spark, d):
 @query()
 def consolidate_report(spark, d):
     return consolidate.consolidate(fx.edges(spark, d), fx.chunks(spark, d), NOW)[1]
+
+
+# ---- Ingest
+
+
+@query("""WITH c AS (SELECT conv_id, turn, min('[' || conv_id || '] ' || coalesce(role, '') || ': ' || coalesce(text, '')) AS text FROM conversations GROUP BY ALL)
+SELECT 'raw:' || conv_id || ':' || turn AS id, text, CASE WHEN turn > 0 THEN 'raw:' || conv_id || ':' || (turn - 1) END AS from_id FROM c""")
+def raw_turns(spark, d):
+    from tracewell.operators import ingest
+
+    turns = fx.table(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("place"), F.col("role").alias("speaker"), "text")
+    chunks, edges = ingest.raw_turns(turns, NOW)
+    return chunks.select("id", "text").join(edges.select(F.col("to_id").alias("id"), "from_id"), "id", "left")
+
+
+def _any_sql(text: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in (x.replace("'", "''") for x in words)) + ")"
+
+
+def _grade_sql(i: int) -> str:
+    value = lambda v: f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE"
+    holds = {"failure, related": "bad AND related", "failure": "bad", "success, related": "good AND related", "success": "good", "related": "related"}
+    return "CASE " + " ".join(f"WHEN {h} THEN {value(calls.GRADES[k][i])}" for k, h in holds.items()) + f" ELSE {value(calls.GRADES['none'][i])} END"
+
+
+_TOOL = "CASE event_id % 4 WHEN 0 THEN 'write' WHEN 1 THEN 'exec' WHEN 2 THEN 'search_replace' ELSE 'spawn_subagent' END"
+_ARGUMENTS = """CASE event_id % 3 WHEN 0 THEN concat('{"file_path": "src/file', event_id % 7, '.rs"}') WHEN 1 THEN '{"zeta": "run tests", "alpha": "cargo build"}' ELSE concat('git push origin ', event_id) END"""
+_RESULT = "CASE event_id % 5 WHEN 0 THEN 'src/file1.rs updated' WHEN 1 THEN 'error: no' WHEN 2 THEN 'file written' WHEN 3 THEN 'done' ELSE 'exit: 1' END"
+_OUTCOME = "CASE event_type WHEN 'error' THEN 'timeout' WHEN 'purchase' THEN 'success' END"
+
+
+@query(f"""WITH e AS (SELECT event_id AS id, {_TOOL} AS tool, {_ARGUMENTS} AS args, {_RESULT} AS result, {_OUTCOME} AS event,
+    CASE event_id % 3 WHEN 0 THEN concat('src/file', event_id % 7, '.rs') WHEN 1 THEN 'cargo build' ELSE concat('git push origin ', event_id) END AS said FROM events),
+g AS (SELECT *, tool || '(' || said || ')' AS decision, lower(tool || ' ' || args) AS low, coalesce(event = 'timeout', false) OR {_any_sql('result', calls.FAILURES)} AS bad, coalesce(event = 'success', false) AS good,
+    len(list_filter(regexp_split_to_array(lower(said), '[^a-z0-9_.-]+'), lambda t: length(t) >= 4 AND contains(lower(result), t))) > 0 OR {" OR ".join(f"(contains(lower(tool || said), '{a}') AND {_any_sql('lower(result)', w)})" for a, w in calls.ACTION_WORDS.items())} AS related FROM e)
+SELECT id, decision, CASE {" ".join(f"WHEN {_any_sql('low', w)} THEN '{t}'" for t, w in calls.TASKS.items())} ELSE 'general' END AS task_tag, CASE WHEN {_any_sql('tool', calls.READ_ONLY)} THEN {_any_sql('result', calls.CLEAR_FAILURES)} ELSE {_any_sql('tool', calls.STATE_CHANGING)} END AS worthy,
+    {_grade_sql(0)} AS confidence, {_grade_sql(1)} AS source FROM g""")
+def call_rules(spark, d):
+    tool, arguments, result, event = (F.expr(x) for x in (_TOOL, _ARGUMENTS, _RESULT, _OUTCOME))
+    decision = calls.decision(tool, arguments)
+    confidence, source = calls.grade(decision, result, event)
+    return fx.table(spark, d, "events").select(F.col("event_id").alias("id"), decision.alias("decision"), calls.task_tag(tool, arguments).alias("task_tag"), calls.worthy(tool, result).alias("worthy"), confidence.alias("confidence"), source.alias("source"))
+
+
+@query(with_sql("chunks edges", f"""SELECT e.id FROM edges e JOIN chunks f ON f.id = e.from_id JOIN chunks t ON t.id = e.to_id
+WHERE e.valid_to IS NULL AND f.text IN (SELECT role || ': ' || text FROM conversations WHERE turn % 2 = 0) AND {effective_sql('e.outcome_polarity', 't.text')} = false"""))
+def contradictions(spark, d):
+    """Failures that a batch of successes with the same decisions retires."""
+    from tracewell.operators import dml
+
+    c = fx.table(spark, d, "conversations").filter("turn % 2 = 0")
+    batch = c.select((F.lit(10**12) + F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat("role", F.lit(": "), "text").alias("decision"), F.lit("tests passed").alias("outcome"), F.lit("enabled").alias("relation"), F.lit(0.7).alias("confidence"),
+                     F.lit(NOW).cast("long").alias("event_time"), F.lit("t").alias("task_tag"), F.lit(None).cast("string").alias("outcome_polarity"))
+    _, edges = dml.record_decisions(fx.chunks(spark, d), fx.edges(spark, d), batch, NOW + 1)
+    return edges.filter(F.col("valid_to") == NOW + 1).select("id")
+
+
+@query(f"SELECT i.vec_id AS old, q.vec_id AS new FROM embeddings i, embeddings q WHERE i.vec_id % 3 = 0 AND q.vec_id % 10 = 1 AND i.vec_id % 7 <> q.vec_id % 7 AND {_COS} >= 0.85")
+def semantic_contradictions(spark, d):
+    from tracewell.operators import dml
+
+    said = F.concat(F.lit("d"), F.col("id") % 7).alias("decision")
+    items = _vectors(spark, d)[0].drop("label")
+    failed = items.select("id", said, F.lit("").alias("outcome"), F.when(F.col("id") % 3 == 0, "negative").otherwise("positive").alias("outcome_polarity"))
+    return dml.semantic_contradictions(failed, items, items.filter("id % 10 = 1").select("id", said, F.lit(True).alias("polarity"), "vector"))
+
+
+@query(f"""SELECT id, prior, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(s, 9) DESC, prior) AS n FROM
+(SELECT q.vec_id AS id, i.vec_id AS prior, {_COS} AS s FROM embeddings i, embeddings q WHERE q.vec_id % 10 = 1 AND i.vec_id % 10 <> 1)) WHERE n = 1 AND s >= 0.5""")
+def recurrent_sessions(spark, d):
+    from tracewell.operators import dml
+
+    items = _vectors(spark, d)[0].drop("label")
+    return dml.recurrent(items.filter("id % 10 = 1"), items.filter("id % 10 <> 1"), 0.5).select("id", "prior", _r("similarity").alias("similarity"))
+
+
+@query(with_sql("chunks", f""", asked AS (SELECT item_id AS qid, list_distinct({tokens_sql('text')}) AS asked FROM benchmark),
+turns AS (SELECT id, array_to_string(string_split(id, '::')[1:2], '::') AS session, TRY_CAST(string_split(id, '::')[3] AS BIGINT) AS number, {tokens_sql('text')} AS tokens FROM chunks),
+found AS (SELECT qid, session, list_intersect(list_distinct(tokens), asked) AS hit FROM asked JOIN turns ON TRY_CAST(substr(session, 2, length(session) - 5) AS BIGINT) % 40 = qid % 40 AND number % 2 = 0),
+ranked AS (SELECT qid, session, count(*) * greatest(1, len(list_distinct(flatten(list(hit))))) AS weight FROM found GROUP BY ALL),
+sized AS (SELECT *, row_number() OVER w AS place, sum(weight) OVER (PARTITION BY qid) AS total FROM ranked JOIN (SELECT session, count(*) AS size FROM turns GROUP BY ALL) USING (session) WINDOW w AS (PARTITION BY qid ORDER BY weight DESC, session)),
+taken AS (SELECT *, least(CASE WHEN len(asked) > 0 THEN greatest(1, floor(12 * weight / total)) ELSE 0 END, size)::BIGINT AS take FROM sized JOIN asked USING (qid)),
+cut AS (SELECT *, least(12, sum(take) OVER w) - least(12, sum(take) OVER w - take) AS one FROM taken WINDOW w AS (PARTITION BY qid ORDER BY place ROWS UNBOUNDED PRECEDING)),
+rest AS (SELECT *, 12 - sum(one) OVER (PARTITION BY qid) AS free, sum(size - one) OVER (PARTITION BY qid ORDER BY place ROWS UNBOUNDED PRECEDING) AS upto FROM cut),
+plan AS (SELECT *, least(free, upto) - least(free, upto - (size - one)) AS two FROM rest),
+placed AS (SELECT id, session, row_number() OVER (PARTITION BY session ORDER BY number NULLS LAST, id) AS n FROM turns)
+SELECT qid, id, session, row_number() OVER (PARTITION BY qid ORDER BY n > one, place, n) AS rank FROM plan JOIN placed USING (session) WHERE n <= one + two"""))
+def session_expand(spark, d):
+    chunks, asked = fx.chunks(spark, d), _questions(spark, d)
+    named = chunks.select("id", (F.expr("cast(substr(split(id, '::')[0], 2) as bigint)") % 40).alias("k"), F.expr("cast(split(id, '::')[2] as bigint)").alias("n"))
+    hits = named.filter("n % 2 = 0").join(asked.select("qid", (F.col("qid") % 40).alias("k")), "k").select("qid", "id")
+    return fusion.expand_sessions(hits, chunks, asked, 12).select("qid", "id", "session", "rank")

@@ -136,5 +136,5 @@ def add_access(edges: DataFrame, log: DataFrame) -> DataFrame:
 def recurrent(queries: DataFrame, prior: DataFrame, threshold: float) -> DataFrame:
     """(id, prior, similarity): sessions (id, vector) with an earlier one at least so similar: the nearest of prior (id, vector)."""
     rows = against(prior.select(F.col("id").alias("prior"), F.col("vector").alias("_v")), queries, "prior", "id").withColumn("similarity", cosine(F.col("_v"), F.col("vector")))
-    best = rows.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.col("similarity").desc(), "prior"))).filter("_n = 1")
+    best = rows.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.round("similarity", 9).desc(), "prior"))).filter("_n = 1")
     return best.filter(F.col("similarity") >= threshold).select("id", "prior", "similarity")
