@@ -911,14 +911,14 @@ def contradictions(spark, d):
     return edges.filter(F.col("valid_to") == NOW + 1).select("id")
 
 
-@query(f"SELECT i.vec_id AS old, q.vec_id AS new FROM embeddings i, embeddings q WHERE i.vec_id % 3 = 0 AND q.vec_id % 10 = 1 AND i.vec_id % 7 <> q.vec_id % 7 AND {_COS} >= 0.85")
+@query(f"SELECT i.vec_id AS old, q.vec_id + 1000000 AS new FROM embeddings i, embeddings q WHERE i.vec_id % 3 = 0 AND q.vec_id % 10 = 1 AND i.vec_id % 7 <> q.vec_id % 14 AND {_COS} >= 0.85")
 def semantic_contradictions(spark, d):
     from tracewell.operators import dml
 
-    said = F.concat(F.lit("d"), F.col("id") % 7).alias("decision")
+    said = lambda kinds: F.concat(F.lit("d"), F.col("id") % kinds).alias("decision")
     items = _vectors(spark, d)[0].drop("label")
-    failed = items.select("id", said, F.lit("").alias("outcome"), F.when(F.col("id") % 3 == 0, "negative").otherwise("positive").alias("outcome_polarity"))
-    return dml.semantic_contradictions(failed, items, items.filter("id % 10 = 1").select("id", said, F.lit(True).alias("polarity"), "vector"))
+    failed = items.select("id", said(7), F.lit("").alias("outcome"), F.when(F.col("id") % 3 == 0, "negative").otherwise("positive").alias("outcome_polarity"))
+    return dml.semantic_contradictions(failed, items, items.filter("id % 10 = 1").select((F.col("id") + 1_000_000).alias("id"), said(14), F.lit(True).alias("polarity"), "vector"))
 
 
 @query(f"""SELECT id, prior, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(s, 9) DESC, prior) AS n FROM
