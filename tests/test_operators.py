@@ -314,3 +314,11 @@ def test_session_expansion(spark):
     assert got(2) == [["c1::0", "c2::0"], ["c2::0", "c2::2"]]
     assert got(5) == [["c1::0", "c1::2", "c2::0", "c2::2", "c1::10"], ["c2::0", "c2::2", "c2::10", "c1::0", "c1::2"]]
     assert [len(x) for x in got(50)] == [6, 6]
+
+
+def test_link_audit(spark):
+    facts = spark.createDataFrame([(1, "drink", "green tea daily", None), (2, "x", "unrelated", None), (3, "drink", "green tea daily", 5)], "id long, key string, value string, valid_to long")
+    chunks = spark.createDataFrame([(1, "green tea drink"), (2, "daily green tea"), (3, "other")], "id long, text string")
+    assert graph.link_audit(facts, chunks).first().asDict() == {"facts": 2, "linked": 1, "links": 2, "most_links": 2, "components": 3, "largest": 3, "isolated": 2}
+    none = graph.link_audit(facts, chunks, df_limit=1).first()
+    assert (none.linked, none.links, none.components, none.isolated) == (0, 0, 5, 5)

@@ -946,3 +946,16 @@ def session_expand(spark, d):
     named = chunks.select("id", (F.expr("cast(substr(split(id, '::')[0], 2) as bigint)") % 40).alias("k"), F.expr("cast(split(id, '::')[2] as bigint)").alias("n"))
     hits = named.filter("n % 2 = 0").join(asked.select("qid", (F.col("qid") % 40).alias("k")), "k").select("qid", "id")
     return fusion.expand_sessions(hits, chunks, asked, 12).select("qid", "id", "session", "rank")
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT item_id AS fact_id, unnest(list_distinct({tokens_sql("'item ' || text")})) AS token FROM benchmark), c AS (SELECT doc_id AS chunk_id, unnest(list_distinct({tokens_sql('text')})) AS token FROM documents),
+rare AS (SELECT token FROM c GROUP BY token HAVING count(*) <= 20), p AS (SELECT fact_id, chunk_id, count(*) AS shared FROM f JOIN rare USING (token) JOIN c USING (token) GROUP BY ALL HAVING count(*) >= 3),
+l AS MATERIALIZED (SELECT 'f:' || fact_id AS a, 'c:' || chunk_id AS b FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY shared DESC, chunk_id) AS n FROM p) WHERE n <= 8),
+both_ways AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l), nodes AS (SELECT 'f:' || item_id AS node FROM benchmark UNION SELECT 'c:' || doc_id FROM documents),
+reach AS (SELECT node, node AS seen FROM nodes UNION SELECT r.node, w.b FROM reach r JOIN both_ways w ON w.a = r.seen),
+sizes AS (SELECT component, count(*) AS n FROM (SELECT node, min(seen) AS component FROM reach GROUP BY node) GROUP BY component), counts AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT (SELECT count(DISTINCT item_id) FROM benchmark) AS facts, (SELECT count(*) FROM counts) AS linked, (SELECT coalesce(sum(n), 0)::BIGINT FROM counts) AS links, (SELECT coalesce(max(n), 0) FROM counts) AS most_links,
+    (SELECT count(*) FROM sizes) AS components, (SELECT max(n) FROM sizes) AS largest, (SELECT count(*) FROM sizes WHERE n = 1) AS isolated""")
+def fact_link_audit(spark, d):
+    facts = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("item").alias("key"), F.col("text").alias("value"), F.lit(None).cast("long").alias("valid_to"))
+    return graph.link_audit(facts, fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))

@@ -76,6 +76,20 @@ def entity_links(facts: DataFrame, chunks: DataFrame, min_tokens: int = 3, df_li
     return ranked.withColumn("weight", F.least(F.lit(0.8), 0.3 + 0.1 * F.col("shared")))
 
 
+def link_audit(facts: DataFrame, chunks: DataFrame, min_tokens: int = 3, df_limit: int = 20, most: int = 8) -> DataFrame:
+    """One row: valid facts, those linked, links, most links of a fact, and components, largest and isolated of facts and chunks under these limits.
+
+    Facts and chunks are different nodes even where their ids are equal.
+    """
+    links = materialise(entity_links(facts, chunks, min_tokens, df_limit, most), "link-audit")
+    fact, chunk = (lambda c: F.concat(F.lit("f:"), c.cast("string"))), (lambda c: F.concat(F.lit("c:"), c.cast("string")))
+    live = facts.filter("valid_to is null").select("id").distinct()
+    nodes = live.select(fact(F.col("id")).alias("node")).unionByName(chunks.select(chunk(F.col("id")).alias("node")).distinct())
+    edges = links.select(fact(F.col("fact_id")).alias("from_id"), chunk(F.col("chunk_id")).alias("to_id"), F.lit(None).cast("long").alias("valid_to"))
+    counts = links.groupBy("fact_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("linked"), F.coalesce(F.sum("n"), F.lit(0)).alias("links"), F.coalesce(F.max("n"), F.lit(0)).alias("most_links"))
+    return live.agg(F.count(F.lit(1)).alias("facts")).crossJoin(counts).crossJoin(component_stats(nodes, edges).drop("valid_edges"))
+
+
 def hebbian(cooccurrence: DataFrame, decay: float = 0.995, rate: float = 0.02) -> DataFrame:
     """Weights after one step: (1 - decay) w + rate where both ends were active (column active), at most WEIGHT_CAP."""
     return cooccurrence.withColumn("weight", F.least(F.lit(WEIGHT_CAP), (1 - decay) * F.col("weight") + F.when(F.col("active"), F.lit(rate)).otherwise(F.lit(0.0))))
