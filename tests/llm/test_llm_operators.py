@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -100,6 +101,16 @@ def test_random_strings_and_exclusions(spark):
     assert not any(k == "access" for k, _, _ in got[5]) and ("access", 0, 20) in got[6]
 
 
+def test_random_letters_and_base32_are_found(spark):
+    rng = random.Random(3)
+    alphabets = [string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters, string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits]
+    texts = ["".join(rng.choices(a, k=n)) for a in alphabets for n in (24, 32, 64) for _ in range(20)]
+    names = ["MAX_RETRY_COUNT_EXCEEDED", "getElementsByClassNameNS", "sha256_update_block_x86_64", "Donaudampfschifffahrtsgesellschaft", "2024-01-02-03-04-05-06", "-" * 40]
+    got = [[(s.kind, s.start, s.end) for s in r.spans] for r in secrets_scan.find_secrets(table(spark, list(enumerate(texts + names))), VOCABULARY).orderBy("doc_id").collect()]
+    assert sum(("random", 0, len(t)) in g for t, g in zip(texts, got)) >= 0.99 * len(texts)
+    assert not any(got[len(texts) :])
+
+
 # ---- Exact deduplication
 
 

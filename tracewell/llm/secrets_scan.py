@@ -26,7 +26,11 @@ RANDOM_MIN, RANDOM_RATIO = 20, 2.2
 _DIGESTS = {32, 40, 56, 64, 96, 128}
 _HEXADECIMAL = re.compile(rb"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-_NAME = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8}|[-_/=+]+")
+_LETTER = re.compile(rb"[A-Za-z]")
+#: Words, short numbers, and parts of the alphabet, which are no words and not random either.
+_ALPHABET = rb"(?:" + rb"|".join(bytes(range(i, 123))[:n] for i in range(97, 120) for n in range(123 - i, 3, -1)) + rb")"
+_PIECE = re.compile(rb"(?i:" + _ALPHABET + rb")|[A-Z]?[a-z]+?(?=" + _ALPHABET + rb"|[^a-z]|$)|[A-Z]+|[0-9]{1,4}")
+_IN_ORDER = re.compile(_ALPHABET)
 
 _IS_HEX = np.zeros(256, bool)
 _IS_HEX[list(b"0123456789abcdef")] = True
@@ -59,14 +63,12 @@ def _places(text: bytes, word: bytes) -> list[int]:
     return out
 
 
-def is_known(run: bytes) -> bool:
-    """Digests of the usual lengths, UUIDs, and identifiers: without both a letter and a digit, or of plain words and short numbers."""
-    if not (re.search(rb"[A-Za-z]", run) and re.search(rb"[0-9]", run)):
+def is_known(run: bytes, tokens_of) -> bool:
+    """Digests of the usual lengths, UUIDs, runs without a letter (long numbers are of kind hex), and identifiers: the words of such a run, in lower case, its short numbers and parts of the alphabet have RANDOM_RATIO characters a token."""
+    if not _LETTER.search(run) or _UUID.fullmatch(run) or len(run) in _DIGESTS and _HEXADECIMAL.fullmatch(run):
         return True
-    if _UUID.fullmatch(run) or len(run) in _DIGESTS and _HEXADECIMAL.fullmatch(run):
-        return True
-    words = [m.end() - m.start() for m in _NAME.finditer(run) if run[m.start()] not in b"-_/=+"]
-    return sum(words) >= 4 * len(words)
+    pieces = _PIECE.findall(run)
+    return sum(map(len, pieces)) >= RANDOM_RATIO * sum(1 if p.isdigit() or _IN_ORDER.fullmatch(p.lower()) else tokens_of(p.lower()) for p in pieces)
 
 
 def scan(text: bytes, ends: list[int], tokens_of) -> list[list[tuple[int, int, int]]]:
@@ -79,7 +81,7 @@ def scan(text: bytes, ends: list[int], tokens_of) -> list[list[tuple[int, int, i
     found += [(a, 2, b) for a, b in _runs(_IS_HEX[flat], _HEX_MIN)]
     for a, b in _runs(_IS_RUN[flat], RANDOM_MIN):
         run = text[a:b]
-        if not is_known(run) and b - a < RANDOM_RATIO * tokens_of(run):
+        if b - a < RANDOM_RATIO * tokens_of(run) and not is_known(run, tokens_of):
             found.append((a, 3, b))
     for span in sorted(found):
         spans[bisect_right(ends, span[0])].append(span)
@@ -91,7 +93,8 @@ def find_secrets(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     assign, access and hex are fixed formats. random is a run of 20 or more characters of
     [A-Za-z0-9+/_=-] with under 2.2 characters a token under the tiktoken vocabulary in the file
-    vocabulary, unless it is a digest of a usual length, a UUID or an identifier. Positions are code
+    vocabulary, unless it is a digest of a usual length, a UUID, without a letter, or an identifier: its
+    words in lower case and short numbers have 2.2 characters a token or more. Positions are code
     points, ends exclusive; spans are ordered by start, then kind. A null text has no spans; repeated
     rows stay repeated; other columns are left out.
     """
