@@ -255,6 +255,34 @@ def test_surrogates_keep_type_and_coreference(spark):
     assert not any(old in r.text for _, old, _ in e) and "4539148803436468" in r.text and r.text.startswith("Frau ")
 
 
+@pytest.mark.parametrize("number", ["+15551234567", "+491701234567", "+44 (0)20 7946 0958", "+1555 123 4567", "555 123 4567", "1-800-555-1234", "1 (800) 555-1234", "030 1234567", "030/1234567", "(030) 1234567", "01 23 45 67 89", "01701234567"])
+def test_layouts_of_phone_numbers(number):
+    assert surrogates.entities(f"call {number}.") == [(5, 5 + len(number), "phone")]
+    made = surrogates.surrogate("phone", number, b"k")
+    assert made != number and re.sub(r"\d", "9", made) == re.sub(r"\d", "9", number)
+    assert surrogates._number(made)[0] == surrogates._number(number)[0]
+
+
+def test_layouts_of_one_phone_number_agree_and_dates_are_none():
+    made = {surrogates._mark("phone", surrogates.surrogate("phone", n, b"k"), b"k") for n in ("+15551234567", "+1 (555) 123-4567", "555 123 4567", "1-555-123-4567")}
+    assert len(made) == 1
+    assert not surrogates.entities("01-02-2024 01/02/2024 09 10 2024, 01.02.2024 10:30, 2024-01-02 10:30:45, 1700000000, 3.0123456789")
+
+
+def test_phone_numbers_and_names_of_any_layout_do_not_collide():
+    numbers = [f"{'' if p else '0' * z}{n:0{9 - z}d}" for p in (0, 1) for z in (0, 1) for n in range(0, 10**6, 1999)]
+    texts = [("phone", p + n) for p in ("+1 ", "+49", "0", "1-8", "") for n in numbers] + [("person", f"{a} {b}") for a in ("Anna", "ANNA", "Otto", "Li", "LI") for b in ("Wu", "WU", "Smith", "SMITH", "Smyth")]
+    pairs = {(surrogates._mark(k, t, b"k"), surrogates._mark(k, surrogates.surrogate(k, t, b"k"), b"k")) for k, t in texts}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_colliding_surrogates_are_refused(spark):
+    of = lambda *pairs: spark.createDataFrame([([{"entity": a, "replacement": b} for a, b in pairs],)], "_marks array<struct<entity: string, replacement: string>>")
+    surrogates.refuse_collisions(of(("a", "x"), ("a", "x"), ("b", "y")))
+    with pytest.raises(ValueError):
+        surrogates.refuse_collisions(of(("a", "x"), ("b", "x")))
+
+
 def test_surrogates_of_a_corpus_do_not_collide(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     made = surrogates.pseudonymise(docs, b"k")

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tracewell.llm import arrays
 from tracewell.llm.pretokens import classes
+from tracewell.session import materialise
 
 ROUNDS = 8
 
@@ -136,21 +137,37 @@ def _ip(text: str, key: bytes) -> str:
     return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
 
 
-_COUNTRY = re.compile(r"\+(\d{1,3})(?=[ .(-])")
+#: Country codes of one and two digits; the others have three.
+_COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
+
+
+def _number(text: str) -> tuple[str, str]:
+    """Country code and the digits behind it."""
+    digits = re.sub(r"\D", "", text)
+    country = _COUNTRY.match(digits)[0] if text[0] == "+" else "1" if len(digits) == 11 and digits[0] == "1" else ""
+    return country, digits[len(country) :]
 
 
 def _phone(text: str, key: bytes) -> str:
-    country = _COUNTRY.match(text)
-    head, rest = (text[: country.end()], text[country.end() :]) if country else ("", text)
-    return head + _laid_out(permute_text(re.sub(r"\D", "", rest), f"phone{country[1] if country else 1}", key), rest)
+    """The country code stays, and whether the number behind it begins with 0; one without a country is of 1, as is one of eleven digits from 1 on."""
+    country, rest = _number(text)
+    form = lambda s: "0" if s[0] == "0" else len(s) == 11 and s[0] == "1"
+    return _laid_out(country + permute_text(rest, f"phone{country or 1}", key, fits=lambda s: form(s) == form(rest)), text)
+
+
+def _low(text: str) -> str:
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _cased(made: str, form: str) -> str:
+    return "".join(m.upper() if o.isupper() and len(m.upper()) == 1 else m for o, m in zip(form, made))
 
 
 def _email(text: str, key: bytes) -> str:
     """Letters and digits of all but the top-level domain; case follows the original, so that spellings of one address agree."""
-    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    low = _low(text)
     stop = low.rindex(".")
-    made = permute_text(low[:stop], "email", key) + low[stop:]
-    return "".join(m.upper() if o.isupper() and len(m.upper()) == 1 else m for o, m in zip(text, made))
+    return _cased(permute_text(low[:stop], "email", key) + low[stop:], text)
 
 
 # Titles by gender, and given names by script and gender.
@@ -164,16 +181,20 @@ _GIVEN = {
     ("greek", "m"): "Αλέξανδρος Γιώργος Δημήτρης Κώστας Νίκος Πέτρος".split(),
 }
 _GIVEN_OF = {name: group for group, names in _GIVEN.items() for name in names}
+_GIVEN_LOW = {_low(name): name for name in _GIVEN_OF}
 _GENDER_OF = {t: g for g, titles in _TITLES.items() for t in titles}
 _PERSON = re.compile(r"(?<!\w)(?:(?P<title>" + "|".join(sorted(_GENDER_OF, key=len, reverse=True)) + r")\b\.?[  ](?P<names>[^\W\d_][^\W\d_'’-]+(?:[  ][^\W\d_][^\W\d_'’-]+)?)|(?P<given>" + "|".join(sorted(_GIVEN_OF, key=len, reverse=True)) + r")[  ](?P<family>[^\W\d_][^\W\d_'’-]+))(?!\w)")
 
 
 def _name(word: str, key: bytes) -> str:
-    """A given name of the same script and gender, or else a name with vowels and consonants in the same places."""
-    if word in _GIVEN_OF:
-        names = _GIVEN[_GIVEN_OF[word]]
-        return names[Permutation(len(names), "given" + "".join(_GIVEN_OF[word]), key)(names.index(word))]
-    return permute_text(word, "family", key, _sound, lambda s: s not in _GIVEN_OF)
+    """A given name of the same script and gender, or else a name with vowels and consonants in the same places; case follows the original."""
+    low = _low(word)
+    if low in _GIVEN_LOW:
+        name = _GIVEN_LOW[low]
+        names = _GIVEN[_GIVEN_OF[name]]
+        made = names[Permutation(len(names), "given" + "".join(_GIVEN_OF[name]), key)(names.index(name))]
+        return made.upper() if word.isupper() else made.lower() if word.islower() else made
+    return _cased(permute_text(low, "family", key, _sound, lambda s: s not in _GIVEN_LOW), word)
 
 
 def _person(text: str, key: bytes) -> str:
@@ -189,10 +210,24 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
     return _MAKERS[kind](text, key)
 
 
+def _mark(kind: str, text: str, key: bytes) -> str:
+    """A keyed hash of an entity, the same for all its spellings and layouts."""
+    plain = re.sub(r"\D", "", text) if kind == "card" else "{} {}".format(*(x or "1" for x in _number(text))) if kind == "phone" else _low(text)
+    return hashlib.blake2b(f"{kind} {plain}".encode(), key=hashlib.blake2b(key, digest_size=32).digest(), digest_size=16).hexdigest()
+
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)", re.ASCII)
 _CARD = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\d)", re.ASCII)
-_PHONE = re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{2,4}\)|[ .-]\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}([.-])\d{3}\1\d{4}(?![\w-])", re.ASCII)
+_PHONE = re.compile(
+    r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)"
+    r"|(?<![\w+])\+[1-9]\d{3,14}(?:[ .-]\d{2,4}){0,4}(?!\d)"  # E.164, or grouped behind the area
+    r"|(?<![\w.+-])1[ .-]?(?:\(\d{3}\) ?|(?<=[ .-])\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])"
+    r"|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}([ .-])\d{3}\1\d{4}(?![\w-])"
+    r"|(?<![\w.+/-])(?!\d\d([ /.-])\d\d\2\d{4}(?!\d))(?=(?:[ /.-]?\d){9,12}(?!\d))0[1-9]\d{0,3}(?:[ /.-]\d{2,8}){1,4}(?!\w|[/.:-]\d)"  # a trunk prefix
+    r"|(?<![\w.+/-])0[1-9]\d{8,9}(?!\w|[/.:-]\d)|(?<![\w(])\(0\d{1,4}\)[ -]?\d{3,8}(?:[ .-]\d{2,4}){0,3}(?!\w|[/.:-]\d)",
+    re.ASCII,
+)
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 _LOCAL = set("._%+-")
 
@@ -278,6 +313,8 @@ def may_have_entities(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 _FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("replacement", T.StringType())]))
+_MARKS = T.ArrayType(T.StructType([T.StructField("entity", T.StringType()), T.StructField("replacement", T.StringType())]))
+_ARROW_MARKS = pa.list_(pa.struct([("entity", pa.string()), ("replacement", pa.string())]))
 _ARROW_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("replacement", pa.string())]))
 
 
@@ -287,9 +324,11 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     Kinds: email, card (13 to 19 digits with a right check digit), ip (version 4), phone, person (after a
     title, or a given name with a family name). entities has kind, start and end in code points of the
     original text, and replacement. Texts without any are as they were; a null text stays null, with an
-    empty array. Repeated rows stay repeated; other columns are left out.
+    empty array. Repeated rows stay repeated; other columns are left out. The result is written to the
+    shared folder, with keyed hashes of entities and replacements, and ValueError is raised where one
+    replacement stands for several entities. Runs of digits alone, without + or a leading 0, are no phones.
     """
-    schema = T.StructType([docs.schema[id_col], T.StructField("text", T.StringType()), T.StructField("entities", _FOUND)])
+    schema = T.StructType([docs.schema[id_col], T.StructField("text", T.StringType()), T.StructField("entities", _FOUND), T.StructField("_marks", _MARKS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,6 +337,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
             for low, high in arrays.chunks(offsets):
                 part = texts.slice(low, high - low)
                 found: list[list[dict]] = [[] for _ in range(high - low)]
+                marks: list[list[dict]] = [[] for _ in range(high - low)]
                 changed, new = np.zeros(high - low, bool), []
                 for d in np.flatnonzero(may_have_entities(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])).tolist():
                     text, last, pieces = part[d].as_py(), 0, []
@@ -308,6 +348,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
                         pieces += [text[last:a], made]
                         last = b
                         found[d].append({"kind": kind, "start": a, "end": b, "replacement": made})
+                        marks[d].append({"entity": _mark(kind, text[a:b], key), "replacement": _mark(kind, made, key)})
                     if pieces:
                         changed[d] = True
                         new.append("".join(pieces) + text[last:])
@@ -315,13 +356,23 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
                     spread = np.zeros(high - low, np.int64)
                     spread[changed] = np.arange(len(new))
                     part = pc.if_else(pa.array(changed), pa.array(new, pa.string()).take(pa.array(spread)), part)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), part, pa.array(found, _ARROW_FOUND)], names=[id_col, "text", "entities"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), part, pa.array(found, _ARROW_FOUND), pa.array(marks, _ARROW_MARKS)], names=[id_col, "text", "entities", "_marks"])
+
+    made = materialise(docs.select(id_col, text_col).mapInArrow(run, schema), "surrogates")
+    refuse_collisions(made)
+    return made.drop("_marks")
+
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+def refuse_collisions(made: DataFrame) -> None:
+    """Raises ValueError if a replacement in _marks stands for several entities."""
+    pairs = made.select(F.explode("_marks").alias("m")).select("m.*").distinct()
+    n = pairs.groupBy("replacement").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").count()
+    if n:
+        raise ValueError(f"{n} surrogates stand for several entities")
 
 
 def collisions(docs: DataFrame, replaced: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The check of a run: (kind, replacement, n) for replacements that stand for several entities. It has no rows.
+    """A check of a run from its texts, besides pseudonymise's own: (kind, replacement, n) for replacements that stand for several entities. It has no rows.
 
     Spellings of one address, number or name in different layouts are compared in lower case, cards and phones by digits.
     """
