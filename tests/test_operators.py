@@ -322,3 +322,59 @@ def test_link_audit(spark):
     assert graph.link_audit(facts, chunks).first().asDict() == {"facts": 2, "linked": 1, "links": 2, "most_links": 2, "components": 3, "largest": 3, "isolated": 2}
     none = graph.link_audit(facts, chunks, df_limit=1).first()
     assert (none.linked, none.links, none.components, none.isolated) == (0, 0, 5, 5)
+
+
+def brute_refute(edges, sample=20, placebos=5):
+    """edges: {id: (from, to)}; every test as the reference describes it, paths by depth-first search."""
+    import hashlib
+    from collections import Counter
+
+    out, near = {}, {}
+    for e, (a, b) in edges.items():
+        out.setdefault(a, []).append((b, e))
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    outs, ins = Counter(a for a, _ in edges.values()), Counter(b for _, b in edges.values())
+
+    def path(at, to, without, left, seen):
+        return left > 0 and any(e != without and (b == to or b not in seen and path(b, to, without, left - 1, seen | {b})) for b, e in out.get(at, []))
+
+    def reach(c):
+        level, all_ = {c}, set()
+        for _ in range(3):
+            level = {b for x in level for b, _ in out.get(x, [])}
+            all_ |= level
+        return all_
+
+    md5 = lambda c: hashlib.md5(str(c).encode()).hexdigest()
+    chosen = sorted(outs, key=md5)[: sample + 1]
+    got = {}
+    for e, (a, b) in edges.items():
+        x, y = near.get(a, set()) - {b}, near.get(b, set()) - {a}
+        j = len(x & y) / len(x | y) if x | y else 0
+        tried = [c for c in chosen if c not in (a, b) and abs(outs[c] - outs[a]) <= outs[a] * 0.5 + 1][:placebos]
+        share = sum(b in reach(c) for c in tried) / len(tried) + 0.1 if tried else 0
+        tests = [1 if j >= 0.15 else -1 if j < 0.03 else 0, 1 if path(a, b, e, 4, {a}) else 0 if ins[b] >= 2 else -1, 0 if len(tried) < 3 else 1 if round(share, 9) <= 0.5 else -1 if round(share, 9) > 1 else 0]
+        good, bad = tests.count(1), tests.count(-1)
+        got[e] = (*tests, "A" if good == 3 else "B" if good == 2 and not bad else "C" if not bad else "F" if bad >= 2 else "D")
+    return got
+
+
+@pytest.mark.parametrize("nodes, n", [(12, 30), (40, 70), (60, 60)])
+def test_refute_equals_brute_force(spark, nodes, n):
+    import random
+
+    rng = random.Random(nodes)
+    edges = {i: (rng.randrange(nodes), rng.randrange(nodes)) for i in range(n)} | {900: (700, 701), 901: (700, 701), 902: (710, 711), 903: (710, 712), 904: (712, 713), 905: (713, 714), 906: (714, 711)}
+    df = spark.createDataFrame([(i, a, b, None) for i, (a, b) in edges.items()], "id long, from_id long, to_id long, valid_to long")
+    assert {r.id: (r.confounder, r.corroboration, r.placebo, r.grade) for r in graph.refute(df).collect()} == brute_refute(edges)
+
+
+def test_refute_edges_grades_every_edge(spark):
+    from tracewell import catalogue
+
+    d = "/root/testdata/sf0.001"
+    links = {r.id: (r.from_id, r.to_id) for r in catalogue._links(spark, d).filter("valid_to is null").collect()}
+    got = {r.id: (r.confounder, r.corroboration, r.placebo, r.grade) for r in catalogue.queries()["refute_edges"](spark, d).collect()}
+    assert got == brute_refute(links)

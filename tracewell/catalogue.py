@@ -512,7 +512,7 @@ def neighbor_jaccard(spark, d):
 
 @query()
 def refute_edges(spark, d):
-    return graph.refute(_links(spark, d).filter("id % 4 = 1 or from_id < to_id"), max_hops=3)
+    return graph.refute(_links(spark, d))
 
 
 @query("""WITH r AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS id, min(l_linenumber) OVER (PARTITION BY l_orderkey, l_suppkey) AS place FROM lineitem), p AS (SELECT a.id AS from_id, b.id AS to_id, count(*) AS n FROM r a JOIN r b ON a.g = b.g AND a.place < b.place AND a.id <> b.id GROUP BY ALL)

@@ -154,6 +154,28 @@ def neighbour_overlap(edges: DataFrame) -> DataFrame:
     return live.select("id").join(counts, "id", "left").select("id", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce(F.col("shared") / F.nullif("u", F.lit(0)), F.lit(0.0)).alias("jaccard"))
 
 
+def _other_paths(live: DataFrame, max_hops: int) -> DataFrame:
+    """(from_id, to_id) of edges beside which another simple path of max_hops edges at most leads.
+
+    That is a parallel edge, or a path whose inner nodes are neither end, which no edge between the ends can be on.
+    Walks from both ends meet in the middle; only pairs still open go on, each step written to the shared folder.
+    """
+    pairs = live.groupBy("from_id", "to_id").agg(F.count(F.lit(1)).alias("n"))
+    step = pairs.filter("from_id <> to_id").select(F.col("from_id").alias("_a"), F.col("to_id").alias("_b"))
+    ends = ["from_id", "to_id"]
+    found, open_ = [pairs.filter("n > 1").select(*ends)], pairs.filter("n = 1").select(*ends)
+    ahead, behind = open_.withColumn("at", F.col("from_id")), open_.withColumn("at", F.col("to_id"))
+    for length in range(2, max_hops + 1):
+        if length == 2 or length % 2:
+            ahead = materialise(ahead.join(step, F.col("at") == F.col("_a")).filter("_b <> from_id and _b <> to_id").select(*ends, F.col("_b").alias("at")).distinct(), "refute-ahead")
+        if length % 2 == 0:
+            behind = materialise(behind.join(step, F.col("at") == F.col("_b")).filter("_a <> from_id and _a <> to_id").select(*ends, F.col("_a").alias("at")).distinct(), "refute-behind")
+        hit = materialise(ahead.join(behind, [*ends, "at"], "left_semi").select(*ends).distinct(), "refute-hits")
+        found.append(hit)
+        ahead, behind = ahead.join(hit, ends, "left_anti"), behind.join(hit, ends, "left_anti")
+    return reduce(DataFrame.unionByName, found)
+
+
 def refute(edges: DataFrame, max_hops: int = 4, sample: int = 20, placebos: int = 5) -> DataFrame:
     """(id, confounder, corroboration, placebo, grade) of each valid edge; tests are 1 (robust), 0 or -1 (refuted).
 
@@ -165,12 +187,7 @@ def refute(edges: DataFrame, max_hops: int = 4, sample: int = 20, placebos: int
     """
     live = materialise(edges.filter("valid_to is null").select("id", "from_id", "to_id"), "refute-edges")
     step = live.select(F.col("id").alias("_e"), F.col("from_id").alias("_a"), F.col("to_id").alias("_b"))
-    level, reached = live.select("id", "to_id", F.col("from_id").alias("at"), F.array("from_id").alias("seen")), []
-    for _ in range(max_hops):
-        level = level.join(step, F.col("at") == F.col("_a")).filter("_e <> id and (_b = to_id or not array_contains(seen, _b))").select("id", "to_id", F.col("_b").alias("at"), F.concat("seen", F.array("_b")).alias("seen"))
-        reached.append(level.filter("at = to_id").select("id"))
-        level = level.filter("at <> to_id")
-    paths = reduce(DataFrame.unionByName, reached).distinct().withColumn("path", F.lit(True))
+    paths = live.join(_other_paths(live, max_hops), ["from_id", "to_id"]).select("id", F.lit(True).alias("path"))
     degree = degrees(edges)
     chosen = degree.filter("out_degree > 0").orderBy(F.md5(F.col("node").cast("string")), "node").limit(sample + 1).select(F.col("node").alias("c"), F.col("out_degree").alias("dc"), F.md5(F.col("node").cast("string")).alias("h"))
     chosen = materialise(chosen, "refute-sample")
