@@ -378,3 +378,19 @@ def test_refute_edges_grades_every_edge(spark):
     links = {r.id: (r.from_id, r.to_id) for r in catalogue._links(spark, d).filter("valid_to is null").collect()}
     got = {r.id: (r.confounder, r.corroboration, r.placebo, r.grade) for r in catalogue.queries()["refute_edges"](spark, d).collect()}
     assert got == brute_refute(links)
+
+
+def test_simhash_query_equals_brute_force(spark):
+    from tracewell import catalogue
+
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("char_length(text) >= 20").select("doc_id", "text").collect()
+    codes = {r.doc_id: int(hashing.simhash128(r.text), 16) for r in docs}
+    first = {}
+    for i in sorted(codes):
+        first.setdefault(codes[i], i)
+    assert len(first) < len(codes)
+    want = [("member", first[c], i, 0) for i, c in codes.items()]
+    names = sorted(first.items(), key=lambda x: x[1])
+    want += [("pair", a, b, (x ^ y).bit_count()) for k, (x, a) in enumerate(names) for y, b in names[k + 1 :] if (x ^ y).bit_count() <= 2]
+    assert sorted(map(tuple, catalogue.queries()["simhash_near_duplicates"](spark, d).collect())) == sorted(want)

@@ -702,11 +702,11 @@ def falsified_pairs(spark, d):
 
 @query()
 def simhash_near_duplicates(spark, d):
+    """The class of every document by its code (member), and pairs of classes with near codes (pair)."""
     from tracewell.functions import hashing
 
     codes = fx.table(spark, d, "documents").filter(F.char_length("text") >= 20).select(F.col("doc_id").alias("id"), hashing.simhash(F.col("text")).alias("code"))
-    groups = codes.groupBy("code").agg(F.min("id").alias("id"))
-    return hashing.near_duplicates(groups)
+    return hashing.classes_and_pairs(codes)
 
 
 @query("SELECT event_id, 'key ' || CASE event_id % 4 WHEN 0 THEN '[REDACTED] end' WHEN 1 THEN 'Bearer [REDACTED] end' WHEN 2 THEN 'password=[REDACTED] end' ELSE 'nothing  here end' END AS text FROM events")

@@ -64,6 +64,22 @@ def near_duplicates(codes, radius: int = 2):
     return pairs.select("a", "b", hamming(F.col("code"), F.col("_code")).alias("distance")).filter(F.col("distance") <= radius)
 
 
+def classes_and_pairs(codes, radius: int = 2, salts: int = 64):
+    """(kind, a, b, distance) of rows (id, code): a member row for every row, b in the class a at distance 0, and a pair row for two classes a < b within radius.
+
+    A class is all rows of one code, named by its smallest id. Classes return to rows by code and salt, so a code with many rows is spread.
+    """
+    from tracewell.session import materialise
+
+    rows = materialise(codes.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))), "simhash")
+    parts = rows.groupBy("code", "salt").agg(F.min("id").alias("a"))
+    classes = parts.groupBy("code").agg(F.min("a").alias("a"))
+    named = parts.select("code", "salt").join(classes, "code")
+    members = rows.join(named, ["code", "salt"]).select(F.lit("member").alias("kind"), "a", F.col("id").alias("b"), F.lit(0).alias("distance"))
+    pairs = near_duplicates(classes.select(F.col("a").alias("id"), "code"), radius)
+    return members.unionByName(pairs.select(F.lit("pair").alias("kind"), "a", "b", F.col("distance").cast("int")))
+
+
 def redact(text: Column) -> Column:
     """API keys, bearer tokens, passwords and private key headers as [REDACTED]; white space is collapsed where anything was replaced."""
     mark = "[REDACTED]"
