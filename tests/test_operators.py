@@ -394,3 +394,38 @@ def test_simhash_query_equals_brute_force(spark):
     names = sorted(first.items(), key=lambda x: x[1])
     want += [("pair", a, b, (x ^ y).bit_count()) for k, (x, a) in enumerate(names) for y, b in names[k + 1 :] if (x ^ y).bit_count() <= 2]
     assert sorted(map(tuple, catalogue.queries()["simhash_near_duplicates"](spark, d).collect())) == sorted(want)
+
+
+def test_cross_session_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    edges = [(i, f"{t}{rng.randrange(12)}", f"{t}{rng.randrange(12)}", rng.randrange(60, 100) / 100, t) for i in range(60) for t in ["ab"[i % 2]]]
+    meta = [(i, f"a{rng.randrange(12)}", f"b{rng.randrange(12)}", rng.randrange(40, 100) / 100) for i in range(6)]
+
+    def walks(start):  # (at, confidence) of chains of up to 3 edges from an edge on
+        level, out = [(e[1], e[3]) for e in edges if e[0] == start], []
+        for _ in range(3):
+            out += level
+            level = [(e[1], c * e[3]) for at, c in level for e in edges if e[2] == at and c * e[3] >= 0.5]
+        return out
+
+    own = {}
+    for _, a, _, _, t in edges:
+        own[a] = min(t, own.get(a, t))
+    want = {}
+    for first in range(60):
+        for node, c1 in walks(first):
+            near = sorted([(-c, i, b if a == node else a) for i, a, b, c in meta if node in (a, b)])[:3]
+            met = [(e[0], -c * c3) for c, _, other in near for e in edges if e[2] == other and e[4] != own.get(node) for _, c3 in walks(e[0])]
+            for second, c in met or [(None, 1.0)]:
+                want[first, second] = max(want.get((first, second), 0), c1 * c)
+    ranked = sorted(want, key=lambda k: (-round(want[k], 9), k[0], k[1] is None, k[1] or 0))
+    e = spark.createDataFrame([(*x[:3], "caused", *x[3:], None, None) for x in edges], "id long, from_id string, to_id string, relation string, confidence double, task_tag string, outcome_polarity string, valid_to long")
+    m = spark.createDataFrame([(*x, None) for x in meta], "id long, from_id string, to_id string, confidence double, valid_to long")
+    anchors = e.select(F.lit("q").alias("qid"), "id")
+    for limit in (20, 10_000):
+        got = trace.cross_session(e, m, anchors, limit=limit).orderBy("rank").collect()
+        assert [(r.first_edge, r.second_edge) for r in got] == ranked[:limit]
+        assert all(math.isclose(r.confidence, want[r.first_edge, r.second_edge]) for r in got)
+    assert any(b for _, b in want) and any(b is None for _, b in want)

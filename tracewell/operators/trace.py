@@ -79,9 +79,11 @@ def cross_session(edges: DataFrame, meta: DataFrame, anchors: DataFrame, max_dep
     """Backward chains carried on in other sessions: (qid, first_edge, second_edge, confidence, rank).
 
     A chain's root, the decision of its last hop, meets a node of another session by a meta edge; the
-    best chain that ends there follows. Confidence is the product of all three.
+    best chain that ends there follows. Confidence is the product of all three. All chains are tried; one
+    without such a meeting stays alone, second_edge null and confidence its own. Only the ranking is limited.
     """
-    first = best(chains(edges, anchors, True, max_depth, min_confidence), 20).withColumn("first_edge", F.element_at("hops", 1)["id"]).select("qid", "first_edge", F.col("at").alias("node"), F.col("confidence").alias("c1"))
+    walked = chains(edges, anchors, True, max_depth, min_confidence).withColumn("first_edge", F.element_at("hops", 1)["id"])
+    first = walked.groupBy("qid", "first_edge", F.col("at").alias("node")).agg(F.max("confidence").alias("c1"))
     over = bridges(meta, first.select("qid", "node").distinct(), 0.0, max_bridges).select("qid", "node", "other", F.col("confidence").alias("c2"))
     tag = edges.filter("valid_to is null").select("from_id", "to_id", "task_tag")
     root_tag = tag.groupBy("from_id").agg(F.min("task_tag").alias("own")).withColumnRenamed("from_id", "node")
@@ -89,9 +91,10 @@ def cross_session(edges: DataFrame, meta: DataFrame, anchors: DataFrame, max_dep
     second_at = over.join(root_tag, "node", "left").join(starts, "other").filter(~F.col("task_tag").eqNullSafe(F.col("own"))).select("qid", "node", "other", "c2", F.col("_e").alias("id"))
     second = chains(edges, second_at.select("qid", "id").distinct(), True, max_depth, min_confidence).select("qid", F.element_at("hops", 1)["id"].alias("second_edge"), F.col("confidence").alias("c3"))
     best_second = second.groupBy("qid", "second_edge").agg(F.max("c3").alias("c3"))
-    joined = first.join(second_at.withColumnRenamed("id", "second_edge"), ["qid", "node"]).join(best_second, ["qid", "second_edge"])
-    scored = joined.groupBy("qid", "first_edge", "second_edge").agg(F.max(F.col("c1") * F.col("c2") * F.col("c3")).alias("confidence"))
-    order = Window.partitionBy("qid").orderBy(F.round("confidence", 9).desc(), "first_edge", "second_edge")
+    carried = second_at.withColumnRenamed("id", "second_edge").join(best_second, ["qid", "second_edge"])
+    joined = first.join(carried.groupBy("qid", "node", "second_edge").agg(F.max(F.col("c2") * F.col("c3")).alias("c23")), ["qid", "node"], "left")
+    scored = joined.groupBy("qid", "first_edge", "second_edge").agg(F.max(F.col("c1") * F.coalesce("c23", F.lit(1.0))).alias("confidence"))
+    order = Window.partitionBy("qid").orderBy(F.round("confidence", 9).desc(), "first_edge", F.col("second_edge").asc_nulls_last())
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= limit)
 
 
