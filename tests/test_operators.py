@@ -429,3 +429,22 @@ def test_cross_session_equals_brute_force(spark):
         assert [(r.first_edge, r.second_edge) for r in got] == ranked[:limit]
         assert all(math.isclose(r.confidence, want[r.first_edge, r.second_edge]) for r in got)
     assert any(b for _, b in want) and any(b is None for _, b in want)
+
+
+def test_supersede_hints_equals_brute_force(spark):
+    from tracewell import catalogue
+
+    d = "/root/testdata/sf0.001"
+    held = lambda df, c: df.withColumn("_w", tx.tokens(F.col(c))).withColumn("_d", tx.date_tokens(F.col(c))).withColumn("_r", tx.is_retraction(F.col(c))).collect()
+    words = lambda r: {w for w in r._w if not (w.isascii() and w.isdigit())}
+    turns = spark.read.parquet(f"{d}/conversations.parquet").withColumn("said", F.concat("role", F.lit(": "), "text"))
+    want = set()
+    olds = [(r, words(r)) for r in held(catalogue._entries(spark, d), "decision") if not r._r and r.valid_to is None]
+    for h in held(turns, "said"):
+        w, tag, at = words(h), f"t{h.conv_id % 5}", h.conv_id * 1000 + h.turn
+        for o, x in olds:
+            shared = len(w & x)
+            if o.task_tag == tag and o.event_time <= at and not set(o._d) & set(h._d) and shared >= 2 and shared >= 0.5 * min(len(w), len(x)):
+                want.add((o.id, h.conv_id * 100 + h.turn))
+    got = [tuple(r) for r in catalogue.queries()["supersede_hints"](spark, d).collect()]
+    assert want and len(got) == len(want) and set(got) == want

@@ -847,7 +847,8 @@ def supersede_hints(spark, d):
     """Each turn as a hint against the turns before it in its task."""
     from tracewell.operators import dml
 
-    hints = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("hint"), "text", F.lit("t1").alias("task_tag"), F.lit(2**40).alias("event_time"))
+    c = F.col("conv_id")
+    hints = fx.table(spark, d, "conversations").select((c * 100 + F.col("turn")).alias("hint"), F.concat("role", F.lit(": "), "text").alias("text"), F.concat(F.lit("t"), c % 5).alias("task_tag"), (c * 1000 + F.col("turn")).alias("event_time"))
     return dml.supersede_by_hint(_entries(spark, d), hints)
 
 

@@ -84,9 +84,9 @@ def supersede_by_hint(entries: DataFrame, hints: DataFrame) -> DataFrame:
     old = entries.filter("valid_to is null").select("id", "task_tag", "event_time", F.col("decision").alias("_text"), words(F.col("decision")).alias("_w"), tx.date_tokens(F.col("decision")).alias("_dates"))
     old = old.filter(~tx.is_retraction(F.col("_text")))
     new = hints.select("hint", F.col("task_tag").alias("_tag"), F.col("event_time").alias("_at"), words(F.col("text")).alias("_hw"), tx.date_tokens(F.col("text")).alias("_hd"))
-    held = old.select("id", F.explode("_w").alias("_t"))
-    asked = new.select("hint", F.explode("_hw").alias("_t"))
-    near = held.join(asked, "_t").groupBy("id", "hint").agg(F.count(F.lit(1)).alias("_shared")).filter(F.col("_shared") >= MIN_SHARED)
+    held = old.select("id", "task_tag", "event_time", F.explode("_w").alias("_t"))
+    asked = new.select("hint", "_tag", "_at", F.explode("_hw").alias("_t"))
+    near = held.join(asked, (held["_t"] == asked["_t"]) & F.col("task_tag").eqNullSafe(F.col("_tag")) & (F.col("event_time") <= F.col("_at"))).groupBy("id", "hint").agg(F.count(F.lit(1)).alias("_shared")).filter(F.col("_shared") >= MIN_SHARED)
     rows = near.join(old, "id").join(new, "hint")
     return rows.filter(F.col("task_tag").eqNullSafe(F.col("_tag")) & (F.col("event_time") <= F.col("_at")) & ~F.arrays_overlap("_dates", "_hd") & (F.col("_shared") >= MIN_CONTAINMENT * F.least(F.size("_w"), F.size("_hw")))).select("id", "hint")
 
