@@ -8,11 +8,12 @@ import string
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracewell.llm import bpe, decontam, edit_counts, exact_dedup, jaccard_join, langid, queries, secrets_scan, surrogates, url_rules, warc
+from tracewell.llm import arrays, bpe, decontam, edit_counts, exact_dedup, jaccard_join, langid, queries, secrets_scan, surrogates, url_rules, warc
 
 VOCABULARY = queries.VOCABULARY
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, spans string, _id int"
@@ -340,6 +341,41 @@ def test_contaminations_equal_brute_force(spark, monkeypatch, passes):
     assert decontam.contaminations(table(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_blocks_find_similar_windows_and_little_else():
+    """Of windows with a similarity of 0.75 to 0.8 at least 99 in 100 are found; of unlike ones the blocks fetch under 5 in 100."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choices(string.ascii_lowercase, k=6))
+    items = [[word() for _ in range(r.randrange(15, 60))] for _ in range(300)]
+    index = decontam.Index([" ".join(w) for w in items])
+    prints = lambda words: (g := decontam._grams(decontam.normal_words(*arrays.string_buffers(pa.array([" ".join(words)])))[0], 5), decontam.simhash(decontam._bit_sums(g), np.zeros(1, np.int64), len(g)))
+    true = hit = 0
+    for i, words in enumerate(items):
+        for _ in range(6):
+            made, at = list(words), r.randrange(len(words))
+            for step in range(len(words)):
+                made[(at + step) % len(words)] = word()
+                grams, p = prints(made)
+                both = sum((Counter(grams.tolist()) & index.counts[i]).values())
+                value = both / (2 * len(grams) - both)
+                if value < 0.8:
+                    break
+            if value >= 0.75:
+                true += 1
+                hit += i in index.near(p, np.ones(len(items), bool))[1]
+    assert true > 300 and hit >= 0.99 * true
+    other = np.concatenate([prints([word() for _ in range(30)])[1] for _ in range(200)])
+    w, i = index.fetched(other)
+    assert len(np.unique(w * len(items) + i)) < 0.05 * len(other) * len(items)
+
+
+def test_decontamination_carries_ids_of_any_type(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta"
+    docs = spark.createDataFrame([("d1", text), (None, text), ("d3", "other words"), ("d1", text)], "doc_id string, text string")
+    bench = spark.createDataFrame([("i1", text), (None, text)], "item_id string, text string")
+    got = sorted((r.doc_id or "", r.item_id or "") for r in decontam.contaminations(docs, bench).collect())
+    assert got == sorted([(d, i) for d in ("d1", "d1", "") for i in ("", "i1")])
+
+
 # ---- Pipeline
 
 

@@ -1,30 +1,33 @@
-"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact weighted-shingle similarity."""
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle similarity."""
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tracewell.llm import arrays
 from tracewell.llm.pretokens import classes
+from tracewell.session import materialise
 
 SHINGLE = 5
 SIMILARITY = 0.75
-#: Fingerprints of 64 bits; a window of similarity 0.75 differs in about 12 bits, and in more than 26 once in some 10^5 times.
-RADIUS = 26
-BLOCKS = 8
-#: Items that one pass holds in memory; a larger benchmark takes several passes over the documents.
-ITEMS = 4096
-
-_HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("start_word", T.LongType()), T.StructField("n_words", T.LongType())]))
-_ARROW_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64())]))
+#: A fingerprint has BLOCKS blocks of WIDTH bits. Fingerprints within RADIUS bits agree to NEAR bits in one block at least, as RADIUS < BLOCKS * (NEAR + 1).
+BLOCKS, WIDTH, NEAR = 7, 20, 4
+#: A window of similarity 0.75 differs in about 17 of 100 bits (24 of 140, deviation 4.5), one that has nothing of the item in 70.
+RADIUS = BLOCKS * (NEAR + 1) - 1
+#: Items, and bytes of their texts, that one pass holds in memory; a larger benchmark takes several passes over the documents.
+ITEMS, ITEM_BYTES = 1024, 32_000_000
+#: Shingles, and windows, that are fingerprinted at a time.
+STRETCH, WINDOWS = 1 << 16, 1 << 14
 
 
 @lru_cache(maxsize=1)
@@ -63,140 +66,194 @@ def _grams(words: np.ndarray, k: int) -> np.ndarray:
     return arrays.mix(acc)
 
 
-def simhash(grams: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprints of the windows of size shingles from each start on; a repeated shingle weighs as often as it occurs."""
-    bits = np.unpackbits(grams.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
-    total = np.zeros((len(grams) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=total[1:])
-    return np.packbits(total[starts + size] - total[starts] > 0, axis=1).view(np.uint64).ravel()
+def _bit_sums(grams: np.ndarray) -> np.ndarray:
+    """How many of the first n shingles have each bit of the fingerprint set, for n from 0 on."""
+    per = 64 // WIDTH
+    parts = []
+    for b in range(BLOCKS):
+        if b % per == 0:
+            own = arrays.mix(grams ^ np.uint64((0x9E3779B97F4A7C15 * (b // per + 1)) & 0xFFFFFFFFFFFFFFFF)).view(np.uint8).reshape(-1, 8)
+            bits = np.unpackbits(own, axis=1)
+        parts.append(bits[:, (b % per) * WIDTH : (b % per + 1) * WIDTH])
+    total = np.zeros((len(grams) + 1, BLOCKS * WIDTH), np.int32)
+    np.cumsum(np.concatenate(parts, axis=1), axis=0, out=total[1:])
+    return total
 
 
-class Index:
-    """Fingerprints of the items in Hamming blocks, and their shingles for the exact comparison.
+def simhash(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Blocks (int32) of the fingerprints of the windows of size shingles from each start on; a repeated shingle weighs as often as it occurs."""
+    bits = 2 * (sums[starts + size] - sums[starts]) > size
+    packed = np.packbits(bits.reshape(-1, BLOCKS, WIDTH), axis=2).astype(np.int32)
+    shift = 8 * packed.shape[2] - WIDTH
+    return sum(packed[:, :, i] << (8 * (packed.shape[2] - 1 - i)) for i in range(packed.shape[2])) >> shift
+
+
+@lru_cache(maxsize=1)
+def _neighbourhood() -> np.ndarray:
+    """All values of a block with NEAR bits or fewer."""
+    return np.array([sum(1 << i for i in c) for n in range(NEAR + 1) for c in combinations(range(WIDTH), n)], np.int32)
 
-    A fingerprint within RADIUS of an item's differs in RADIUS // BLOCKS bits at most in one of BLOCKS
-    blocks; each block has a table from its value to the set of items within that distance.
-    """
 
-    def __init__(self, item_ids: list[int | None], texts: list[str | None]):
+class Index:
+    """Fingerprints of the items under every value of a block within NEAR bits of theirs, and their shingles for the exact comparison."""
+
+    def __init__(self, texts: list[str | None]):
         data, offsets = arrays.string_buffers(pa.array(texts, pa.string()))
         words, owner = normal_words(data, offsets)
         own = [words[owner == i] for i in range(len(texts))]
-        keep = [i for i, w in enumerate(own) if len(w)]
-        self.ids = [item_ids[i] for i in keep]
-        self.n_words = np.array([len(own[i]) for i in keep], np.int64)
+        self.place = [i for i, w in enumerate(own) if len(w)]
+        self.n_words = np.array([len(own[i]) for i in self.place], np.int64)
         self.k = np.minimum(self.n_words, SHINGLE)
-        grams = [_grams(own[i], min(SHINGLE, len(own[i]))) for i in keep]
+        grams = [_grams(own[i], min(SHINGLE, len(own[i]))) for i in self.place]
         self.counts = [Counter(g.tolist()) for g in grams]
-        self.prints = np.array([simhash(g, np.zeros(1, np.int64), len(g))[0] for g in grams], np.uint64)
-        self.gate = {}
+        self.prints = np.concatenate([simhash(_bit_sums(g), np.zeros(1, np.int64), len(g)) for g in grams] or [np.zeros((0, BLOCKS), np.int32)])
+        self.known = {}
         for k in np.unique(self.k).tolist():
-            pairs = [(h, i) for i in np.flatnonzero(self.k == k).tolist() for h in self.counts[i]]
-            pairs.sort()
-            hashes = np.array([p[0] for p in pairs], np.uint64)
-            at = np.concatenate([[0], np.flatnonzero(hashes[1:] != hashes[:-1]) + 1, [len(hashes)]])
+            hashes = np.unique(np.concatenate([grams[i] for i in np.flatnonzero(self.k == k)]))
             table = np.zeros(1 << 20, bool)
             table[(hashes & np.uint64(0xFFFFF)).astype(np.int64)] = True
-            self.gate[k] = (hashes[at[:-1]], at, np.array([p[1] for p in pairs], np.int64), table)
-        near = np.array([[(x ^ y).bit_count() <= RADIUS // BLOCKS for y in range(256)] for x in range(256)])
-        blocks = self.prints.view(np.uint8).reshape(-1, BLOCKS)
-        self.tables = [np.packbits(near[:, blocks[:, b]], axis=1) for b in range(BLOCKS)]
-
-    def candidates(self, prints: np.ndarray) -> np.ndarray:
-        """Table windows x items: whether the fingerprints are within RADIUS."""
-        parts = prints.view(np.uint8).reshape(-1, BLOCKS)
-        found = self.tables[0][parts[:, 0]]
-        for b in range(1, BLOCKS):
-            found = found | self.tables[b][parts[:, b]]
-        out = np.unpackbits(found, axis=1, count=len(self.ids)).astype(bool)
-        w, i = np.nonzero(out)
-        out[w, i] = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
-        return out
+            self.known[k] = (hashes, table)
+        self.tables = []
+        for b in range(BLOCKS):
+            near = (self.prints[:, b, None] ^ _neighbourhood()).ravel()
+            order = np.argsort(near, kind="stable")
+            at = np.zeros((1 << WIDTH) + 1, np.int32)
+            np.cumsum(np.bincount(near, minlength=1 << WIDTH), out=at[1:])
+            self.tables.append((at, (order // len(_neighbourhood())).astype(np.int16)))
+
+    def fetched(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (window, item) that share a block but for NEAR bits; those that share several come as often."""
+        windows, items = [], []
+        for b, (at, held) in enumerate(self.tables):
+            low = at[prints[:, b]]
+            n = at[prints[:, b] + 1] - low
+            windows.append(np.repeat(np.arange(len(prints)), n))
+            items.append(held[np.repeat(low, n) + arrays.runs(n)])
+        return np.concatenate(windows), np.concatenate(items).astype(np.int64)
+
+    def near(self, prints: np.ndarray, fits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (window, item) of the items that fit within RADIUS bits: from the blocks, then by all bits."""
+        w, i = self.fetched(prints)
+        w, i = w[fits[i]], i[fits[i]]
+        w, i = np.divmod(np.unique(w * len(self.place) + i), max(1, len(self.place)))
+        close = np.bitwise_count(prints[w] ^ self.prints[i]).sum(axis=1) <= RADIUS
+        return w[close], i[close]
+
+    def _stretches(self, words: np.ndarray, doc: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, int, int, int]]:
+        """(shingles, first, start, stop): parts of the words in which some window holds a shingle of the benchmark.
+
+        A window without any has similarity 0 with every item, so it is not fingerprinted; the test names no
+        item. A part has STRETCH windows at most to start in it, and what they reach over.
+        """
+        hashes, table = self.known[k]
+        grams = _grams(words, k)
+        p = np.flatnonzero(table[(grams & np.uint64(0xFFFFF)).astype(np.int64)])
+        p = p[hashes[np.minimum(np.searchsorted(hashes, grams[p]), len(hashes) - 1)] == grams[p]]
+        p = p[doc[p] == doc[p + k - 1]]
+        if not len(p):
+            return
+        reach = int(self.n_words[self.k == k].max())
+        edge = np.searchsorted(doc, [doc[p], doc[p] + 1])  # of the documents
+        low, high = np.maximum(edge[0], p - reach), np.minimum(edge[1], p + reach)
+        cut = np.concatenate([[True], (low[1:] > high[:-1]) | (doc[p[1:]] != doc[p[:-1]])])
+        for a, b in zip(low[cut].tolist(), np.append(high[:-1][cut[1:]], high[-1]).tolist()):
+            for start in range(a, b, STRETCH):
+                stop = min(b, start + STRETCH + reach)
+                yield grams[start : stop - k + 1], start, min(b, start + STRETCH), stop
 
     def hits(self, words: np.ndarray, doc: np.ndarray, n_docs: int) -> dict[int, dict[int, tuple[float, int, int]]]:
         """By document and item: best similarity of SIMILARITY or more, first word and words of that window."""
         count = np.bincount(doc, minlength=n_docs)
-        end = np.cumsum(count)
-        regions: dict[tuple[int, int], list[int]] = {}
-        grams_of = {}
-        for k, (hashes, at, items, table) in self.gate.items():
-            grams = grams_of[k] = _grams(words, k)
-            p = np.flatnonzero(table[(grams & np.uint64(0xFFFFF)).astype(np.int64)])
-            p = p[p + k <= end[doc[p]]]
-            where = np.searchsorted(hashes, grams[p])
-            ok = hashes[np.minimum(where, len(hashes) - 1)] == grams[p]
-            for x, w in zip(p[ok].tolist(), where[ok].tolist()):
-                for i in items[at[w] : at[w + 1]].tolist():
-                    regions.setdefault((int(doc[x]), i), []).append(x)
+        begin = np.cumsum(count) - count
         out: dict[int, dict[int, tuple[float, int, int]]] = {}
-        sized: dict[tuple[int, int, int], set[int]] = {}
-        for (d, i), at in regions.items():  # windows of the item's size that hold one of its shingles; no other can be similar
-            k, size = int(self.k[i]), int(min(self.n_words[i], count[d]))
-            low, high = end[d] - count[d], end[d] - size
-            starts = sized.setdefault((d, size, k), set())
-            for p in at:
-                starts.update(range(max(low, p + k - size), min(high, p) + 1))
-        for (d, size, k), chosen in sized.items():
-            starts = np.array(sorted(chosen), np.int64)
-            base = int(starts[0])
-            grams = grams_of[k][base : int(starts[-1]) + size - k + 1]
-            n = size - k + 1
-            fits = (self.k == k) & ((self.n_words == size) | ((self.n_words > size) & (count[d] == size)))
-            near = self.candidates(simhash(grams, starts - base, n)) & fits
-            for i in np.flatnonzero(near.any(axis=0)).tolist():
-                item, total = self.counts[i], int(self.n_words[i]) - k + 1
-                shared = np.concatenate([[0], np.cumsum([h in item for h in grams.tolist()])])
-                best = out.get(d, {}).get(i, (0.0, 0, 0))[0]
-                mine = starts[near[:, i]] - base
-                most = shared[mine + n] - shared[mine]
-                for s, m in zip(mine.tolist(), most.tolist()):
-                    m = min(m, total)
-                    if m < SIMILARITY * (n + total - m) or m <= best * (n + total - m):
-                        continue  # even with all of them counted it is not similar enough, or no better
-                    window = Counter(grams[s : s + n].tolist())
-                    both = sum(min(c, item[h]) for h, c in window.items() if h in item)
-                    value = both / (n + total - both)
-                    if value >= SIMILARITY and value > best:
-                        best = value
-                        out.setdefault(d, {})[i] = (value, base + s - int(end[d] - count[d]), size)
+        for k in self.known:
+            sizes = np.unique(self.n_words[self.k == k]).tolist()
+            for grams, first, last, stop in self._stretches(words, doc, k):
+                sums, d = _bit_sums(grams), int(doc[first])
+                whole = int(count[d])
+                for size in [*(s for s in sizes if s <= whole), *([whole] if k <= whole < sizes[-1] else [])]:
+                    starts = np.arange(first, min(last, stop - size + 1)) - first
+                    fits = (self.k == k) & ((self.n_words == size) | ((self.n_words > size) & (size == whole)))
+                    found: dict[int, list[np.ndarray]] = {}
+                    for at in range(0, len(starts), WINDOWS):
+                        part = starts[at : at + WINDOWS]
+                        w, i = self.near(simhash(sums, part, size - k + 1), fits)
+                        for x in np.unique(i).tolist():
+                            found.setdefault(x, []).append(part[w[i == x]])
+                    for i, near in found.items():
+                        best = self._best(grams, np.concatenate(near), i, size - k + 1, len(starts), out.get(d, {}).get(i), first - int(begin[d]), size)
+                        if best:
+                            out.setdefault(d, {})[i] = best
         return out
 
-
-def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> list[Index]:
-    """The benchmark in passes of about ITEMS items, so that what a task holds is bounded whatever its size."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    passes = max(1, -(-items.count() // ITEMS))
-    out = []
+    def _best(self, grams: np.ndarray, near: np.ndarray, i: int, n: int, windows: int, best: tuple | None, offset: int, size: int) -> tuple | None:
+        """The most similar window of n shingles that starts within n of one in near, the first of equals; best: the one known so far."""
+        item, total = self.counts[i], sum(self.counts[i].values())
+        mark = np.zeros(windows + 1, np.int64)
+        np.add.at(mark, np.maximum(0, near - n), 1)
+        np.add.at(mark, np.minimum(windows, near + n + 1), -1)
+        starts = np.flatnonzero(np.cumsum(mark)[:windows] > 0)
+        shared = np.concatenate([[0], np.cumsum(np.isin(grams, np.fromiter(item, np.uint64, len(item))))])
+        most = np.minimum(shared[starts + n] - shared[starts], total)
+        bound = most / (n + total - most)
+        value, place = (best[0], best[1]) if best else (0.0, 0)
+        found = best
+        for j in np.lexsort((starts, -bound)).tolist():
+            if bound[j] < max(SIMILARITY, value):
+                break  # even with all of them counted it is not similar enough
+            window = Counter(grams[starts[j] : starts[j] + n].tolist())
+            both = sum(min(c, item[h]) for h, c in window.items() if h in item)
+            v, at = both / (n + total - both), offset + int(starts[j])
+            if v >= SIMILARITY and (v > value or (v == value and at < place)):
+                value, place, found = v, at, (v, at, size)
+        return found
+
+
+_INDEXES: dict[str, Index] = {}
+
+
+def _index(key: str, texts: list[str | None]) -> Index:
+    """The index of a pass; a worker makes it once."""
+    if key not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[key] = Index(texts)
+    return _INDEXES[key]
+
+
+def _passes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list, list, bool]]:
+    """Ids and texts of the items, a pass at a time, and whether there are more passes: as many as ITEMS and ITEM_BYTES allow, and no more are on the driver at once."""
+    items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    passes = max(1, -(-n // ITEMS), -(-size // ITEM_BYTES))
+    if passes > 1:
+        items = materialise(items.withColumn("p", F.pmod(F.xxhash64("i", "t"), F.lit(passes))), "benchmark-items")
     for p in range(passes):
-        rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p).collect() if passes > 1 else items.collect()
-        rows.sort(key=lambda r: (r.i is None, r.i or 0, r.t or ""))
-        index = Index([r.i for r in rows], [r.t for r in rows])
-        if len(index.ids):
-            out.append(index)
-    return out
+        rows = (items.filter(F.col("p") == p) if passes > 1 else items).collect()
+        rows.sort(key=lambda r: (r.i is None, r.i if r.i is not None else 0, r.t or ""))
+        if rows:
+            yield [r.i for r in rows], [r.t for r in rows], passes > 1
 
 
-def _find(docs: DataFrame, index: Index, text_at: int, name: str, keep: str) -> DataFrame:
-    """docs with the column name of hits; keep: rows with hits only, without only, or all."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, _HITS)])
+def _find(docs: DataFrame, ids: list, texts: list, item_type: T.DataType, text_at: int, name: str, keep: str) -> DataFrame:
+    """docs with the column name of hits; keep: rows with hits only, or without only."""
+    parts = [("item_id", item_type), ("similarity", T.DoubleType()), ("start_word", T.LongType()), ("n_words", T.LongType())]
+    hit = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in parts]))
+    held, key, kind = docs.sparkSession.sparkContext.broadcast(texts), f"{id(texts)}-{len(texts)}-{hash(tuple(texts))}", to_arrow_type(hit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(key, held.value)
         for batch in batches:
             data, offsets = arrays.string_buffers(batch.column(text_at))
             for low, high in arrays.chunks(offsets):
                 base = offsets[low]
                 words, doc = normal_words(data[base : offsets[high]], offsets[low : high + 1] - base)
                 found = index.hits(words, doc, high - low) if len(words) else {}
-                part = batch.slice(low, high - low)
-                if keep != "all":
-                    chosen = [d for d in range(high - low) if (d in found) == (keep == "hits")]
-                    part = part.take(pa.array(chosen, pa.int64()))
-                else:
-                    chosen = range(high - low)
-                hits = [[{"item_id": index.ids[i], "similarity": v, "start_word": s, "n_words": n} for i, (v, s, n) in sorted(found.get(d, {}).items())] for d in chosen]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(hits, _ARROW_HITS)], names=[*part.schema.names, name])
+                chosen = [d for d in range(high - low) if (d in found) == (keep == "hits")]
+                part = batch.slice(low, high - low).take(pa.array(chosen, pa.int64()))
+                hits = [[{"item_id": ids[index.place[i]], "similarity": v, "start_word": s, "n_words": n} for i, (v, s, n) in sorted(found.get(d, {}).items())] for d in chosen]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(hits, kind)], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, hit)]))
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -206,16 +263,23 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     window has as many words as the item (the whole document where that is shorter); its similarity is
     the Jaccard similarity of the 5-word shingles, each weighing as often as it occurs, and counts from
     0.75 on. The best window is returned, the first of equals. Items without words are in nothing; null
-    texts are empty; repeated rows give repeated results; other columns are left out.
-
-    Of all windows only those with a shingle of an item of their size are fingerprinted: without one the
-    similarity is 0. Fingerprints within RADIUS bits are all found by the blocks and then compared exactly.
+    texts are empty; repeated rows give repeated results; ids of any type, null too, are carried as they
+    are; other columns are left out.
+
+    Windows of each item size get a fingerprint, and the Hamming blocks alone say which items each is
+    compared with: all fingerprints within RADIUS bits are found, then the windows around them are compared
+    exactly. A window of similarity 0.75 lies beyond RADIUS about once in a hundred times, one of 0.8 once in
+    ten thousand; several windows beside the best one count too. Where one shingle makes most of an item,
+    fingerprints differ more. Windows without any shingle of the benchmark have similarity 0 and no fingerprint.
     """
-    named = docs.select(id_col, text_col)
-    parts = [_find(named, index, 1, "_hits", "hits").select(id_col, F.explode("_hits").alias("_hit")).select(id_col, "_hit.*") for index in _indexes(benchmark, item_col, item_text_col)]
+    kind = benchmark.schema[item_col].dataType
+    named, parts = docs.select(id_col, text_col), []
+    for ids, texts, more in _passes(benchmark, item_col, item_text_col):
+        found = _find(named, ids, texts, kind, 1, "_hits", "hits").select(id_col, F.explode("_hits").alias("_hit")).select(id_col, "_hit.*")
+        parts.append(materialise(found, "contaminations") if more else found)
     if not parts:
         none = lambda kind: F.lit(None).cast(kind)
-        return docs.limit(0).select(id_col, none("long").alias("item_id"), none("double").alias("similarity"), none("long").alias("start_word"), none("long").alias("n_words"))
+        return docs.limit(0).select(id_col, none(kind).alias("item_id"), none("double").alias("similarity"), none("long").alias("start_word"), none("long").alias("n_words"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -227,6 +291,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
     name = "_hits"
     while name in docs.columns:
         name += "_"
-    for index in _indexes(benchmark, item_col, item_text_col):
-        docs = _find(docs, index, docs.columns.index(text_col), name, "clean").drop(name)
+    for ids, texts, more in _passes(benchmark, item_col, item_text_col):
+        docs = _find(docs, ids, texts, benchmark.schema[item_col].dataType, docs.columns.index(text_col), name, "clean").drop(name)
+        docs = materialise(docs, "uncontaminated") if more else docs
     return docs
