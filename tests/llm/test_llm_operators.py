@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tracewell.operators import components
 from tracewell.llm import arrays, bpe, decontam, edit_counts, exact_dedup, jaccard_join, langid, queries, secrets_scan, surrogates, url_rules, warc
 
 VOCABULARY = queries.VOCABULARY
@@ -189,9 +190,13 @@ def brute_components(rows, k=5):
     return sorted((rows[i][0], len(sets[i]), low[label[i]]) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize("fragment,block,common", [(2_000_000, 1024, 48), (400, 8, 3)])
-def test_jaccard_equals_brute_force(spark, monkeypatch, fragment, block, common):
+@pytest.mark.parametrize("fragment,block,common,fan,collide", [(2_000_000, 1024, 48, 512, False), (400, 8, 3, 2, False), (400, 8, 3, 512, True)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, fragment, block, common, fan, collide):
     monkeypatch.setattr(jaccard_join, "FRAGMENT_TOKENS", fragment)
+    monkeypatch.setattr(jaccard_join, "FAN_OUT", fan)
+    if collide:  # many sets share the first half of the digest
+        monkeypatch.setattr(jaccard_join, "_digest", lambda c: bytes([len(c) // 8 % 30]) + bytes(7) + hashlib.md5(c).digest()[:8])
+        monkeypatch.setattr(components, "BROADCAST_EDGES", 0)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "COMMON", common)
     r = random.Random(5)

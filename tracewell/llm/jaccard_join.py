@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -27,22 +28,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import arrays
-from tracewell.llm.components import connected_components
 from tracewell.llm.grouping import attach
+from tracewell.operators.components import connected_components
 from tracewell.session import materialise
 
 #: Shingles that a fragment or a bucket of documents holds, about; their number follows from the input.
 FRAGMENT_TOKENS = 2_000_000
+#: Parts that a task cuts its shingles into at once; more parts are reached in several steps.
+FAN_OUT = 512
 #: A shingle in so many sets of one chunk is common; its entries skip the fragment's count (see _segments).
 COMMON = 48
-#: Documents of a candidate block; larger candidate groups become pairs of blocks.
+#: Documents of a candidate block; larger candidate groups become pairs of blocks of near sizes.
 BLOCK = 1024
 #: Shingles in a fragment of a block's order.
 COLUMNS = 2048
 
 
-def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """By chunk: row range, sorted distinct shingle hashes end to end, their offsets, and the class of each row's set."""
+def _digest(content: bytes) -> bytes:
+    """Two hashes of 64 bits of a set: its class and the check of the class."""
+    return hashlib.blake2b(content, digest_size=16).digest()
+
+
+def _sets(column: pa.Array, k: int, apart: frozenset[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By chunk: row range, sorted distinct shingle hashes end to end, their offsets, class and check of each row's set.
+
+    Sets whose classes are in apart have their check as class.
+    """
     data, offsets = arrays.string_buffers(column)
     for low, high in arrays.chunks(offsets):
         base, n = offsets[low], high - low
@@ -51,20 +62,22 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.n
         tokens, owner, _ = arrays.shingle_hashes(arrays.word_hashes(part, a, b), doc, n, k)
         flat, to = arrays.distinct_per_doc(tokens, owner, n)
         raw, ends = flat.tobytes(), (to * 8).tolist()
-        ids = b"".join(hashlib.blake2b(raw[i:j], digest_size=8).digest() for i, j in zip(ends, ends[1:]))
-        yield low, high, flat, to, np.frombuffer(ids, np.int64)
+        both = np.frombuffer(b"".join(_digest(raw[i:j]) for i, j in zip(ends, ends[1:])), np.int64).reshape(-1, 2)
+        if apart:
+            both = np.where(np.isin(both[:, :1], np.array(sorted(apart), np.int64)), both[:, ::-1], both)
+        yield low, high, flat, to, both[:, 0].copy(), both[:, 1].copy()
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(_id, n_shingles, class) of every row; the class, a hash of the set, is null for an empty set."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, apart: frozenset[int] = frozenset()) -> DataFrame:
+    """(_id, n_shingles, class, check) of every row; the class, a hash of the set, is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, _, to, ids in _sets(batch.column(1), k):
+            for low, high, _, to, ids, check in _sets(batch.column(1), k, apart):
                 n = np.diff(to)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n), pa.array(ids, mask=n == 0)], names=["_id", "n_shingles", "class"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n), pa.array(ids, mask=n == 0), pa.array(check)], names=["_id", "n_shingles", "class", "check"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, class long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, class long, check long")
 
 
 def _bounds(sorted_keys: np.ndarray) -> np.ndarray:
@@ -74,89 +87,153 @@ def _bounds(sorted_keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]])
 
 
-_SEGMENT = "part long, classes binary, sizes binary, tokens binary, common binary, seen binary, totals binary"
+_SEGMENT = "part long, classes binary, sizes binary, tokens binary, counts binary, common binary, seen binary, totals binary"
+_NAMES = [f.split()[0] for f in _SEGMENT.split(", ")]
 
 
-def _segment(part: int, classes: np.ndarray, tokens: np.ndarray, common=b"", seen=b"", totals=b"") -> tuple:
-    """A row of entries (class, token), sorted by class: distinct classes, how many tokens each has, the tokens."""
-    at = _bounds(classes)
-    return (part, classes[at[:-1]].tobytes(), np.diff(at).astype(np.uint32).tobytes(), tokens.tobytes(), common, seen, totals)
+@dataclass
+class Entries:
+    """Shingles (tokens) of classes, a class and, once counted, a count each; common shingles; classes met for the first time (seen) and the sizes of their sets (totals)."""
+
+    classes: np.ndarray
+    tokens: np.ndarray
+    counts: np.ndarray
+    common: np.ndarray
+    seen: np.ndarray
+    totals: np.ndarray
+
+    @staticmethod
+    def read(rows: pa.Table | pa.RecordBatch) -> Entries:
+        get = lambda name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
+        return Entries(np.repeat(get("classes", np.int64), get("sizes", np.uint32)), get("tokens", np.uint64), get("counts", np.uint8), get("common", np.uint64), get("seen", np.int64), get("totals", np.uint32))
+
+    @staticmethod
+    def joined(parts: list[Entries]) -> Entries:
+        return Entries(*[np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Entries)])
+
+    def row(self, part: int) -> tuple:
+        """A row with all of it; entries of a class that follow each other are one run."""
+        at = _bounds(self.classes)
+        return (part, self.classes[at[:-1]].tobytes(), np.diff(at).astype(np.uint32).tobytes(), *(x.tobytes() for x in (self.tokens, self.counts, self.common, self.seen, self.totals)))
+
+    def cut(self, of_entries: np.ndarray, of_common: np.ndarray, of_seen: np.ndarray) -> list[tuple]:
+        """A row for each part that has anything."""
+        orders = [np.argsort(x, kind="stable") for x in (of_entries, of_common, of_seen)]
+        parts = np.unique(np.concatenate([of_entries, of_common, of_seen]))
+        (a, c, s), n = ([np.searchsorted(x[o], parts, side=side) for side in ("left", "right")] for x, o in zip((of_entries, of_common, of_seen), orders)), len(self.counts)
+        e, m, f = orders
+        classes, tokens, counts, common, seen, totals = self.classes[e], self.tokens[e], self.counts[e] if n else self.counts, self.common[m], self.seen[f], self.totals[f]
+        return [Entries(classes[a0:a1], tokens[a0:a1], counts[a0:a1] if n else counts, common[c0:c1], seen[s0:s1], totals[s0:s1]).row(int(p)) for p, a0, a1, c0, c1, s0, s1 in zip(parts, *a, *c, *s)]
+
+
+def _batch(rows: list[tuple], kind: type = pa.RecordBatch):
+    columns = list(zip(*rows)) if rows else [[]] * len(_NAMES)
+    return kind.from_arrays([pa.array(columns[0], pa.int64())] + [pa.array(c, pa.binary()) for c in columns[1:]], names=_NAMES)
+
+
+def _fragment(tokens: np.ndarray, parts: int) -> np.ndarray:
+    return ((tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
 
+def _bucket(classes: np.ndarray, parts: int) -> np.ndarray:
+    return (classes.view(np.uint64) % np.uint64(parts)).astype(np.int64)
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[]] * 7
-    names = [f.split()[0] for f in _SEGMENT.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64())] + [pa.array(c, pa.binary()) for c in columns[1:]], names=names)
 
+def _steps(parts: int) -> list[int]:
+    """How many parts one part of each step holds, so that none is cut into more than FAN_OUT; the last is 1."""
+    steps = [-(-parts // FAN_OUT)]
+    while steps[-1] > 1:
+        steps.append(-(-steps[-1] // FAN_OUT))
+    return steps
 
-def _segments(docs: DataFrame, id_col: str, text_col: str, k: int, fragments: int) -> DataFrame:
+
+def _by_token(e: Entries, parts: int, step: int) -> list[tuple]:
+    return e.cut(_fragment(e.tokens, parts) // step, _fragment(e.common, parts) // step, _bucket(e.seen, parts) // step)
+
+
+def _by_class(e: Entries, parts: int, step: int) -> list[tuple]:
+    return e.cut(_bucket(e.classes, parts) // step, np.zeros(0, np.int64), _bucket(e.seen, parts) // step)
+
+
+def _dealt(rows: DataFrame, parts: int, cut) -> DataFrame:
+    """Rows cut by the first of the steps cut on to the last, and grouped by part; a part below 0 is final.
+
+    A coarse part is dealt over as many tasks as it has parts, and each task gathers FRAGMENT_TOKENS before it cuts, so tasks and the rows they write are bounded.
+    """
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * parts)
+    steps = _steps(parts)
+    for before, step in zip(steps, steps[1:]):
+
+        def recut(batches: Iterator[pa.RecordBatch], step: int = step) -> Iterator[pa.RecordBatch]:
+            held: list[Entries] = []
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    one = batch.slice(row, 1)
+                    if one.column(0)[0].as_py() < 0:
+                        yield one
+                        continue
+                    held.append(Entries.read(one))
+                    if sum(len(e.tokens) for e in held) >= FRAGMENT_TOKENS:
+                        yield _batch(cut(Entries.joined(held), parts, step))
+                        held = []
+            if held:
+                yield _batch(cut(Entries.joined(held), parts, step))
+
+        salt = F.pmod(F.xxhash64(F.octet_length("tokens"), F.substring("tokens", 1, 8)), F.lit(before))
+        rows = rows.withColumn("_salt", salt).repartition(tasks, "part", "_salt").drop("_salt").mapInArrow(recut, _SEGMENT)
+    return rows.repartition(tasks, "part")
+
+
+def _segments(docs: DataFrame, id_col: str, text_col: str, k: int, fragments: int, apart: frozenset[int]) -> DataFrame:
     """Every set, cut into segments by ranges of the hash.
 
-    part below fragments: the entries of that fragment; common: shingles of the fragment known to be in
-    many documents of one chunk. Their entries go, under parts from fragments on, past the count to the
-    documents' buckets, so that no fragment gathers a shingle's whole posting list. seen, totals: classes
-    met for the first time and the sizes of their sets.
+    common: shingles of a fragment known to be in many documents of one chunk. Their entries go, under
+    parts below 0, past the count to the documents' buckets, so that no fragment gathers a shingle's whole
+    posting list.
     """
+    step = _steps(fragments)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         turn = 0
         for batch in batches:
-            for _, _, flat, to, ids in _sets(batch.column(1), k):
+            for _, _, flat, to, ids, _ in _sets(batch.column(1), k, apart):
                 size = np.diff(to)
                 fresh = np.zeros(len(ids), bool)
                 for i, c in enumerate(ids.tolist()):
                     if size[i] and c not in met:
                         met.add(c)
                         fresh[i] = True
-                owner = np.repeat(ids, size)
                 keep = np.repeat(fresh, size)
-                tokens, owner = flat[keep], owner[keep]
+                tokens, owner = flat[keep], np.repeat(ids, size)[keep]
                 ordered = np.sort(tokens)
                 often = np.unique(ordered[COMMON - 1 :][ordered[COMMON - 1 :] == ordered[: len(ordered) - COMMON + 1]]) if len(ordered) >= COMMON else ordered[:0]
-                fragment = ((tokens >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int32)
                 rows = []
+                none = np.zeros(0, np.uint8)
                 if len(often):
                     held = np.isin(tokens, often)
                     turn += 1
-                    rows.append(_segment(fragments + (turn * 7919 + int(often[0] & np.uint64(0xFFFF))) % fragments, owner[held], tokens[held]))
-                    tokens, owner, fragment = tokens[~held], owner[~held], fragment[~held]
-                order = np.argsort(fragment, kind="stable")
-                tokens, owner, fragment = tokens[order], owner[order], fragment[order]
-                edges = np.searchsorted(fragment, np.arange(fragments + 1))
-                marks = np.searchsorted(((often >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64), np.arange(fragments + 1))
-                first = int(ids[0] % fragments) if len(ids) else 0
-                for f in range(fragments):
-                    a, b, c, d = edges[f], edges[f + 1], marks[f], marks[f + 1]
-                    heads = (ids[fresh].tobytes(), size[fresh].astype(np.uint32).tobytes()) if f == first else (b"", b"")
-                    if b > a or d > c or heads[0]:
-                        rows.append(_segment(f, owner[a:b], tokens[a:b], often[c:d].tobytes(), *heads))
+                    rows.append(Entries(owner[held], tokens[held], none, often[:0], ids[:0], size[:0]).row(-1 - (turn * 7919 + int(often[0] & np.uint64(0xFFFF))) % fragments))
+                    tokens, owner = tokens[~held], owner[~held]
+                rows += _by_token(Entries(owner, tokens, none, often, ids[fresh], size[fresh].astype(np.uint32)), fragments, step)
                 yield _batch(rows)
 
     return docs.select(id_col, text_col).mapInArrow(run, _SEGMENT)
 
 
-def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-
-
-_SHARED = "bucket long, classes binary, sizes binary, tokens binary, counts binary, seen binary, totals binary"
-
-
-def _count_fragment(fragments: int, buckets: int):
+def _count_fragment(buckets: int, step: int):
     """The part of a fragment: entries of shingles in two or more sets, with the clipped count, dealt to buckets of classes."""
 
     def run(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        classes = np.repeat(_joined(table, "classes", np.int64), _joined(table, "sizes", np.uint32))
-        tokens = _joined(table, "tokens", np.uint64)
-        if part >= fragments:
+        e = Entries.read(table)
+        tokens, classes = e.tokens, e.classes
+        if table.column("part")[0].as_py() < 0:
             counts = np.full(len(tokens), 255, np.uint8)
         else:
             order = np.argsort(tokens)
             tokens, classes = tokens[order], classes[order]
             at = _bounds(tokens)
-            often = np.unique(_joined(table, "common", np.uint64))
+            often = np.unique(e.common)
             known = np.isin(tokens[at[:-1]], often)
             keep = np.repeat((np.diff(at) > 1) | known, np.diff(at))
             tokens, classes = tokens[keep], classes[keep]
@@ -171,22 +248,8 @@ def _count_fragment(fragments: int, buckets: int):
             n[n >= COMMON] = 255
             counts = np.repeat(n, np.diff(at)).astype(np.uint8)
             tokens, classes, counts = tokens[counts > 1], classes[counts > 1], counts[counts > 1]
-        seen, totals = _joined(table, "seen", np.int64), _joined(table, "totals", np.uint32)
-        bucket = (classes.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((classes, bucket))
-        tokens, classes, counts, bucket = tokens[order], classes[order], counts[order], bucket[order]
-        edges = np.searchsorted(bucket, np.arange(buckets + 1))
-        to = (seen.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-        rows = []
-        for b in range(buckets):
-            i, j = edges[b], edges[b + 1]
-            own = to == b
-            if j > i or own.any():
-                _, c, s, t, *_ = _segment(b, classes[i:j], tokens[i:j])
-                rows.append((b, c, s, t, counts[i:j].tobytes(), seen[own].tobytes(), totals[own].tobytes()))
-        columns = list(zip(*rows)) if rows else [[]] * 7
-        names = [f.split()[0] for f in _SHARED.split(", ")]
-        return pa.table([pa.array(columns[0], pa.int64())] + [pa.array(c, pa.binary()) for c in columns[1:]], names=names)
+        order = np.argsort(classes, kind="stable")
+        return _batch(_by_class(Entries(classes[order], tokens[order], counts[order], e.common[:0], e.seen, e.totals), buckets, step), pa.Table)
 
     return run
 
@@ -196,10 +259,10 @@ _CANDIDATE = "class long, n long, tokens binary, prefix array<long>"
 
 def _order_bucket(table: pa.Table) -> pa.Table:
     """Of a bucket's classes those that can have a link: size of the set, shared shingles in the global order, and the prefix."""
-    classes = np.repeat(_joined(table, "classes", np.int64), _joined(table, "sizes", np.uint32))
-    tokens, counts = _joined(table, "tokens", np.uint64), _joined(table, "counts", np.uint8)
-    seen, first = np.unique(_joined(table, "seen", np.int64), return_index=True)
-    totals = _joined(table, "totals", np.uint32)[first].astype(np.int64)
+    e = Entries.read(table)
+    classes, tokens, counts = e.classes, e.tokens, e.counts
+    seen, first = np.unique(e.seen, return_index=True)
+    totals = e.totals[first].astype(np.int64)
     order = np.lexsort((tokens, counts, classes))
     tokens, classes = tokens[order], classes[order]
     single = np.ones(len(tokens), bool)
@@ -267,37 +330,57 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     for batch in batches:
-        for group, low, high, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if (group, low, high) != key:
+        for group, block, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (group, block) != key:
                 if len(held) > 1:
                     yield emit()
-                key, held = (group, low, high), []
+                key, held = (group, block), []
             held.append(row)
     if len(held) > 1:
         yield emit()
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str, k: int, total: int) -> DataFrame:
+def candidates(docs: DataFrame, id_col: str, text_col: str, k: int, parts: int, apart: frozenset[int] = frozenset()) -> DataFrame:
     """Classes that can have a link: (class, n, tokens in the global order, prefix)."""
-    parts = max(1, -(-total // FRAGMENT_TOKENS))
-    shared = _segments(docs, id_col, text_col, k, parts).groupBy("part").applyInArrow(_count_fragment(parts, parts), _SHARED)
-    return shared.groupBy("bucket").applyInArrow(_order_bucket, _CANDIDATE)
+    fragments = _dealt(_segments(docs, id_col, text_col, k, parts, apart), parts, _by_token)
+    shared = fragments.groupBy("part").applyInArrow(_count_fragment(parts, _steps(parts)[0]), _SEGMENT)
+    return _dealt(shared, parts, _by_class).groupBy("part").applyInArrow(_order_bucket, _CANDIDATE)
+
 
+def _blocks(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """(component, block, class): the blocks that each class is compared in.
 
-def class_links(found: DataFrame) -> DataFrame:
+    A group of BLOCK classes or fewer is one block. A larger one is cut by the size of the sets, each range 1.4
+    times the one before, as linked sets differ by 4/3 at most; and each range into parts by a hash. Any two
+    parts of one range or of neighbouring ones meet in a block.
+    """
+    size = F.floor(F.log("n") / F.log(F.lit(1.4))).cast("int")
+    rows = groups.join(found.select(F.col("class").alias("node"), "n"), "node").select("node", "component", F.struct("component", size.alias("size")).alias("range"))
+
+    def neighbours(facts: DataFrame) -> DataFrame:
+        of = facts.select("range.component", "range.size", "_n", F.ceil(F.col("_n") / BLOCK).cast("int").alias("parts"))
+        near = lambda step, name: of.select("component", (F.col("size") + step).alias("size"), F.col("parts").alias(name))
+        whole = of.groupBy("component").agg((F.sum("_n") > BLOCK).alias("large"))
+        every = of.join(whole, "component").join(near(1, "below"), ["component", "size"], "left").join(near(-1, "above"), ["component", "size"], "left")
+        return every.select(F.struct("component", "size").alias("range"), "parts", "large", F.coalesce("below", F.lit(0)).alias("below"), F.coalesce("above", F.lit(0)).alias("above"))
+
+    placed = attach(rows, "range", "node", {"_n": F.count(F.lit(1))}, {"_n": F.sum("_n")}, neighbours).withColumn("at", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("size", F.col("range.size"))
+    name = lambda low, i, high, j: F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    s, at, none = F.col("size"), F.col("at"), F.lit(-1)
+    own = F.transform(F.filter(upto(F.col("parts")), lambda x: (x != at) | (F.col("parts") == 1)), lambda x: name(s, F.least(x, at), s, F.greatest(x, at)))
+    up, down = F.transform(upto(F.col("above")), lambda x: name(s, at, s + 1, x)), F.transform(upto(F.col("below")), lambda x: name(s - 1, x, s, at))
+    return placed.select("component", F.col("node").alias("class"), F.explode(F.when(F.col("large"), F.concat(own, up, down)).otherwise(F.array(name(none, none, none, none)))).alias("block"))
+
+
+def class_links(found: DataFrame, parts: int) -> DataFrame:
     """Edges (a, b) between classes whose components are those of all links."""
     prefix = found.select(F.explode("prefix").alias("token"), "class")
-    hub = prefix.groupBy("token").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    chains = prefix.join(hub, "token").filter("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
+    chains = attach(prefix, "token", "class", {"hub": F.min("class")}, {"hub": F.min("hub")}).filter("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
     groups = materialise(connected_components(chains), "jaccard-groups")
-    blocks = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.expr("filter(sequence(0, blocks - 1), x -> x <> block)")))
-    spread = placed.withColumn("other", other).select("node", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    rows = found.select("class", "n", "tokens").join(spread, F.col("class") == F.col("node")).select("component", "low", "high", "class", "n", "tokens")
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = rows.repartition(parts, "component", "low", "high").sortWithinPartitions("component", "low", "high")
-    return sorted_rows.mapInArrow(_verify, "a long, b long")
+    rows = found.select("class", "n", "tokens").join(_blocks(found, groups), "class").select("component", "block", "class", "n", "tokens")
+    tasks = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts)
+    return rows.repartition(tasks, "component", "block").sortWithinPartitions("component", "block").mapInArrow(_verify, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
@@ -309,12 +392,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reachable by links, itself included; a null id comes after all others). Repeated rows stay
     repeated; other columns are left out; an empty table gives an empty table.
 
-    Sets are compared by 64-bit hashes of their shingles, classes by a 64-bit hash of the set.
+    Sets are compared by 64-bit hashes of their shingles. Equal sets are a class by 128 bits: classes are
+    named by 64 of them, and where sets of one name differ in the others (searched for over all rows), they
+    are named by those instead.
     """
-    sig = materialise(signatures(docs, id_col, text_col, k), "jaccard-signatures")
-    total = sig.agg(F.sum("n_shingles")).first()[0] or 0
-    found = materialise(candidates(docs, id_col, text_col, k, total), "jaccard-candidates")
-    roots = connected_components(class_links(found))
+    apart: frozenset[int] = frozenset()
+    while True:
+        sig = materialise(signatures(docs, id_col, text_col, k, apart), "jaccard-signatures")
+        by_class = sig.groupBy("class").agg(F.sum("n_shingles").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
+        total, mixed = by_class.agg(F.sum("n"), F.collect_list(F.when(F.col("low") < F.col("high"), F.col("class")))).first()  # two sets in 10^10 share 64 bits
+        if not mixed:
+            break
+        apart |= frozenset(mixed)
+    parts = max(1, -(-(total or 0) // FRAGMENT_TOKENS))
+    found = materialise(candidates(docs, id_col, text_col, k, parts, apart), "jaccard-candidates")
+    roots = connected_components(class_links(found, parts))
 
     def per_class(low: DataFrame) -> DataFrame:
         rooted = low.join(roots, F.col("class") == F.col("node"), "left").withColumn("_root", F.coalesce("component", "class"))
