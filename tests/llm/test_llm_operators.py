@@ -140,6 +140,42 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_bits_are_learned_apart_and_correct_each_other(spark):
+    """Held-out short and whole texts: decoding is as good as naive Bayes over the same n-grams, and stays so when a bit is turned round."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~queries.held_out()))
+    assert np.linalg.matrix_rank(model.weights, tol=1e-2 * np.linalg.norm(model.weights, 2)) == model.code.shape[1] == 7
+    features = lambda texts: langid._features(pa.array(texts, pa.string()))
+    seen, tested = docs.filter(~queries.held_out()).collect(), docs.filter(queries.held_out()).collect()
+    counts = np.zeros((len(model.languages), langid.FEATURES))
+    for r, x in zip(seen, features([r.text for r in seen])):
+        counts[model.languages.index(r.lang)] += x
+    share = counts.sum(axis=0) / counts.sum()
+    bayes = np.log(counts / counts.sum(axis=1, keepdims=True) + 2e-3 * share + 1e-7)
+    lang = np.array([model.languages.index(r.lang) for r in tested])
+    for cut in (None, 40, 12):
+        texts = [r.text[:cut] for r in tested]
+        margins, _ = model.margins(*arrays.string_buffers(pa.array(texts, pa.string())))
+        right = lambda m: (model.decode(m)[0] == lang).mean()
+        assert right(margins) >= ((features(texts) @ bayes.T).argmax(axis=1) == lang).mean() - 0.01
+        if cut is None:
+            assert all(right(margins * np.where(np.arange(7) == b, -1, 1)) >= 0.97 for b in range(7))
+
+
+def test_a_text_between_two_languages_is_ambiguous():
+    code = langid.codewords(4)
+    model = langid.Model(list("abcd"), code, np.zeros((1, 7), np.float32), np.ones(7), np.ones(code.shape) / 7)
+    _, score, unsure = model.decode(np.stack([3.0 * code[0], (code[0] + code[1]) * 1.5]))
+    assert unsure.tolist() == [False, True] and score[0] > 0.9 and abs(score[1] - 0.5) < 0.1
+
+
+def test_a_sample_takes_one_text_an_id(spark):
+    rows = [(1, f"text {i}", "en") for i in range(50)] + [(i, "texte", "fr") for i in range(2, 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid._sample(docs, "doc_id", "text", "lang", 128).collect()
+    assert [r["_text"] for r in got if r["_lang"] == "en"] == ["text 0"] and 64 < sum(r["_lang"] == "fr" for r in got) <= 128
+
+
 def test_unknown_and_no_model(spark):
     docs = spark.createDataFrame([(1, "the house and the garden", "en"), (2, "das Haus und der Garten", "de"), (3, "12 34", "de"), (4, None, "en"), (5, "der Garten", None)], "doc_id long, text string, lang string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langid.fit(docs)).collect()}

@@ -410,8 +410,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def per_class(low: DataFrame) -> DataFrame:
         rooted = low.join(roots, F.col("class") == F.col("node"), "left").withColumn("_root", F.coalesce("component", "class"))
-        least = rooted.groupBy("_root").agg(F.min("_low").alias("component_id"))
-        return rooted.select("class", "_root").join(least, "_root").drop("_root")
+        return attach(rooted, "_root", "class", {"_l": F.min("_low")}, {"component_id": F.min("_l")}).select("class", "component_id")
 
     out = attach(sig, "class", "_id", {"_low": F.min("_id")}, {"_low": F.min("_low")}, per_class)
     return out.select(F.col("_id").alias(id_col), "n_shingles", F.coalesce("component_id", "_id").alias("component_id"))

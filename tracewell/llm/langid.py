@@ -1,7 +1,8 @@
 """Language identification by error-correcting output codes.
 
-Each language has a codeword. For each bit a linear classifier over hashed character n-grams predicts
-whether the text's language has it set; the codeword with the least weighted loss wins.
+Each language has a codeword. For each bit a logistic regression over hashed character n-grams, learned
+from texts relabelled by that bit, predicts whether the text's language has it set; the codeword with the
+least weighted loss wins.
 """
 
 from __future__ import annotations
@@ -20,10 +21,15 @@ from tracewell.llm.grouping import SALTS, join_counted
 from tracewell.llm.pretokens import classes
 from tracewell.session import materialise
 
-#: Labelled texts of a language that a model is fitted on, at most: those whose ids hash lowest.
-SAMPLE = 1500
-#: Of these, texts of a language held back from the n-gram counts to weigh the bits and scale the margins.
+#: Labelled texts of a language that a model is fitted on, at most: of each part of its ids those that hash lowest.
+SAMPLE = 1536
+#: Of these, one in so many is held back from learning, to weigh the bits and scale the margins.
 CALIBRATE_EVERY = 4
+#: Texts that one task learns from; tasks start each of ROUNDS from the mean of what all have learned, and pass EPOCHS times over their texts.
+PART_TEXTS, ROUNDS, EPOCHS, BATCH = 384, 2, 2, 32
+START, RATE, SHRINK = 20.0, 1.0, 1e-5
+#: Each text is learned from as a whole and by excerpts of so many code points, so that short texts are told too.
+EXCERPTS = (40, 12)
 #: Languages up to here have all codewords that tell any two apart; more have so many random bits.
 EXHAUSTIVE, BITS = 6, 63
 FEATURES = 1 << 15
@@ -103,53 +109,98 @@ class Model:
 
 
 def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> DataFrame:
-    """(_text, _lang, _turn) of at most sample labelled texts of each language."""
+    """(_id, _lang, _text) of at most sample labelled texts of each language, one a document id."""
     labelled = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang")).filter("_id is not null and _lang is not null")
-    order = (F.xxhash64("_id"), "_id")
     part = labelled.distinct().withColumn("_salt", F.pmod(F.hash("_id"), F.lit(SALTS)))
-    part = part.withColumn("_turn", F.row_number().over(Window.partitionBy("_lang", "_salt").orderBy(*order))).filter(F.col("_turn") <= sample)
-    turn = F.row_number().over(Window.partitionBy("_lang").orderBy(*order))  # over SALTS times sample rows at most
-    chosen = materialise(part.drop("_salt").withColumn("_turn", turn).filter(F.col("_turn") <= sample), "langid-sample")
+    turn = F.row_number().over(Window.partitionBy("_lang", "_salt").orderBy(F.xxhash64("_id"), "_id"))
+    chosen = materialise(part.withColumn("_turn", turn).filter(F.col("_turn") <= max(1, sample // SALTS)).select("_id", "_lang"), "langid-sample")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
-    return join_counted(texts, chosen, ["_id", "_lang"], "inner", chosen.count()).select("_text", "_lang", "_turn")
+    return join_counted(texts, chosen, ["_id", "_lang"], "inner", chosen.count()).groupBy("_id", "_lang").agg(F.min("_text").alias("_text"))
+
+
+def _features(texts: pa.Array, excerpt: int | None = None) -> np.ndarray:
+    """Share of each hashed n-gram among all of each text, or of an excerpt of so many code points from some place of it."""
+    out = np.zeros((len(texts), FEATURES), np.float32)
+    data, offsets = arrays.string_buffers(texts)
+    for low, high in arrays.chunks(offsets, CHUNK_BYTES):
+        grams, edges, _ = _grams(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+        for d in range(high - low):  # each text counts alike, whatever its length
+            n = int(edges[d + 1] - edges[d])
+            if n:
+                size = min(n, excerpt or n)
+                start = edges[d] + n * 7919 % (n - size + 1)
+                for g in grams:
+                    out[low + d] += np.bincount(g[start : start + size], minlength=FEATURES) / (size * len(ORDERS))
+    return out
+
+
+def learn(x: np.ndarray, target: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weights (features x bits) after EPOCHS passes of logistic regression, of each bit on its own labels (-1, +1), from weights on; the mean over the last pass."""
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x = x / np.maximum(size, 1e-9)
+    w, mean, steps = weights.copy(), np.zeros_like(weights), 0
+    random = np.random.default_rng(11)
+    for epoch in range(EPOCHS):
+        order = random.permutation(len(x))
+        for at in range(0, len(order), BATCH):
+            rows = order[at : at + BATCH]
+            part, y = x[rows], target[rows]
+            slope = -y / (1 + np.exp(np.clip(y * (part @ w), -30, 30)))
+            w -= RATE * (part.T @ slope / len(rows) + SHRINK * w)
+            if epoch == EPOCHS - 1:
+                mean += w
+                steps += 1
+    return mean / steps if steps else w
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """A model from at most sample texts of each language of docs (see SAMPLE); rows with null id or language are left out.
 
-    The n-grams of the sampled whole texts are counted on the executors; a vector of counts per language
-    and task comes to the driver, so what it holds depends on languages and not on documents.
+    Tasks learn every bit from their share of the sampled whole texts, by parameter mixing; their
+    weights are written to the shared folder and come to the driver one task's at a time.
     """
-    held = materialise(_sample(docs, id_col, text_col, lang_col, sample).repartition(4), "langid-texts")
-    names = sorted(r[0] for r in held.select("_lang").distinct().collect())
+    held = _sample(docs, id_col, text_col, lang_col, sample).withColumns({"_key": F.xxhash64("_id"), "_check": F.pmod(F.xxhash64(F.lit("check"), "_id"), F.lit(CALIBRATE_EVERY)) == 0})
+    held = materialise(held.drop("_id"), "langid-texts")
+    languages = held.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    names = sorted(r["_lang"] for r in languages)
     if not names:
         return Model([], np.ones((0, 1), np.int8), np.zeros((FEATURES, 1), np.float32), np.ones(1), np.ones((0, 1)))
     number = {x: i for i, x in enumerate(names)}
+    code = codewords(len(names))
+    parts = -(-sum(r["n"] for r in languages) // PART_TEXTS)
+    train = held.filter("not _check").withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), "_key"), F.lit(parts))).select("_part", "_lang", "_key", "_text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), FEATURES), np.float64)
-        for batch in batches:
-            data, offsets = arrays.string_buffers(batch.column(0))
-            lang = np.array([number[x] for x in batch.column(1).to_pylist()], np.int64)
-            for low, high in arrays.chunks(offsets, CHUNK_BYTES):
-                grams, edges, _ = _grams(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                for d in range(high - low):  # each text counts alike, whatever its length
-                    if edges[d + 1] > edges[d]:
-                        for g in grams:
-                            total[lang[low + d]] += np.bincount(g[edges[d] : edges[d + 1]], minlength=FEATURES) / (edges[d + 1] - edges[d])
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([t.tobytes() for t in total], pa.binary())], names=["lang", "counts"])
+    def count(table: pa.Table) -> pa.Table:
+        total = np.zeros((len(names), FEATURES))
+        for b in table.to_batches(max_chunksize=256):
+            np.add.at(total, [number[lang] for lang in b.column(1).to_pylist()], _features(b.column(3)))
+        return pa.table({"total": pa.array([total.tobytes()], pa.binary())})
 
     counts = np.zeros((len(names), FEATURES))
-    for row in held.filter(F.col("_turn") % CALIBRATE_EVERY != 0).select("_text", "_lang").mapInArrow(count, "lang string, counts binary").toLocalIterator():
-        counts[number[row.lang]] += np.frombuffer(row.counts, np.float64)
-    # Smoothed by what all languages have, so that an n-gram seen in one language alone counts with measure.
-    prior = counts.sum(axis=0) + 1e-3
-    rate = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-9) + 2e-3 * prior / prior.sum() + 1e-7
-    rate /= rate.sum(axis=1, keepdims=True)
-    code = codewords(len(names))
-    logs = np.log(rate)
-    weights = np.stack([logs[c > 0].mean(axis=0) - logs[c < 0].mean(axis=0) if (c < 0).any() and (c > 0).any() else np.zeros(FEATURES) for c in code.T], axis=1)
-    model = Model(names, code, np.clip(weights, -4, 4).astype(np.float32), np.ones(code.shape[1]), np.ones(code.shape) / code.shape[1])
+    for row in materialise(train.groupBy("_part").applyInArrow(count, "total binary"), "langid-counts").toLocalIterator():
+        counts += np.frombuffer(row.total, np.float64).reshape(counts.shape)
+    prior = counts.sum(axis=0) / max(1e-9, counts.sum())
+    scale = (1 / np.sqrt(prior + 1e-4)).astype(np.float32)[:, None]
+    rate = lambda side: np.log((rows := counts[side].sum(axis=0)) / max(1e-9, rows.sum()) + 2e-3 * prior + 1e-7)
+    weights = np.stack([rate(c > 0) - rate(c < 0) for c in code.T], axis=1)  # where learning starts: log odds of the bit's two sides
+    weights = (START * weights / scale).astype(np.float32)
+
+    def mix(start: np.ndarray):
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by([("_key", "ascending"), ("_lang", "ascending")]).combine_chunks()
+            texts = table.column(3).combine_chunks()
+            x = np.concatenate([_features(texts, size) for size in (None, *EXCERPTS)]) * scale.T
+            target = np.tile(code[[number[lang] for lang in table.column(1).to_pylist()]].astype(np.float32), (1 + len(EXCERPTS), 1))
+            return pa.table({"n": pa.array([table.num_rows]), "weights": pa.array([learn(x, target, start).tobytes()], pa.binary())})
+
+        return run
+
+    for _ in range(ROUNDS):
+        total, n = np.zeros(weights.shape), 0
+        for row in materialise(train.groupBy("_part").applyInArrow(mix(weights), "n long, weights binary"), "langid-weights").toLocalIterator():
+            total, n = total + row.n * np.frombuffer(row.weights, np.float32).reshape(weights.shape), n + row.n
+        weights = (total / max(1, n)).astype(np.float32)
+    model = Model(names, code, weights * scale, np.ones(code.shape[1]), np.ones(code.shape) / code.shape[1])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,13 +209,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 margins, letters = model.margins(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(low, high - low), pa.array(letters), pa.array(list(margins.astype(np.float64)), pa.list_(pa.float64()))], names=["lang", "letters", "margins"])
 
-    rows = held.filter(F.col("_turn") % CALIBRATE_EVERY == 0).select("_text", "_lang").mapInArrow(measure, "lang string, letters long, margins array<double>").filter("letters > 0").collect()
+    rows = held.filter("_check").select("_text", "_lang").mapInArrow(measure, "lang string, letters long, margins array<double>").filter("letters > 0").collect()
     if rows:
         margins = np.array([r.margins for r in rows])
         lang = np.array([number[r.lang] for r in rows])
-        target = code[lang]
         model.scale = 4 / np.maximum(1e-3, np.abs(margins).mean(axis=0))
-        right = (np.sign(margins) == target).astype(np.float64)
+        right = (np.sign(margins) == code[lang]).astype(np.float64)
         trust = np.ones(code.shape)
         for i in range(len(names)):
             if (lang == i).any():

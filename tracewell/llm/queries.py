@@ -45,7 +45,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.filter(~held_out()))
     predicted = langid.predict(docs.select("doc_id", "text", held_out().alias("held_out")), model, keep=["doc_id", "held_out"])
-    return predicted.select("doc_id", "held_out", "lang_pred", "score")
+    return predicted.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
