@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import hashing
 from tracewell.functions import text as tx
-from tracewell.operators import blocks, bm25, consolidate, dml, fusion, graph, hops, ingest, patterns, predict, trace, vector
+from tracewell.operators import blocks, bm25, consolidate, dml, fusion, graph, hops, ingest, novelty, patterns, predict, trace, vector
 from tracewell.plans import router
 from tracewell.schema import TABLES, ensure_schema, entries
 from tracewell.session import materialise
@@ -252,14 +252,72 @@ def test_router(spark, query, intent):
     assert column(spark, router.classify, query) == [intent]
 
 
-def test_plans():
-    day = 86400
-    p = router.plan("How many books did I buy last 3 weeks", NOW)
-    assert p.aggregation and "books" in p.entities and p.window == (NOW - 21 * day, NOW)
-    assert not router.looks_aggregation("how many days ago did I go")
-    assert router.time_window("yesterday", NOW) == (NOW - day, NOW)
-    assert router.time_window("in january", NOW) == (NOW, NOW + 31 * day)
-    assert router.time_window("on 2024-02-30", NOW) is None
+FRIDAY, SATURDAY, MAY = 1_787_270_400, 1_786_752_000, 1_684_000_000
+WEEK = 7 * 86400
+
+
+@pytest.mark.parametrize(
+    "query,now,window",
+    [
+        ("How many plants in the past two weeks?", MAY, (MAY - 2 * WEEK, MAY)),
+        ("Which book did I finish a week ago?", FRIDAY, (FRIDAY - 2 * WEEK, FRIDAY - WEEK)),
+        ("I went one week ago", FRIDAY, (FRIDAY - 2 * WEEK, FRIDAY - WEEK)),
+        ("I received jewelry last Saturday from whom?", FRIDAY, (SATURDAY, SATURDAY + 86399)),
+        ("I saw her last Saturday", SATURDAY, (SATURDAY - WEEK, SATURDAY - WEEK + 86399)),
+        ("spent on items last month?", MAY, (1_680_307_200, 1_682_899_199)),
+        ("raised since the start of the year?", MAY, (1_672_531_200, MAY)),
+        ("What time did I go to bed yesterday?", MAY, (1_683_849_600, 1_683_935_999)),
+        ("What did I buy at the store?", MAY, None),
+        ("How do you make coffee?", MAY, None),
+        ("last day", MAY, None),
+        ("last 99999999999999999 weeks", MAY, None),
+        ("during june", MAY, (1_685_577_600, 1_688_169_599)),
+    ],
+)
+def test_time_windows(spark, query, now, window):
+    r = spark.range(1).select(router.time_window(F.lit(query), F.lit(now).cast("long")).alias("w")).first().w
+    assert (tuple(r) if r else None) == window
+
+
+def test_plans(spark):
+    rows = [(0, "How many items of clothing did I buy from Zara?"), (1, "how many days ago did I go"), (2, "what time do I go to bed"), (3, None)]
+    got = {r.qid: r for r in router.plan(spark.createDataFrame(rows, "qid long, query string"), F.lit(MAY).cast("long")).collect()}
+    assert got[0].aggregation and got[0].entities == ["items", "clothing", "zara"] or got[0].entities == ["clothing", "zara"]
+    assert not got[1].aggregation and not got[2].aggregation and got[3].window is None
+
+
+def test_facts_of_a_batch_supersede_each_other(spark):
+    facts = spark.createDataFrame([(1, "lang", "rust", "user", "a", 0.5, 1, 1, None, None, None), (2, "lang", "go", "user", "a", 0.5, 1, 1, 5, 1, None)], "id long, key string, value string, scope string, source string, confidence double, created_at long, updated_at long, valid_to long, superseded_by long, embedding_model string")
+    batch = spark.createDataFrame([(3, "lang", "go", "user", 0.9), (4, "lang", "zig", "user", 2.0), (5, "os", "bsd", "user", 0.1)], "id long, key string, value string, scope string, confidence double")
+    got = {r.value: (r.id, r.confidence, r.created_at, r.valid_to, r.superseded_by) for r in dml.upsert_facts(facts, batch, 7, replace=True).collect()}
+    assert got == {"rust": (1, 0.5, 1, 7, 2), "go": (2, 0.9, 1, 7, 4), "zig": (4, 1.0, 7, None, None), "bsd": (5, 0.1, 7, None, None)}
+    kept = {r.value: (r.valid_to, r.superseded_by) for r in dml.upsert_facts(facts, batch.limit(0), 7).collect()}
+    assert kept == {"rust": (None, None), "go": (5, 1)}
+
+
+def test_facts_retired_by_hint(spark):
+    facts = spark.createDataFrame([(1, "milk", "drinks almond milk daily", "user", None), (2, "milk", "switched from almond milk to oat milk", "user", None), (3, "milk", "no longer drinks almond milk", "user", None), (4, "tea", "drinks almond milk daily", "user", None)], "id long, key string, value string, scope string, valid_to long")
+    hints = spark.createDataFrame([("milk", "user", "almond milk", 2)], "key string, scope string, hint string, exclude long")
+    assert [r.id for r in dml.retire_facts_by_hint(facts, hints, 9).filter("valid_to = 9").collect()] == [1]
+
+
+def test_later_schemas_are_refused(spark):
+    with pytest.raises(ValueError):
+        ensure_schema(spark.createDataFrame([(1,)], "id long"), "chunks", version=13)
+
+
+def test_agreement_of_copies(spark):
+    rows = spark.createDataFrame([(1, 1, "red fox"), (1, 2, "fox red"), (1, 3, "red hen"), (2, 4, "alone")], "qid long, id long, text string")
+    got = {r.qid: round(r.agreement, 6) for r in novelty.agreement(rows).collect()}
+    assert got == {1: round((1 + 2 / 3) / 3, 6), 2: 1.0}
+
+
+def test_numbered_over_many_parts(spark):
+    from tracewell.operators.blocks import numbered
+
+    rows = [(r.id, r.place) for r in numbered(spark.range(1000).repartition(7), F.col("id").desc()).collect()]
+    assert sorted(rows) == [(i, 1000 - i) for i in range(1000)]
+
 
 
 def test_blocks_give_the_same_pairs(spark, monkeypatch):

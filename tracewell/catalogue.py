@@ -15,6 +15,7 @@ from tracewell import fixtures as fx
 from tracewell.fixtures import NOW, with_sql
 from tracewell.functions import calls
 from tracewell.functions import text as tx
+from tracewell.operators.blocks import numbered
 from tracewell.operators import bm25, consolidate, fusion, graph, hops, patterns, predict, trace, vector
 from tracewell.plans import router
 from tracewell.schema import entries
@@ -110,7 +111,7 @@ def edges_by_ids(spark, d):
 def chunks_by_prefix(spark, d):
     rows = fx.chunks(spark, d).filter(F.col("id").startswith("c1"))
     number = F.coalesce(F.expr("try_cast(substr(id, 3) as bigint)"), F.lit(0))
-    return rows.select("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(number, "id")).cast("long").alias("place"))
+    return numbered(rows.select("id", number.alias("_n")), "_n", "id").select("id", "place")
 
 
 @query(with_sql("facts", "SELECT id, key, value, scope, updated_at FROM facts WHERE valid_to IS NULL ORDER BY updated_at DESC, id LIMIT 100"))
@@ -218,6 +219,27 @@ def classify_queries(spark, d):
     return fx.table(spark, d, "events").select("event_id", router.classify(text).alias("intent"))
 
 
+#: Ways to say when, with the span that each means in SQL, t being the time of asking.
+_WHEN = {
+    "How many plants in the past two weeks?": "[t - 2 * 604800, t]", "spent over the last 3 months": "[t - 3 * 2592000, t]", "what of the past few days": "[t - 3 * 86400, t]",
+    "Which book did I finish a week ago?": "[t - 2 * 604800, t - 604800]", "two months ago": "[t - 3 * 2592000, t - 2 * 2592000]", "spent on items last week": "[epoch(date_trunc('week', d)) - 604800, epoch(date_trunc('week', d)) - 1]",
+    "last month": "[epoch(date_trunc('month', d) - INTERVAL 1 MONTH), epoch(date_trunc('month', d)) - 1]", "and last year?": "[epoch(date_trunc('year', d) - INTERVAL 1 YEAR), epoch(date_trunc('year', d)) - 1]", "in the past month": "[t - 2592000, t]",
+    "this week": "[epoch(date_trunc('week', d)), t]", "this month": "[epoch(date_trunc('month', d)), t]", "this year": "[epoch(date_trunc('year', d)), t]", "raised since the start of the year": "[epoch(date_trunc('year', d)), t]",
+    "since june": "[epoch(make_timestamp(year(d), 6, 1, 0, 0, 0)), t]", "seen in february": "[epoch(make_timestamp(year(d), 2, 1, 0, 0, 0)), epoch(make_timestamp(year(d), 3, 1, 0, 0, 0)) - 1]", "during May": "[epoch(make_timestamp(year(d), 5, 1, 0, 0, 0)), epoch(make_timestamp(year(d), 6, 1, 0, 0, 0)) - 1]",
+    "What time did I go to bed yesterday?": "[epoch(date_trunc('day', d)) - 86400, epoch(date_trunc('day', d)) - 1]", "I received jewelry last Saturday": "[epoch(date_trunc('day', d)) - (isodow(d) % 7 + 1) * 86400, epoch(date_trunc('day', d)) - (isodow(d) % 7 + 1) * 86400 + 86399]",
+    "on monday": "[epoch(date_trunc('day', d)) - ((isodow(d) + 5) % 7 + 1) * 86400, epoch(date_trunc('day', d)) - ((isodow(d) + 5) % 7) * 86400 - 1]", "last day": "NULL", "How do you make coffee?": "NULL", "for the last 99999999999999999999 days": "NULL",
+}
+
+
+@query("WITH q AS (SELECT event_id, floor(epoch(ts))::BIGINT AS t, ts AS d FROM events), w AS (SELECT event_id, CASE event_id % " + str(len(_WHEN)) + " " + " ".join(f"WHEN {i} THEN {span}" for i, span in enumerate(_WHEN.values())) + """ END AS w FROM q)
+SELECT event_id, w[1]::BIGINT AS "from", w[2]::BIGINT AS until FROM w""")
+def question_windows(spark, d):
+    """The time that each of many questions means, asked at the time of an event."""
+    said = F.element_at(F.array(*map(F.lit, _WHEN)), (F.col("event_id") % len(_WHEN) + 1).cast("int"))
+    rows = fx.table(spark, d, "events").select(F.col("event_id"), router.time_window(said, F.unix_timestamp(F.date_trunc("second", "ts"))).alias("w"))
+    return rows.select("event_id", F.col("w.start").alias("from"), F.col("w.end").alias("until"))
+
+
 # ---- Retrieval
 
 
@@ -495,9 +517,9 @@ def q_update(spark, d):
 
 
 @query(f"""WITH RECURSIVE {_CUSTOMERS}, w AS MATERIALIZED (SELECT from_id, to_id, confidence / sum(confidence) OVER (PARTITION BY from_id) AS w FROM links), s AS (SELECT node, 1::DOUBLE / (SELECT count(*) FROM nodes WHERE node % 50 = 1) AS s FROM nodes WHERE node % 50 = 1),
-p0 AS MATERIALIZED (SELECT node, s AS p FROM s)""" + "".join(f", p{i} AS MATERIALIZED (SELECT node, sum(p) AS p FROM (SELECT to_id AS node, 0.85::DOUBLE * p * w AS p FROM p{i - 1} JOIN w ON from_id = node UNION ALL SELECT node, 0.15::DOUBLE * s FROM s) GROUP BY node)" for i in range(1, 6)) + " SELECT node, round(p, 6) AS p FROM p5")
+p0 AS MATERIALIZED (SELECT node, s AS p FROM s)""" + "".join(f", p{i} AS MATERIALIZED (SELECT node, sum(p) AS p FROM (SELECT to_id AS node, 0.85::DOUBLE * p * w AS p FROM p{i - 1} JOIN w ON from_id = node UNION ALL SELECT node, 0.15::DOUBLE * s FROM s) GROUP BY node)" for i in range(1, 11)) + " SELECT node, round(p, 6) AS p FROM p10")
 def pagerank(spark, d):
-    return graph.personalised_pagerank(_links(spark, d), _customers(spark, d).filter("node % 50 = 1"), iterations=5).select("node", _r("p").alias("p"))
+    return graph.personalised_pagerank(_links(spark, d), _customers(spark, d).filter("node % 50 = 1")).select("node", _r("p").alias("p"))
 
 
 _NEIGHBOURS = "u AS (SELECT from_id AS n, to_id AS m FROM links WHERE from_id <> to_id UNION SELECT to_id, from_id FROM links WHERE from_id <> to_id)"
@@ -616,12 +638,12 @@ def pattern_classify(spark, d):
     return patterns.classify(patterns.similar_pairs(items), items).select("a", "b", "relation", _r("confidence").alias("confidence"))
 
 
-@query("""WITH e AS (SELECT l_suppkey % 40 AS signature, coalesce(CASE WHEN l_partkey % 4 > 0 THEN 'tag' || (l_partkey % 4) END, 'untagged') AS tag, l_returnflag = 'A' AND l_partkey % 4 <> 2 AS s, l_returnflag = 'R' AND l_partkey % 4 = 2 AS f FROM lineitem WHERE l_suppkey % 40 > 0 OR l_partkey % 4 = 1), g AS (SELECT signature, tag, bool_or(s) AS s, bool_or(f) AS f FROM e GROUP BY ALL)
+@query("""WITH e AS (SELECT l_suppkey % 40 AS signature, coalesce(CASE WHEN l_partkey % 4 > 0 THEN 'tag' || (l_partkey % 4) END, 'untagged') AS tag, l_returnflag = 'A' AND l_partkey % 4 <> 2 AS s, l_returnflag = 'R' AND l_partkey % 4 = 2 AS f FROM lineitem), g AS (SELECT signature, tag, bool_or(s) AS s, bool_or(f) AS f FROM e GROUP BY ALL)
 SELECT signature, count(*) AS strata, count(*) < 2 AS confounded, bool_or(s AND NOT f) AND bool_or(f) AS simpson FROM g GROUP BY signature""")
 def strata_verdict(spark, d):
     p = F.col("l_partkey") % 4
     rows = fx.table(spark, d, "lineitem").select((F.col("l_suppkey") % 40).alias("signature"), F.when(p > 0, F.concat(F.lit("tag"), p)).alias("task_tag"), ((F.col("l_returnflag") == "A") & (p != 2)).alias("succeeded"), ((F.col("l_returnflag") == "R") & (p == 2)).alias("failed"), p.alias("p"))
-    return patterns.strata(rows.filter("signature > 0 or p = 1"))
+    return patterns.strata(rows.drop("p"))
 
 
 @query()
@@ -718,15 +740,37 @@ def redacted(spark, d):
     return fx.table(spark, d, "events").select("event_id", redact(F.concat(F.lit("key "), said, F.lit(" end"))).alias("text"))
 
 
-@query(with_sql("facts", f""", b AS (SELECT id + 1000000 AS id, key, value, scope, 0.9::DOUBLE AS confidence FROM facts WHERE id % 5 = 0), g AS (SELECT key, value, scope, max(id) AS id, arg_max(confidence, id) AS confidence FROM b GROUP BY ALL),
-o AS (SELECT f.id, f.key, f.value, f.scope, coalesce(g.confidence, f.confidence) AS confidence, CASE WHEN g.id IS NOT NULL THEN {NOW} ELSE f.updated_at END AS updated_at, CASE WHEN g.id IS NULL THEN f.valid_to END AS valid_to FROM facts f LEFT JOIN g USING (key, value, scope))
-SELECT id, key, value, scope, round(confidence, 6) AS confidence, updated_at, valid_to FROM o UNION ALL SELECT g.id, g.key, g.value, g.scope, round(g.confidence, 6), {NOW}, NULL FROM g WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.key = g.key AND f.value = g.value AND f.scope = g.scope)"""))
-def upsert_facts(spark, d):
+def _upsert_sql(replace: bool) -> str:
+    """The table after a batch of the values of every fifth fact, and of the newest value of every seventh key."""
+    chain = "lead(fact) OVER (PARTITION BY key, scope ORDER BY id, value)" if replace else "NULL::BIGINT"
+    first = "first_value(fact) OVER (PARTITION BY key, scope ORDER BY id, value)" if replace else "NULL::BIGINT"
+    return with_sql("facts", f""", b AS (SELECT id + 1000000 AS id, key, value, scope, 'batch' AS source, 1.5::DOUBLE AS confidence FROM facts WHERE id % 5 = 0 UNION ALL SELECT id + 2000000, key, 'NEW' || (id % 3), scope, 'batch', 0.9 FROM facts WHERE id % 7 = 0),
+g AS (SELECT key, value, scope, max(id) AS id, arg_max(confidence, id) AS confidence FROM b GROUP BY ALL), n AS (SELECT g.*, f.id AS known, coalesce(f.id, g.id) AS fact FROM g LEFT JOIN facts f USING (key, value, scope)),
+c AS (SELECT *, {chain} AS nxt, {first} AS first FROM n), w AS (SELECT DISTINCT key, scope, first FROM c),
+o AS (SELECT f.id, key, value, scope, CASE WHEN c.id IS NULL THEN f.source ELSE 'batch' END AS source, CASE WHEN c.id IS NULL THEN f.confidence ELSE least(1, c.confidence) END AS confidence, created_at, CASE WHEN c.id IS NULL THEN updated_at ELSE {NOW} END AS updated_at,
+ CASE WHEN c.id IS NOT NULL THEN CASE WHEN nxt IS NOT NULL THEN {NOW} END WHEN w.first IS NOT NULL AND valid_to IS NULL THEN {NOW} ELSE valid_to END AS valid_to, CASE WHEN c.id IS NOT NULL THEN nxt WHEN w.first IS NOT NULL AND valid_to IS NULL THEN w.first ELSE superseded_by END AS superseded_by
+ FROM facts f LEFT JOIN c USING (key, value, scope) LEFT JOIN w USING (key, scope)
+ UNION ALL SELECT fact, key, value, scope, 'batch', least(1, confidence), {NOW}, {NOW}, CASE WHEN nxt IS NOT NULL THEN {NOW} END, nxt FROM c WHERE known IS NULL)
+SELECT * REPLACE (round(confidence, 6) AS confidence) FROM o""")
+
+
+def _upserted(spark, d, replace):
     from tracewell.operators import dml
 
     facts = fx.facts(spark, d)
-    batch = facts.filter("id % 5 = 0").select((F.col("id") + 1_000_000).alias("id"), "key", "value", "scope", F.lit(0.9).alias("confidence"))
-    return dml.upsert_facts(facts, batch, NOW).withColumns({"confidence": _r("confidence"), "valid_to": F.col("valid_to").cast("long"), "updated_at": F.col("updated_at").cast("long")})
+    batch = facts.filter("id % 5 = 0").select((F.col("id") + 1_000_000).alias("id"), "key", "value", "scope", F.lit("batch").alias("source"), F.lit(1.5).alias("confidence"))
+    newer = facts.filter("id % 7 = 0").select((F.col("id") + 2_000_000).alias("id"), "key", F.concat(F.lit("NEW"), F.col("id") % 3).alias("value"), "scope", F.lit("batch").alias("source"), F.lit(0.9).alias("confidence"))
+    return dml.upsert_facts(facts, batch.unionByName(newer), NOW, replace).withColumn("confidence", _r("confidence")).drop("embedding_model")
+
+
+@query(_upsert_sql(False))
+def upsert_facts(spark, d):
+    return _upserted(spark, d, False)
+
+
+@query(_upsert_sql(True))
+def replace_facts(spark, d):
+    return _upserted(spark, d, True)
 
 
 @query(with_sql("edges", f", l AS (SELECT o_orderkey AS id, count(DISTINCT o_custkey) AS n, max({NOW} + o_custkey) AS last FROM (SELECT o_orderkey % 3000 AS o_orderkey, o_custkey FROM orders) GROUP BY 1) SELECT e.id, access_count + coalesce(n, 0) AS access_count, greatest(last_accessed_at, last) AS last_accessed_at FROM edges e LEFT JOIN l ON l.id = e.id"))
@@ -739,12 +783,12 @@ def access_counts(spark, d):
 
 @query(with_sql("edges meta", """, p AS (SELECT * FROM meta WHERE valid_to IS NULL), s AS (SELECT 'c' || conv_id || '::s0::0' AS node FROM conversations WHERE turn = 0 AND conv_id % 2 = 0),
 n AS (SELECT DISTINCT o AS node FROM (SELECT from_id AS node, to_id AS o FROM p WHERE relation = 'similar_to' UNION ALL SELECT to_id, from_id FROM p WHERE relation = 'similar_to') WHERE node IN (SELECT node FROM s) AND o NOT IN (SELECT node FROM s))
-SELECT count(*) AS analogues FROM n"""))
+SELECT node FROM n"""))
 def analogue_nodes(spark, d):
     meta = fx.meta_edges(spark, d).filter("valid_to is null and relation = 'similar_to'")
     seeds = fx.table(spark, d, "conversations").filter("turn = 0 and conv_id % 2 = 0").select(F.concat(F.lit("c"), "conv_id", F.lit("::s0::0")).alias("node"))
     both = meta.select(F.col("from_id").alias("node"), F.col("to_id").alias("other")).unionByName(meta.select(F.col("to_id").alias("node"), F.col("from_id").alias("other")))
-    return both.join(seeds, "node", "left_semi").select(F.col("other").alias("node")).distinct().join(seeds, "node", "left_anti").agg(F.count(F.lit(1)).alias("analogues"))
+    return both.join(seeds, "node", "left_semi").select(F.col("other").alias("node")).distinct().join(seeds, "node", "left_anti")
 
 
 @query(f"SELECT item_id, doc_id, hit FROM (SELECT item_id, {tokens_sql('text')} AS t, list_distinct(t) AS k FROM benchmark) CROSS JOIN (SELECT doc_id, list_distinct({tokens_sql('text')}) AS w FROM documents) CROSS JOIN LATERAL (SELECT len(list_intersect(k, w)) AS hit) WHERE hit >= greatest(1, len(k) // 2 + 1)")
@@ -805,14 +849,12 @@ def prediction_gap(spark, d):
     return novelty.prediction_gap(rows.select(F.col("event_id").alias("id"), "text"), predicted).select("id", _r("surprise").alias("surprise"), "novel")
 
 
-@query(f"""WITH h AS (SELECT user_id AS qid, event_id AS id, list_distinct({tokens_sql(_SAYING)}) AS t FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n <= 6)
+@query(f"""WITH h AS (SELECT user_id AS qid, event_id AS id, list_distinct({tokens_sql(_SAYING)}) AS t FROM events)
 SELECT a.qid, round(coalesce(avg(CASE WHEN b.id IS NOT NULL THEN len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(a.t || b.t)) END), 1), 6) AS agreement FROM h a LEFT JOIN h b ON a.qid = b.qid AND a.id < b.id GROUP BY a.qid""")
 def agreement(spark, d):
     from tracewell.operators import novelty
 
-    e = fx.table(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).filter("n <= 6").select("event_id")
-    rows = _sayings(spark, d).join(e, "event_id")
-    return novelty.agreement(rows.select(F.col("user_id").alias("qid"), F.col("event_id").alias("id"), "text")).select("qid", _r("agreement").alias("agreement"))
+    return novelty.agreement(_sayings(spark, d).select(F.col("user_id").alias("qid"), F.col("event_id").alias("id"), "text")).select("qid", _r("agreement").alias("agreement"))
 
 
 @query(f"""WITH s AS (SELECT user_id AS qid, event_id AS id, {_SAYING} AS text, user_id % 4 = 0 AS past FROM events), t AS (SELECT DISTINCT qid, unnest([regexp_extract(text, 'no longer (?:likes|wants|uses|eats|plays) ([a-z0-9]+)', 1), regexp_extract(text, 'switched from ([a-z0-9]+) to', 1), regexp_extract(text, 'used to (?:like|want|use|eat|play) ([a-z0-9]+)', 1)]) AS topic FROM s WHERE NOT past)
@@ -923,12 +965,12 @@ def semantic_contradictions(spark, d):
 
 
 @query(f"""SELECT id, prior, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(s, 9) DESC, prior) AS n FROM
-(SELECT q.vec_id AS id, i.vec_id AS prior, {_COS} AS s FROM embeddings i, embeddings q WHERE q.vec_id % 10 = 1 AND i.vec_id % 10 <> 1)) WHERE n = 1 AND s >= 0.5""")
+(SELECT q.vec_id AS id, i.vec_id AS prior, {_COS} AS s FROM embeddings i, embeddings q WHERE q.vec_id % 10 = 1 AND i.vec_id % 10 <> 1)) WHERE n = 1 AND s >= 0.3""")
 def recurrent_sessions(spark, d):
     from tracewell.operators import dml
 
     items = _vectors(spark, d)[0].drop("label")
-    return dml.recurrent(items.filter("id % 10 = 1"), items.filter("id % 10 <> 1"), 0.5).select("id", "prior", _r("similarity").alias("similarity"))
+    return dml.recurrent(items.filter("id % 10 = 1"), items.filter("id % 10 <> 1"), 0.3).select("id", "prior", _r("similarity").alias("similarity"))
 
 
 @query(with_sql("chunks", f""", asked AS (SELECT item_id AS qid, list_distinct({tokens_sql('text')}) AS asked FROM benchmark),

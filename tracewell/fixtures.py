@@ -62,7 +62,8 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fact per customer: its market segment."""
     k = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(k.alias("id"), F.concat(F.lit("market_segment_"), k % 50).alias("key"), F.col("c_mktsegment").alias("value"),
-        F.when(k % 3 == 0, F.lit("user")).otherwise(F.concat(F.lit("tenant:"), "c_nationkey")).alias("scope"), (F.lit(0.3) + k % 7 / 10).alias("confidence"), (F.lit(NOW) - k * 3600).alias("updated_at"), F.when(k % 13 == 0, F.lit(NOW)).cast("long").alias("valid_to"))
+        F.when(k % 3 == 0, F.lit("user")).otherwise(F.concat(F.lit("tenant:"), "c_nationkey")).alias("scope"), (F.lit(0.3) + k % 7 / 10).alias("confidence"), (F.lit(NOW) - k * 3600).alias("updated_at"), F.when(k % 13 == 0, F.lit(NOW)).cast("long").alias("valid_to"),
+        F.when(k % 2 == 0, F.lit("agent")).otherwise(F.lit("tool")).alias("source"), (F.lit(NOW) - k * 7200).alias("created_at"), F.when(k % 26 == 0, k + 1).cast("long").alias("superseded_by"), F.lit(None).cast("string").alias("embedding_model"))
 
 
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +93,7 @@ SQL = {
         FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL)""",
     "entries": "entries AS (SELECT e.*, f.text AS decision, t.text AS outcome FROM edges e JOIN chunks f ON f.id = e.from_id JOIN chunks t ON t.id = e.to_id WHERE e.valid_to IS NULL)",
     "meta": f"meta AS (SELECT conv_id AS id, 'c' || conv_id || '::s0::0' AS from_id, 'c' || (conv_id + 3) || '::s0::2' AS to_id, CASE conv_id % 4 WHEN 0 THEN 'similar_to' WHEN 1 THEN 'repeated' WHEN 2 THEN 'contradicts' ELSE 'refines' END AS relation, 'pattern ' || (conv_id % 10) AS pattern, 0.4::DOUBLE + (conv_id % 6)::DOUBLE / 10 AS confidence, CASE WHEN conv_id % 7 = 0 THEN {NOW} END AS valid_to FROM conversations WHERE turn = 0 AND conv_id % 3 = 0)",
-    "facts": f"facts AS (SELECT c_custkey AS id, 'market_segment_' || (c_custkey % 50) AS key, c_mktsegment AS value, CASE WHEN c_custkey % 3 = 0 THEN 'user' ELSE 'tenant:' || c_nationkey END AS scope, 0.3::DOUBLE + (c_custkey % 7)::DOUBLE / 10 AS confidence, {NOW} - c_custkey * 3600 AS updated_at, CASE WHEN c_custkey % 13 = 0 THEN {NOW} END AS valid_to FROM customer)",
+    "facts": f"facts AS (SELECT c_custkey AS id, 'market_segment_' || (c_custkey % 50) AS key, c_mktsegment AS value, CASE WHEN c_custkey % 3 = 0 THEN 'user' ELSE 'tenant:' || c_nationkey END AS scope, 0.3::DOUBLE + (c_custkey % 7)::DOUBLE / 10 AS confidence, {NOW} - c_custkey * 3600 AS updated_at, CASE WHEN c_custkey % 13 = 0 THEN {NOW} END AS valid_to, CASE WHEN c_custkey % 2 = 0 THEN 'agent' ELSE 'tool' END AS source, {NOW} - c_custkey * 7200 AS created_at, CASE WHEN c_custkey % 26 = 0 THEN c_custkey + 1 END AS superseded_by FROM customer)",
     "event_edges": "event_edges AS (SELECT event_id AS id, before AS from_id, event_id AS to_id, CASE event_type WHEN 'error' THEN 'caused' WHEN 'purchase' THEN 'enabled' WHEN 'signup' THEN 'prevented' ELSE 'no_effect' END AS relation, 0.5::DOUBLE + (event_id % 50)::DOUBLE / 100 AS confidence, floor(epoch(ts))::BIGINT AS event_time, event_type AS task_tag, CASE event_type WHEN 'error' THEN 'negative' WHEN 'purchase' THEN 'positive' END AS outcome_polarity, user_id FROM (SELECT *, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NOT NULL)",
 }
 

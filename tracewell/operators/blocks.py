@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A set of at most this many rows (counted) is sent to the items whole; a larger one is dealt in blocks of about as many.
 BLOCK_ROWS = 4096
-#: Parts into which the items are dealt for each block.
-TILES = 64
+#: Items that a tile holds, about.
+TILE_ROWS = 100_000
 
 
 def against(items: DataFrame, queries: DataFrame, item_key: str, query_key: str, where: Column | None = None) -> DataFrame:
     """Pairs of items and queries for which where holds (null: all pairs), with the columns of both.
 
     The queries are counted first. A few go to every task; more are dealt by a hash of query_key into
-    blocks, and items by a hash of item_key into tiles, and each block meets each tile in a task of its
+    blocks, and items by a hash of item_key into tiles of about TILE_ROWS, and each block meets each tile in a task of its
     own, so neither side is ever whole in one place. Null keys count as one key; no pair is lost.
     """
     n = queries.count()
     if n <= BLOCK_ROWS:
         pairs = items.crossJoin(F.broadcast(queries))
         return pairs if where is None else pairs.filter(where)
-    blocks = -(-n // BLOCK_ROWS)
+    blocks, tiles = -(-n // BLOCK_ROWS), max(1, -(-items.count() // TILE_ROWS))
     part = lambda key, parts: F.pmod(F.xxhash64(F.col(key)), F.lit(parts))
     every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
-    left = items.withColumn("_tile", part(item_key, TILES)).withColumn("_block", every(blocks))
-    right = queries.withColumn("_block", part(query_key, blocks)).withColumn("_tile", every(TILES))
+    left = items.withColumn("_tile", part(item_key, tiles)).withColumn("_block", every(blocks))
+    right = queries.withColumn("_block", part(query_key, blocks)).withColumn("_tile", every(tiles))
     pairs = left.join(right, ["_block", "_tile"]).drop("_block", "_tile")
     return pairs if where is None else pairs.filter(where)
+
+
+def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """rows with place, from 1, in this total order over all of them: sorted by ranges, with the counts of the ranges before added."""
+    from tracewell.session import materialise
+
+    cut = materialise(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    w = Window.partitionBy("_part").orderBy(*order)
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    before = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    return cut.withColumn("_row", F.row_number().over(w)).join(F.broadcast(before), "_part").withColumn("place", (F.col("_row") + F.col("_before")).cast("long")).drop("_part", "_row", "_before")

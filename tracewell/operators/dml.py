@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import text as tx
 from tracewell.operators.blocks import against
 from tracewell.operators.vector import cosine
+from tracewell.schema import ensure_schema
 
 #: Similarity at which decisions count as the same, and how far a hint has to cover a text.
 SAME_DECISION, MIN_SHARED, MIN_CONTAINMENT = 0.85, 2, 0.5
@@ -59,7 +60,7 @@ def semantic_contradictions(entries: DataFrame, vectors: DataFrame, batch: DataF
 def invalidate(edges: DataFrame, ids: DataFrame, now: int) -> DataFrame:
     """Edges with those of ids (id) no longer valid from now on."""
     hit = ids.select("id").distinct().withColumn("_hit", F.lit(True))
-    return edges.join(hit, "id", "left").withColumn("valid_to", F.when(F.col("_hit") & F.col("valid_to").isNull(), F.lit(now)).otherwise(F.col("valid_to"))).drop("_hit").select(*edges.columns)
+    return edges.join(hit, "id", "left").withColumn("valid_to", F.when(F.col("_hit") & F.col("valid_to").isNull(), F.lit(now).cast("long")).otherwise(F.col("valid_to"))).drop("_hit").select(*edges.columns)
 
 
 def restore(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -92,25 +93,43 @@ def supersede_by_hint(entries: DataFrame, hints: DataFrame) -> DataFrame:
 
 
 def upsert_facts(facts: DataFrame, batch: DataFrame, now: int, replace: bool = False) -> DataFrame:
-    """Facts with a batch (id, key, value, scope, confidence): an equal (key, value, scope) is renewed and valid again, others are added.
+    """Facts with a batch (id, key, value, scope, confidence, and source if any): an equal (key, value, scope) is renewed and valid again, others are added.
 
-    replace: other values of the same key and scope are retired, superseded by the new one. Of repeated
-    rows in a batch the last id counts.
+    All columns of the table stay, missing ones are added empty. A renewed fact keeps id and created_at. Of
+    repeated rows in a batch the last id counts. replace: of a key and scope only the batch's last value stays
+    valid: each earlier one is retired, superseded by the next, and all that the table had by the first.
     """
-    keys = ["key", "value", "scope"]
-    new = batch.groupBy(*keys).agg(F.max_by(F.struct("id", "confidence"), "id").alias("_b"))
-    joined = facts.join(new, keys, "left")
-    hit = F.col("_b").isNotNull()
-    none = F.lit(None).cast("long")
-    kept = joined.withColumns({"confidence": F.when(hit, F.col("_b.confidence")).otherwise(F.col("confidence")), "updated_at": F.when(hit, F.lit(now)).otherwise(F.col("updated_at")), "valid_to": F.when(hit, none).otherwise(F.col("valid_to"))}).drop("_b")
-    added = new.join(facts.select(*keys), keys, "left_anti").select("_b.id", *keys, "_b.confidence", F.lit(now).cast("long").alias("updated_at"), none.alias("valid_to"))
-    out = kept.select("id", *keys, "confidence", "updated_at", "valid_to").unionByName(added)
-    if not replace:
-        return out
-    current = out.join(batch.select(*keys).distinct(), keys, "left_semi").groupBy("key", "scope").agg(F.max("id").alias("_by"), F.collect_set("value").alias("_values"))
-    retired = out.join(current, ["key", "scope"], "left")
-    old = F.col("_by").isNotNull() & ~F.array_contains("_values", F.col("value")) & F.col("valid_to").isNull()
-    return retired.withColumns({"superseded_by": F.when(old, F.col("_by")), "valid_to": F.when(old, F.lit(now)).otherwise(F.col("valid_to"))}).drop("_by", "_values")
+    facts, keys = ensure_schema(facts, "agent_facts", extra=True), ["key", "value", "scope"]
+    source = F.col("source") if "source" in batch.columns else F.lit("agent")
+    held = F.struct("id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "confidence")).alias("confidence"), source.alias("source"))
+    known = facts.select(F.col("id").alias("_known"), *keys)
+    new = batch.groupBy(*keys).agg(F.max_by(held, "id").alias("_b")).join(known, keys, "left").withColumn("_fact", F.coalesce("_known", F.col("_b.id").cast("long")))
+    order = Window.partitionBy("key", "scope").orderBy("_b.id", "value")
+    new = new.withColumn("_next", F.lead("_fact").over(order) if replace else F.lit(None).cast("long"))
+    at, hit = F.lit(now).cast("long"), F.col("_b").isNotNull()
+    ends = F.when(F.col("_next").isNotNull(), at)
+    changed = {"confidence": F.col("_b.confidence"), "source": F.col("_b.source"), "updated_at": at, "valid_to": ends, "superseded_by": F.col("_next")}
+    kept = facts.join(new.drop("_known", "_fact"), keys, "left").withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in changed.items()})
+    if replace:
+        first = new.groupBy("key", "scope").agg(F.min_by("_fact", F.struct("_b.id", "value")).alias("_first"))
+        old = ~hit & F.col("_first").isNotNull() & F.col("valid_to").isNull()
+        kept = kept.join(first, ["key", "scope"], "left").withColumns({"superseded_by": F.when(old, F.col("_first")).otherwise(F.col("superseded_by")), "valid_to": F.when(old, at).otherwise(F.col("valid_to"))})
+    added = new.filter("_known is null").select(F.col("_fact").alias("id"), *keys, *[v.alias(c) for c, v in changed.items()], at.alias("created_at"))
+    return kept.select(*facts.columns).unionByName(added, allowMissingColumns=True)
+
+
+def retire_facts_by_hint(facts: DataFrame, hints: DataFrame, now: int) -> DataFrame:
+    """Facts with those retired that a hint (key, scope, hint, and exclude, the id of the fact it came with) takes back.
+
+    A fact of the same key and scope, no retraction itself, sharing MIN_SHARED distinct tokens of its value or
+    more, which make MIN_CONTAINMENT of the smaller set.
+    """
+    words = lambda c: F.array_distinct(tx.tokens(c))
+    asked = hints.select("key", "scope", words(F.col("hint")).alias("_h"), F.col("exclude").alias("_own")).filter(F.size("_h") >= MIN_SHARED)
+    near = facts.filter("valid_to is null").select("id", "key", "scope", "value", words(F.col("value")).alias("_w")).filter(~tx.is_retraction(F.col("value"))).join(asked, ["key", "scope"])
+    shared = F.size(F.array_intersect("_w", "_h"))
+    hit = near.filter((F.col("_own").isNull() | (F.col("_own") != F.col("id"))) & (shared >= MIN_SHARED) & (shared >= MIN_CONTAINMENT * F.least(F.size("_w"), F.size("_h")))).select("id")
+    return invalidate(facts, hit, now)
 
 
 def upsert_meta(meta: DataFrame, batch: DataFrame, now: int) -> DataFrame:

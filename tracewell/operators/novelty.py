@@ -27,11 +27,18 @@ def prediction_gap(actual: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def agreement(rows: DataFrame) -> DataFrame:
-    """(qid, agreement): mean Jaccard similarity of all pairs of a question's few results (qid, id, text); 1 for a single one."""
-    held = rows.select("qid", "id", F.array_distinct(tx.tokens(F.col("text"))).alias("t"))
-    pairs = held.join(held.select("qid", F.col("id").alias("_id"), F.col("t").alias("_t")), "qid").filter("id < _id")
-    mean = pairs.groupBy("qid").agg(F.avg(tx.jaccard(F.col("t"), F.col("_t"))).alias("agreement"))
-    return held.select("qid").distinct().join(mean, "qid", "left").select("qid", F.coalesce("agreement", F.lit(1.0)).alias("agreement"))
+    """(qid, agreement): mean Jaccard similarity of all pairs of a question's results (qid, id, text); 1 for a single one.
+
+    Results with equal token sets are counted once each with their number, so pairs are formed of different
+    sets only; copies agree wholly with each other, and those without tokens not at all.
+    """
+    sets = rows.select("qid", F.array_sort(F.array_distinct(tx.tokens(F.col("text")))).alias("t")).groupBy("qid", "t").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda s: sets.select("qid", F.col("t").alias(f"t{s}"), F.col("n").alias(f"n{s}"))
+    alike = F.when(F.size("ta") > 0, F.col("na") * (F.col("na") - 1) / 2).otherwise(0.0)
+    value = F.when(F.col("ta") == F.col("tb"), alike).otherwise(F.col("na") * F.col("nb") * tx.jaccard(F.col("ta"), F.col("tb")))
+    total = side("a").join(side("b"), "qid").filter("ta <= tb").groupBy("qid").agg(F.sum(value).alias("s"))
+    size = sets.groupBy("qid").agg(F.sum("n").alias("n"))
+    return size.join(total, "qid").select("qid", F.when(F.col("n") < 2, 1.0).otherwise(F.col("s") / F.nullif(F.col("n") * (F.col("n") - 1) / 2, F.lit(0.0))).alias("agreement"))
 
 
 # Phrases that take something back, with what they take back.

@@ -21,11 +21,14 @@ TABLES = {
 _DEFAULTS = {"q_value": 0.5, "access_count": 0, "weight": 0.2, "confidence": 0.5, "relation": "caused", "discovered_by": "agent", "scope": "user"}
 
 
-def ensure_schema(df: DataFrame, table: str) -> DataFrame:
-    """df with the columns of the current version of a table: missing ones get their default, types are cast, others go.
+def ensure_schema(df: DataFrame, table: str, version: int = SCHEMA_VERSION, extra: bool = False) -> DataFrame:
+    """df with the columns of the current version of a table: missing ones get their default, types are cast, others go unless extra.
 
     Applying it twice changes nothing. Old edges that have only created_at take it as event and discovery time.
+    A table of a later version than this is refused.
     """
+    if version > SCHEMA_VERSION:
+        raise ValueError(f"tables of version {version} are newer than {SCHEMA_VERSION}")
     fields = [f.strip().split(" ", 1) for f in TABLES[table].split(", ")]
     old = {"event_time": "created_at", "discovered_at": "created_at", "updated_at": "created_at", "valid_from": "discovered_at"}
     columns = []
@@ -37,7 +40,7 @@ def ensure_schema(df: DataFrame, table: str) -> DataFrame:
         else:
             c = F.lit(_DEFAULTS.get(name))
         columns.append(c.cast(kind).alias(name))
-    return df.select(*columns)
+    return df.select(*columns, *([c for c in df.columns if c not in dict(fields)] if extra else []))
 
 
 def entries(edges: DataFrame, chunks: DataFrame, valid_only: bool = True) -> DataFrame:
