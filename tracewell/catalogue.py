@@ -810,7 +810,7 @@ def cross_session(spark, d):
 @query("""WITH RECURSIVE e AS (SELECT l_partkey % 200 AS a, l_suppkey % 200 AS b FROM lineitem WHERE l_returnflag = 'R'), r AS (SELECT 5 AS node UNION SELECT a FROM e JOIN r ON b = node) SELECT node FROM r""")
 def backward_reachable(spark, d):
     """Nodes from which a node can be reached: distinct frontiers until nothing is new."""
-    from tracewell.session import materialise
+    from tracewell.session import materialise, release
 
     e = materialise(fx.table(spark, d, "lineitem").filter("l_returnflag = 'R'").select((F.col("l_partkey") % 200).alias("a"), (F.col("l_suppkey") % 200).alias("b")).distinct(), "reach-edges")
     seen = frontier = spark.range(1).select(F.lit(5).cast("long").alias("node"))
@@ -818,7 +818,8 @@ def backward_reachable(spark, d):
         frontier = materialise(e.join(frontier, F.col("b") == F.col("node")).select(F.col("a").cast("long").alias("node")).distinct().join(seen, "node", "left_anti"), "reach")
         if frontier.isEmpty():
             return seen
-        seen = materialise(seen.unionByName(frontier), "reach-seen")
+        before, seen = seen, materialise(seen.unionByName(frontier), "reach-seen")
+        release(before)
 
 
 # ---- Novelty, agreement, retractions

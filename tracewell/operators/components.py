@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.session import materialise
+from tracewell.session import materialise, release
 
 
 #: Edges (counted) up to which the smallest neighbour of every node is sent to all tasks; there are twice as many nodes at most.
@@ -43,8 +43,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_least(both, few).withColumn("m", F.least("a", "m")).filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = _with_least(large, few).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = materialise(small.filter("a <> b").distinct(), "components")
+        before, now = now, materialise(small.filter("a <> b").distinct(), "components")
         last, state = state, _state(now)
+        release(before)
         if state == last:
             break
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

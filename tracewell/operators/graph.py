@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text as tx
 from tracewell.operators.components import connected_components
-from tracewell.session import materialise
+from tracewell.session import materialise, release
 
 #: How much of an activation each relation passes on; unknown relations pass none.
 COEFFICIENTS = {"caused": 1.0, "fact": 0.8, "meta": 0.6, "enabled": 0.5, "co_occurrence": 1.0, "prevented": -0.3, "no_effect": 0.0}
@@ -52,7 +52,7 @@ def spread(graph: DataFrame, seeds: DataFrame, reverse: bool = False, inhibition
     if not inhibition:
         passing = passing.filter("_v > 0")
     passing = materialise(passing, "spread-edges")
-    now = materialise(seeds.select("node", (0.5 + 0.5 * F.col("q")).alias("activation")), "spread")
+    now = held = materialise(seeds.select("node", (0.5 + 0.5 * F.col("q")).alias("activation")), "spread")
     for _ in range(max_hops):
         got = now.filter(F.abs("activation") >= THRESHOLD).join(passing, F.col("node") == F.col("_s")).groupBy("_t").agg(F.sum(F.col("activation") * F.col("_v")).alias("_sum"))
         new = got.select(F.col("_t"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "_sum")).alias("_new"))
@@ -60,7 +60,8 @@ def spread(graph: DataFrame, seeds: DataFrame, reverse: bool = False, inhibition
         merged = F.when(F.abs(F.coalesce("_new", F.lit(0.0))) > F.abs(had), F.col("_new")).otherwise(had)
         both = now.join(new, F.col("node") == F.col("_t"), "full_outer").select(F.coalesce("node", "_t").alias("node"), merged.alias("activation"), ((F.abs(had) < THRESHOLD) & (F.abs(merged) >= THRESHOLD)).alias("fresh"))
         both = materialise(both, "spread")
-        now = both.drop("fresh")
+        release(held)
+        held, now = both, both.drop("fresh")
         if both.filter("fresh").isEmpty():
             break
     return now.filter(F.abs("activation") >= THRESHOLD)
@@ -222,7 +223,8 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.8
     p = start.select("node", F.col("s").alias("p"))
     for _ in range(iterations):
         moved = p.join(step, F.col("node") == F.col("_a")).select(F.col("_b").alias("node"), (alpha * F.col("p") * F.col("_w")).alias("p"))
-        p = materialise(moved.unionByName(start.select("node", ((1 - alpha) * F.col("s")).alias("p"))).groupBy("node").agg(F.sum("p").alias("p")), "ppr")
+        before, p = p, materialise(moved.unionByName(start.select("node", ((1 - alpha) * F.col("s")).alias("p"))).groupBy("node").agg(F.sum("p").alias("p")), "ppr")
+        release(before)
     return p
 
 
