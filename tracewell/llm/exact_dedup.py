@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import arrays
@@ -63,16 +63,10 @@ def _contents(docs: DataFrame, hash_of: Callable[[bytes], bytes]) -> DataFrame:
 
 
 def _decide(rows: DataFrame, key: str) -> DataFrame:
-    """keep_id, group_size and kept for rows grouped by key: most code points, then smallest id; of repeated rows one is kept."""
-    best = F.struct(F.col("_points").alias("points"), F.bitwise_not("_id").alias("low"))
-    joined = attach(
-        rows, key, "_id",
-        {"_n": F.count(F.lit(1)), "_best": F.max(best)},
-        {"group_size": F.sum("_n"), "_best": F.max("_best")},
-    )
-    again = F.row_number().over(Window.partitionBy(key, "_salt", "_id", "_points").orderBy(F.lit(1)))
-    keep = F.bitwise_not("_best.low")
-    return joined.withColumns({"keep_id": keep, "kept": (F.col("_id").eqNullSafe(keep)) & (F.col("_points") == F.col("_best.points")) & (again == 1)})
+    """keep_id, group_size and kept for rows (_row, a number of their own) grouped by key: most code points, then smallest id, nulls last; of repeated rows one is kept."""
+    best = F.min(F.struct((-F.col("_points")).alias("points"), F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
+    joined = attach(rows, key, "_row", {"_n": F.count(F.lit(1)), "_best": best}, {"group_size": F.sum("_n"), "_best": F.min("_best")})
+    return joined.withColumns({"keep_id": F.col("_best.id"), "kept": F.col("_row") == F.col("_best.row")})
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of: Callable[[bytes], bytes] = content_hash) -> DataFrame:
@@ -80,7 +74,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when the same after dropping the characters of [\\x20\\x09-\\x0D]; a null counts as
     empty, so nulls and blank texts form one group. Of a group the row with the most code points in the
-    original text stays, then the smallest id; a null id comes last. Of wholly repeated rows one stays.
+    original text stays, then the smallest id; a null id comes last. Of wholly repeated rows one stays. Ids may
+    be of any type with an order.
     Returns a row per input row: the id, keep_id, group_size, kept, text_sha256 (of the normalised text)
     and text_hash (the group key). Other columns are left out; an empty table gives an empty table.
 
@@ -89,13 +84,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a hash with several contents has its rows grouped by content instead.
     """
     named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = materialise(_decide(_digests(named, hash_of), "_hash").drop("_best", "_salt"), "exact-dedup")
+    digests = materialise(_digests(named, hash_of).withColumn("_row", F.monotonically_increasing_id()), "exact-dedup-digests")
+    rows = materialise(_decide(digests, "_hash").drop("_best", "_salt"), "exact-dedup")
     shared = materialise(rows.filter("group_size > 1").select(F.col("_id").alias("_member")).distinct(), "exact-dedup-members")
     members = join_counted(named, shared, F.col("_id").eqNullSafe(F.col("_member")), "left_semi", shared.count())
     contents = _contents(members, hash_of)
     kinds = contents.groupBy("_hash", "_content").agg(F.count(F.lit(1)).alias("_n")).groupBy("_hash").agg(F.count(F.lit(1)).alias("_kinds"))
     collided = materialise(kinds.filter("_kinds > 1").select("_hash"), "exact-dedup-collisions")
     if not collided.isEmpty():
-        apart = _decide(contents.join(collided, "_hash", "left_semi").withColumn("_key", F.struct("_hash", "_content")), "_key")
+        again = materialise(contents.join(collided, "_hash", "left_semi").withColumn("_row", F.monotonically_increasing_id()), "exact-dedup-again")
+        apart = _decide(again.withColumn("_key", F.struct("_hash", "_content")), "_key")
         rows = rows.join(collided, "_hash", "left_anti").unionByName(apart.select(*rows.columns))
     return rows.select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256"), F.col("_hash").alias("text_hash"))

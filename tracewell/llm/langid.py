@@ -39,6 +39,8 @@ UNKNOWN = "und"
 #: Bytes of text at a time: a code point takes a row of weights, so passes are shorter than elsewhere.
 CHUNK_BYTES = 400_000
 ORDERS = (1, 2, 3)
+#: Columns of a prediction.
+MADE = ("lang_pred", "score", "ambiguous")
 
 
 def codewords(n: int) -> np.ndarray:
@@ -229,8 +231,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     A text that is null or has no letter is "und" with score 0, as is every text where no language was
     learned. The new columns take the place of any of the same names. Repeated rows stay repeated.
     """
-    made = ("lang_pred", "score", "ambiguous")
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in MADE]
     fields = [docs.schema[c] for c in keep]
     rows = docs.select(*keep, F.col(text_col).alias("_langid_text")) if text_col not in keep else docs.select(*keep)
     at = keep.index(text_col) if text_col in keep else len(keep)
@@ -249,7 +250,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
                 part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[: len(keep)], languages.take(pa.array(np.where(none, len(model.languages), best))), pa.array(np.where(none, 0.0, score)), pa.array(unsure | none)],
-                    names=[*keep, *made],
+                    names=[*keep, *MADE],
                 )
 
     return rows.mapInArrow(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]))

@@ -52,14 +52,18 @@ def payload_digest(payload: bytes) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """A response record, or a revisit record, which has the HTTP header of the payload but not the payload."""
+    """A response record, or a revisit record, which has the HTTP header of the payload but not the payload.
+
+    A response is named by its digest, as each payload has one, so that revisits can refer to it.
+    """
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    lines = [f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 2000-01-01T00:00:00Z"]
+    response = uuid.uuid5(uuid.NAMESPACE_URL, f"sha1:{digest}")
+    lines = [f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4() if revisit else response}>", "WARC-Date: 2000-01-01T00:00:00Z"]
     lines += [f"WARC-Target-URI: {quote(url or '', safe=_URI)}"] * (url is not None)
     lines += [f"WARC-Payload-Digest: sha1:{digest}"] + [f"Page-ID: {page_id}"] * (page_id is not None)
     if revisit:
-        lines += [f"WARC-Profile: {_REVISIT_PROFILE}"] + [f"Refers-To-Page-ID: {refers_to}"] * (refers_to is not None)
+        lines += [f"WARC-Profile: {_REVISIT_PROFILE}", f"WARC-Refers-To: <urn:uuid:{response}>"] + [f"Refers-To-Page-ID: {refers_to}"] * (refers_to is not None)
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return _VERSION + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
