@@ -266,14 +266,39 @@ def test_links_over_fragments(monkeypatch):
 def test_edit_counts_query(spark, small):
     merge = bpe.codec(VOCABULARY).split_and_merge
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
-    for r in queries.op8_edit_counts(spark, small).limit(60).collect():
+    rows = queries.op8_edit_counts(spark, small).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
         t, n = docs[r.doc_id], len(docs[r.doc_id])
-        assert r.n_tokens == len(merge(t))
+        assert r.n_tokens == len(merge(t)) and r.n_reencoded < 60
         for at, removed, new in ((n // 4, 0, " edited's"), (n * 2 // 4, 7, ""), (n * 3 // 4, 5, "  New\n")):
             t = t[:at] + new + t[at + removed :]
         assert r.n_tokens_after == len(merge(t))
 
 
+def test_later_edits_read_the_kept_leaves(spark, monkeypatch):
+    """Batch after batch of edits: counts equal those of the whole texts, and no text is encoded again."""
+    merge = bpe.codec(VOCABULARY).split_and_merge
+    r = random.Random(8)
+    texts = {i: " ".join(r.choice(["some", "don't", "wörds", "12", "\n\n", "中文", "x" * 9]) for _ in range(40)) for i in range(20)} | {20: None, 21: ""}
+    leaves = edit_counts.count_leaves(table(spark, list(texts.items())), VOCABULARY)
+    now = {i: t or "" for i, t in texts.items()}
+    for step in range(3):
+        edits = {i: [(r.randrange(0, len(now[i]) + 2), r.randrange(0, 4), r.choice(["", " new", "'s", "é"])) for _ in range(2)] if i % 2 == step % 2 or i > 19 else None for i in now}
+        batch = spark.createDataFrame([(i, e) for i, e in edits.items()], "doc_id long, edits array<struct<position: int, removed: int, inserted: string>>")
+        made = edit_counts.apply_edits(leaves.join(batch, "doc_id"), VOCABULARY).collect()
+        got = {x.doc_id: x for x in made}
+        for i, e in edits.items():
+            before = len(merge(now[i]))
+            for at, removed, new in e or ():
+                at = min(at, len(now[i]))
+                now[i] = now[i][:at] + new + now[i][at + removed :]
+            x = got[i]
+            assert (x.n_tokens, x.n_tokens_after, x.text) == (before, len(merge(now[i])), now[i]) and sum(x.tokens) == x.n_tokens_after and sum(x.lengths) == len(now[i])
+            assert e or x.n_reencoded == 0
+        leaves = spark.createDataFrame([(x.doc_id, x.text, x.lengths, x.tokens) for x in made], "doc_id long, text string, lengths array<int>, tokens array<int>")
+
+
 # ---- Surrogates
 
 

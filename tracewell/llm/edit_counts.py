@@ -1,4 +1,8 @@
-"""Token counts that follow edits: a segment tree over pre-tokens, of which an edit touches a few leaves."""
+"""Token counts that follow edits: a segment tree over pre-tokens, of which an edit touches a few leaves.
+
+`count_leaves` encodes texts once and gives a table of each document's leaves. `apply_edits` reads such a
+table, changes the documents that have edits, and gives the table that the next batch of edits reads.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.llm import arrays
-from tracewell.llm.bpe import Codec, codec
+from tracewell.llm.bpe import CACHE_ENTRIES, Codec, codec
 from tracewell.llm.pretokens import pretoken_starts, pretoken_starts_of
+from tracewell.session import materialise
 
 #: Code points before an edit that can change a boundary, and code points that a boundary looks ahead.
 CONTEXT = 4
@@ -110,50 +118,117 @@ class CountedText:
         self._set(first, region, tokens)
 
 
-def counted_texts(data: np.ndarray, offsets: np.ndarray, c: Codec) -> Iterator[CountedText]:
-    """The documents with these byte offsets (from 0) in data, all counted in one pass."""
-    cp, at = arrays.code_points(data)
-    edges = np.searchsorted(at, offsets)
-    starts = pretoken_starts(cp, edges[:-1][edges[:-1] < edges[1:]])
-    number = c.numbers(data, np.append(at[starts], len(data)).astype(np.int64), True)
-    tokens, raw, size = c.cache.size[number], data.tobytes(), {}
+    def leaves_now(self) -> tuple[np.ndarray, np.ndarray]:
+        """Code points and tokens of each leaf that is not empty; an edited region is one leaf."""
+        at = slice(self.cap, self.cap + self.leaves)
+        full = self.length[at] > 0
+        return self.length[at][full], self.tokens[at][full]
+
+
+def _counter(c: Codec):
+    """Tokens of a pre-token, each counted once."""
+    size: dict[str, int] = {}
 
     def count(piece: str) -> int:
+        if len(size) > CACHE_ENTRIES:
+            size.clear()
         if piece not in size:
             size[piece] = len(c.merge(piece))
         return size[piece]
 
-    where = np.searchsorted(starts, edges)
+    return count
+
+
+def _leaves(data: np.ndarray, offsets: np.ndarray, c: Codec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points and tokens of the pre-tokens of the documents with these byte offsets (from 0), all counted in one pass; offsets of the documents."""
+    cp, at = arrays.code_points(data)
+    edges = np.searchsorted(at, offsets)
+    starts = pretoken_starts(cp, edges[:-1][edges[:-1] < edges[1:]])
+    number = c.numbers(data, np.append(at[starts], len(data)).astype(np.int64), True)
+    return np.diff(starts, append=len(cp)), c.cache.size[number], np.searchsorted(starts, edges)
+
+
+def counted_texts(data: np.ndarray, offsets: np.ndarray, c: Codec) -> Iterator[CountedText]:
+    """The documents with these byte offsets (from 0) in data."""
+    (lengths, tokens, to), raw, count = _leaves(data, offsets, c), data.tobytes(), _counter(c)
     for d in range(len(offsets) - 1):
-        a, b = where[d], where[d + 1]
-        yield CountedText(raw[offsets[d] : offsets[d + 1]].decode("utf-8", "replace"), starts[a:b] - edges[d], tokens[a:b], count)
+        n = lengths[to[d] : to[d + 1]]
+        yield CountedText(raw[offsets[d] : offsets[d + 1]].decode("utf-8", "replace"), np.cumsum(n) - n, tokens[to[d] : to[d + 1]], count)
 
 
-def count_edited(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
-    """Token counts of every whole text before and after its edits.
+def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
 
-    edits: array<struct<position, removed, inserted>>, applied in turn, positions in code points of the
-    text as edited so far; null edits, null members and places past the end change nothing. A null text
-    is empty. Returns the id, n_tokens, n_tokens_after, n_pretokens (before) and n_reencoded (pre-tokens
-    that edits had encoded anew). Repeated rows stay repeated; other columns are left out.
+
+def count_leaves(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row per input row: the id, the columns keep, text, and its leaves: lengths (code points) and tokens of its pre-tokens, in order.
+
+    A null text is empty and has no leaves. Repeated rows stay repeated; other columns are left out.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    columns = [id_col, *keep]
+    rows = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(columns)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("lengths", "tokens")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
         for batch in batches:
-            data, offsets = arrays.string_buffers(batch.column(1))
-            edits = batch.column(2).to_pylist()
+            data, offsets = arrays.string_buffers(batch.column(len(columns)))
             for low, high in arrays.chunks(offsets):
-                before, after, pieces, again = [], [], [], []
-                for d, text in enumerate(counted_texts(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], c), low):
-                    before.append(text.n_tokens)
-                    pieces.append(text.pretokens)
-                    for e in edits[d] or ():
-                        if e is not None and e["position"] is not None:
-                            text.edit(e["position"], e["removed"] or 0, e["inserted"] or "")
-                    after.append(text.n_tokens)
-                    again.append(text.reencoded)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *(pa.array(x, pa.int64()) for x in (before, after, pieces, again))], names=[id_col, "n_tokens", "n_tokens_after", "n_pretokens", "n_reencoded"])
-
-    return docs.select(id_col, text_col, edits_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_tokens_after long, n_pretokens long, n_reencoded long")
+                lengths, tokens, to = _leaves(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], c)
+                yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns, _lists(to, lengths), _lists(to, tokens)], names=schema.names)
+
+    return rows.mapInArrow(run, schema).select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(columns)], "text", "lengths", "tokens")
+
+
+def apply_edits(leaves: DataFrame, vocabulary: str, id_col: str = "doc_id", edits_col: str = "edits") -> DataFrame:
+    """Documents after their edits, from a table of leaves with a column of edits.
+
+    edits: array<struct<position, removed, inserted>>, applied in turn, positions in code points of the
+    text as edited so far; null edits, null members and places past the end change nothing. Of a document
+    without edits nothing is encoded or changed; of others only the regions of edits and some context.
+    Returns the id, n_tokens, n_tokens_after, n_pretokens (leaves before), n_reencoded (pre-tokens that
+    edits had encoded anew), and text, lengths and tokens, the leaves for the next batch, in which a region
+    edited now is one leaf. Repeated rows stay repeated; other columns are left out.
+    """
+    rows = leaves.select(F.col(id_col).alias("_id"), "text", "lengths", "tokens", F.col(edits_col).alias("_edits"))
+    counts = ("n_tokens", "n_tokens_after", "n_pretokens", "n_reencoded")
+    schema = T.StructType([rows.schema["_id"], *[T.StructField(n, T.LongType()) for n in counts], *[rows.schema[n] for n in ("text", "lengths", "tokens")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = _counter(codec(vocabulary))
+        for batch in batches:
+            sums = [np.array(pc.list_value_length(batch.column(2)).fill_null(0).to_pylist(), np.int64)]
+            ends = np.cumsum(sums[0])
+            flat = [pc.list_flatten(batch.column(i)).to_numpy() for i in (2, 3)]
+            total = np.concatenate([[0], np.cumsum(flat[1], dtype=np.int64)])
+            begin = ends - sums[0]
+            before = total[ends] - total[begin]
+            after, again = before.copy(), np.zeros(len(before), np.int64)
+            edits, changed = batch.column(4), {}
+            for d in np.flatnonzero(np.array(pc.list_value_length(edits).fill_null(0).to_pylist()) > 0).tolist():
+                lengths = flat[0][begin[d] : ends[d]].astype(np.int64)
+                text = CountedText(batch.column(1)[d].as_py() or "", np.cumsum(lengths) - lengths, flat[1][begin[d] : ends[d]].astype(np.int64), count)
+                for e in edits[d].as_py():
+                    if e is not None and e["position"] is not None:
+                        text.edit(e["position"], e["removed"] or 0, e["inserted"] or "")
+                after[d], again[d] = text.n_tokens, text.reencoded
+                changed[d] = (text.content(), *text.leaves_now())
+            held = [[batch.column(1)[d].as_py() or "", flat[0][begin[d] : ends[d]], flat[1][begin[d] : ends[d]]] if d not in changed else changed[d] for d in range(batch.num_rows)]
+            to = np.concatenate([[0], np.cumsum([len(h[1]) for h in held])])
+            none = [np.zeros(0, np.int32)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(x) for x in (before, after, sums[0], again)), pa.array([h[0] for h in held], pa.string()), *(_lists(to, np.concatenate([h[i] for h in held] or none)) for i in (1, 2))],
+                names=schema.names,
+            )
+
+    return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+
+
+def count_edited(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
+    """Token counts of every whole text before and after its edits: id, n_tokens, n_tokens_after, n_pretokens, n_reencoded.
+
+    The leaves of all texts are written to the shared folder; the edits (as apply_edits takes them) are
+    applied to what is read from there. A null text is empty. Repeated rows stay repeated; other columns are left out.
+    """
+    leaves = materialise(count_leaves(docs, vocabulary, id_col, text_col, (edits_col,)), "edit-leaves")
+    return apply_edits(leaves, vocabulary, id_col, edits_col).drop("text", "lengths", "tokens")
