@@ -14,40 +14,52 @@ from tracewell.session import materialise, shared_dir
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language cannot be told: no letters, or several codewords as near and none likely.
 
-    A document in two languages is ambiguous too, but one of them is half likely, so it stays.
+    A document in two languages is ambiguous too, but one of them is half likely, so it stays. Null texts have
+    no letters and go; repeated rows stay repeated.
     """
-    columns = docs.columns
     model = langid.fit(docs.filter(~queries.held_out()))
-    return langid.predict(docs, model).filter(f"lang_pred <> '{langid.UNKNOWN}' and not (ambiguous and score < 0.5)").select(*columns)
+    if set(langid.MADE).isdisjoint(docs.columns):
+        return told(langid.predict(docs, model)).select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
+    return told(langid.predict(whole, model, keep=["_doc"])).select("_doc.*")
+
+
+def told(predicted: DataFrame) -> DataFrame:
+    """The rows whose language can be told: that is known, and not ambiguous unless it is half likely."""
+    return predicted.filter(f"lang_pred <> '{langid.UNKNOWN}' and not (ambiguous and score < 0.5)")
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id")
-    return _of_ids(docs, kept)
+    """One row of each group of equal texts stays. Null texts are empty; repeated rows are equal; a null id gives way to others."""
+    return _of_keys(docs, lambda keyed: exact_dedup.exact_dedup(keyed).filter("kept").select("doc_id"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similarity the one with the smallest id stays."""
-    kept = jaccard_join.jaccard_components(docs).filter("doc_id <=> component_id").select("doc_id")
-    return _of_ids(docs, kept)
+    """Of documents linked by similarity the one with the smallest id stays, a null id after all others; of repeated rows one. Texts without words are linked with nothing."""
+    return _of_keys(docs, lambda keyed: jaccard_join.jaccard_components(keyed).filter("doc_id = component_id").select("doc_id").distinct())
 
 
-def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of these ids, of repeated rows one; rows of a null id count as of one id."""
-    key = F.coalesce("doc_id", F.lit(-(2**63))).alias("_key")
-    kept = materialise(ids.select(key).distinct(), "kept-ids")
-    rows = docs.select("*", key, F.md5(F.coalesce("text", F.lit(""))).alias("_text_key")).join(kept, "_key", "left_semi")
-    return rows.dropDuplicates(["_key", "_text_key"]).select(*docs.columns)
+def _of_keys(docs: DataFrame, choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row of each key that choose picks from rows (doc_id, text) whose doc_id is that key: the row's id, nulls last, and its text's digest.
+
+    So a row goes or stays by its own text where an id occurs with several.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("text"))
+    kept = materialise(choose(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("_kept")), "kept-keys")
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    keyed = docs.withColumn(name, key)
+    return keyed.join(kept, keyed[name].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([name]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a passage of the benchmark."""
+    """Drops documents with a passage of the benchmark; null and empty texts have none and stay, as do repeated rows."""
     return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with the offsets that decoding a part needs."""
+    """Token ids of every text, with the offsets that decoding a part needs; a null text is empty. Repeated rows stay repeated, other columns go."""
     return bpe.encode(docs, queries.VOCABULARY)
 
 
