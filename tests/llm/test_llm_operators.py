@@ -206,6 +206,30 @@ def test_url_cases(spark):
     ]
 
 
+def test_literals_are_tokens_of_whatever_a_pattern_matches():
+    rule = url_rules.PatternRule
+    assert rule("block", "^torrent^*download^").literals == ("torrent",) and rule("block", "||ads.*/click^").literals == ("ads", "click") and rule("block", "^wp-login.php^").literals == ("wp", "login", "php")
+    for text in ("casino", "^casino", "*casino*", "slots*"):
+        with pytest.raises(ValueError):
+            rule("block", text).literals
+    rng, matched = random.Random(4), 0
+    pieces = [p for r in url_rules.PATTERN_RULES for p in re.findall("[a-z0-9]+|[^a-z0-9^*|]", r.text)] + ["/", "-", ".", "?", "=", "http://", "x", "9"]
+    for r in url_rules.PATTERN_RULES:
+        own = re.findall("[a-z0-9]+|.", r.text.replace("||", "http://www."))
+        for _ in range(200):
+            url = "".join(rng.choice(pieces + own) if rng.random() < 0.2 else {"^": rng.choice("/-.?&"), "*": rng.choice(pieces)}.get(p, p) for p in own) + rng.choice(["", "/", "x"])
+            if re.search(r.pattern, url):
+                matched += 1
+                assert set(r.literals) <= set(re.findall("[a-z0-9]+", url)), (r, url)
+    assert matched > 1000
+    index = url_rules.build_index(url_rules.PATTERN_RULES, {})
+    compiled = [re.compile(r.pattern) for r in url_rules.PATTERN_RULES]
+    for _ in range(3000):
+        url = "http://" + "".join(rng.choice(pieces) for _ in range(8))
+        hit = [r.action for r, c in zip(url_rules.PATTERN_RULES, compiled) if c.search(url)]
+        assert url_rules.pattern_verdict(url, url_rules.PATTERN_RULES, compiled, index) == ("block" if hit and "allow" not in hit else "allow")
+
+
 # ---- Jaccard join
 
 

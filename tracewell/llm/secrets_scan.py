@@ -112,9 +112,11 @@ def find_secrets(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                 ends = [b + i for i, b in enumerate(at[1:])]
                 out = []
                 for i, found in enumerate(scan(text, ends, lambda run: len(merge(run.decode("ascii"))))):
-                    start = at[i] + i
-                    place = lambda x, s=start: len(text[s:x].decode("utf-8", "replace"))
-                    out.append([{"kind": KINDS[k], "start": place(a), "end": place(b)} for a, k, b in found])
+                    places, last, points = {}, at[i] + i, 0
+                    for x in sorted({x for a, _, b in found for x in (a, b)}):  # each part of the text is decoded once
+                        points += len(text[last:x].decode("utf-8", "replace"))
+                        places[x], last = points, x
+                    out.append([{"kind": KINDS[k], "start": places[a], "end": places[b]} for a, k, b in found])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(out, spans_type)], names=[id_col, "spans"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, spans array<struct<kind: string, start: long, end: long>>")

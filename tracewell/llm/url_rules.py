@@ -5,26 +5,56 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_B, _E = "(?:^|[^a-z0-9])", "(?:[^a-z0-9]|$)"
+_ALNUM = "a-z0-9"
+_GAP = f"[^{_ALNUM}]"
+_PARTS = re.compile(rf"\|\||[{_ALNUM}]+|.", re.DOTALL)
 
 
 @dataclass(frozen=True)
 class PatternRule:
-    """A regular expression over the URL (A-Z lower-cased) which can match only where all its literals are tokens."""
+    """A pattern over the URL (A-Z lower-cased): ^ is no letter or digit, or the start or end; * anything; || the start of a host or of one of its parts."""
 
     action: str
-    literals: tuple[str, ...]
-    pattern: str
-
-
-def literal_rule(action: str, *literals: str, gap: str = "[^a-z0-9]") -> PatternRule:
-    """The literals as whole tokens, in order, with gap between them."""
-    return PatternRule(action, literals, _B + gap.join(map(re.escape, literals)) + _E)
+    text: str
+
+    @cached_property
+    def _parts(self) -> list[str]:
+        return _PARTS.findall(self.text)
+
+    @cached_property
+    def pattern(self) -> str:
+        """The regular expression."""
+        out, last = [], len(self._parts) - 1
+        for i, part in enumerate(self._parts):
+            if part == "||":
+                out.append(r"://(?:[^/?#]*[.])?")
+            elif part == "^":
+                out.append(f"(?:^|{_GAP})" if i == 0 else f"(?:{_GAP}|$)" if i == last else _GAP)
+            else:
+                out.append(".*" if part == "*" else re.escape(part))
+        return "".join(out)
+
+    @cached_property
+    def literals(self) -> tuple[str, ...]:
+        """Letters and digits of the pattern that are whole tokens of every URL it matches: what bounds them is no letter or digit."""
+        bounds = lambda i: 0 <= i < len(self._parts) and self._parts[i] != "*" and not self._parts[i].isalnum()
+        found = tuple(p for i, p in enumerate(self._parts) if re.fullmatch(f"[{_ALNUM}]+", p) and bounds(i - 1) and bounds(i + 1))
+        if not found:
+            raise ValueError(f"no part of {self.text!r} is a whole token")
+        return found
+
+
+def read_rules(path: Path) -> tuple[PatternRule, ...]:
+    """The rules of a file: an action and a pattern a line."""
+    lines = (line.strip() for line in path.read_text("utf-8").splitlines())
+    return tuple(PatternRule(*line.split(None, 1)) for line in lines if line and not line.startswith("#"))
 
 
 @dataclass(frozen=True)
@@ -50,22 +80,7 @@ SITE_RULES = (
 )
 
 #: The pattern rules in use: an allowing pattern outweighs blocking ones.
-PATTERN_RULES = (
-    literal_rule("block", "adult"),
-    literal_rule("block", "casino"),
-    literal_rule("block", "porn"),
-    literal_rule("block", "xxx"),
-    literal_rule("block", "poker"),
-    literal_rule("block", "escort"),
-    literal_rule("block", "wp", "login", "php"),
-    literal_rule("block", "cgi", "bin"),
-    literal_rule("block", "doubleclick", "net"),
-    literal_rule("block", "phpmyadmin"),
-    PatternRule("block", ("torrent",), _B + r"torrent[^a-z0-9](?:[^?#]*[^a-z0-9])?(?:download|magnet)" + _E),
-    PatternRule("block", ("ref", "spam"), r"[?&]ref=spam" + _E),
-    literal_rule("allow", "adult", "education"),
-    literal_rule("allow", "poker", "history"),
-)
+PATTERN_RULES = read_rules(Path(__file__).with_name("url_patterns.txt"))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
