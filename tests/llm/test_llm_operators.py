@@ -354,6 +354,38 @@ def test_layouts_of_phone_numbers(number):
     assert surrogates._number(made)[0] == surrogates._number(number)[0]
 
 
+@pytest.mark.parametrize(
+    "kind,text",
+    [("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB29NWBK60161331926819"), ("ip6", "2001:db8:85a3::8a2e:370:7334"), ("ip6", "fe80::1ff:fe23:4567:890a"), ("ip6", "2001:0DB8:0000:0000:0000:0000:0000:0001"), ("ssn", "123-45-6789")],
+)
+def test_more_kinds(spark, kind, text):
+    assert surrogates.entities(f"see {text}, ok") == [(4, 4 + len(text), kind)]
+    made = surrogates.surrogate(kind, text, b"k")
+    assert made != text and surrogates.entities(f"see {made}, ok") == [(4, 4 + len(made), kind)]
+    data, offsets = arrays.string_buffers(pa.array(["none", f"see {text}, ok"]))
+    assert surrogates.may_have_entities(data, offsets).tolist() == [False, True]
+    if kind == "iban":
+        assert re.sub("[0-9]", "9", made)[4:].translate(str.maketrans(string.ascii_uppercase, "A" * 26)) == re.sub("[0-9]", "9", text)[4:].translate(str.maketrans(string.ascii_uppercase, "A" * 26)) and made[:2] == text[:2]
+    if text.startswith("fe80"):
+        assert made.startswith("fe")
+
+
+def test_what_is_no_iban_address_or_number():
+    assert "iban" not in {k for *_, k in surrogates.entities("DE89 3704 0044 0532 0130 01")}
+    assert not surrogates.entities("std::vector a::b ::1 10:30:45 000-12-3456 666-12-3456 123-00-4567 fe:ed")
+
+
+def test_forms_of_one_address_agree():
+    made = {surrogates.surrogate("ip6", t, b"k") for t in ("2001:db8::1", "2001:0db8:0:0:0:0:0:1", "2001:DB8::0001")}
+    assert len(made) == 1 and len({surrogates._mark("ip6", t, b"k") for t in ("2001:db8::1", "2001:0db8:0:0:0:0:0:1")}) == 1
+
+
+def test_entities_of_a_long_text_equal_those_of_its_parts():
+    part = "Write to a.b@example.com or call +1 (743) 555-3824, Mrs Anna Schmidt at 10.1.2.3. "
+    one = surrogates.entities(part)
+    assert surrogates.entities(part * 3000) == [(a + i * len(part), b + i * len(part), k) for i in range(3000) for a, b, k in one] and len(one) == 4
+
+
 def test_layouts_of_one_phone_number_agree_and_dates_are_none():
     made = {surrogates._mark("phone", surrogates.surrogate("phone", n, b"k"), b"k") for n in ("+15551234567", "+1 (555) 123-4567", "555 123 4567", "1-555-123-4567")}
     assert len(made) == 1

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from ipaddress import IPv6Address
 from math import isqrt
 
 import numpy as np
@@ -137,6 +139,51 @@ def _ip(text: str, key: bytes) -> str:
     return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
 
 
+#: Networks of addresses of version 6 that stay apart from others: link-local and unique local ones.
+_PRIVATE6 = [(0xFE80 << 112, 10), (0xFC << 120, 7)]
+
+
+def _network6(n: int) -> tuple[int, int] | None:
+    return next(((base, bits) for base, bits in _PRIVATE6 if n >> (128 - bits) == base >> (128 - bits)), None)
+
+
+def _ip6(text: str, key: bytes) -> str:
+    """In the short form, whatever the form of the original, so that all forms of an address have one surrogate."""
+    n = int(IPv6Address(text))
+    net = _network6(n)
+    if net:
+        free = 128 - net[1]
+        n = net[0] | Permutation(1 << free, f"ip6{net[1]}", key)(n & ((1 << free) - 1))
+    else:
+        permutation = Permutation(1 << 128, "ip6", key)
+        n = permutation(n)
+        while _network6(n):
+            n = permutation(n)
+    return str(IPv6Address(n))
+
+
+def _iban_rest(text: str) -> int:
+    """The number that the check digits make 1, modulo 97."""
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
+
+
+def _iban(text: str, key: bytes) -> str:
+    """The country stays, letters and digits of the account stay such, and the check digits are right."""
+    plain = text.replace(" ", "")
+    body = permute_text(plain[4:], f"iban{plain[:2]}", key)
+    check = 98 - _iban_rest(plain[:2] + "00" + body)
+    made = iter(plain[:2] + f"{check:02d}" + body)
+    return "".join(c if c == " " else next(made) for c in text)
+
+
+def _ssn(text: str, key: bytes) -> str:
+    return _laid_out(permute_text(text.replace("-", ""), "ssn", key, fits=_is_ssn), text)
+
+
+def _is_ssn(digits: str) -> bool:
+    return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+
+
 #: Country codes of one and two digits; the others have three.
 _COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 
@@ -201,7 +248,7 @@ def _person(text: str, key: bytes) -> str:
     return re.sub(r"[^  ]+", lambda m: _name(m[0], key), text)
 
 
-_MAKERS = {"email": _email, "card": _card, "ip": _ip, "phone": _phone, "person": _person}
+_MAKERS = {"email": _email, "iban": _iban, "card": _card, "ip": _ip, "ip6": _ip6, "ssn": _ssn, "phone": _phone, "person": _person}
 
 
 @lru_cache(maxsize=100_000)
@@ -212,12 +259,15 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
 
 def _mark(kind: str, text: str, key: bytes) -> str:
     """A keyed hash of an entity, the same for all its spellings and layouts."""
-    plain = re.sub(r"\D", "", text) if kind == "card" else "{} {}".format(*(x or "1" for x in _number(text))) if kind == "phone" else _low(text)
+    plain = re.sub(r"\W", "", text) if kind in ("card", "iban", "ssn") else str(IPv6Address(text)) if kind == "ip6" else "{} {}".format(*(x or "1" for x in _number(text))) if kind == "phone" else _low(text)
     return hashlib.blake2b(f"{kind} {plain}".encode(), key=hashlib.blake2b(key, digest_size=32).digest(), digest_size=16).hexdigest()
 
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)", re.ASCII)
+_IP6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,7}(?::|[0-9A-Fa-f]{1,4}|(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:]|\.\d)", re.ASCII)
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)(?!\w)", re.ASCII)
+_SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII)
 _CARD = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\d)", re.ASCII)
 _PHONE = re.compile(
     r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)"
@@ -248,28 +298,44 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         i = text.find("@", last)
 
 
+def _is_ip6(text: str) -> bool:
+    """An address, and not one that has no host or is the own machine's."""
+    try:
+        return int(IPv6Address(text)) > 1
+    except ValueError:
+        return False
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the entities in a text, in order and apart: of overlapping ones the earlier kind of email, card, ip, phone, person."""
+    """(start, end, kind) of the entities in a text, in order and apart: of overlapping ones the earlier kind of email, iban, card, ip, ip6, ssn, phone, person."""
     found = [(a, b, "email") for a, b in _emails(text)]
+    found += [(*m.span(), "iban") for m in _IBAN.finditer(text) if 15 <= len(plain := m[0].replace(" ", "")) <= 34 and _iban_rest(plain) == 1]
     found += [(*m.span(), "card") for m in _CARD.finditer(text) if luhn(re.sub(r"\D", "", m[0])) and len(set(m[0])) > 2]
     found += [(*m.span(), "ip") for m in _IP.finditer(text)]
+    found += [(*m.span(), "ip6") for m in _IP6.finditer(text) if _is_ip6(m[0])]
+    found += [(*m.span(), "ssn") for m in _SSN.finditer(text) if _is_ssn(m[0].replace("-", ""))]
     found += [(*m.span(), "phone") for m in _PHONE.finditer(text) if 8 <= sum(map(str.isdigit, m[0])) <= 15]
     for m in _PERSON.finditer(text):
         a, b = m.span("names") if m["title"] else m.span()
-        words = text[a:b].replace(" ", " ").split(" ")
+        words = text[a:b].replace("\u00a0", " ").split(" ")
         while words and not words[-1][0].isupper():
             b -= len(words.pop()) + bool(words)
         if words and (m["title"] or len(words) > 1):
             found.append((a, b, "person"))
-    out: list[tuple[int, int, str]] = []
+    starts: list[int] = []
+    out: list[tuple[int, int, str]] = []  # in order of their starts
     for a, b, kind in found:
-        if all(b <= x or a >= y for x, y, _ in out):
-            out.append((a, b, kind))
-    return sorted(out)
+        at = bisect_left(starts, a)
+        if (at == 0 or out[at - 1][1] <= a) and (at == len(out) or b <= starts[at]):
+            starts.insert(at, a)
+            out.insert(at, (a, b, kind))
+    return out
 
 
 _NEAR = np.zeros(128, bool)
 _NEAR[list(b"0123456789 ().+-")] = True
+_HEX = np.zeros(128, bool)
+_HEX[list(b"0123456789abcdefABCDEF:")] = True
 
 
 @lru_cache(maxsize=1)
@@ -284,7 +350,7 @@ def _trigger_hashes() -> tuple[np.ndarray, np.ndarray]:
 
 
 def may_have_entities(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Which documents have what every entity has: an @, four digits among punctuation, or a title or given name."""
+    """Which documents have what every entity has: an @, four digits among punctuation, two colons among hexadecimal digits, or a title or given name."""
     cp, at = arrays.code_points(data)
     edges = np.searchsorted(at, offsets)
     out = np.zeros(len(offsets) - 1, bool)
@@ -297,6 +363,10 @@ def may_have_entities(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     step = np.flatnonzero(np.diff(near, prepend=False))
     count = np.diff(np.concatenate([[0], np.cumsum(digit)])[np.append(step, len(cp))])
     out[of(step[np.flatnonzero(count >= 4)])] = True
+    hexadecimal = _HEX[np.minimum(cp, 127)]
+    step = np.flatnonzero(np.diff(hexadecimal, prepend=False))
+    count = np.diff(np.concatenate([[0], np.cumsum(cp == 0x3A)])[np.append(step, len(cp))])
+    out[of(step[np.flatnonzero(count >= 2)])] = True
     letter = classes()[cp] == 0
     edge = np.diff(letter.astype(np.int8), prepend=0, append=0)
     a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -306,7 +376,7 @@ def may_have_entities(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out[of(a[maybe[np.isin(own[maybe], hashes)]])] = True
     first = edges[:-1][(edges[:-1] > 0) & (edges[:-1] < len(cp))]  # a run that a document's start cuts in two
     out[of(first[letter[first] & letter[first - 1]])] = True
-    cut = first[near[first] & near[first - 1]]
+    cut = first[near[first] & near[first - 1] | hexadecimal[first] & hexadecimal[first - 1]]
     out[of(cut)] = True
     out[of(cut - 1)] = True
     return out
@@ -321,8 +391,8 @@ _ARROW_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
 def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, entities): every whole text with its personal data replaced, and where that was.
 
-    Kinds: email, card (13 to 19 digits with a right check digit), ip (version 4), phone, person (after a
-    title, or a given name with a family name). entities has kind, start and end in code points of the
+    Kinds: email, iban (with right check digits), card (13 to 19 digits with a right check digit), ip (version
+    4), ip6, ssn (laid out as 3-2-4 digits), phone, person (after a title, or a given name with a family name). entities has kind, start and end in code points of the
     original text, and replacement. Texts without any are as they were; a null text stays null, with an
     empty array. Repeated rows stay repeated; other columns are left out. The result is written to the
     shared folder, with keyed hashes of entities and replacements, and ValueError is raised where one
