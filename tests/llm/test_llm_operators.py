@@ -17,12 +17,12 @@ from tracewell.operators import components
 from tracewell.llm import arrays, bpe, decontam, edit_counts, exact_dedup, jaccard_join, langid, queries, secrets_scan, surrogates, url_rules, warc
 
 VOCABULARY = queries.VOCABULARY
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, spans string, _id int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, spans string, _id int, _salt int, _hash string, _hits int, class long, lang_pred string, _key int, _text string, _row int"
 
 
 def table(spark, rows):
     """Documents with other columns whose names operators use too."""
-    return spark.createDataFrame([(i, t, "en", None, None, None, None, None) for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, "en", *[None] * 13) for i, t in rows], DOCS)
 
 
 LONG = "word " * 40_000
@@ -62,6 +62,23 @@ def test_warc_round_trip(spark):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_query(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet").collect()
+    first = {}
+    for p in sorted(pages, key=lambda p: p.page_id):
+        first.setdefault(p.html or "", p.page_id)
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = [(p.page_id, len((p.html or "").encode()), digest(p.html or ""), *(("response", None) if first[p.html or ""] == p.page_id else ("revisit", first[p.html or ""]))) for p in pages]
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in queries.op1_warc(spark, small).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_revisits_name_the_record_they_refer_to():
+    head = lambda *a: warc.parse_header(warc.record(*a).split(b"\r\n\r\n")[0])
+    response, revisit, other = head(1, "u", b"x", "D", None, False), head(2, "u", b"x", "D", 1, True), head(3, "u", b"y", "E", None, False)
+    assert revisit["warc-refers-to"] == response["warc-record-id"] != other["warc-record-id"]
+
+
 def test_normaliser_makes_members_that_read_alone(tmp_path):
     import gzip
     import json
@@ -80,6 +97,25 @@ def test_normaliser_makes_members_that_read_alone(tmp_path):
         list(warc.normalise_archive(f"file://{tmp_path}/cut.warc.gz", f"file://{tmp_path}/x.warc.gz"))
 
 
+# ---- Byte-level BPE
+
+
+def test_byte_bpe_query(spark, small):
+    merge = bpe.codec(VOCABULARY).split_and_merge
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = queries.op2_byte_bpe(spark, small).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        ids = merge(docs[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(docs[r.doc_id].encode()).hexdigest())
+
+
+def test_ids_decode_to_the_texts(spark):
+    df = table(spark, ODD[:3] + ODD[-1:])
+    got = {r.doc_id: bytes(r.content).decode() for r in bpe.decode(bpe.encode(df, VOCABULARY), VOCABULARY).collect()}
+    assert got == {i: t or "" for i, t in ODD[:3] + ODD[-1:]}
+
+
 # ---- Secrets
 
 
@@ -501,6 +537,28 @@ def test_decontamination_carries_ids_of_any_type(spark):
 # ---- Pipeline
 
 
+@pytest.mark.parametrize("stage", [s for s, _ in corpus_pipeline.STAGES])
+def test_stages_bear_odd_rows_and_empty_tables(spark, small, stage):
+    function = dict(corpus_pipeline.STAGES)[stage]
+    rows = [*ODD, (9, "one text here of seven words now"), (9, "another text under the same id entirely")]
+    docs = table(spark, rows).withColumn("lang_pred", F.lit("kept"))
+    out = function(spark, docs, small)
+    got = Counter((r.doc_id, r.text if "text" in out.columns else None) for r in out.collect())
+    if stage == "byte_bpe":
+        assert sum(got.values()) == len(rows) and out.filter("doc_id = 2").first().n_tokens == 0
+    else:
+        assert out.columns == docs.columns and {r.lang_pred for r in out.select("lang_pred").collect()} == {"kept"}
+        gone = {"language_id": [(2, None), (3, ""), (5, "  \t\n")], "exact_dedup": [(3, ""), (4, rows[4][1]), (2, None)], "jaccard_join": [(4, rows[4][1])], "decontamination": []}[stage]
+        assert set(got) == set(rows) - set(gone)
+        assert all(n == (2 if k[0] == 4 and stage in ("language_id", "decontamination") else 1) for k, n in got.items())
+    assert function(spark, docs.limit(0), small).count() == 0
+
+
+def test_ambiguous_rows_go_unless_half_likely(spark):
+    rows = [(1, "en", 0.9, False), (2, "en", 0.4, True), (3, "en", 0.6, True), (4, "und", 0.0, True)]
+    assert sorted(r.i for r in corpus_pipeline.told(spark.createDataFrame(rows, "i int, lang_pred string, score double, ambiguous boolean")).collect()) == [1, 3]
+
+
 def test_pipeline_equals_its_operators_by_brute_force(spark, small, duck):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     kept = {r[0] for r in duck.sql(f"SELECT doc_id FROM ({queries.OP4_SQL}) WHERE kept").fetchall() if re.search(r"[^\W\d_]", docs[r[0]])}
