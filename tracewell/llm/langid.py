@@ -26,7 +26,7 @@ SAMPLE = 1536
 #: Of these, one in so many is held back from learning, to weigh the bits and scale the margins.
 CALIBRATE_EVERY = 4
 #: Texts that one task learns from; tasks start each of ROUNDS from the mean of what all have learned, and pass EPOCHS times over their texts.
-PART_TEXTS, ROUNDS, EPOCHS, BATCH = 384, 2, 2, 32
+PART_TEXTS, ROUNDS, EPOCHS, BATCH = 192, 2, 2, 32
 START, RATE, SHRINK = 20.0, 1.0, 1e-5
 #: Each text is learned from as a whole and by excerpts of so many code points, so that short texts are told too.
 EXCERPTS = (40, 12)
@@ -120,9 +120,9 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample:
     return join_counted(texts, chosen, ["_id", "_lang"], "inner", chosen.count()).groupBy("_id", "_lang").agg(F.min("_text").alias("_text"))
 
 
-def _features(texts: pa.Array, excerpt: int | None = None) -> np.ndarray:
+def _features(texts: pa.Array, excerpt: int | None = None, out: np.ndarray | None = None) -> np.ndarray:
     """Share of each hashed n-gram among all of each text, or of an excerpt of so many code points from some place of it."""
-    out = np.zeros((len(texts), FEATURES), np.float32)
+    out = np.zeros((len(texts), FEATURES), np.float32) if out is None else out
     data, offsets = arrays.string_buffers(texts)
     for low, high in arrays.chunks(offsets, CHUNK_BYTES):
         grams, edges, _ = _grams(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
@@ -137,9 +137,11 @@ def _features(texts: pa.Array, excerpt: int | None = None) -> np.ndarray:
 
 
 def learn(x: np.ndarray, target: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Weights (features x bits) after EPOCHS passes of logistic regression, of each bit on its own labels (-1, +1), from weights on; the mean over the last pass."""
-    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    x = x / np.maximum(size, 1e-9)
+    """Weights (features x bits) after EPOCHS passes of logistic regression, of each bit on its own labels (-1, +1), from weights on; the mean over the last pass.
+
+    The rows of x are brought to length 1 in place.
+    """
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
     w, mean, steps = weights.copy(), np.zeros_like(weights), 0
     random = np.random.default_rng(11)
     for epoch in range(EPOCHS):
@@ -174,7 +176,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def count(table: pa.Table) -> pa.Table:
         total = np.zeros((len(names), FEATURES))
-        for b in table.to_batches(max_chunksize=256):
+        for b in table.to_batches(max_chunksize=64):
             np.add.at(total, [number[lang] for lang in b.column(1).to_pylist()], _features(b.column(3)))
         return pa.table({"total": pa.array([total.tobytes()], pa.binary())})
 
@@ -191,7 +193,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         def run(table: pa.Table) -> pa.Table:
             table = table.sort_by([("_key", "ascending"), ("_lang", "ascending")]).combine_chunks()
             texts = table.column(3).combine_chunks()
-            x = np.concatenate([_features(texts, size) for size in (None, *EXCERPTS)]) * scale.T
+            x = np.zeros(((1 + len(EXCERPTS)) * len(texts), FEATURES), np.float32)
+            for i, size in enumerate((None, *EXCERPTS)):
+                _features(texts, size, x[i * len(texts) : (i + 1) * len(texts)])
+            x *= scale.T
             target = np.tile(code[[number[lang] for lang in table.column(1).to_pylist()]].astype(np.float32), (1 + len(EXCERPTS), 1))
             return pa.table({"n": pa.array([table.num_rows]), "weights": pa.array([learn(x, target, start).tobytes()], pa.binary())})
 
