@@ -651,7 +651,8 @@ def mined_patterns(spark, d):
     k = F.col("doc_id") % 5
     outcome = F.when(k == 0, "build failed").when(k == 1, "all tests passed").otherwise("done")
     rows = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("decision"), outcome.alias("outcome"), F.col("source").alias("task_tag"), F.col("doc_id").alias("event_time"))
-    return patterns.mine(rows).withColumn("confidence", _r("confidence"))
+    facts = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("item").alias("key"), F.col("text").alias("value"), F.lit(None).cast("long").alias("valid_to"))
+    return patterns.mine(rows, facts).withColumn("confidence", _r("confidence"))
 
 
 @query(f"""WITH x AS (SELECT {tokens_sql('text')} AS t FROM documents ORDER BY doc_id DESC LIMIT 64), c AS (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM x) GROUP BY token), s AS (SELECT sum(n) AS total, count(*) AS kinds FROM c)

@@ -6,22 +6,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as tx
+from tracewell.session import materialise
 
 #: Fixed values of the ranking.
 K1, B = 1.2, 0.75
+#: Distinct terms of all questions that go along with the plan.
+TERMS = 20_000
+
+
+def _held(docs: DataFrame, asked: DataFrame, doc_text: str) -> DataFrame:
+    """(id, dl, hits) of every document: its length in tokens, and those of its tokens that are asked for (term).
+
+    Texts are tokenised once, and what is written to the shared folder has the terms of the questions alone. A
+    set of terms over TERMS (counted) does not go along with the plan; then all tokens are written and joined later.
+    """
+    tokens = docs.select(F.col("id").cast("string").alias("id"), tx.tokens(F.col(doc_text)).alias("tokens"))
+    terms = asked.select("term").distinct().limit(TERMS + 1).collect()
+    wanted = F.col("tokens")
+    if len(terms) <= TERMS:
+        wanted = F.filter("tokens", lambda t: t.isin([r.term for r in terms]))
+    return materialise(tokens.select("id", F.size("tokens").alias("dl"), wanted.alias("hits")), "bm25-tokens")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, limit: int, doc_text: str = "text", query_text: str = "query") -> DataFrame:
     """(qid, id, score, rank) of the limit best documents (id, text) for each query (qid, query).
 
     Statistics cover all documents, those without tokens too. A term counts as often as the query has it.
-    Ties go to the smaller id as a string. Only postings of the queries' terms leave the scan.
+    Ties go to the smaller id as a string.
     """
-    tokens = docs.select(F.col("id").cast("string").alias("id"), tx.tokens(F.col(doc_text)).alias("tokens"))
-    stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     asked = queries.select("qid", F.explode(tx.tokens(F.col(query_text))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    terms = asked.select("term").distinct()
-    postings = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, "term").groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    held = _held(docs, asked, doc_text)
+    stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    postings = held.select("id", "dl", F.explode("hits").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = asked.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("times"))
     tf = F.col("tf")
@@ -37,9 +53,9 @@ def top(scores: DataFrame, limit: int, *order, by: str = "qid") -> DataFrame:
 
 def token_overlap(docs: DataFrame, queries: DataFrame, limit: int, doc_text: str = "text", query_text: str = "query") -> DataFrame:
     """(qid, id, overlap, rank): documents by how many distinct tokens they share with a query, then id."""
-    asked = queries.select("qid", F.explode(F.array_distinct(tx.tokens(F.col(query_text)))).alias("token"))
-    held = docs.select(F.col("id").cast("string").alias("id"), F.explode(F.array_distinct(tx.tokens(F.col(doc_text)))).alias("token"))
-    shared = held.join(asked, "token").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("overlap"))
+    asked = queries.select("qid", F.explode(F.array_distinct(tx.tokens(F.col(query_text)))).alias("term"))
+    held = _held(docs, asked, doc_text).select("id", F.explode(F.array_distinct("hits")).alias("term"))
+    shared = held.join(asked, "term").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("overlap"))
     return top(shared, limit, F.col("overlap").desc(), "id")
 
 

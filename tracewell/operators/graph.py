@@ -40,31 +40,35 @@ def build(edges: DataFrame, meta: DataFrame | None = None, facts: DataFrame | No
     return reduce(DataFrame.unionByName, parts)
 
 
-def spread(graph: DataFrame, seeds: DataFrame, reverse: bool = False, inhibition: bool = True, max_hops: int = MAX_HOPS) -> DataFrame:
-    """(node, activation) of at least THRESHOLD in size, from seeds (node, q) that begin at 0.5 + 0.5 q.
+def spread(graph: DataFrame, seeds: DataFrame, reverse: bool = False, inhibition: bool = True, max_hops: int = MAX_HOPS, by: tuple[str, ...] = ()) -> DataFrame:
+    """(node, activation) of at least THRESHOLD in size, from seeds (node, q) that begin at 0.5 + 0.5 q; of each value of by apart.
 
     In each hop a node gets the sum of what active nodes pass on, held to [-1, 1], and keeps the larger
     of that and what it had. Spreading ends when no node becomes active, or after max_hops. Each hop's
-    activations are written to the shared folder; a flag comes to the driver.
+    activations are written to the shared folder; a flag comes to the driver. A value of by whose own
+    spreading has ended is left as it is.
     """
     value = F.col("weight") * coefficient(F.col("relation")) * DECAY
     passing = graph.filter("valid").select(F.col("dst" if reverse else "src").alias("_s"), F.col("src" if reverse else "dst").alias("_t"), value.alias("_v")).filter("_v <> 0")
     if not inhibition:
         passing = passing.filter("_v > 0")
     passing = materialise(passing, "spread-edges")
-    now = held = materialise(seeds.select("node", (0.5 + 0.5 * F.col("q")).alias("activation")), "spread")
+    begun = seeds.select(*by, "node", (0.5 + 0.5 * F.col("q")).alias("activation"), F.lit(True).alias("fresh"))
+    now = materialise(begun, "spread")
     for _ in range(max_hops):
-        got = now.filter(F.abs("activation") >= THRESHOLD).join(passing, F.col("node") == F.col("_s")).groupBy("_t").agg(F.sum(F.col("activation") * F.col("_v")).alias("_sum"))
-        new = got.select(F.col("_t"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "_sum")).alias("_new"))
+        active = now.filter(F.abs("activation") >= THRESHOLD)
+        if by:
+            active = active.join(now.filter("fresh").select(*by).distinct(), list(by), "left_semi")
+        got = active.join(passing, F.col("node") == F.col("_s")).groupBy(*by, F.col("_t").alias("node")).agg(F.sum(F.col("activation") * F.col("_v")).alias("_sum"))
+        new = got.select(*by, "node", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "_sum")).alias("_new"))
         had = F.coalesce("activation", F.lit(0.0))
         merged = F.when(F.abs(F.coalesce("_new", F.lit(0.0))) > F.abs(had), F.col("_new")).otherwise(had)
-        both = now.join(new, F.col("node") == F.col("_t"), "full_outer").select(F.coalesce("node", "_t").alias("node"), merged.alias("activation"), ((F.abs(had) < THRESHOLD) & (F.abs(merged) >= THRESHOLD)).alias("fresh"))
-        both = materialise(both, "spread")
-        release(held)
-        held, now = both, both.drop("fresh")
-        if both.filter("fresh").isEmpty():
+        both = now.drop("fresh").join(new, [*by, "node"], "full_outer").select(*by, "node", merged.alias("activation"), ((F.abs(had) < THRESHOLD) & (F.abs(merged) >= THRESHOLD)).alias("fresh"))
+        before, now = now, materialise(both, "spread")
+        release(before)
+        if now.filter("fresh").isEmpty():
             break
-    return now.filter(F.abs("activation") >= THRESHOLD)
+    return now.filter(F.abs("activation") >= THRESHOLD).drop("fresh")
 
 
 def entity_links(facts: DataFrame, chunks: DataFrame, min_tokens: int = 3, df_limit: int = 20, most: int = 8) -> DataFrame:

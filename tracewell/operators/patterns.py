@@ -14,11 +14,20 @@ from tracewell.session import materialise
 SIMILARITY, MIN_TOKENS, MAX_PAIRS, MAX_PER_END = 0.65, 4, 1000, 5
 
 
-def decisions(entries: DataFrame) -> DataFrame:
-    """One row a distinct decision text, with the attributes of its first edge: (id, text, tokens, task_tag, event_time, outcome)."""
-    rows = entries.withColumn("_n", tx.normalise(F.col("decision"))).groupBy("_n").agg(F.min_by(F.struct("id", "decision", "task_tag", "event_time", "outcome"), "id").alias("e"))
-    rows = rows.select("e.id", F.col("e.decision").alias("text"), F.array_distinct(tx.content_tokens(F.col("e.decision"))).alias("tokens"), "e.task_tag", "e.event_time", "e.outcome")
-    return rows.filter(F.size("tokens") >= MIN_TOKENS)
+def decisions(entries: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """One row a distinct text of a decision, with the attributes of its first edge, or of a valid fact: (id, node, text, tokens, task_tag, event_time, outcome, is_fact).
+
+    A fact reads "key: value", comes after all decisions, and has no outcome and no tag. Decisions without a
+    node of their own (from_id) go by the id of the edge.
+    """
+    node = F.col("from_id") if "from_id" in entries.columns else F.col("id").cast("string")
+    none = F.lit(None)
+    rows = entries.select(F.struct(F.lit(False).alias("is_fact"), F.col("id").cast("long").alias("id")).alias("id"), node.alias("node"), F.col("decision").alias("text"), "task_tag", "event_time", "outcome")
+    if facts is not None:
+        own = facts.filter("valid_to is null").select(F.struct(F.lit(True).alias("is_fact"), F.col("id").cast("long").alias("id")).alias("id"), F.concat(F.lit("fact:"), "id").alias("node"), F.concat("key", F.lit(": "), "value").alias("text"), none.cast("string").alias("task_tag"), none.cast("long").alias("event_time"), none.cast("string").alias("outcome"))
+        rows = rows.unionByName(own)
+    first = rows.withColumn("_n", tx.normalise(F.col("text"))).groupBy("_n").agg(F.min_by(F.struct("*"), "id").alias("e")).select("e.*")
+    return first.withColumn("is_fact", F.col("id.is_fact")).withColumn("tokens", F.array_distinct(tx.content_tokens(F.col("text")))).filter(F.size("tokens") >= MIN_TOKENS).drop("_n")
 
 
 def similar_pairs(items: DataFrame, threshold: float = SIMILARITY, equal: bool = False) -> DataFrame:
@@ -48,16 +57,17 @@ def similar_pairs(items: DataFrame, threshold: float = SIMILARITY, equal: bool =
 
 
 def classify(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """pairs with relation and confidence: refines (same tag, a failure, then a success), contradicts (one failed), repeated (other tag, same polarity), similar_to."""
+    """pairs with relation, confidence and whether a is the later: refines (same tag, which is not null, a failure, then a success), contradicts (one failed), repeated (other tag, same polarity), similar_to."""
     p = tx.outcome_polarity(F.col("outcome"))
     side = lambda s: items.select(F.col("id").alias(s), F.col("task_tag").alias(f"tag_{s}"), F.col("event_time").alias(f"t_{s}"), p.alias(f"p_{s}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
     failed, good = (lambda s: F.coalesce(~F.col(f"p_{s}"), F.lit(False))), (lambda s: F.coalesce(F.col(f"p_{s}"), F.lit(False)))
-    same = F.col("tag_a").eqNullSafe(F.col("tag_b"))
+    same = F.coalesce(F.col("tag_a") == F.col("tag_b"), F.lit(False))
+    other = ~F.col("tag_a").eqNullSafe(F.col("tag_b"))
     refines = same & ((failed("a") & good("b") & (F.col("t_b") > F.col("t_a"))) | (failed("b") & good("a") & (F.col("t_a") > F.col("t_b"))))
-    relation = F.when(refines, "refines").when(tx.outcomes_contradict(F.col("p_a"), F.col("p_b")), "contradicts").when(~same & F.col("p_a").isNotNull() & (F.col("p_a") == F.col("p_b")), "repeated").otherwise("similar_to")
+    relation = F.when(refines, "refines").when(tx.outcomes_contradict(F.col("p_a"), F.col("p_b")), "contradicts").when(other & F.col("p_a").isNotNull() & (F.col("p_a") == F.col("p_b")), "repeated").otherwise("similar_to")
     factor = F.when(F.col("relation") == "refines", 0.85).when(F.col("relation") == "contradicts", 0.8).when(F.col("relation") == "repeated", 0.9).otherwise(1.0)
-    return rows.withColumn("relation", relation).withColumn("confidence", F.col("similarity") * factor).select("a", "b", "similarity", "relation", "confidence")
+    return rows.withColumn("relation", relation).withColumn("confidence", F.col("similarity") * factor).select("a", "b", "similarity", "relation", "confidence", F.coalesce(F.col("t_a") > F.col("t_b"), F.lit(False)).alias("later_a"))
 
 
 def strata(evidence: DataFrame) -> DataFrame:
@@ -87,20 +97,38 @@ def accept(pairs: DataFrame, most: int = MAX_PAIRS, per_end: int = MAX_PER_END)
     return taken
 
 
-def mine(entries: DataFrame) -> DataFrame:
-    """Meta edges between similar decisions: (a, b, relation, confidence, confounded, simpson), capped as accept says.
+def candidates(items: DataFrame) -> DataFrame:
+    """(a, b, similarity, from_id, to_id, relation, confidence, signature) of all similar pairs of decisions, neither text a part of the other.
 
-    Confidence is halved where the shared words of a pair were seen in one task only.
+    The earlier is from; of a refinement the failure, of a pair with a fact the fact. Pairs with a fact are similar_to alone.
     """
-    items = materialise(decisions(entries), "mined-decisions")
-    pairs = materialise(similar_pairs(items), "mined-pairs")
-    rows = classify(pairs, items)
-    tokens = lambda s: items.select(F.col("id").alias(s), F.col("tokens").alias(f"w_{s}"), F.col("task_tag").alias(f"g_{s}"), tx.outcome_polarity(F.col("outcome")).alias(f"p_{s}"))
-    signed = rows.join(tokens("a"), "a").join(tokens("b"), "b").withColumn("signature", tx.pair_signature(F.col("w_a"), F.col("w_b")))
-    seen = [signed.select("signature", F.col(f"g_{s}").alias("task_tag"), F.coalesce(F.col(f"p_{s}"), F.lit(False)).alias("succeeded"), F.coalesce(~F.col(f"p_{s}"), F.lit(False)).alias("failed")) for s in "ab"]
-    judged = signed.join(strata(seen[0].unionByName(seen[1])), "signature")
-    taken = pairs.sparkSession.createDataFrame(accept(pairs), "a long, b long, similarity double").select("a", "b")
-    return judged.join(taken, ["a", "b"]).select("a", "b", "relation", F.when(F.col("confounded"), F.col("confidence") * 0.5).otherwise(F.col("confidence")).alias("confidence"), "confounded", "simpson")
+    pairs = materialise(similar_pairs(items.select("id", "tokens")), "mined-pairs")
+    side = lambda s: items.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("node", "text", "tokens", "is_fact")])
+    rows = classify(pairs, items).join(side("a"), "a").join(side("b"), "b")
+    text = lambda s: tx.normalise(F.col(f"text_{s}"))
+    rows = rows.filter(~F.contains(text("a"), text("b")) & ~F.contains(text("b"), text("a")))
+    fact = F.col("is_fact_a") | F.col("is_fact_b")
+    turned = (F.col("is_fact_b") & ~F.col("is_fact_a")) | (~fact & (F.col("relation") == "refines") & F.col("later_a"))
+    return rows.select(
+        "a", "b", "similarity", F.when(turned, F.col("node_b")).otherwise(F.col("node_a")).alias("from_id"), F.when(turned, F.col("node_a")).otherwise(F.col("node_b")).alias("to_id"),
+        F.when(fact, "similar_to").otherwise(F.col("relation")).alias("relation"), F.when(fact, F.col("similarity") * 0.8).otherwise(F.col("confidence")).alias("confidence"),
+        tx.pair_signature(F.col("tokens_a"), F.col("tokens_b")).alias("signature"),
+    )
+
+
+def mine(entries: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Meta edges between similar decisions and facts: (from_id, to_id, relation, confidence, strata, confounded, simpson), capped as accept says.
+
+    Whether a pattern was seen in several tasks is judged over all similar pairs of one signature; confidence
+    is halved where it was not. Facts belong to no task.
+    """
+    items = materialise(decisions(entries, facts), "mined-decisions")
+    found = materialise(candidates(items), "mined-candidates")
+    p = tx.outcome_polarity(F.col("outcome"))
+    ends = found.select("signature", F.explode(F.array("a", "b")).alias("id")).join(items.filter("not is_fact").select("id", "task_tag", F.coalesce(p, F.lit(False)).alias("succeeded"), F.coalesce(~p, F.lit(False)).alias("failed")), "id")
+    judged = found.join(strata(ends), "signature", "left").withColumns({"confounded": F.coalesce("confounded", F.lit(True)), "simpson": F.coalesce("simpson", F.lit(False)), "strata": F.coalesce("strata", F.lit(0))})
+    taken = entries.sparkSession.createDataFrame(accept(found.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), "similarity")), "from_id string, to_id string, similarity double").select("from_id", "to_id")
+    return judged.join(taken, ["from_id", "to_id"]).select("from_id", "to_id", "relation", F.when(F.col("confounded"), F.col("confidence") * 0.5).otherwise(F.col("confidence")).alias("confidence"), "strata", "confounded", "simpson")
 
 
 def rem_transfer(patterns: DataFrame, linked: DataFrame) -> DataFrame:

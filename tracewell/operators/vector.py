@@ -9,14 +9,27 @@ from tracewell.operators.blocks import against
 from tracewell.operators.bm25 import top
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """In double precision; 0 for vectors that differ in length, are empty or have no norm."""
-    add = lambda s, x: s + x
-    zero = F.lit(0.0)
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), zero, add)
-    norm = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda x: x.cast("double") * x.cast("double")), zero, add))
-    size = norm(a) * norm(b)
-    return F.when((F.size(a) == F.size(b)) & (size > 0), dot / F.nullif(size, zero)).otherwise(zero)
+_ADD = lambda s, x: s + x
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), _ADD)
+
+
+def norm(v: Column) -> Column:
+    return F.sqrt(_dot(v, v))
+
+
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """In double precision; 0 for vectors that differ in length, are empty or have no norm. Norms that are known are not computed again."""
+    zero, size = F.lit(0.0), (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
+    return F.when((F.size(a) == F.size(b)) & (size > 0), _dot(a, b) / F.nullif(size, zero)).otherwise(zero)
+
+
+def _scored(items: DataFrame, queries: DataFrame, *columns: str) -> DataFrame:
+    """Every item with every query and their similarity; norms are taken once a row."""
+    items, queries = items.withColumn("_n", norm(F.col("vector"))), queries.withColumn("_qn", norm(F.col("query_vector")))
+    return against(items, queries, "id", "qid").select("qid", "id", *columns, cosine(F.col("vector"), F.col("query_vector"), F.col("_n"), F.col("_qn")).alias("similarity"))
 
 
 def semantic(items: DataFrame, queries: DataFrame, limit: int, min_similarity: float | None = None) -> DataFrame:
@@ -25,13 +38,12 @@ def semantic(items: DataFrame, queries: DataFrame, limit: int, min_similarity: f
     Each query row meets every item, which is what exact search means; a set too large
     to be sent to the items is dealt in blocks. The threshold applies after the cut to limit rows.
     """
-    scored = against(items, queries, "id", "qid").select("qid", "id", cosine(F.col("vector"), F.col("query_vector")).alias("similarity"))
-    out = top(scored, limit, F.round("similarity", 9).desc(), "id")
+    out = top(_scored(items, queries), limit, F.round("similarity", 9).desc(), "id")
     return out if min_similarity is None else out.filter(F.col("similarity") >= min_similarity)
 
 
 def entity_boosted(items: DataFrame, queries: DataFrame, limit: int, boost: float = 0.5) -> DataFrame:
     """As semantic, over items (id, vector, entities) and queries (qid, query_vector, query_entities): similarity grows by boost for each shared entity."""
     shared = F.size(F.array_intersect("entities", "query_entities"))
-    scored = against(items, queries, "id", "qid").select("qid", "id", (cosine(F.col("vector"), F.col("query_vector")) * (1 + boost * shared)).alias("similarity"))
+    scored = _scored(items, queries, "entities", "query_entities").select("qid", "id", (F.col("similarity") * (1 + boost * shared)).alias("similarity"))
     return top(scored, limit, F.round("similarity", 9).desc(), "id")
