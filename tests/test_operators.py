@@ -207,9 +207,63 @@ def test_downscale_and_collect(spark):
     chunks, edges = store(spark)
     scores = spark.createDataFrame([(1, False)], "id long, protected boolean")
     assert abs(consolidate.downscale_edges(edges, scores, NOW).first().confidence - 0.8 * 0.99**10) < 1e-9
-    new, report = consolidate.consolidate(edges.unionByName(edges.withColumn("id", F.lit(9).cast("long"))), chunks, NOW)
-    assert tuple(report.first()) == (2, 1, 1, 0)
-    assert edges.filter("valid_to is null").count() == 1  # the old table is as it was
+
+
+@pytest.fixture
+def asleep(spark):
+    """A store in which every stage of consolidation has something to do."""
+    texts = {"a": "deploy the payment service to the staging cluster", "b": "the deploy failed with a timeout", "c": "again deploy the whole payment service to the staging cluster", "d": "tests passed and it is running", "e": "likes dark mode", "x": "tune the query planner for large joins now", "y": "tune the query planner for large joins today", "z": "it is done and passed"}
+    chunks = spark.createDataFrame([(i, t, n, 0.5) for n, (i, t) in enumerate(texts.items())], CHUNK)
+    old = NOW - 10 * 86400
+    rows = [
+        (1, "a", "b", "caused", 0.9, "agent", old, old, None, "t1", 0, None, None, None), (2, "a", "b", "caused", 0.5, "agent", old, old, None, "t1", 0, None, None, None),
+        (3, "c", "d", "enabled", 0.8, "agent", old + 5, old, None, "t1", 0, NOW - 86400, None, None), (4, "e", "d", "caused", 0.21, "agent", old, old, None, "t2", 0, None, None, None),
+        (5, "x", "z", "caused", 0.6, "user_feedback", old, old, None, "t3", 0, None, None, None), (6, "y", "z", "caused", 0.6, "agent", old, old, None, "t4", 0, None, None, None),
+    ]
+    edges = spark.createDataFrame(rows, TABLES["causal_edges"])
+    facts = spark.createDataFrame([(1, "deploy", "the payment service goes to the staging cluster", "user", "agent", 0.9, old, NOW, None, None, None), (2, "old", "value", "user", "agent", 0.21, old, old, None, None, None)], TABLES["agent_facts"])
+    return consolidate.State(edges, chunks, facts, spark.createDataFrame([], TABLES["meta_causal_edges"]))
+
+
+def test_a_cycle_of_consolidation(spark, asleep):
+    new, report = consolidate.consolidate(asleep, NOW)
+    r = report.first()
+    assert (r.skipped, r.merged, r.collected_edges, r.collected_facts, r.superseded) == (False, 1, 1, 1, 0)
+    assert r.protected == 3 and r.replayed == 2  # the failures 1 and 2, of which 2 is merged, and 3, contradicted and lately used
+    edges = {e.id: e for e in new.edges.collect()}
+    assert edges[2].valid_to == NOW and edges[4].valid_to == NOW and edges[1].last_accessed_at == NOW and edges[6].last_accessed_at is None
+    assert abs(edges[3].confidence - min(0.95, 0.8 * 0.99**5 + 0.05)) < 1e-9  # protected: it ages half as fast
+    assert {(m.from_id, m.to_id, m.relation) for m in new.meta.collect()} >= {("a", "c", "refines"), ("x", "y", "repeated")}
+    q = {c.id: c.q_value for c in new.chunks.collect()}
+    assert abs(q["a"] - (0.5 + 0.1 * (1 + 0.9 * 0.5 - 0.5))) < 1e-9 and q["e"] == 0.5
+    assert {f.id: f.valid_to for f in new.facts.collect()} == {1: None, 2: NOW}
+    assert asleep.edges.filter("valid_to is null").count() == 6 and asleep.meta.count() == 0  # the old tables are as they were
+
+
+def test_dry_run_and_gate(spark, asleep):
+    same, report = consolidate.consolidate(asleep, NOW, dry_run=True)
+    assert same is asleep and report.first().merged == 1 and report.first().replayed == 0
+    same, report = consolidate.consolidate(asleep, NOW, consolidate.Config(min_diversity=1.1))
+    assert same is asleep and report.first().skipped
+
+
+def test_supersession_by_a_judge(spark, asleep):
+    both = asleep.edges.unionByName(spark.createDataFrame([(9, "a", "d", "caused", 0.9, "agent", NOW, NOW, None, "t1", 0, None, None, None)], TABLES["causal_edges"]))
+    state = consolidate.State(both, asleep.chunks, asleep.facts, asleep.meta)
+    yes = lambda pairs: pairs.withColumn("supersedes", F.col("old") == 1)
+    new, report = consolidate.consolidate(state, NOW, judge=yes)
+    assert report.first().superseded == 1 and {e.id: e.valid_to for e in new.edges.collect()}[1] == NOW
+    new, _ = consolidate.consolidate(state, NOW, consolidate.Config(annotate=True), judge=yes)
+    assert {e.id: e.superseded_by for e in new.edges.collect()}[1] == 9
+
+
+def test_miner_with_facts(spark):
+    rows = [(1, "rewrote the parser module in typescript for speed", "tests passed", "t1", 5), (2, "rewrote the lexer module in typescript for speed", "build failed", "t2", 6), (3, "rewrote the lexer module in typescript for speed today", "build failed", "t2", 7)]
+    entries = spark.createDataFrame(rows, "id long, decision string, outcome string, task_tag string, event_time long")
+    facts = spark.createDataFrame([(7, "speed", "rewrote the parser module in plain typescript", "user", None)], "id long, key string, value string, scope string, valid_to long")
+    got = {(r.from_id, r.to_id): (r.relation, round(r.confidence, 6), r.confounded) for r in patterns.mine(entries, facts).collect()}
+    assert got[("fact:7", "1")][0] == "similar_to" and abs(got[("fact:7", "1")][1] - 5 / 6 * 0.8 * 0.5) < 1e-6 and got[("fact:7", "1")][2]
+    assert got[("1", "2")][0] == "contradicts" and not got[("1", "2")][2] and ("2", "3") not in got  # 2 is a part of 3
 
 
 def test_contradicted_elsewhere(spark):

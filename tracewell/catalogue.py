@@ -898,7 +898,9 @@ def supersede_hints(spark, d):
 
 @query()
 def consolidate_report(spark, d):
-    return consolidate.consolidate(fx.edges(spark, d), fx.chunks(spark, d), NOW)[1]
+    """One cycle over the whole store: what each stage did."""
+    state = consolidate.State(fx.edges(spark, d), fx.chunks(spark, d), fx.facts(spark, d), fx.meta_edges(spark, d))
+    return consolidate.consolidate(state, NOW)[1].withColumn("diversity", _r("diversity"))
 
 
 # ---- Ingest

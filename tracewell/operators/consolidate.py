@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as tx
+from tracewell.operators import dml, graph, patterns
 from tracewell.operators.patterns import similar_pairs
+from tracewell.schema import ensure_schema
 from tracewell.schema import entries as entries_of
 from tracewell.session import materialise
 
@@ -30,6 +33,21 @@ class Config:
     gc: float = 0.2
     gc_protected: float = 0.1
     similarity: float = 0.65
+    min_diversity: float = 0.0
+    q_alpha: float = 0.1
+    q_gamma: float = 0.9
+    supersession_limit: int = 20
+    annotate: bool = False
+
+
+@dataclass(frozen=True)
+class State:
+    """The tables that consolidation maps to new ones."""
+
+    edges: DataFrame
+    chunks: DataFrame
+    facts: DataFrame
+    meta: DataFrame
 
 
 def diversity(chunks: DataFrame, last: int = 64) -> DataFrame:
@@ -100,18 +118,104 @@ def downscale_facts(facts: DataFrame, now: int, config: Config = Config()) -> Da
     return facts.filter("valid_to is null").select("id", new.alias("confidence"), ((days >= 1) & (F.round(new, 9) < config.gc)).alias("retired"))
 
 
-def write_back(edges: DataFrame, downscaled: DataFrame, now: int) -> DataFrame:
-    """Edges with their new confidence, and those retired no longer valid."""
+def write_back(rows: DataFrame, downscaled: DataFrame, now: int) -> DataFrame:
+    """Edges or facts with their new confidence, and those retired no longer valid."""
     new = downscaled.select("id", F.col("confidence").alias("_c"), "retired")
-    rows = edges.join(new, "id", "left")
-    return rows.withColumns({"confidence": F.coalesce("_c", "confidence"), "valid_to": F.when(F.col("retired"), F.lit(now)).otherwise(F.col("valid_to"))}).drop("_c", "retired")
-
-
-def consolidate(edges: DataFrame, chunks: DataFrame, now: int, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
-    """The new edges table, and a report of one row (before, after, merged, collected). The old table stays as it was."""
-    merged = materialise(merge_redundant(edges, now), "consolidated")
-    scores = reactivation(entries_of(merged, chunks), now, config)
-    new = materialise(write_back(merged, downscale_edges(merged, scores, now, config), now), "consolidated")
-    live = lambda df: df.agg(F.count_if(F.col("valid_to").isNull()).alias("n"))
-    counts = live(edges).withColumnRenamed("n", "before").crossJoin(live(merged).withColumnRenamed("n", "m")).crossJoin(live(new).withColumnRenamed("n", "after"))
-    return new, counts.select("before", "after", (F.col("before") - F.col("m")).alias("merged"), (F.col("m") - F.col("after")).alias("collected"))
+    joined = rows.join(new, "id", "left")
+    return joined.withColumns({"confidence": F.coalesce("_c", "confidence"), "valid_to": F.when(F.col("retired"), F.lit(now)).otherwise(F.col("valid_to"))}).select(*rows.columns)
+
+
+def reinforce(chunks: DataFrame, edges: DataFrame, meta: DataFrame, protected: DataFrame, config: Config = Config()) -> DataFrame:
+    """chunks with a higher q_value at the ends of protected edges (id): one step of graph.q_update each, over valid edges and meta edges."""
+    ends = edges.join(protected, "id", "left_semi").select(F.explode(F.array("from_id", "to_id")).alias("node")).distinct().withColumn("_hit", F.lit(True))
+    live = lambda df: df.filter("valid_to is null").select("from_id", "to_id")
+    q = graph.q_update(chunks.select(F.col("id").alias("node"), F.col("q_value").alias("q")), live(edges).unionByName(live(meta)), config.q_alpha, config.q_gamma)
+    new = q.join(ends, "node").select(F.col("node").alias("id"), F.col("q").alias("_q"))
+    return chunks.join(new, "id", "left").withColumn("q_value", F.coalesce("_q", "q_value")).select(*chunks.columns)
+
+
+def superseded(entries: DataFrame, judge: Callable[[DataFrame], DataFrame], config: Config = Config()) -> DataFrame:
+    """(old, new): edges that a later record of their decision makes void, as judge says.
+
+    judge gets (old, new, old_decision, old_outcome, new_decision, new_outcome) of the first supersession_limit
+    pairs of dml.falsified_pairs and returns them with a column supersedes; the first verdict on an edge counts.
+    """
+    pairs = dml.falsified_pairs(entries).orderBy("old", "new").limit(config.supersession_limit)
+    side = lambda s: entries.select(F.col("id").alias(s), F.col("decision").alias(f"{s}_decision"), F.col("outcome").alias(f"{s}_outcome"))
+    asked = materialise(pairs.join(side("old"), "old").join(side("new"), "new").select("old", "new", "old_decision", "old_outcome", "new_decision", "new_outcome"), "supersession-candidates")
+    return judge(asked).filter("supersedes").groupBy("old").agg(F.min("new").alias("new"))
+
+
+def transfers(meta: DataFrame, edges: DataFrame, chunks: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(from_id, to_id, similarity): decisions at the centre of patterns that are alike across tasks, one of each pair in fresh (id); capped as patterns.accept says."""
+    text = chunks.select("id", "text")
+    named = meta.filter("valid_to is null").join(text.select(F.col("id").alias("from_id"), F.col("text").alias("_f")), "from_id").join(text.select(F.col("id").alias("to_id"), F.col("text").alias("_t")), "to_id")
+    tags = edges.filter("task_tag is not null").select(F.col("from_id").alias("node"), "task_tag").distinct()
+    own = named.select("id", F.explode(F.array("from_id", "to_id")).alias("node")).join(tags, "node").groupBy("id").agg(F.collect_set("task_tag").alias("tags"))
+    new = fresh.select("id").distinct().withColumn("_new", F.lit(True))
+    nodes = materialise(named.join(own, "id").join(new, "id", "left").select("id", "from_id", F.concat_ws(" ", "_f", "_t").alias("text"), "tags", F.coalesce("_new", F.lit(False)).alias("is_new")), "transfer-nodes")
+    centre = lambda s: nodes.select(F.col("id").alias(s), F.col("from_id").alias(f"c_{s}"))
+    found = patterns.rem_transfer(nodes, meta.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))).join(centre("a"), "a").join(centre("b"), "b").filter("c_a <> c_b")
+    linked = meta.filter("valid_to is null and relation = 'similar_to'").select(F.col("from_id").alias("c_a"), F.col("to_id").alias("c_b"))
+    both = linked.unionByName(linked.select(F.col("c_b").alias("c_a"), F.col("c_a").alias("c_b")))
+    open_ = found.join(both, ["c_a", "c_b"], "left_anti").groupBy(F.col("c_a").alias("a"), F.col("c_b").alias("b")).agg(F.max("similarity").alias("similarity"))
+    return meta.sparkSession.createDataFrame(patterns.accept(open_), "from_id string, to_id string, similarity double")
+
+
+def consolidate(state: State, now: int, config: Config = Config(), judge: Callable[[DataFrame], DataFrame] | None = None, dry_run: bool = False) -> tuple[State, DataFrame]:
+    """The new tables, and a report of one row; the old tables stay as they were. With dry_run they are returned unchanged.
+
+    In order: a gate of how diverse the latest texts are; scores of edges, of which the highest are protected;
+    Q-values of their ends; supersession, where there is a judge; merging; mining of meta edges from decisions
+    and facts; decay, boosts and collection of edges and facts; the mark of what was replayed; transfer between
+    tasks. Where texts are too alike nothing is done. In a dry run all meta edges count as new, and mined ones are not written before the transfer.
+    """
+    spread = diversity(state.chunks).first()
+    report = {"diversity": float(spread.diversity if spread and spread.diversity is not None else 0.0)}
+    spark = state.edges.sparkSession
+    counts = ("protected", "q_updates", "superseded", "merged", "mined", "collected_edges", "collected_facts", "replayed", "transfers")
+    if report["diversity"] < config.min_diversity:
+        return state, spark.createDataFrame([(report["diversity"], True, *[0] * len(counts))], "diversity double, skipped boolean, " + ", ".join(f"{c} long" for c in counts))
+    edges, meta = ensure_schema(state.edges, "causal_edges", extra=True), ensure_schema(state.meta, "meta_causal_edges", extra=True)
+    scores = materialise(reactivation(entries_of(edges, state.chunks), now, config), "reactivation")
+    protected = scores.filter("protected").select("id")
+    report["protected"] = report["q_updates"] = protected.count()
+    chunks = materialise(reinforce(state.chunks, edges, meta, protected, config), "consolidated-chunks")
+
+    report["superseded"] = 0
+    if judge is not None:
+        void = materialise(superseded(entries_of(edges, state.chunks), judge, config), "superseded")
+        report["superseded"] = void.count()
+        if not dry_run:
+            edges = dml.annotate_superseded(edges, void) if config.annotate else dml.invalidate(edges, void.select(F.col("old").alias("id")), now)
+    live = lambda df: df.filter("valid_to is null").count()
+    before = live(edges)
+    merged = materialise(merge_redundant(edges, now), "merged")
+    after_merge = live(merged)
+    report["merged"] = before - after_merge
+    known = merged if not dry_run else edges
+
+    mined = materialise(patterns.mine(entries_of(known, chunks), state.facts), "mined")
+    report["mined"] = mined.count()
+    batch = mined.withColumns({"id": F.xxhash64("from_id", "to_id", "relation"), "pattern": F.concat_ws(" ", "relation", "from_id", "to_id")}).withColumnRenamed("strata", "strata_count")
+    new_meta = materialise(dml.upsert_meta(meta, batch, now), "mined-meta") if not dry_run else meta
+    fresh = new_meta if dry_run else new_meta.join(mined, ["from_id", "to_id", "relation"], "left_semi")
+
+    faded = materialise(downscale_edges(known, scores, now, config), "downscaled")
+    faded_facts = materialise(downscale_facts(state.facts, now, config), "downscaled-facts")
+    report["collected_edges"], report["collected_facts"] = faded.filter("retired").count(), faded_facts.filter("retired").count()
+    written = write_back(known, faded, now)
+    hit = protected.withColumn("_p", F.lit(True))
+    marked = F.col("_p") & F.col("valid_to").isNull()
+    written = materialise(written.join(hit, "id", "left").withColumn("last_accessed_at", F.when(marked, F.lit(now).cast("long")).otherwise(F.col("last_accessed_at"))).select(*edges.columns), "consolidated")
+    report["replayed"] = 0 if dry_run else written.join(protected, "id", "left_semi").filter("valid_to is null").count()
+
+    moved = materialise(transfers(new_meta, known, chunks, fresh.select("id")), "transfers")
+    report["transfers"] = moved.count()
+    row = spark.createDataFrame([(report["diversity"], False, *[int(report[c]) for c in counts])], "diversity double, skipped boolean, " + ", ".join(f"{c} long" for c in counts))
+    if dry_run:
+        return state, row
+    linked = moved.select(F.xxhash64("from_id", "to_id", F.lit("similar_to")).alias("id"), "from_id", "to_id", F.lit("similar_to").alias("relation"), F.lit("transfer between tasks").alias("pattern"), F.col("similarity").alias("confidence"))
+    new_meta = materialise(dml.upsert_meta(new_meta, linked, now), "consolidated-meta")
+    facts = materialise(write_back(state.facts, faded_facts, now), "consolidated-facts")
+    return State(written, chunks, facts, new_meta), row

@@ -133,12 +133,27 @@ def retire_facts_by_hint(facts: DataFrame, hints: DataFrame, now: int) -> DataFr
 
 
 def upsert_meta(meta: DataFrame, batch: DataFrame, now: int) -> DataFrame:
-    """Meta edges with a batch (id, from_id, to_id, relation, confidence): a valid one of the same ends and relation takes the new confidence, others are added."""
-    keys = ["from_id", "to_id", "relation"]
-    new = batch.groupBy(*keys).agg(F.max_by(F.struct("id", "confidence"), "id").alias("_b"))
-    live = meta.filter("valid_to is null").join(new, keys, "left").withColumn("confidence", F.coalesce("_b.confidence", "confidence")).drop("_b")
-    added = new.join(meta.filter("valid_to is null").select(*keys), keys, "left_anti").select("_b.id", *keys, "_b.confidence", F.lit(now).cast("long").alias("discovered_at"))
-    return meta.filter("valid_to is not null").unionByName(live.select(*meta.columns)).unionByName(added, allowMissingColumns=True)
+    """Meta edges with a batch (id, from_id, to_id, relation, confidence, and pattern, strata_count, confounded, simpson where known): a valid one of the same ends and relation is renewed, others are added.
+
+    Of repeated rows in a batch the last id counts. All columns of the table stay.
+    """
+    keys, at = ["from_id", "to_id", "relation"], F.lit(now).cast("long")
+    more = [c for c in ("pattern", "strata_count", "confounded", "simpson") if c in batch.columns and c in meta.columns]
+    new = batch.groupBy(*keys).agg(F.max_by(F.struct("id", "confidence", *more), "id").alias("_b"))
+    hit = F.col("_b").isNotNull()
+    renewed = {c: F.when(hit, F.col(f"_b.{c}")).otherwise(F.col(c)) for c in ("confidence", *more)}
+    if "discovered_at" in meta.columns:
+        renewed["discovered_at"] = F.when(hit, at).otherwise(F.col("discovered_at"))
+    live = meta.filter("valid_to is null").join(new, keys, "left").withColumns(renewed)
+    added = new.join(meta.filter("valid_to is null").select(*keys), keys, "left_anti").select("_b.id", *keys, *[F.col(f"_b.{c}").alias(c) for c in ("confidence", *more)], at.alias("discovered_at"), at.alias("valid_from"))
+    own = [c for c in added.columns if c in meta.columns]
+    return meta.filter("valid_to is not null").unionByName(live.select(*meta.columns)).unionByName(added.select(*own), allowMissingColumns=True)
+
+
+def patch_polarity(edges: DataFrame, batch: DataFrame) -> DataFrame:
+    """Edges with the outcome_polarity of a batch (id, outcome_polarity) where they have none; of repeated ids the smallest value."""
+    new = batch.groupBy("id").agg(F.min("outcome_polarity").alias("_p"))
+    return edges.join(new, "id", "left").withColumn("outcome_polarity", F.coalesce("outcome_polarity", "_p")).select(*edges.columns)
 
 
 def put_vectors(vectors: DataFrame, batch: DataFrame) -> DataFrame:
