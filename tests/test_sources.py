@@ -79,15 +79,33 @@ def test_stream_appends_each_turn_once(spark, tmp_path):
     assert [r.turns for r in ingest.sessions(rows).collect()] == [3]
 
 
+def test_scopes(spark):
+    from tracewell.plans.memory import valid_scope
+
+    rows = spark.createDataFrame([("user",), ("tenant:3",), ("tenant:",), (":x",), ("a:b:c",), ("other",)], "scope string")
+    assert [r[0] for r in rows.select(valid_scope(F.col("scope"))).collect()] == [True, True, False, False, False, False]
+
+
 def test_facade(spark):
     chunks, edges, meta = tables(spark)
     facts = spark.createDataFrame([(1, "deploy_target", "server", "user", 0.9, 1, None)], "id long, key string, value string, scope string, confidence double, updated_at long, valid_to long")
     m = Memory(chunks, edges, meta, facts)
     q = spark.createDataFrame([(0, "deploy server")], "qid long, query string")
-    assert {r.id for r in m.search(q).collect()} == {"1", "fact:1"}
-    assert [r.id for r in m.search_unified(q).collect()] == [1]
+    assert {r.id for r in m.dual_pool(q).collect()} == {"causal:1", "fact:1"}
+    assert [(r.id, r.rank) for r in m.unified(q).orderBy("rank").collect()] == [("fact:1", 1), ("causal:1", 2)]
     assert [r.label for r in m.intervene(q).collect()] == ["DANGER"]
     assert m.compare("deploy server", "nothing").first().verdict == "insufficient"
-    assert m.search_multi_pass("how many deploy server runs", 100).count() == 1
+    asked = spark.createDataFrame([(0, "how many deploy server runs"), (1, "unheard of"), (2, "")], "qid long, query string")
+    assert [(r.qid, r.id) for r in m.search_multi_pass(asked, 100).collect()] == [(0, "1")]
+    assert sorted((r.qid, r.id) for r in m.search_causal(asked).collect()) == [(0, "1"), (2, "1")]
+    assert sorted((r.qid, r.id) for r in m.search_facts(asked).collect()) == [(0, "1"), (1, "1"), (2, "1")]
+    why = spark.createDataFrame([(0, "why did the deploy server fail"), (1, "what is the deploy server"), (2, "zzz")], "qid long, query string")
+    shown = {(r.qid, r.id): r.shown for r in m.search_memory(why).collect()}
+    assert shown == {(0, "fact:1"): False, (0, "causal:1"): True, (1, "fact:1"): True, (1, "causal:1"): False}
+    assert m.search_memory(why, scope="agent").filter("id like 'fact:%'").count() == 0
+    vectors = Memory(chunks, edges, meta, facts, spark.createDataFrame([(1, [1.0, 0.0])], "id long, vector array<float>"), spark.createDataFrame([(1, [0.0, 1.0])], "id long, vector array<float>"))
+    near = spark.createDataFrame([(0, "zzz", [1.0, 0.1])], "qid long, query string, query_vector array<float>")
+    assert [r.id for r in vectors.causal_semantic(near, 3).collect()] == ["1"] and [r.id for r in vectors.search_facts(near).collect()] == ["1"]
+    assert {r.id for r in vectors.search_memory(near).collect()} == {"causal:1", "fact:1"}
     assert [r.id for r in m.lesson("deploy").collect()] == [1]
     assert jsonl.pages(m.entries).filter(F.col("node") == "build failed").first().page.endswith("deploy server sk-abcdefgh123")
