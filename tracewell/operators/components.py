@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.session import materialise, release
 
 
-#: Edges (counted) up to which the smallest neighbour of every node is sent to all tasks; there are twice as many nodes at most.
-BROADCAST_EDGES = 200_000
-#: Parts into which the edges of a node are dealt beyond that.
+#: Parts into which the edges of a node are dealt.
 SALTS = 64
 
 
@@ -18,13 +16,12 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first())
 
 
-def _with_least(edges: DataFrame, few: bool) -> DataFrame:
-    """Edges (a, b) with m, the smallest b of their a. No task gathers the edges of one node."""
-    if few:
-        return edges.join(F.broadcast(edges.groupBy("a").agg(F.min("b").alias("m"))), "a")
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with m, the smallest b of their a. No task gathers the edges of one node, and nothing is broadcast."""
     salted = edges.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     parts = salted.groupBy("a", "_salt").agg(F.min("b").alias("m"))
-    return salted.join(parts.select("a", "_salt").join(parts.groupBy("a").agg(F.min("m").alias("m")), "a"), ["a", "_salt"])
+    least = parts.select("a", "_salt").join(parts.groupBy("a").agg(F.min("m").alias("m")).hint("merge"), "a")
+    return salted.join(least.hint("merge"), ["a", "_salt"])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -39,10 +36,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialise(clean.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     state = _state(now)
     while True:
-        few = state[0] <= BROADCAST_EDGES
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _with_least(both, few).withColumn("m", F.least("a", "m")).filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = _with_least(large, few).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        large = _with_least(both).withColumn("m", F.least("a", "m")).filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = _with_least(large).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         before, now = now, materialise(small.filter("a <> b").distinct(), "components")
         last, state = state, _state(now)
         release(before)
