@@ -13,7 +13,6 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracewell.operators import components
 from tracewell.llm import arrays, bpe, decontam, edit_counts, exact_dedup, jaccard_join, langid, queries, secrets_scan, surrogates, url_rules, warc
 
 VOCABULARY = queries.VOCABULARY
@@ -292,7 +291,6 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, fragment, block, common,
     monkeypatch.setattr(jaccard_join, "FAN_OUT", fan)
     if collide:  # many sets share the first half of the digest
         monkeypatch.setattr(jaccard_join, "_digest", lambda c: bytes([len(c) // 8 % 30]) + bytes(7) + hashlib.md5(c).digest()[:8])
-        monkeypatch.setattr(components, "BROADCAST_EDGES", 0)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "COMMON", common)
     r = random.Random(5)
@@ -354,9 +352,9 @@ def test_later_edits_read_the_kept_leaves(spark, monkeypatch):
                 at = min(at, len(now[i]))
                 now[i] = now[i][:at] + new + now[i][at + removed :]
             x = got[i]
-            assert (x.n_tokens, x.n_tokens_after, x.text) == (before, len(merge(now[i])), now[i]) and sum(x.tokens) == x.n_tokens_after and sum(x.lengths) == len(now[i])
+            assert (x.n_tokens, x.n_tokens_after, x.text) == (before, len(merge(now[i])), now[i]) and edit_counts.unpacked(x.tokens).sum() == x.n_tokens_after and edit_counts.unpacked(x.lengths).sum() == len(now[i])
             assert e or x.n_reencoded == 0
-        leaves = spark.createDataFrame([(x.doc_id, x.text, x.lengths, x.tokens) for x in made], "doc_id long, text string, lengths array<int>, tokens array<int>")
+        leaves = spark.createDataFrame([(x.doc_id, x.text, x.lengths, x.tokens) for x in made], "doc_id long, text string, lengths binary, tokens binary")
 
 
 # ---- Surrogates

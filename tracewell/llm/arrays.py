@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one pass of vector operations takes (a longer document is a pass of its own).
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 800_000
 
 _MULT = 0x9E3779B97F4A7C15
 _U64 = np.uint64

@@ -33,7 +33,7 @@ STRETCH, WINDOWS = 1 << 16, 1 << 14
 @lru_cache(maxsize=1)
 def _lower() -> np.ndarray:
     """Lower case of every code point whose lower case is one code point."""
-    return np.array([ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(0x110000)], np.uint32)
+    return np.fromiter((ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(0x110000)), np.uint32, 0x110000)
 
 
 def normal_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +21,8 @@ from tracewell.session import materialise
 
 #: Code points before an edit that can change a boundary, and code points that a boundary looks ahead.
 CONTEXT = 4
+#: Documents whose trees are in memory at a time.
+ROWS = 256
 
 
 class CountedText:
@@ -156,18 +157,24 @@ def counted_texts(data: np.ndarray, offsets: np.ndarray, c: Codec) -> Iterator[C
         yield CountedText(raw[offsets[d] : offsets[d + 1]].decode("utf-8", "replace"), np.cumsum(n) - n, tokens[to[d] : to[d + 1]], count)
 
 
-def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+def packed(values: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs, after a byte that says how many."""
+    size = 1 if not len(values) or values.max() < 1 << 8 else 2 if values.max() < 1 << 16 else 4
+    return bytes([size]) + values.astype(f"<u{size}").tobytes()
+
+
+def unpacked(raw: bytes | None) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64) if raw else np.zeros(0, np.int64)
 
 
 def count_leaves(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row per input row: the id, the columns keep, text, and its leaves: lengths (code points) and tokens of its pre-tokens, in order.
+    """A row per input row: the id, the columns keep, text, and its leaves: lengths (code points) and tokens of its pre-tokens, in order, as packed bytes.
 
     A null text is empty and has no leaves. Repeated rows stay repeated; other columns are left out.
     """
     columns = [id_col, *keep]
     rows = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(columns)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("lengths", "tokens")]])
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, T.BinaryType()) for n in ("lengths", "tokens")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
@@ -175,12 +182,13 @@ def count_leaves(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             data, offsets = arrays.string_buffers(batch.column(len(columns)))
             for low, high in arrays.chunks(offsets):
                 lengths, tokens, to = _leaves(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], c)
-                yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns, _lists(to, lengths), _lists(to, tokens)], names=schema.names)
+                made = [pa.array([packed(x[a:b]) for a, b in zip(to, to[1:])], pa.binary()) for x in (lengths, tokens)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns, *made], names=schema.names)
 
     return rows.mapInArrow(run, schema).select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(columns)], "text", "lengths", "tokens")
 
 
-def apply_edits(leaves: DataFrame, vocabulary: str, id_col: str = "doc_id", edits_col: str = "edits") -> DataFrame:
+def apply_edits(leaves: DataFrame, vocabulary: str, id_col: str = "doc_id", edits_col: str = "edits", keep: bool = True) -> DataFrame:
     """Documents after their edits, from a table of leaves with a column of edits.
 
     edits: array<struct<position, removed, inserted>>, applied in turn, positions in code points of the
@@ -188,38 +196,34 @@ def apply_edits(leaves: DataFrame, vocabulary: str, id_col: str = "doc_id", edit
     without edits nothing is encoded or changed; of others only the regions of edits and some context.
     Returns the id, n_tokens, n_tokens_after, n_pretokens (leaves before), n_reencoded (pre-tokens that
     edits had encoded anew), and text, lengths and tokens, the leaves for the next batch, in which a region
-    edited now is one leaf. Repeated rows stay repeated; other columns are left out.
+    edited now is one leaf, unless keep is false. Repeated rows stay repeated; other columns are left out.
     """
     rows = leaves.select(F.col(id_col).alias("_id"), "text", "lengths", "tokens", F.col(edits_col).alias("_edits"))
     counts = ("n_tokens", "n_tokens_after", "n_pretokens", "n_reencoded")
     schema = T.StructType([rows.schema["_id"], *[T.StructField(n, T.LongType()) for n in counts], *[rows.schema[n] for n in ("text", "lengths", "tokens")]])
 
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(codec(vocabulary))
         for batch in batches:
-            sums = [np.array(pc.list_value_length(batch.column(2)).fill_null(0).to_pylist(), np.int64)]
-            ends = np.cumsum(sums[0])
-            flat = [pc.list_flatten(batch.column(i)).to_numpy() for i in (2, 3)]
-            total = np.concatenate([[0], np.cumsum(flat[1], dtype=np.int64)])
-            begin = ends - sums[0]
-            before = total[ends] - total[begin]
-            after, again = before.copy(), np.zeros(len(before), np.int64)
-            edits, changed = batch.column(4), {}
-            for d in np.flatnonzero(np.array(pc.list_value_length(edits).fill_null(0).to_pylist()) > 0).tolist():
-                lengths = flat[0][begin[d] : ends[d]].astype(np.int64)
-                text = CountedText(batch.column(1)[d].as_py() or "", np.cumsum(lengths) - lengths, flat[1][begin[d] : ends[d]].astype(np.int64), count)
-                for e in edits[d].as_py():
-                    if e is not None and e["position"] is not None:
-                        text.edit(e["position"], e["removed"] or 0, e["inserted"] or "")
-                after[d], again[d] = text.n_tokens, text.reencoded
-                changed[d] = (text.content(), *text.leaves_now())
-            held = [[batch.column(1)[d].as_py() or "", flat[0][begin[d] : ends[d]], flat[1][begin[d] : ends[d]]] if d not in changed else changed[d] for d in range(batch.num_rows)]
-            to = np.concatenate([[0], np.cumsum([len(h[1]) for h in held])])
-            none = [np.zeros(0, np.int32)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x) for x in (before, after, sums[0], again)), pa.array([h[0] for h in held], pa.string()), *(_lists(to, np.concatenate([h[i] for h in held] or none)) for i in (1, 2))],
-                names=schema.names,
-            )
+            for low in range(0, batch.num_rows, ROWS):
+                ids, texts, lengths, tokens, edits = batch.slice(low, ROWS).columns
+                out: list[tuple] = []
+                for text, raw, held, changes in zip(texts.to_pylist(), lengths.to_pylist(), tokens.to_pylist(), edits.to_pylist()):
+                    own = unpacked(held)
+                    before = int(own.sum())
+                    changes = [e for e in changes or () if e is not None and e["position"] is not None]
+                    if not changes:
+                        out.append((before, before, len(own), 0, text or "", raw, held))
+                        continue
+                    n = unpacked(raw)
+                    tree = CountedText(text or "", np.cumsum(n) - n, own, count)
+                    for e in changes:
+                        tree.edit(e["position"], e["removed"] or 0, e["inserted"] or "")
+                    now = (tree.content(), *map(packed, tree.leaves_now())) if keep else (None, None, None)
+                    out.append((before, tree.n_tokens, len(own), tree.reencoded, *now))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names=schema.names)
 
     return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
@@ -231,4 +235,4 @@ def count_edited(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     applied to what is read from there. A null text is empty. Repeated rows stay repeated; other columns are left out.
     """
     leaves = materialise(count_leaves(docs, vocabulary, id_col, text_col, (edits_col,)), "edit-leaves")
-    return apply_edits(leaves, vocabulary, id_col, edits_col).drop("text", "lengths", "tokens")
+    return apply_edits(leaves, vocabulary, id_col, edits_col, keep=False)

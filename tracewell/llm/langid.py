@@ -37,7 +37,7 @@ FEATURES = 1 << 15
 AMBIGUOUS = 0.02
 UNKNOWN = "und"
 #: Bytes of text at a time: a code point takes a row of weights, so passes are shorter than elsewhere.
-CHUNK_BYTES = 400_000
+CHUNK_BYTES = 200_000
 ORDERS = (1, 2, 3)
 #: Columns of a prediction.
 MADE = ("lang_pred", "score", "ambiguous")
