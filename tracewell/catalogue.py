@@ -328,6 +328,58 @@ def session_density(spark, d):
     return fusion.session_budget(hits, 40).select("qid", "session", "weight", "slots")
 
 
+_ASKED = "asked_of AS (SELECT n_nationkey AS item_id, 'which market segment ' || (n_nationkey % 7) || ' has ' || n_name || ' and ' || (SELECT min(c_mktsegment) FROM customer WHERE c_custkey % 5 = n_nationkey % 5) AS text FROM nation)"
+
+
+def _asked_of(spark, d):
+    """A question a nation, which names a market segment."""
+    least = fx.table(spark, d, "customer").groupBy((F.col("c_custkey") % 5).alias("k")).agg(F.min("c_mktsegment").alias("segment"))
+    n = F.col("n_nationkey")
+    return fx.table(spark, d, "nation").join(least, n % 5 == F.col("k")).select(n.alias("qid"), F.concat(F.lit("which market segment "), n % 7, F.lit(" has "), "n_name", F.lit(" and "), "segment").alias("query"))
+
+
+_FACT_TEXTS = "SELECT id, replace(key, '_', ' ') || ' ' || value AS text FROM facts WHERE valid_to IS NULL"
+
+
+@query(with_sql("facts", f", {_ASKED}, " + bm25_sql(_FACT_TEXTS, 10).replace("FROM benchmark", "FROM asked_of")))
+def bm25_facts(spark, d):
+    return bm25.search_facts(fx.facts(spark, d), _asked_of(spark, d), 10).select("qid", "id", _r("score").alias("score"), "rank")
+
+
+def _memory(spark, d):
+    from tracewell.plans.memory import Memory
+
+    vectors = _vectors(spark, d)[0].drop("label")
+    return Memory(fx.chunks(spark, d), fx.edges(spark, d), fx.meta_edges(spark, d), fx.facts(spark, d), vectors, vectors)
+
+
+@query(with_sql("chunks facts", f", {_ASKED}, a AS (SELECT item_id AS qid, unnest(list_distinct({tokens_sql('text')})) AS token FROM asked_of), h AS (SELECT id, unnest(list_distinct({tokens_sql('text')})) AS token FROM (SELECT id, text FROM chunks UNION ALL SELECT 'fact:' || id, text FROM ({_FACT_TEXTS}))) " + top_sql("SELECT qid, id, count(*) AS overlap FROM a JOIN h USING (token) GROUP BY ALL", 16, "overlap DESC, id", "qid, id, overlap")))
+def unified_seeds(spark, d):
+    return _memory(spark, d).seeds(_asked_of(spark, d))
+
+
+_FACT_NEAREST = f"""SELECT q.vec_id AS qid, i.vec_id AS id, {_COS} AS similarity FROM embeddings i JOIN facts ON facts.id = i.vec_id AND valid_to IS NULL, embeddings q WHERE q.vec_id % 100 = 0"""
+
+
+@query(with_sql("facts", top_sql(_FACT_NEAREST, 10, "round(similarity, 9) DESC, id", "qid, id::VARCHAR AS id")))
+def facts_semantic(spark, d):
+    asked = _vectors(spark, d)[1].select("qid", F.lit("").alias("query"), "query_vector")
+    return _memory(spark, d).facts_semantic(asked, 10)
+
+
+@query(with_sql("facts", f""", {_ASKED}, near AS ({top_sql(_FACT_NEAREST, 5, "round(similarity, 9) DESC, id", "qid, id::VARCHAR AS id")}),
+words AS (WITH {bm25_sql(_FACT_TEXTS, 5).replace("FROM benchmark", "FROM asked_of WHERE item_id % 100 <> 0")}), late AS (SELECT id::VARCHAR AS id, row_number() OVER (ORDER BY updated_at DESC, id) AS rank FROM facts WHERE valid_to IS NULL),
+one AS (SELECT * FROM near), two AS (SELECT qid, id, rank FROM words WHERE qid NOT IN (SELECT qid FROM one))
+SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT 1000001, id, rank FROM late WHERE rank <= 5"""))
+def search_facts(spark, d):
+    """Questions with a vector, with words, and with neither that anything is like."""
+    asked = _vectors(spark, d)[1].select(F.col("qid").cast("long").alias("qid"), F.lit("").alias("query"), "query_vector")
+    none = F.lit(None).cast("array<float>").alias("query_vector")
+    vectorless = _asked_of(spark, d).filter(F.col("qid") % 100 != 0).select(F.col("qid").cast("long").alias("qid"), "query", none)
+    odd = spark.range(1).select(F.lit(1_000_001).cast("long").alias("qid"), F.lit("zzz unheard").alias("query"), none)
+    return _memory(spark, d).search_facts(asked.unionByName(vectorless).unionByName(odd), 5)
+
+
 # ---- Hops
 
 _SEEDS = "seeds AS (SELECT item_id AS qid, e.id FROM benchmark JOIN edges e ON e.id % 199 = item_id % 199)"
@@ -532,11 +584,34 @@ def neighbor_jaccard(spark, d):
     return graph.neighbour_overlap(_links(spark, d)).select("id", "shared", _r("jaccard").alias("jaccard"))
 
 
-@query()
+_OTHER_PATHS = """pr AS (SELECT from_id AS f, to_id AS t, count(*) AS n FROM links GROUP BY ALL), e AS (SELECT f, t FROM pr WHERE f <> t),
+a1 AS MATERIALIZED (SELECT DISTINCT pr.f, pr.t, e.t AS mid FROM pr JOIN e ON e.f = pr.f WHERE e.t <> pr.f AND e.t <> pr.t), b1 AS MATERIALIZED (SELECT DISTINCT pr.f, pr.t, e.f AS mid FROM pr JOIN e ON e.t = pr.t WHERE e.f <> pr.f AND e.f <> pr.t),
+a2 AS MATERIALIZED (SELECT DISTINCT a1.f, a1.t, e.t AS mid FROM a1 JOIN e ON e.f = a1.mid WHERE e.t <> a1.f AND e.t <> a1.t), b2 AS MATERIALIZED (SELECT DISTINCT b1.f, b1.t, e.f AS mid FROM b1 JOIN e ON e.t = b1.mid WHERE e.f <> b1.f AND e.f <> b1.t),
+pth AS (SELECT f, t FROM pr WHERE n > 1 UNION SELECT f, t FROM a1 JOIN b1 USING (f, t, mid) UNION SELECT f, t FROM a2 JOIN b1 USING (f, t, mid) UNION SELECT f, t FROM a2 JOIN b2 USING (f, t, mid))"""
+
+
+@query(f"""WITH {_CUSTOMERS}, {_NEIGHBOURS}, b AS (SELECT id, m, sum(s) AS s FROM (SELECT DISTINCT id, m, 1 AS s FROM links JOIN u ON n = from_id WHERE m <> to_id UNION ALL SELECT DISTINCT id, m, 2 FROM links JOIN u ON n = to_id WHERE m <> from_id) GROUP BY ALL),
+j AS (SELECT id, count(*) FILTER (s = 3)::DOUBLE / count(*) AS jaccard FROM b GROUP BY id), {_OTHER_PATHS},
+od AS (SELECT from_id AS node, count(*) AS o FROM links GROUP BY 1), ind AS (SELECT to_id AS node, count(*) AS i FROM links GROUP BY 1),
+ch AS MATERIALIZED (SELECT node AS c, o AS dc, md5(node::VARCHAR) AS h FROM od ORDER BY h, node LIMIT 21),
+r1 AS (SELECT DISTINCT c, to_id AS mid FROM ch JOIN links ON from_id = c), r2 AS (SELECT DISTINCT c, to_id AS mid FROM r1 JOIN links ON from_id = mid), r3 AS (SELECT DISTINCT c, to_id AS mid FROM r2 JOIN links ON from_id = mid), near AS MATERIALIZED (SELECT * FROM r1 UNION SELECT * FROM r2 UNION SELECT * FROM r3),
+tried AS (SELECT id, to_id, c FROM (SELECT links.id, to_id, c, row_number() OVER (PARTITION BY links.id ORDER BY h, c) AS k FROM links JOIN od ON od.node = from_id, ch WHERE c <> from_id AND c <> to_id AND abs(dc - o) <= o * 0.5 + 1) WHERE k <= 5),
+hits AS (SELECT id, count(*) AS n, count(near.c) AS k FROM tried LEFT JOIN near ON near.c = tried.c AND near.mid = tried.to_id GROUP BY id),
+x AS (SELECT links.id, CASE WHEN coalesce(jaccard, 0) >= 0.15 THEN 1 WHEN coalesce(jaccard, 0) < 0.03 THEN -1 ELSE 0 END AS confounder, CASE WHEN pth.f IS NOT NULL THEN 1 WHEN i >= 2 THEN 0 ELSE -1 END AS corroboration,
+ CASE WHEN coalesce(n, 0) < 3 THEN 0 WHEN round(k::DOUBLE / n + 0.1, 9) <= 0.5 THEN 1 WHEN round(k::DOUBLE / n + 0.1, 9) > 1 THEN -1 ELSE 0 END AS placebo FROM links LEFT JOIN j USING (id) LEFT JOIN pth ON pth.f = from_id AND pth.t = to_id LEFT JOIN hits USING (id) JOIN ind ON ind.node = to_id),
+g AS (SELECT *, (confounder = 1)::INT + (corroboration = 1)::INT + (placebo = 1)::INT AS good, (confounder = -1)::INT + (corroboration = -1)::INT + (placebo = -1)::INT AS bad FROM x)
+SELECT id, confounder, corroboration, placebo, CASE WHEN good >= 3 THEN 'A' WHEN good >= 2 AND bad = 0 THEN 'B' WHEN bad = 0 THEN 'C' WHEN bad >= 2 THEN 'F' ELSE 'D' END AS grade FROM g""")
 def refute_edges(spark, d):
     return graph.refute(_links(spark, d))
 
 
+@query(f"""WITH {_CUSTOMERS}, {_OTHER_PATHS} SELECT corroborated, count(*) AS n FROM (SELECT links.id, pth.f IS NOT NULL AS corroborated FROM links LEFT JOIN pth ON pth.f = from_id AND pth.t = to_id) GROUP BY corroborated""")
+def grade_distribution(spark, d):
+    """How many edges another path of up to four edges supports."""
+    grades = graph.refute(_links(spark, d))
+    return grades.groupBy((F.col("corroboration") == 1).alias("corroborated")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""WITH r AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS id, min(l_linenumber) OVER (PARTITION BY l_orderkey, l_suppkey) AS place FROM lineitem), p AS (SELECT a.id AS from_id, b.id AS to_id, count(*) AS n FROM r a JOIN r b ON a.g = b.g AND a.place < b.place AND a.id <> b.id GROUP BY ALL)
 SELECT from_id, to_id, n, round(least(1, 0.2::DOUBLE + 0.05::DOUBLE * (n - 1)), 6) AS weight FROM p""")
 def cooccurrence(spark, d):
@@ -662,10 +737,12 @@ def diversity(spark, d):
     return consolidate.diversity(rows).select(_r("diversity").alias("diversity"))
 
 
-_SCORE = f"""sc AS (SELECT id, s AS score, round(s, 9) >= 1 AS protected FROM (SELECT id, confidence + CASE WHEN ({polarity_sql('outcome')}) IS NOT DISTINCT FROM false THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN {NOW} - last_accessed_at <= 604800 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN EXISTS (SELECT 1 FROM entries b WHERE list_sort(list_distinct({tokens_sql('b.decision')})) = list_sort(list_distinct({tokens_sql('entries.decision')})) AND (({polarity_sql('b.outcome')}) IS NOT DISTINCT FROM false) <> (({polarity_sql('entries.outcome')}) IS NOT DISTINCT FROM false)) THEN 0.2::DOUBLE ELSE 0 END AS s FROM entries))"""
+_ALIKE = f"""w AS MATERIALIZED (SELECT id, list_distinct({tokens_sql('decision')}) AS t, ({polarity_sql('outcome')}) IS NOT DISTINCT FROM false AS failed FROM entries),
+con AS (SELECT DISTINCT a.id FROM w a JOIN w b ON a.failed <> b.failed WHERE len(a.t) > 0 AND len(b.t) > 0 AND len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(a.t || b.t)) >= 0.65::DOUBLE)"""
 
 
-@query()
+@query(with_sql("chunks edges entries", f""", {_ALIKE}, sc AS (SELECT id, confidence + CASE WHEN failed THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN discovered_by = 'user_feedback' THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN con.id IS NOT NULL THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN {NOW} - last_accessed_at <= 604800 THEN 0.2::DOUBLE ELSE 0 END AS s FROM entries JOIN w USING (id) LEFT JOIN con USING (id))
+SELECT id, round(s, 6) AS score, round(s, 9) >= 1 AS protected FROM sc"""))
 def reactivation(spark, d):
     return consolidate.reactivation(_entries(spark, d), NOW).select("id", _r("score").alias("score"), "protected")
 
@@ -801,7 +878,15 @@ def evidence_coverage(spark, d):
     return hits.filter(F.col("hit") >= F.greatest(F.lit(1), F.floor(F.col("n") / 2) + 1)).select("item_id", "doc_id", "hit")
 
 
-@query()
+@query(with_sql("edges meta", """, v AS (SELECT * FROM edges WHERE valid_to IS NULL), s AS (SELECT * FROM v WHERE confidence >= 0.2::DOUBLE),
+c AS (SELECT task_tag AS qid, id AS first_edge, confidence AS c1, from_id AS node, 1 AS depth FROM s UNION ALL SELECT c.qid, first_edge, c1 * s.confidence, s.from_id, depth + 1 FROM c JOIN s ON s.to_id = c.node WHERE depth < 3 AND c1 * s.confidence >= 0.2::DOUBLE),
+f AS (SELECT qid, first_edge, node, max(c1) AS c1 FROM c GROUP BY ALL),
+m AS (SELECT from_id AS node, to_id AS other, id, confidence AS c2 FROM meta WHERE valid_to IS NULL UNION ALL SELECT to_id, from_id, id, confidence FROM meta WHERE valid_to IS NULL AND from_id <> to_id),
+o AS (SELECT * FROM (SELECT q.qid, m.*, row_number() OVER (PARTITION BY q.qid, m.node ORDER BY c2 DESC, m.id) AS k FROM m JOIN (SELECT DISTINCT qid, node FROM f) q USING (node)) WHERE k <= 3),
+own AS (SELECT from_id AS node, min(task_tag) AS tag FROM v GROUP BY from_id),
+x AS (SELECT qid, node, s.id AS second_edge, max(c2 * s.confidence) AS c23 FROM o LEFT JOIN own USING (node) JOIN s ON s.to_id = o.other WHERE s.task_tag IS DISTINCT FROM tag GROUP BY ALL),
+y AS (SELECT qid, first_edge, second_edge, max(c1 * coalesce(c23, 1)) AS confidence FROM f LEFT JOIN x USING (qid, node) GROUP BY ALL)
+""" + top_sql("SELECT * FROM y", 20, "round(confidence, 9) DESC, first_edge, second_edge NULLS LAST", "qid, first_edge, second_edge, round(confidence, 6) AS confidence")))
 def cross_session(spark, d):
     edges, meta = fx.edges(spark, d), fx.meta_edges(spark, d)
     anchors = edges.filter("valid_to is null").select(F.col("task_tag").alias("qid"), "id")
@@ -869,7 +954,7 @@ def retraction_filter(spark, d):
     return novelty.without_retracted(rows, asked)
 
 
-@query()
+@query(f"WITH {_SETS} SELECT a, b, round(similarity, 6) AS similarity FROM p JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE similarity >= 0.65::DOUBLE AND a % 2 = 0 AND x.source <> y.source")
 def rem_transfer(spark, d):
     """Benchmark items and documents as patterns of two tasks."""
     items = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.array("source").alias("tags"), (F.col("doc_id") % 2 == 0).alias("is_new"))
@@ -886,7 +971,13 @@ def swr_replay(spark, d):
     return graph.replay(g, starts).select("id", F.col("replays").cast("long").alias("replays"), _r("weight").alias("weight"))
 
 
-@query()
+def dates_sql(text: str) -> str:
+    return rf"list_distinct(list_filter(regexp_extract_all(regexp_replace({text}, '^\[.*?\] \s*', ''), '\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\b'), lambda x: try_strptime(x, '%Y-%m-%d') IS NOT NULL))"
+
+
+@query(with_sql("chunks edges entries", f""", o AS MATERIALIZED (SELECT id, task_tag, event_time, list_distinct(list_filter({tokens_sql('decision')}, lambda x: NOT regexp_full_match(x, '[0-9]+'))) AS w, {dates_sql('decision')} AS dates FROM entries WHERE NOT regexp_matches(lower(decision), '{'|'.join(tx.RETRACTION_MARKERS)}')),
+h AS MATERIALIZED (SELECT conv_id * 100 + turn AS hint, 't' || (conv_id % 5) AS task_tag, conv_id * 1000 + turn AS told, list_distinct(list_filter({tokens_sql("(role || ': ' || text)")}, lambda x: NOT regexp_full_match(x, '[0-9]+'))) AS w, {dates_sql("(role || ': ' || text)")} AS dates FROM conversations)
+SELECT o.id, h.hint FROM o JOIN h ON o.task_tag = h.task_tag AND event_time <= told WHERE len(list_intersect(o.w, h.w)) >= greatest(2, 0.5 * least(len(o.w), len(h.w))) AND len(list_intersect(o.dates, h.dates)) = 0"""))
 def supersede_hints(spark, d):
     """Each turn as a hint against the turns before it in its task."""
     from tracewell.operators import dml
