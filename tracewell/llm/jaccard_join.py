@@ -354,6 +354,8 @@ def _blocks(found: DataFrame, groups: DataFrame) -> DataFrame:
     times the one before, as linked sets differ by 4/3 at most; and each range into parts by a hash. Any two
     parts of one range or of neighbouring ones meet in a block.
     """
+    if groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).isEmpty():
+        return groups.select("component", F.col("node").alias("class"), F.lit(0).alias("block"))
     size = F.floor(F.log("n") / F.log(F.lit(1.4))).cast("int")
     rows = groups.join(found.select(F.col("class").alias("node"), "n"), "node").select("node", "component", F.struct("component", size.alias("size")).alias("range"))
 
@@ -377,7 +379,7 @@ def class_links(found: DataFrame, parts: int) -> DataFrame:
     """Edges (a, b) between classes whose components are those of all links."""
     prefix = found.select(F.explode("prefix").alias("token"), "class")
     chains = attach(prefix, "token", "class", {"hub": F.min("class")}, {"hub": F.min("hub")}).filter("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
-    groups = materialise(connected_components(chains), "jaccard-groups")
+    groups = connected_components(chains)
     rows = found.select("class", "n", "tokens").join(_blocks(found, groups), "class").select("component", "block", "class", "n", "tokens")
     tasks = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts)
     return rows.repartition(tasks, "component", "block").sortWithinPartitions("component", "block").mapInArrow(_verify, "a long, b long")
