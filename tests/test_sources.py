@@ -79,6 +79,39 @@ def test_stream_appends_each_turn_once(spark, tmp_path):
     assert [r.turns for r in ingest.sessions(rows).collect()] == [3]
 
 
+def test_counts_over_streams(spark, tmp_path):
+    def run(rows, build, mode):
+        path = f"{tmp_path}/{build.__name__}"
+        rows.write.parquet(f"{path}/in")
+        q = build(spark.readStream.schema(rows.schema).parquet(f"{path}/in")).writeStream.outputMode(mode).format("memory").queryName(build.__name__).option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(build.__name__).collect()
+
+    together = spark.createDataFrame([(["a", "b", "c"],), (["a", "b", "a"],)], "ids array<string>")
+    assert {(r.from_id, r.to_id): (r.n, round(r.weight, 2)) for r in run(together, ingest.pair_counts, "update")} == {("a", "b"): (2, 0.25), ("a", "c"): (1, 0.2), ("b", "c"): (1, 0.2), ("b", "a"): (1, 0.2)}
+    seen = spark.sql("select * from values (1, timestamp'2025-01-01 00:00:00'), (1, timestamp'2025-01-02 00:00:00'), (2, timestamp'2025-04-01 00:00:00') as v(id, event_ts)")
+    assert {r.id: (r.n, r["last"].day) for r in run(seen, ingest.access_counts, "update")} == {1: (2, 2), 2: (1, 1)}
+    assert sorted((r.id, r.n, r.dormant) for r in run(seen, ingest.dormancy, "append")) == [(1, 2, False), (1, 2, True), (2, 1, False)]
+
+
+def test_conversation_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yes"}]}')
+    (tmp_path / "b.json").write_text('[{"speaker": "Ann", "text": "no"}]')
+    assert sorted((r.place, r.speaker, r.text) for r in sessions.conversations(spark, str(tmp_path)).collect()) == [(0, "Ann", "no"), (0, "user", "hi"), (1, "assistant", "yes")]
+
+
+def test_lines_of_a_log_in_splits_keep_their_order(spark, tmp_path):
+    text = "".join(f'{{"type": "message", "text": "{i:04d}{"x" * 100}"}}\n' for i in range(500))
+    (tmp_path / "log.jsonl").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        rows = sessions.calls(spark, str(tmp_path)).texts.orderBy("line").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [int(r.text[:4]) for r in rows] == list(range(500)) and len({r.line for r in rows}) == 500
+
+
 def test_scopes(spark):
     from tracewell.plans.memory import valid_scope
 

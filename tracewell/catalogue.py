@@ -823,7 +823,7 @@ def _upsert_sql(replace: bool) -> str:
     chain = "lead(fact) OVER (PARTITION BY key, scope ORDER BY id, value)" if replace else "NULL::BIGINT"
     first = "first_value(fact) OVER (PARTITION BY key, scope ORDER BY id, value)" if replace else "NULL::BIGINT"
     return with_sql("facts", f""", b AS (SELECT id + 1000000 AS id, key, value, scope, 'batch' AS source, 1.5::DOUBLE AS confidence FROM facts WHERE id % 5 = 0 UNION ALL SELECT id + 2000000, key, 'NEW' || (id % 3), scope, 'batch', 0.9 FROM facts WHERE id % 7 = 0),
-g AS (SELECT key, value, scope, max(id) AS id, arg_max(confidence, id) AS confidence FROM b GROUP BY ALL), n AS (SELECT g.*, f.id AS known, coalesce(f.id, g.id) AS fact FROM g LEFT JOIN facts f USING (key, value, scope)),
+g AS (SELECT key, value, scope, max(id) AS id, arg_max(confidence, id) AS confidence FROM b GROUP BY ALL), n AS (SELECT g.*, f.id AS known, coalesce(f.id, g.id) AS fact FROM g LEFT JOIN (SELECT key, value, scope, min(id) AS id FROM facts GROUP BY ALL) f USING (key, value, scope)),
 c AS (SELECT *, {chain} AS nxt, {first} AS first FROM n), w AS (SELECT DISTINCT key, scope, first FROM c),
 o AS (SELECT f.id, key, value, scope, CASE WHEN c.id IS NULL THEN f.source ELSE 'batch' END AS source, CASE WHEN c.id IS NULL THEN f.confidence ELSE least(1, c.confidence) END AS confidence, created_at, CASE WHEN c.id IS NULL THEN updated_at ELSE {NOW} END AS updated_at,
  CASE WHEN c.id IS NOT NULL THEN CASE WHEN nxt IS NOT NULL THEN {NOW} END WHEN w.first IS NOT NULL AND valid_to IS NULL THEN {NOW} ELSE valid_to END AS valid_to, CASE WHEN c.id IS NOT NULL THEN nxt WHEN w.first IS NOT NULL AND valid_to IS NULL THEN w.first ELSE superseded_by END AS superseded_by

@@ -95,14 +95,15 @@ def supersede_by_hint(entries: DataFrame, hints: DataFrame) -> DataFrame:
 def upsert_facts(facts: DataFrame, batch: DataFrame, now: int, replace: bool = False) -> DataFrame:
     """Facts with a batch (id, key, value, scope, confidence, and source if any): an equal (key, value, scope) is renewed and valid again, others are added.
 
-    All columns of the table stay, missing ones are added empty. A renewed fact keeps id and created_at. Of
+    All columns of the table stay, missing ones are added empty. A renewed fact keeps id and created_at; where the
+    table has it several times all are renewed, and it goes by the smallest id. Of
     repeated rows in a batch the last id counts. replace: of a key and scope only the batch's last value stays
     valid: each earlier one is retired, superseded by the next, and all that the table had by the first.
     """
     facts, keys = ensure_schema(facts, "agent_facts", extra=True), ["key", "value", "scope"]
     source = F.col("source") if "source" in batch.columns else F.lit("agent")
     held = F.struct("id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "confidence")).alias("confidence"), source.alias("source"))
-    known = facts.select(F.col("id").alias("_known"), *keys)
+    known = facts.groupBy(*keys).agg(F.min("id").alias("_known"))
     new = batch.groupBy(*keys).agg(F.max_by(held, "id").alias("_b")).join(known, keys, "left").withColumn("_fact", F.coalesce("_known", F.col("_b.id").cast("long")))
     order = Window.partitionBy("key", "scope").orderBy("_b.id", "value")
     new = new.withColumn("_next", F.lead("_fact").over(order) if replace else F.lit(None).cast("long"))

@@ -35,9 +35,25 @@ def similar_pairs(items: DataFrame, threshold: float = SIMILARITY, equal: bool =
 
     A set-similarity join: tokens are put in order of rarity, and two similar sets share one of the first
     n - ceil(threshold n) + 1 of each. Pairs meet on those tokens; their number and the last places bound
-    the overlap from above, and only pairs that can still reach the threshold are compared.
+    the overlap from above, and only pairs that can still reach the threshold are compared. Items with equal
+    sets are compared once.
     """
-    items = materialise(items.select("id", "tokens", F.size("tokens").alias("n")), "similar-items")
+    rows = materialise(items.select("id", F.array_sort("tokens").alias("tokens")), "similar-rows")
+    sets = materialise(rows.groupBy("tokens").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "similar-sets")
+    found = _similar_sets(sets.select("id", "tokens"), threshold)
+    if not sets.filter("copies > 1").isEmpty():  # pairs of sets are pairs of all rows that have them
+        members = rows.join(sets.filter("copies > 1").withColumnRenamed("id", "set"), "tokens").select("set", F.col("id").alias("row"))
+        of = lambda s: members.select(F.col("set").alias(s), F.col("row").alias(f"row_{s}"))
+        spread = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("row_a", "a").alias("a"), F.coalesce("row_b", "b").alias("b"), "similarity")
+        found = spread.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+        if equal:
+            found = found.unionByName(members.join(members.withColumnRenamed("row", "other"), "set").filter("row < other").join(sets.filter("size(tokens) > 0").select(F.col("id").alias("set")), "set", "left_semi").select(F.col("row").alias("a"), F.col("other").alias("b"), F.lit(1.0).alias("similarity")))
+    return found
+
+
+def _similar_sets(items: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity), a < b, of different sets (id, tokens)."""
+    items = materialise(items.withColumn("n", F.size("tokens")), "similar-items")
     held = items.select("id", "n", F.explode("tokens").alias("token"))
     df = held.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = held.join(df, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
@@ -53,7 +69,7 @@ def similar_pairs(items: DataFrame, threshold: float = SIMILARITY, equal: bool =
     found = counts.filter(F.col("c") - 1 + ahead >= needed).select("a", "b")
     x, y = items.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), items.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     scored = found.join(x, "a").join(y, "b").select("a", "b", tx.jaccard(F.col("ta"), F.col("tb")).alias("similarity"))
-    return scored.filter((F.col("similarity") >= threshold) & (F.lit(equal) | (F.col("similarity") < 1)))
+    return scored.filter(F.col("similarity") >= threshold)
 
 
 def classify(pairs: DataFrame, items: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.session import materialise
+
 #: Fixed value: chains that a query returns at most.
 CHAINS = 50
 
@@ -20,7 +22,7 @@ def chains(edges: DataFrame, anchors: DataFrame, backward: bool, max_depth: int
 
     A chain grows by valid edges of at least min_confidence while the product stays there too. There is
     no guard against loops but the depth. hops holds a struct per edge, in the order walked; at is the
-    chain's open end.
+    chain's open end. Each level is written to the shared folder.
     """
     step = edges.filter((F.col("valid_to").isNull()) & (F.col("confidence") >= min_confidence)).select(
         F.col("to_id" if backward else "from_id").alias("_near"), F.col("from_id" if backward else "to_id").alias("_far"), F.col("confidence").alias("_c"), _hop().alias("_hop"), F.col("id").alias("_edge")
@@ -30,6 +32,7 @@ def chains(edges: DataFrame, anchors: DataFrame, backward: bool, max_depth: int
     for _ in range(max_depth - 1):
         product = F.col("confidence") * F.col("_c")
         level = level.join(step, F.col("at") == F.col("_near")).filter(product >= min_confidence).select("qid", product.alias("confidence"), F.concat("hops", F.array("_hop")).alias("hops"), F.col("_far").alias("at"))
+        level = materialise(level, "chains")  # else each level is computed again for every deeper one
         levels.append(level)
     return reduce(DataFrame.unionByName, levels).withColumn("depth", F.size("hops").cast("long"))
 
