@@ -168,9 +168,62 @@ def recent_decisions(spark, d):
     return latest.join(chunks, "from_id").select("id", tx.snippet(F.col("text")).alias("decision"), "event_time")
 
 
+@query("SELECT conv_id AS session, min(conv_id * 1000 + turn) AS began FROM conversations WHERE (conv_id + turn) % 5 <> 0 GROUP BY conv_id ORDER BY began LIMIT 50")
+def undistilled_sessions(spark, d):
+    """The oldest sessions with turns that were not distilled yet."""
+    turns = fx.table(spark, d, "conversations").filter((F.col("conv_id") + F.col("turn")) % 5 != 0)
+    return turns.groupBy(F.col("conv_id").alias("session")).agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("began")).orderBy("began").limit(50)
+
+
+@query(with_sql("facts", "SELECT id FROM facts WHERE valid_to IS NULL AND NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = facts.id)"))
+def facts_without_embedding(spark, d):
+    vectors = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
+    return fx.facts(spark, d).filter("valid_to is null").join(vectors, "id", "left_anti").select("id")
+
+
+@query("SELECT ps_part AS from_id, ps_supp AS to_id, round(weight, 6) AS weight, row_number() OVER (ORDER BY weight DESC, ps_part, ps_supp) AS place FROM (SELECT l_partkey AS ps_part, l_suppkey AS ps_supp, least(1, 0.2::DOUBLE + 0.05::DOUBLE * (count(*) - 1)) AS weight FROM lineitem GROUP BY ALL)")
+def cooccurrences_by_weight(spark, d):
+    """A stored table of pairs, the heaviest first."""
+    pairs = fx.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("from_id"), F.col("l_suppkey").alias("to_id")).agg(F.least(F.lit(1.0), 0.2 + 0.05 * (F.count(F.lit(1)) - 1)).alias("weight"))
+    return numbered(pairs, F.col("weight").desc(), "from_id", "to_id").select("from_id", "to_id", _r("weight").alias("weight"), "place")
+
+
+@query(with_sql("chunks meta", """, q AS (SELECT 0 AS qid, 'pattern 3' AS query UNION ALL SELECT 1, 'tion' UNION ALL SELECT 2, 'nothing says this') SELECT qid, m.id, pattern, round(confidence, 6) AS confidence FROM meta m LEFT JOIN chunks f ON f.id = from_id LEFT JOIN chunks t ON t.id = to_id, q
+WHERE valid_to IS NULL AND contains(lower(concat_ws(chr(10), pattern, f.text, t.text)), query)"""))
+def patterns_saying(spark, d):
+    asked = spark.createDataFrame([(0, "pattern 3"), (1, "tion"), (2, "nothing says this")], "qid long, query string")
+    return _memory(spark, d).search_patterns(asked).select("qid", "id", "pattern", _r("confidence").alias("confidence"))
+
+
 # ---- Text functions
 
 
+_PREVIOUS = "SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations"
+
+
+@query(rf"""WITH t AS (SELECT *, {tokens_sql('text')} AS a, {tokens_sql('before')} AS b FROM ({_PREVIOUS}) WHERE before IS NOT NULL)
+SELECT conv_id, turn, CASE WHEN length(text) > 40 THEN substr(text, 1, 39) || '…' ELSE text END AS short, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS normal,
+ round(coalesce(len(list_intersect(list_distinct(a), list_distinct(b)))::DOUBLE / nullif(least(len(list_distinct(a)), len(list_distinct(b))), 0), 0), 6) AS contained, array_to_string(list_sort(list_intersect(list_distinct(a), list_distinct(b))), ' ') AS signature FROM t""")
+def text_rules(spark, d):
+    """Each turn beside the one before it: shortened, normalised, how much of the smaller is in the other, and what they share."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = fx.table(spark, d, "conversations").withColumn("before", F.lag("text").over(w)).filter("before is not null").withColumns({"a": tx.tokens(F.col("text")), "b": tx.tokens(F.col("before"))})
+    return rows.select("conv_id", "turn", tx.truncate(F.col("text"), 40).alias("short"), F.md5(tx.normalise(F.col("text"))).alias("normal"), _r(tx.containment(F.col("a"), F.col("b"))).alias("contained"), tx.pair_signature(F.col("a"), F.col("b")).alias("signature"))
+
+
+#: Questions, with what they name and whether they ask for all evidence.
+_SHAPES = {
+    "How many items of clothing did I buy from Zara?": ("clothing zara", True), "how many days ago did I buy a smoker": ("days smoker", False), "list all the concerts I attended": ("concerts attended", True), "what time did I go to bed yesterday": ("time yesterday", False),
+    "How many weeks between the trip and the party?": ("weeks between trip party", False), "What's the total number of plants, plants and trees?": ("number plants trees", True), "why": ("", False),
+}
+
+
+@query("SELECT event_id, CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{e}'" for i, (e, _) in enumerate(_SHAPES.values())) + " END AS entities, CASE event_id % 7 " + " ".join(f"WHEN {i} THEN {a}" for i, (_, a) in enumerate(_SHAPES.values())) + " END AS aggregation FROM events")
+def question_shapes(spark, d):
+    said = F.element_at(F.array(*map(F.lit, _SHAPES)), (F.col("event_id") % 7 + 1).cast("int"))
+    return fx.table(spark, d, "events").select("event_id", F.array_join(router.entities(said), " ").alias("entities"), router.looks_aggregation(said).alias("aggregation"))
+
+
 @query(f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)")
 def tokenize_docs(spark, d):
     t = fx.table(spark, d, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t"))
@@ -303,6 +356,11 @@ def rrf_fuse(spark, d):
     return fusion.rrf([_ranked(spark, d, "o_totalprice"), _ranked(spark, d, "o_orderdate")], 20).select("qid", "id", _r("score").alias("score"), "rank")
 
 
+@query(f"WITH l AS (SELECT *, 0 AS list FROM ({_RANK_A}) WHERE rank <= 5 UNION ALL SELECT *, 1 FROM ({_RANK_B}) WHERE rank <= 5), f AS (SELECT qid, id, min(list * 1000000 + rank) AS first FROM l GROUP BY ALL) SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY first) AS rank FROM f")
+def ordered_union(spark, d):
+    return fusion.ordered_union([_ranked(spark, d, c).filter("rank <= 5") for c in ("o_totalprice", "o_orderdate")]).select("qid", "id", "rank")
+
+
 @query(f"SELECT qid, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, low ORDER BY rank) AS n FROM (SELECT r.*, o_orderpriority = '5-LOW' AS low FROM ({_RANK_A}) r JOIN orders ON o_orderkey::VARCHAR = id)) WHERE NOT low OR n <= 3")
 def episode_quota(spark, d):
     return fusion.quota(_ranked(spark, d, "o_totalprice"), 3, F.col("o_orderpriority") == "5-LOW").select("qid", "id", "rank")
@@ -421,6 +479,14 @@ def edges_touching(spark, d):
     return hops.touching(_entries(spark, d), nodes, 25).select("qid", "id", _r("confidence").alias("confidence"), "rank")
 
 
+@query(with_sql("chunks edges entries", f""", {_ENDS}, n AS (SELECT conv_id % 7 AS qid, 'c' || conv_id || '::s0::' || turn AS node, (conv_id % 9 - 4)::DOUBLE / 4 AS a FROM conversations WHERE turn = 1),
+m AS (SELECT qid, id, confidence, max(abs(a)) AS activation FROM ends JOIN n USING (node) GROUP BY ALL), s AS ({top_sql("SELECT * FROM m", 20, "confidence DESC, id", "qid, id, confidence, activation")})
+""" + top_sql("SELECT qid, id, confidence, activation FROM s", 10, "round(activation, 9) DESC, confidence DESC, id", "qid, id, round(activation, 6) AS activation")))
+def edges_by_activation(spark, d):
+    nodes = fx.table(spark, d, "conversations").filter("turn = 1").select((F.col("conv_id") % 7).alias("qid"), F.concat(F.lit("c"), "conv_id", F.lit("::s0::"), "turn").alias("node"), ((F.col("conv_id") % 9 - 4) / 4).alias("activation"))
+    return hops.touching_by_activation(_entries(spark, d), nodes, 10).select("qid", "id", _r("activation").alias("activation"), "rank")
+
+
 _WORD = r"(?:^|[^\s])?\s*[A-Za-z][A-Za-z0-9'']*"
 _INNER = r"^(?:\s+|[^\s.!?“”" + '"' + r"A-Za-z]\s*)[A-Z][A-Za-z0-9'']+$"
 
