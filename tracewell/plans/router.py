@@ -93,11 +93,18 @@ def time_window(query: Column, now: Column) -> Column:
     week, month or year before, "this" the one that runs; months are of this year. A weekday is the latest
     before today. Days are UTC.
     """
-    low = F.lower(query)
-    part = lambda form, group: F.regexp_extract(low, _SAID[form], group)
-    number = lambda c: F.when(c.isin("a", "an"), F.lit(1).cast("long")).otherwise(F.coalesce(_one_of(c, {w: i + 1 for i, w in enumerate(_NUMBERS)}), F.when(c.try_cast("long") < 10**10, c.try_cast("long"))))
+    groups = {form: re.compile(pattern).groups for form, pattern in _SAID.items()}
+    found = [F.regexp_extract(F.lower(query), pattern, g).alias(f"{form}{g}") for form, pattern in _SAID.items() for g in range(groups[form] + 1)]
+    said = F.struct(*found, now.cast("long").alias("now"), F.date_from_unix_date(F.floor(now / _DAY).cast("int")).alias("today"))
+    return F.transform(F.array(said), _window)[0]  # what was said is found once and used many times
+
+
+def _window(said: Column) -> Column:
+    now, today = said["now"], said["today"]
+    part = lambda form, group: said[f"{form}{group}"]
+    count = lambda c: F.when(c.try_cast("long") < 10**10, c.try_cast("long"))
+    number = lambda c: F.when(c.isin("a", "an"), F.lit(1).cast("long")).otherwise(F.coalesce(_one_of(c, {w: i + 1 for i, w in enumerate(_NUMBERS)}), count(c)))
     unit = lambda form, group=1: _one_of(part(form, group), _UNITS)
-    today = F.date_from_unix_date(F.floor(now / _DAY).cast("int"))
     start = lambda day: F.unix_date(day).cast("long") * _DAY
     week, month, year = (F.to_date(F.trunc(today, u)) for u in ("week", "month", "year"))
     named = lambda form: F.make_date(F.year(today), _one_of(part(form, 1), {m: i + 1 for i, m in enumerate(_MONTHS)}).cast("int"), F.lit(1))
@@ -121,7 +128,7 @@ def time_window(query: Column, now: Column) -> Column:
     }
     out = None
     for form, window in windows.items():
-        fits = F.regexp_like(low, F.lit(_SAID[form]))
+        fits = part(form, 0) != ""
         out = F.when(fits, window) if out is None else out.when(fits, window)
     return F.when(out["start"].isNotNull(), out)
 
