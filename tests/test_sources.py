@@ -112,6 +112,19 @@ def test_lines_of_a_log_in_splits_keep_their_order(spark, tmp_path):
     assert [int(r.text[:4]) for r in rows] == list(range(500)) and len({r.line for r in rows}) == 500
 
 
+def test_reasoned_decisions_and_new_verdicts(spark):
+    from tracewell.operators import dml
+
+    texts = spark.createDataFrame([("s", 1, "x" * 100), ("s", 2, "y" * 100), ("s", 3, "z" * 100)], "session string, line long, text string")
+    find = lambda t: t.select("session", "line", F.substring("text", 1, 1).alias("decision"), F.lit("as it is").alias("reasoning"))
+    judge = lambda d: d.withColumn("confidence", F.when(F.col("decision") == "x", 0.9).when(F.col("decision") == "y", 0.2))
+    got = sessions.reasoned(sessions.Session(None, None, None, texts), find, judge).collect()
+    assert sorted((r.decision, r.confidence, r.task_tag) for r in got) == [("x", 0.9, "reasoning"), ("z", 0.5, "reasoning")]
+    edges = spark.createDataFrame([(1, "a", 0.5, "agent", None), (2, "a", 0.5, "agent", 9), (3, "b", 0.5, "agent", None)], "id long, from_id string, confidence double, discovered_by string, valid_to long")
+    new = dml.rejudge(edges, spark.createDataFrame([("a", 1.5, "user_feedback")], "from_id string, confidence double, discovered_by string"))
+    assert sorted((r.id, r.confidence, r.discovered_by) for r in new.collect()) == [(1, 1.0, "user_feedback"), (2, 0.5, "agent"), (3, 0.5, "agent")]
+
+
 def test_scopes(spark):
     from tracewell.plans.memory import valid_scope
 

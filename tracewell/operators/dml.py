@@ -69,6 +69,14 @@ def restore(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(hit, "id", "left").withColumns({"valid_to": F.when(F.col("_hit"), none).otherwise(F.col("valid_to")), "superseded_by": F.when(F.col("_hit"), none).otherwise(F.col("superseded_by"))}).drop("_hit").select(*edges.columns)
 
 
+def rejudge(edges: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Valid edges of the decisions in verdicts (from_id, confidence, discovered_by) with the confidence, held to [0, 1], and source given there; of repeated decisions the surest verdict."""
+    new = verdicts.groupBy("from_id").agg(F.max(F.struct(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "confidence")).alias("confidence"), "discovered_by")).alias("_v"))
+    hit = F.col("_v").isNotNull() & F.col("valid_to").isNull()
+    changed = {c: F.when(hit, F.col(f"_v.{c}")).otherwise(F.col(c)) for c in ("confidence", "discovered_by")}
+    return edges.join(new, "from_id", "left").withColumns(changed).select(*edges.columns)
+
+
 def annotate_superseded(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Edges with superseded_by set from pairs (old, new), the smallest new of each; they stay valid."""
     new = pairs.groupBy(F.col("old").alias("id")).agg(F.min("new").alias("_new"))

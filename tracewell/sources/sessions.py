@@ -8,6 +8,7 @@ Lines that are no JSON are left out. A session is the file a line came from, or
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import calls as calls_of
 
+#: Fixed value: the confidence under which a reasoned decision does not count.
+LEAST = 0.3
+
 
 @dataclass
 class Session:
@@ -119,6 +123,16 @@ def conversations(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("session", "place", F.coalesce("m.role", "m.speaker").alias("speaker"), F.coalesce("m.content", "m.text").alias("text"))
 
 
+def reasoned(session: Session, find: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(session, line, decision, outcome, relation, confidence, discovered_by, task_tag): decisions that long texts of assistants give reasons for.
+
+    find maps texts (session, line, text) to rows (session, line, decision, reasoning), judge adds confidence to
+    those; both are a caller's, as they ask a language model. Without a verdict it is 0.5; under LEAST they are dropped.
+    """
+    rows = judge(find(session.texts)).withColumn("confidence", F.coalesce("confidence", F.lit(0.5))).filter(F.col("confidence") >= LEAST)
+    return rows.select("session", "line", "decision", F.col("reasoning").alias("outcome"), F.lit("caused").alias("relation"), "confidence", F.lit("llm_inferred").alias("discovered_by"), F.lit("reasoning").alias("task_tag"))
+
+
 def extract(session: Session) -> DataFrame:
     """(session, line, tool, decision, outcome, failed, relation, confidence, source, task_tag, at): calls worth keeping with what came of them.
 
