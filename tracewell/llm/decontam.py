@@ -27,7 +27,7 @@ RADIUS = BLOCKS * (NEAR + 1) - 1
 #: Items, and bytes of their texts, that one pass holds in memory; a larger benchmark takes several passes over the documents.
 ITEMS, ITEM_BYTES = 1024, 32_000_000
 #: Shingles, and windows, that are fingerprinted at a time.
-STRETCH, WINDOWS = 1 << 16, 1 << 14
+STRETCH, WINDOWS = 1 << 14, 1 << 13
 
 
 @lru_cache(maxsize=1)

@@ -39,9 +39,11 @@ FAN_OUT = 512
 #: A shingle in so many sets of one chunk is common; its entries skip the fragment's count (see _segments).
 COMMON = 48
 #: Documents of a candidate block; larger candidate groups become pairs of blocks of near sizes.
-BLOCK = 1024
+BLOCK = 512
 #: Shingles in a fragment of a block's order.
 COLUMNS = 2048
+#: Rows of a block's table at a time.
+ROWS = 128
 
 
 def _digest(content: bytes) -> bytes:
@@ -287,21 +289,25 @@ def _links(sizes: np.ndarray, tokens: list[np.ndarray]) -> tuple[np.ndarray, np.
     flat, owner = flat[order], owner[order]
     at = _bounds(flat)
     df = np.diff(at)
-    total = np.zeros(m * m, np.int32)
+    total = np.zeros((m, m), np.int32)
     for d in np.unique(df[(df > 1) & (df <= 8)]):  # rare shingles: the few pairs of each
         group = owner[at[:-1][df == d][:, None] + np.arange(d)]
         for i in range(d):
             for j in range(i):
-                total += np.bincount(group[:, j] * m + group[:, i], minlength=m * m).astype(np.int32)
-    total = total.reshape(m, m)
+                pair, n = np.unique(group[:, j] * m + group[:, i], return_counts=True)
+                total.ravel()[pair] += n.astype(np.int32)
     frequent = np.flatnonzero(df > 8)
     for low in range(0, len(frequent), COLUMNS):  # others: a fragment's incidence table times itself
         cut = frequent[low : low + COLUMNS]
         table = np.zeros((m, len(cut)), np.float32)
         table[owner[np.repeat(at[cut], df[cut]) + arrays.runs(df[cut])], np.repeat(np.arange(len(cut)), df[cut])] = 1
-        total += (table @ table.T).astype(np.int32)
-    i, j = np.nonzero(np.triu(7 * total >= 3 * (sizes[:, None] + sizes[None, :]), 1))
-    return i, j
+        for row in range(0, m, ROWS):
+            total[row : row + ROWS] += (table[row : row + ROWS] @ table.T).astype(np.int32)
+    found = []
+    for row in range(0, m, ROWS):
+        i, j = np.nonzero(7 * total[row : row + ROWS] >= 3 * (sizes[row : row + ROWS, None] + sizes[None, :]))
+        found.append((i[j > i + row] + row, j[j > i + row]))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
 def _forest(classes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ SAMPLE = 1536
 #: Of these, one in so many is held back from learning, to weigh the bits and scale the margins.
 CALIBRATE_EVERY = 4
 #: Texts that one task learns from; tasks start each of ROUNDS from the mean of what all have learned, and pass EPOCHS times over their texts.
-PART_TEXTS, ROUNDS, EPOCHS, BATCH = 192, 2, 2, 32
+PART_TEXTS, ROUNDS, EPOCHS, BATCH = 128, 2, 2, 32
 START, RATE, SHRINK = 20.0, 1.0, 1e-5
 #: Each text is learned from as a whole and by excerpts of so many code points, so that short texts are told too.
 EXCERPTS = (40, 12)
