@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracewell.llm import arrays, bpe, decontam, edit_counts, exact_dedup, jaccard_join, langid, queries, secrets_scan, surrogates, url_rules, warc
+from tracewell.llm import arrays, bpe, decontam, edit_counts, exact_dedup, jaccard_join, langid, periodic_runs, queries, secrets_scan, simhash_join, surrogates, url_rules, warc
 
 VOCABULARY = queries.VOCABULARY
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, spans string, _id int, _salt int, _hash string, _hits int, class long, lang_pred string, _key int, _text string, _row int"
@@ -37,6 +37,8 @@ OPERATORS = {
     "op7": jaccard_join.jaccard_components,
     "op8": lambda d: edit_counts.count_edited(d.withColumn("edits", F.array(F.struct(F.lit(0).alias("position"), F.lit(1).alias("removed"), F.lit("z").alias("inserted")))), VOCABULARY),
     "op9": lambda d: surrogates.pseudonymise(d, b"k"),
+    "op12": lambda d: periodic_runs.periodic_runs(d, places=queries.repeated_places),
+    "op13": simhash_join.simhash_components,
 }
 
 

@@ -108,6 +108,17 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a, b, np.searchsorted(offsets, a, side="right") - 1
 
 
+def joined_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all words with one space after each; of each word its start and end there, and its document."""
+    a, b, doc = words(data, offsets)
+    ends = np.cumsum(b - a + 1) - 1
+    out, keep = np.full(int(ends[-1]) + 1 if len(ends) else 0, 0x20, np.uint8), np.ones(int(ends[-1]) + 1 if len(ends) else 0, bool)
+    keep[ends] = False
+    letters = data[~_SPACE[data]]
+    out[keep] = _LOWER[letters] if lower else letters
+    return out, ends - (b - a), ends, doc
+
+
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each range of values, from one running polynomial over all of them."""
     if not len(starts):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, decontam, edit_counts, exact_dedup, jaccard_join, langid, secrets_scan, surrogates, url_rules, warc
+from tracewell.llm import bpe, decontam, edit_counts, exact_dedup, jaccard_join, langid, periodic_runs, secrets_scan, simhash_join, surrogates, url_rules, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -80,6 +83,33 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+def repeated_places(doc_id: int | None, n: int) -> np.ndarray | None:
+    """A tenth of the documents repeat a stretch from some word on: the original word that stands at each place; null ids and others none."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    period = 1 + (n - a) // (3 + g % 8)
+    at = np.arange(n)
+    return np.where(at < a, at, a + (at - a) % period)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), places=repeated_places)
+    best = F.expr("aggregate(runs, cast(null as struct<start: long, length: long, period: long>), (b, r) -> if(b is null or r.length * b.period > b.length * r.period, r, b))")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    made = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("_b"), digest(lines).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+    exponent = F.expr("1000 * _b.length div _b.period").alias("exponent_milli")
+    return made.select("doc_id", "n_runs", "_b.start", "_b.length", "_b.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_join.simhash_components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -88,7 +118,7 @@ FROM d WINDOW w AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id)
 """
 
 
-_QUERIES = (op1_warc, op2_byte_bpe, op3_secrets, op4_exact_dedup, op5_language_id, op6_url_rules, op7_jaccard_join, op8_edit_counts, op9_surrogates, op10_decontamination)
+_QUERIES = (op1_warc, op2_byte_bpe, op3_secrets, op4_exact_dedup, op5_language_id, op6_url_rules, op7_jaccard_join, op8_edit_counts, op9_surrogates, op10_decontamination, op12_periodic_runs, op13_simhash_dedup)
 
 
 def queries() -> dict:
