@@ -92,9 +92,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of each document: byte starts, byte ends, and the document of each."""
-    gap = _SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words [^\\x20\\x09-\\x0D]+ of each document, or runs of bytes that gaps (by byte) has as false: byte starts, byte ends, and the document of each."""
+    gap = (_SPACE if gaps is None else gaps)[data]
     open_ = ~gap
     starts = open_.copy()
     starts[1:] &= gap[:-1]
@@ -108,6 +108,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a, b, np.searchsorted(offsets, a, side="right") - 1
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return _LOWER[data]
+
+
 def joined_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of all words with one space after each; of each word its start and end there, and its document."""
     a, b, doc = words(data, offsets)
@@ -191,6 +196,13 @@ def distinct_per_doc(values: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[
     return out[:to], sizes
 
 
+def distinct_ranges(letters: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of byte ranges that lie end to end, equal for equal bytes, and the distinct ranges in the order of their numbers."""
+    at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(letters))]).dictionary_encode()
+    return made.indices.to_numpy(zero_copy_only=False).astype(np.int64), made.dictionary
+
+
 def runs(lengths: np.ndarray) -> np.ndarray:
     """0 .. n-1 for each n of lengths, laid end to end."""
     total = int(lengths.sum())

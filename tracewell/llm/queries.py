@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, decontam, edit_counts, exact_dedup, jaccard_join, langid, periodic_runs, secrets_scan, simhash_join, surrogates, url_rules, warc
+from tracewell.llm import bpe, collocations, decontam, edit_counts, exact_dedup, jaccard_join, langid, periodic_runs, secrets_scan, simhash_join, surrogates, url_rules, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -83,6 +83,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def repeated_places(doc_id: int | None, n: int) -> np.ndarray | None:
     """A tenth of the documents repeat a stretch from some word on: the original word that stands at each place; null ids and others none."""
     h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
@@ -117,8 +121,31 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id)
 """
 
+#: Every sequence of words is spelled out and counted; parts and longer phrases are found by their spelling.
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM lists GROUP BY lang),
+f AS (
+  SELECT lang, phrase, count(*) AS f FROM (
+    SELECT lang, unnest(flatten(list_transform([1, 2, 3, 4], lambda k: list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: w[i:i + k - 1])))) AS phrase FROM lists
+  ) GROUP BY ALL HAVING count(*) >= 30
+), c AS (SELECT lang, phrase AS p, f AS a FROM f WHERE len(phrase) > 1),
+cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM c),
+scored AS (
+  SELECT cuts.lang, p, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = p[1:k] JOIN f y ON y.lang = cuts.lang AND y.phrase = p[k + 1:len(p)]
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inside AS (SELECT lang, a, unnest(flatten(list_transform(range(2, len(p)), lambda k: list_transform(range(1, len(p) - k + 2), lambda i: p[i:i + k - 1])))) AS q FROM c WHERE len(p) > 2),
+absorbed AS (SELECT DISTINCT c.lang, c.p FROM c JOIN inside i ON i.lang = c.lang AND i.q = c.p WHERE 100::HUGEINT * i.a >= 80::HUGEINT * c.a),
+kept AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM best ANTI JOIN absorbed USING (lang, p))
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score FROM kept JOIN totals USING (lang)
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= 2000
+"""
+
 
-_QUERIES = (op1_warc, op2_byte_bpe, op3_secrets, op4_exact_dedup, op5_language_id, op6_url_rules, op7_jaccard_join, op8_edit_counts, op9_surrogates, op10_decontamination, op12_periodic_runs, op13_simhash_dedup)
+_QUERIES = (op1_warc, op2_byte_bpe, op3_secrets, op4_exact_dedup, op5_language_id, op6_url_rules, op7_jaccard_join, op8_edit_counts, op9_surrogates, op10_decontamination, op11_collocations, op12_periodic_runs, op13_simhash_dedup)
 
 
 def queries() -> dict:
@@ -126,4 +153,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op6_url_rules": url_rules.judge_urls_sql()}
+    return {"op4_exact_dedup": OP4_SQL, "op11_collocations": OP11_SQL, "op6_url_rules": url_rules.judge_urls_sql()}
