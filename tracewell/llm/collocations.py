@@ -27,9 +27,9 @@ from tracewell.operators.blocks import numbered
 from tracewell.session import materialise, release
 
 #: Bytes of text of one language that are encoded at a time (a longer document is one part).
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 2_000_000
 #: Keys that a task sorts at a time, and that a range holds, about.
-KEYS = 1 << 20
+KEYS = 1 << 19
 #: Ranges at most; beyond it they grow. The driver holds a sample of SAMPLES keys a range, or LEAST_SAMPLE, to cut them.
 RANGES = 1 << 20
 SAMPLES = 4
@@ -59,7 +59,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray
                 a, b, doc = arrays.words(part, at, _GAP)
                 if not len(a):
                     continue
-                piece = np.cumsum(_BREAK[part], dtype=np.int64)[a]
+                piece = np.cumsum(_BREAK[part], dtype=np.int32 if len(part) < 1 << 31 else np.int64)[a]
                 fresh = np.ones(len(a), bool)
                 fresh[1:] = (piece[1:] != piece[:-1]) | (doc[1:] != doc[:-1])
                 ids, words = arrays.distinct_ranges(arrays.lowered(part[~_GAP[part]]), b - a)
