@@ -5,8 +5,7 @@
 2. Texts are encoded with these numbers. Pieces break at all other words, as no phrase spans them. Every
    place of a piece gives a key of 16 bytes: the numbers of its word and of the three that follow, 0 beyond the
    piece's end. A task sorts its keys and sends each distinct one with a count (`_packed`).
-3. Keys are cut into ranges of about equal size by a sample of them, sorted in a range by their 16-bit digits, and
-   counted as runs. As a phrase is a prefix of its keys, one sort counts phrases of two, three and four words
+3. Keys are cut into ranges of about equal size, sorted in a range by their 16-bit digits, and counted as runs. As a phrase is a prefix of its keys, one sort counts phrases of two, three and four words
    (`_count_range`). What a range has of a phrase at its edges is summed with its neighbours.
 4. A phrase's parts and the phrases around it are looked up by joins over the counted phrases.
 """
@@ -24,13 +23,14 @@ from pyspark.sql import functions as F
 from tracewell.llm import arrays
 from tracewell.llm.grouping import SALTS, attach
 from tracewell.operators.blocks import numbered
-from tracewell.session import materialise, release
+from tracewell.session import materialise
 
 #: Bytes of text of one language that are encoded at a time (a longer document is one part).
 CHUNK_BYTES = 2_000_000
 #: Keys that a task sorts at a time, and that a range holds, about.
 KEYS = 1 << 19
-#: Ranges at most; beyond it they grow. The driver holds a sample of SAMPLES keys a range, or LEAST_SAMPLE, to cut them.
+#: Ranges at most; beyond it they grow. The driver holds SAMPLES keys a range, or LEAST_SAMPLE, of one text in SAMPLED to cut them; the cuts balance the ranges and decide no count.
+SAMPLED = 8
 RANGES = 1 << 20
 SAMPLES = 4
 LEAST_SAMPLE = 1 << 16
@@ -113,33 +113,51 @@ def _keys(ids: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (ids[:n] << _HALF | ids[1 : n + 1])[two], low[two]
 
 
-_PACKED = "high binary, low binary, n binary"
+_PACKED = "part long, high binary, low binary, n binary"
 
 
-def _row(high: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    return high.tobytes(), low.tobytes(), n.astype(np.int64).tobytes()
+def _cut(cuts: tuple[np.ndarray, np.ndarray], high: np.ndarray, low: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Sorted keys as a row for each range between the cuts."""
+    a, b = np.searchsorted(high, cuts[0], side="left"), np.searchsorted(high, cuts[0], side="right")
+    ends = np.array([0, *[i + np.searchsorted(low[i:j], y) for i, j, y in zip(a.tolist(), b.tolist(), cuts[1])], len(high)], np.int64)
+    parts = np.flatnonzero(ends[1:] > ends[:-1])
+    columns = [pa.array([x[ends[p] : ends[p + 1]].tobytes() for p in parts], pa.binary()) for x in (high, low, n.astype(np.uint32))]
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), *columns], names=["part", "high", "low", "n"])
 
 
-def _packed(sequences: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Sorted distinct keys with counts, a row for about every KEYS keys of (ids, fresh)."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _packed(cuts: tuple[np.ndarray, np.ndarray]):
+    """Of (ids, fresh) the distinct keys of about KEYS keys at a time, with counts, sorted and cut."""
 
-    def emit() -> pa.RecordBatch:
-        high, low = (np.concatenate(x) for x in zip(*held))
-        row = _row(*_summed(high, low, np.ones(len(high), np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["high", "low", "n"])
+    def run(sequences: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for ids, fresh in sequences:
+            held.append(_keys(ids, fresh))
+            if sum(len(h) for h, _ in held) >= KEYS:
+                high, low = (np.concatenate(x) for x in zip(*held))
+                held = []
+                yield _cut(cuts, *_summed(high, low, np.ones(len(high), np.int64)))
+        if held:
+            high, low = (np.concatenate(x) for x in zip(*held))
+            yield _cut(cuts, *_summed(high, low, np.ones(len(high), np.int64)))
+
+    return run
+
+
+def _sampled(stride: int):
+    """Every stride-th of the distinct keys of (ids, fresh), from a start that follows from them."""
+
+    def run(sequences: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for ids, fresh in sequences:
+            high, low = _keys(ids, fresh)
+            high, low, _ = _summed(high, low, np.ones(len(high), np.int64))
+            at = slice(int(arrays.mix(low.sum(keepdims=True))[0]) % stride if len(low) else 0, None, stride)
+            yield pa.RecordBatch.from_arrays([pa.array(high[at].view(np.int64)), pa.array(low[at].view(np.int64))], names=["high", "low"])
 
-    for ids, fresh in sequences:
-        held.append(_keys(ids, fresh))
-        if sum(len(h) for h, _ in held) >= KEYS:
-            yield emit()
-            held = []
-    if held:
-        yield emit()
+    return run
 
 
-def _known(dictionary: pa.Table):
-    """Encodes texts with a dictionary that every task holds."""
+def _known(dictionary: pa.Table, send):
+    """Encodes texts with a dictionary that every task holds, and sends what send makes of them."""
     of = {lang: dictionary.filter(pc.equal(dictionary["lang"], lang)) for lang in dictionary["lang"].unique().to_pylist()}
     value = {lang: (t["word"].combine_chunks().cast(pa.large_string()), np.append(t["id"].to_numpy(), 0)) for lang, t in of.items()}
 
@@ -151,7 +169,7 @@ def _known(dictionary: pa.Table):
                     at = pc.index_in(words, value_set=known).fill_null(len(known)).to_numpy(zero_copy_only=False)
                     yield number[at][ids], fresh
 
-        yield from _packed(sequences())
+        yield from send(sequences())
 
     return run
 
@@ -163,68 +181,43 @@ def _own_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([codes.tobytes()], pa.binary()), pa.array([words.to_pylist()], pa.list_(pa.string()))], names=["lang", "codes", "words"])
 
 
-def _renumbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of chunks (codes, found), found naming the dictionary's number for numbers of the chunk's own."""
-
-    def sequences() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for batch in batches:
-            for raw, found in zip(batch.column(0).to_pylist(), batch.column(1)):
-                codes = np.frombuffer(raw, np.uint32)
-                number = np.zeros(int(codes.max() >> 1) + 1, np.int64)
-                number[found.values.field("at").to_numpy()] = found.values.field("id").to_numpy()
-                yield number[codes >> 1], (codes & 1).astype(bool)
-
-    yield from _packed(sequences())
-
-
-def _encoded(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """Packed keys of all texts."""
-    n, size, most = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)), F.max("id")).first()
-    if (most or 0) >= 1 << 32:
-        raise ValueError("more frequent words than numbers of 32 bits")
-    if n <= DICTIONARY_WORDS and size <= DICTIONARY_BYTES:
-        return texts.mapInArrow(_known(words.select("lang", "word", "id").toArrow()), _PACKED)
-    chunks = materialise(texts.mapInArrow(_own_numbers, "lang string, codes binary, words array<string>").withColumn("chunk", F.monotonically_increasing_id()), "collocations-chunks")
-    each = chunks.select("chunk", "lang", F.posexplode("words").alias("at", "word")).join(words, ["lang", "word"])
-    found = each.groupBy("chunk").agg(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), "id")).alias("found"))  # a chunk's distinct words
-    return chunks.join(found, "chunk").select("codes", "found").mapInArrow(_renumbered, _PACKED)
-
-
-def _sampled(stride: int):
-    """Every stride-th key of each row, from a start that follows from the row."""
+def _renumbered(send):
+    """Encodes chunks (codes, found), found naming the dictionary's number for numbers of the chunk's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                high, low = (np.frombuffer(batch.column(c)[row].as_py(), np.int64) for c in (0, 1))
-                begin = int(arrays.mix(low.sum(keepdims=True).view(np.uint64))[0]) % stride
-                yield pa.RecordBatch.from_arrays([pa.array(high[begin::stride]), pa.array(low[begin::stride])], names=["high", "low"])
+        def sequences() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                for raw, found in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    codes = np.frombuffer(raw, np.uint32)
+                    number = np.zeros(int(codes.max() >> 1) + 1, np.int64)
+                    number[found.values.field("at").to_numpy()] = found.values.field("id").to_numpy()
+                    yield number[codes >> 1], (codes & 1).astype(bool)
+
+        yield from send(sequences())
 
     return run
 
 
-def _cut(bounds: tuple[np.ndarray, np.ndarray]):
-    """Rows of keys cut at the bounds: (part, high, low, n)."""
+def _encoded(texts: DataFrame, words: DataFrame, n: int, size: int):
+    """What makes rows of a schema of all texts, given what is to be sent of them."""
+    if n <= DICTIONARY_WORDS and size <= DICTIONARY_BYTES:
+        held = words.select("lang", "word", "id").toArrow()
+        return lambda rows, send, schema: rows.mapInArrow(_known(held, send), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                high, low, n = (np.frombuffer(batch.column(c)[row].as_py(), kind) for c, kind in enumerate((np.uint64, np.uint64, np.int64)))
-                a, b = np.searchsorted(high, bounds[0], side="left"), np.searchsorted(high, bounds[0], side="right")
-                at = np.array([i + np.searchsorted(low[i:j], y) for i, j, y in zip(a.tolist(), b.tolist(), bounds[1])], np.int64)
-                ends = np.concatenate([[0], at, [len(high)]])
-                parts = np.flatnonzero(ends[1:] > ends[:-1])
-                cut = [_row(high[ends[p] : ends[p + 1]], low[ends[p] : ends[p + 1]], n[ends[p] : ends[p + 1]]) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), *[pa.array([r[c] for r in cut], pa.binary()) for c in range(3)]], names=["part", "high", "low", "n"])
+    def joined(rows: DataFrame, send, schema: str) -> DataFrame:
+        chunks = materialise(rows.mapInArrow(_own_numbers, "lang string, codes binary, words array<string>").withColumn("chunk", F.monotonically_increasing_id()), "collocations-chunks")
+        each = chunks.select("chunk", "lang", F.posexplode("words").alias("at", "word")).join(words, ["lang", "word"])
+        found = each.groupBy("chunk").agg(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), "id")).alias("found"))  # a chunk's distinct words
+        return chunks.join(found, "chunk").select("codes", "found").mapInArrow(_renumbered(send), schema)
 
-    return run
+    return joined
 
 
 def _count_range(least: int):
     """Phrases of a range (high, low, a), the numbers of absent words 0: those of least occurrences, and any at the range's edges."""
 
     def counted(high: np.ndarray, low: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        high, low, n = _summed(high, low, n)
+        high, low, n = _summed(high, low, n.astype(np.int64))
         out = []
         for length in (2, 3, 4):
             last = {2: low & np.uint64(0), 3: low & (_LOW << _HALF), 4: low}[length]
@@ -244,7 +237,7 @@ def _count_range(least: int):
                     yield counted(*(np.concatenate(x) for x in zip(*held)))
                     held = []
                 part = this
-                held.append([np.frombuffer(x, kind) for x, kind in zip(row, (np.uint64, np.uint64, np.int64))])
+                held.append([np.frombuffer(x, kind) for x, kind in zip(row, (np.uint64, np.uint64, np.uint32))])
         if held:
             yield counted(*(np.concatenate(x) for x in zip(*held)))
 
@@ -254,22 +247,23 @@ def _count_range(least: int):
 def phrase_counts(texts: DataFrame, words: DataFrame, least: int) -> DataFrame:
     """(high, low, a) of all phrases of 2 to 4 words that occur least times within pieces, for rows (lang, text)."""
     spark = texts.sparkSession
-    keys = materialise(_encoded(texts, words), "collocations-keys")
-    total = keys.agg(F.sum(F.octet_length("n") / 8).cast("long")).first()[0] or 0
-    ranges = min(RANGES, max(1, -(-total // KEYS)))
+    n, size, most, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)), F.max("id"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if (most or 0) >= 1 << 32:
+        raise ValueError("more frequent words than numbers of 32 bits")
+    encode = _encoded(texts, words, n, size)
+    ranges = min(RANGES, max(1, -(-total // KEYS)))  # keys start at frequent words
     cuts = (np.zeros(0, np.uint64),) * 2
     if ranges > 1:
-        sample = keys.mapInArrow(_sampled(max(1, total // max(LEAST_SAMPLE, SAMPLES * ranges))), "high long, low long").toArrow()
+        some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
+        sample = encode(some, _sampled(max(1, total // (SAMPLED * max(LEAST_SAMPLE, SAMPLES * ranges)))), "high long, low long").toArrow()
         high, low = (sample[c].to_numpy().view(np.uint64) for c in ("high", "low"))
         order = np.lexsort((low, high))
         at = order[np.arange(1, ranges) * len(order) // ranges] if len(order) else order
         cuts = tuple(np.array(x, np.uint64) for x in zip(*sorted(set(zip(high[at].tolist(), low[at].tolist()))))) if len(at) else cuts
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(ranges, 1 << 16))
-    dealt = keys.mapInArrow(_cut(cuts), f"part long, {_PACKED}").repartition(tasks, "part").sortWithinPartitions("part")
+    dealt = encode(texts, _packed(cuts), _PACKED).repartition(tasks, "part").sortWithinPartitions("part")
     found = dealt.mapInArrow(_count_range(least), "high long, low long, a long").groupBy("high", "low").agg(F.sum("a").alias("a"))
-    out = materialise(found.filter(F.col("a") >= least), "collocations-phrases")
-    release(keys)
-    return out
+    return materialise(found.filter(F.col("a") >= least), "collocations-phrases")
 
 
 def _word(n: int) -> Column:
