@@ -137,12 +137,6 @@ def test_refute_grades(spark):
     assert got[1] == (1, 1) and got[4] == (-1, -1)
 
 
-def test_replay_strengthens_and_collects(spark):
-    g = spark.createDataFrame([(1, "a", "b", "caused", 0.5, True), (2, "b", "c", "caused", 0.5, True), (3, "a", "c", "enabled", 0.04, True), (4, "x", "y", "caused", 0.6, True)], "id long, src string, dst string, relation string, weight double, valid boolean")
-    got = {r.id: round(r.weight, 6) for r in graph.replay(g, spark.createDataFrame([("a",)], "node string"), 2).collect()}
-    assert got == {1: 0.525, 2: 0.525, 4: 0.594}
-
-
 def test_mining_thresholds(spark):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
     rows = [(1, words), (2, words[:9] + ["lam"]), (3, words[:6] + ["p", "q", "r", "s"]), (4, words)]

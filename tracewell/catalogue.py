@@ -16,9 +16,10 @@ from tracewell.fixtures import NOW, with_sql
 from tracewell.functions import calls
 from tracewell.functions import text as tx
 from tracewell.operators.blocks import numbered
-from tracewell.operators import bm25, consolidate, fusion, graph, hops, patterns, predict, trace, vector
+from tracewell.operators import bm25, consolidate, fusion, graph, hops, inverted, linker, patterns, predict, replay, trace, vector
 from tracewell.plans import router
 from tracewell.schema import entries
+from tracewell.session import shared_dir
 
 _REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -302,6 +303,27 @@ def bm25_topk_docs(spark, d):
     return bm25.bm25(docs, _questions(spark, d), 10).select("qid", "id", _r("score").alias("score"), "rank")
 
 
+def _index(spark, d):
+    """An index of the documents, made in three batches."""
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = inverted.InvertedIndex.open(spark, shared_dir(spark, "index"))
+    for k in range(3):
+        index = index.append(docs.filter(F.col("id") % 3 == k))
+    return index
+
+
+@query("WITH " + bm25_sql("SELECT doc_id AS id, text FROM documents", 10))
+def indexed_search(spark, d):
+    return _index(spark, d).search(_questions(spark, d), 10).select("qid", "id", _r("score").alias("score"), "rank")
+
+
+@query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
+def index_terms(spark, d):
+    """What a compacted index holds of each term."""
+    blocks = _index(spark, d).compact().store.table("postings")
+    return blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.aggregate("postings", F.lit(0).cast("long"), lambda n, p: n + p.tf)).alias("occurrences"))
+
+
 @query(with_sql("chunks edges entries", ", " + bm25_sql("SELECT id, decision || ' ' || outcome AS text FROM entries", 10)))
 def bm25_topk_edges(spark, d):
     docs = _entries(spark, d).select("id", F.concat_ws(" ", "decision", "outcome").alias("text"))
@@ -839,19 +861,41 @@ def adjacent_turns(spark, d):
 
 
 def _said_at(spark, d):
-    k = F.col("event_id") % 5
+    """Events as edges between 997 nodes; neither ids nor times are in the order of the other."""
+    e = F.col("event_id")
     word = F.element_at(F.array(*map(F.lit, ["payment service", "search index", "login page", "image cache", "mail queue"])), (F.col("user_id") % 5 + 1).cast("int"))
-    return fx.table(spark, d, "events").select(F.col("event_id").alias("id"), F.unix_timestamp("ts").alias("event_time"), F.concat(word, F.lit(" restarted")).alias("decision"), F.when(k == 0, F.concat(word, F.lit(" failed"))).otherwise(F.concat(word, F.lit(" restarted again"))).alias("outcome"), F.lit(None).cast("string").alias("outcome_polarity"))
+    told = F.element_at(F.array(*map(F.lit, [" failed", " permission denied", " timeout", " restarted again", " page not found"])), (e % 5 + 1).cast("int"))
+    node = lambda c: F.concat(F.lit("n"), c % 997)
+    at = F.unix_timestamp("ts") - e * 31 % 240
+    return fx.table(spark, d, "events").select(((e * 7919) % 1_000_003).alias("id"), node(e).alias("from_id"), node(e + 1).alias("to_id"), at.alias("event_time"), F.concat(word, F.lit(" restarted")).alias("decision"), F.concat(word, told).alias("outcome"))
 
 
-_WORDS = "CASE user_id % 5 WHEN 0 THEN ['payment', 'service'] WHEN 1 THEN ['search', 'index'] WHEN 2 THEN ['login', 'page'] WHEN 3 THEN ['image', 'cache'] ELSE ['mail', 'queue'] END"
+def _known_bridges(spark, d):
+    """Edges that are there already: every third event's bridge to the event after next."""
+    e = F.col("event_id")
+    return fx.table(spark, d, "events").filter(e % 3 == 0).select(F.concat(F.lit("n"), (e + 1) % 997).alias("from_id"), F.concat(F.lit("n"), (e + 2) % 997).alias("to_id"))
 
 
-@query(f"""WITH e AS (SELECT event_id AS id, floor(epoch(ts))::BIGINT AS t, {_WORDS} || ['restarted'] AS dw, CASE WHEN event_id % 5 = 0 THEN {_WORDS} || ['failed'] ELSE {_WORDS} || ['restarted', 'again'] END AS ow, event_id % 5 = 0 AS bad FROM events),
-r AS (SELECT a.id AS a, b.id AS b, b.t - a.t AS gap, len(list_intersect(a.ow, b.dw)) AS shared, a.bad FROM e a JOIN e b ON b.t >= a.t AND b.t < a.t + 300 AND a.id < b.id),
-v AS (SELECT a, b, CASE WHEN bad AND shared >= 2 THEN 0.65::DOUBLE WHEN shared >= 3 THEN 0.55::DOUBLE END * CASE WHEN gap < 60 THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS c FROM r) SELECT a, b, round(c, 6) AS confidence FROM v WHERE c >= 0.3""")
+#: Every pair of entries in the order of time, as the linking rules read: later by under 300 seconds, two shared words after a failure, else three.
+_LINKS = r"""said AS (
+  SELECT event_id * 7919 % 1000003 AS id, 'n' || (event_id % 997) AS f, 'n' || ((event_id + 1) % 997) AS t, floor(epoch(ts))::BIGINT - event_id * 31 % 240 AS at,
+    (['payment service', 'search index', 'login page', 'image cache', 'mail queue'])[user_id % 5 + 1] AS what, ([' failed', ' permission denied', ' timeout', ' restarted again', ' page not found'])[event_id % 5 + 1] AS told FROM events
+), texts AS (
+  SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(what || ' restarted'), '[^\pL\pN_.-]+'), lambda w: strlen(w) >= 4)) AS dw, list_distinct(list_filter(regexp_split_to_array(lower(what || told), '[^\pL\pN_.-]+'), lambda w: strlen(w) >= 4)) AS ow,
+    regexp_matches(lower(what || told), 'error|failed|panic|denied|not found|fatal') AS bad FROM said
+), near AS (SELECT i.id AS a, j.id AS b, i.t AS f, j.f AS t, i.at AS ta, j.at AS tb, j.at - i.at AS gap, len(list_intersect(i.ow, j.dw)) AS n, i.bad FROM texts i JOIN texts j ON i.at < j.at AND j.at < i.at + 300 WHERE i.t <> j.f),
+linked AS (SELECT *, CASE WHEN bad AND n >= 2 THEN 0.65::DOUBLE WHEN n >= 3 THEN 0.55::DOUBLE END * CASE WHEN gap < 60 THEN 0.8::DOUBLE WHEN gap < 300 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS c FROM near)"""
+
+
+@query(f"WITH {_LINKS} SELECT a, b, round(c, 6) AS confidence FROM linked WHERE c >= 0.3")
 def temporal_links(spark, d):
-    return patterns.temporal_links(_said_at(spark, d)).select("a", "b", _r("confidence").alias("confidence"))
+    return linker.links(_said_at(spark, d)).select("a", "b", _r("confidence").alias("confidence"))
+
+
+@query(f"""WITH {_LINKS}, there AS (SELECT 'n' || ((event_id + 1) % 997) AS f, 'n' || ((event_id + 2) % 997) AS t FROM events WHERE event_id % 3 = 0)
+SELECT f AS from_id, t AS to_id, round(arg_min(c, (ta, a, tb, b)), 6) AS confidence FROM linked ANTI JOIN there USING (f, t) WHERE c >= 0.3 GROUP BY f, t""")
+def chain_bridges(spark, d):
+    return linker.bridges(_said_at(spark, d), _known_bridges(spark, d), NOW).select("from_id", "to_id", _r("confidence").alias("confidence"))
 
 
 # ---- Changes and hashes
@@ -1027,14 +1071,41 @@ def rem_transfer(spark, d):
     return patterns.rem_transfer(items, spark.createDataFrame([], "a long, b long")).withColumn("similarity", _r("similarity"))
 
 
-@query(with_sql("edges", """, g AS (SELECT id, from_id AS src, to_id AS dst, relation, confidence AS w FROM edges WHERE valid_to IS NULL), f AS (SELECT src, arg_min(id, id) AS id, arg_min(dst, id) AS dst FROM g WHERE relation = 'caused' GROUP BY src),
-w AS (SELECT 'c' || conv_id || '::s0::0' AS node, 0 AS step FROM conversations WHERE turn = 0 UNION ALL SELECT f.dst, w.step + 1 FROM w JOIN f ON f.src = w.node WHERE w.step < 5),
-r AS (SELECT f.id, count(*) AS n FROM w JOIN f ON f.src = w.node WHERE w.step < 5 GROUP BY f.id)
-SELECT g.id, coalesce(n, 0) AS replays, round(CASE WHEN n > 0 THEN least(2, w * pow(1.05::DOUBLE, n)) ELSE w * 0.99::DOUBLE END, 6) AS weight FROM g LEFT JOIN r USING (id) WHERE n > 0 OR w * 0.99::DOUBLE >= 0.05"""))
+def _replayed(spark, d):
+    """Parts as edges between 97 nodes, several between two of them; suppliers as walks."""
+    k = F.col("p_partkey")
+    g = fx.table(spark, d, "part").select(k.alias("id"), (k % 97).alias("src"), ((k * 31 + 5) % 97).alias("dst"), F.when(F.col("p_size") % 3 == 0, "enabled").otherwise("caused").alias("relation"), (F.col("p_size") / 50).alias("weight"), (k % 11 != 0).alias("valid"))
+    nodes = g.select(F.col("src").alias("node")).distinct().select("node", (F.col("node") % 4).alias("replay_count"), (F.lit(NOW) - F.col("node") * 86400).alias("last_activated"))
+    starts = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("walk"), (F.col("s_nationkey") * 3).alias("node"))
+    return replay.consolidate(g, nodes, starts, NOW)
+
+
+#: Walks by recursion; then each rule of consolidation in turn, from how it is described.
+_REPLAYED = f"""g AS (SELECT p_partkey AS id, p_partkey % 97 AS src, (p_partkey * 31 + 5) % 97 AS dst, CASE WHEN p_size % 3 = 0 THEN 'enabled' ELSE 'caused' END AS relation, p_size::DOUBLE / 50 AS w, p_partkey % 11 <> 0 AS valid FROM part),
+f AS (SELECT src, arg_min(dst, id) AS dst FROM g WHERE valid AND relation = 'caused' GROUP BY src), target AS (SELECT src, dst, min(id) AS id FROM g GROUP BY ALL),
+walk AS (SELECT s_suppkey AS walk, 0 AS step, s_nationkey * 3 AS here, [s_nationkey * 3] AS path FROM supplier UNION ALL SELECT walk, step + 1, f.dst, list_append(path, f.dst) FROM walk JOIN f ON f.src = walk.here WHERE step < 5 AND NOT list_contains(path, f.dst)),
+hop AS (SELECT walk, step, path[step] AS src, here AS dst FROM walk WHERE step > 0), passes AS (SELECT id, count(*) AS n FROM hop JOIN target USING (src, dst) GROUP BY id),
+met AS (SELECT here AS node, count(*) AS n FROM walk WHERE walk IN (SELECT walk FROM hop) GROUP BY here), node AS (SELECT node, node % 4 + coalesce(n, 0) AS c, {NOW} - node * 86400 AS last FROM (SELECT DISTINCT src AS node FROM g) LEFT JOIN met USING (node)),
+up AS (SELECT g.*, coalesce(n, 0) AS replays, CASE WHEN n > 0 THEN least(2, w * pow(1.05::DOUBLE, n)) ELSE w END AS strong FROM g LEFT JOIN passes USING (id)),
+down AS (SELECT up.*, c, last, CASE WHEN valid THEN strong * CASE WHEN c > 3 THEN 0.995::DOUBLE ELSE 0.99::DOUBLE END ELSE strong END AS weight FROM up JOIN node ON node = src)"""
+
+
+@query(f"WITH RECURSIVE {_REPLAYED} SELECT id, replays, round(weight, 6) AS weight, valid AND NOT (weight < 0.05 AND c = 0 AND {NOW} - last > 2592000) AS valid FROM down")
 def swr_replay(spark, d):
-    g = fx.edges(spark, d).filter("valid_to is null").select("id", F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "relation", F.col("confidence").alias("weight"), F.lit(True).alias("valid"))
-    starts = fx.table(spark, d, "conversations").filter("turn = 0").select(F.concat(F.lit("c"), "conv_id", F.lit("::s0::0")).alias("node"))
-    return graph.replay(g, starts).select("id", F.col("replays").cast("long").alias("replays"), _r("weight").alias("weight"))
+    return _replayed(spark, d)[0].select("id", "replays", _r("weight").alias("weight"), "valid")
+
+
+@query(f"""WITH RECURSIVE {_REPLAYED}, ltp AS (SELECT walk, step, id, src, row_number() OVER (PARTITION BY id ORDER BY walk, step) AS n FROM hop JOIN target USING (src, dst)),
+seen AS (SELECT walk, step, here AS node, row_number() OVER (PARTITION BY here ORDER BY walk, step) AS n FROM walk WHERE walk IN (SELECT walk FROM hop)),
+log AS (
+  SELECT 0 AS phase, walk, 0 AS part, step AS place, 'ltp' AS op, id, ltp.src AS node, CASE WHEN n = 1 THEN w ELSE least(2, w * pow(1.05::DOUBLE, n - 1)) END AS old_value, least(2, w * pow(1.05::DOUBLE, n)) AS new_value FROM ltp JOIN g USING (id)
+  UNION ALL SELECT 0, walk, 1, step, 'replay', NULL, node, node % 4 + n - 1, node % 4 + n FROM seen
+  UNION ALL SELECT 1, NULL, 0, id, 'ltd', id, src, strong, weight FROM down WHERE valid AND abs(strong - weight) > 1e-9
+  UNION ALL SELECT 2, NULL, 0, id, 'gc', id, src, weight, 0 FROM down WHERE valid AND weight < 0.05 AND c = 0 AND {NOW} - last > 2592000
+) SELECT row_number() OVER (ORDER BY phase, walk, part, place) AS seq, op, id, node, round(old_value, 6) AS old_value, round(new_value, 6) AS new_value FROM log""")
+def swr_log(spark, d):
+    """Every change of the replay in its order."""
+    return _replayed(spark, d)[2].select("seq", "op", "id", "node", _r("old_value").alias("old_value"), _r("new_value").alias("new_value"))
 
 
 def dates_sql(text: str) -> str:

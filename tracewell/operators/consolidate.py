@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as tx
-from tracewell.operators import dml, graph, patterns
+from tracewell.operators import dml, graph, greedy, patterns
 from tracewell.operators.patterns import similar_pairs
 from tracewell.schema import ensure_schema
 from tracewell.schema import entries as entries_of
@@ -147,7 +147,7 @@ def superseded(entries: DataFrame, judge: Callable[[DataFrame], DataFrame], conf
 
 
 def transfers(meta: DataFrame, edges: DataFrame, chunks: DataFrame, fresh: DataFrame) -> DataFrame:
-    """(from_id, to_id, similarity): decisions at the centre of patterns that are alike across tasks, one of each pair in fresh (id); capped as patterns.accept says."""
+    """(from_id, to_id, similarity): decisions at the centre of patterns that are alike across tasks, one of each pair in fresh (id); capped as greedy.accept says."""
     text = chunks.select("id", "text")
     named = meta.filter("valid_to is null").join(text.select(F.col("id").alias("from_id"), F.col("text").alias("_f")), "from_id").join(text.select(F.col("id").alias("to_id"), F.col("text").alias("_t")), "to_id")
     tags = edges.filter("task_tag is not null").select(F.col("from_id").alias("node"), "task_tag").distinct()
@@ -159,7 +159,7 @@ def transfers(meta: DataFrame, edges: DataFrame, chunks: DataFrame, fresh: DataF
     linked = meta.filter("valid_to is null and relation = 'similar_to'").select(F.col("from_id").alias("c_a"), F.col("to_id").alias("c_b"))
     both = linked.unionByName(linked.select(F.col("c_b").alias("c_a"), F.col("c_a").alias("c_b")))
     open_ = found.join(both, ["c_a", "c_b"], "left_anti").groupBy(F.col("c_a").alias("a"), F.col("c_b").alias("b")).agg(F.max("similarity").alias("similarity"))
-    return meta.sparkSession.createDataFrame(patterns.accept(open_), "from_id string, to_id string, similarity double")
+    return greedy.accept(open_, patterns.MAX_PAIRS, patterns.MAX_PER_END).select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), "similarity")
 
 
 def consolidate(state: State, now: int, config: Config = Config(), judge: Callable[[DataFrame], DataFrame] | None = None, dry_run: bool = False) -> tuple[State, DataFrame]:

@@ -107,26 +107,6 @@ def q_update(nodes: DataFrame, edges: DataFrame, alpha: float = 0.1, gamma: floa
     return nodes.join(following, "node", "left").select("node", F.greatest(F.lit(0.0), F.least(F.lit(1.0), new)).alias("q"))
 
 
-def replay(graph: DataFrame, starts: DataFrame, steps: int = 5) -> DataFrame:
-    """Walks from the starts (node) along the first caused edge of each node; returns the graph with weights strengthened for each pass and the rest weakened.
-
-    graph has an id column; the first edge is the one with the smallest id. A strengthened weight grows by
-    LTP a pass, at most to WEIGHT_CAP; others shrink by LTD, and go where they fall under GC.
-    """
-    caused = graph.filter("valid and relation = 'caused'")
-    first = caused.groupBy("src").agg(F.min_by(F.struct("id", "dst"), "id").alias("e"))
-    at, passes = starts.select("node", F.lit(1).alias("n")), []
-    for _ in range(steps):
-        hop = at.join(first, F.col("node") == F.col("src")).groupBy("e").agg(F.sum("n").alias("n"))
-        passes.append(hop.select(F.col("e.id").alias("id"), "n"))
-        at = hop.groupBy(F.col("e.dst").alias("node")).agg(F.sum("n").alias("n"))
-    total = reduce(DataFrame.unionByName, passes).groupBy("id").agg(F.sum("n").alias("replays"))
-    joined = graph.join(total, "id", "left").withColumn("replays", F.coalesce("replays", F.lit(0)))
-    strong = F.least(F.lit(WEIGHT_CAP), F.col("weight") * F.pow(F.lit(LTP), F.col("replays")))
-    out = joined.withColumn("weight", F.when(F.col("replays") > 0, strong).otherwise(F.col("weight") * LTD))
-    return out.filter((F.col("replays") > 0) | (F.abs("weight") >= GC))
-
-
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, in_degree, out_degree) over valid edges."""
     live = edges.filter("valid_to is null")

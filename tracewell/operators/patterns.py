@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as tx
+from tracewell.operators import greedy
 from tracewell.session import materialise
 
 #: Fixed values of the miner.
@@ -97,20 +96,8 @@ def strata(evidence: DataFrame) -> DataFrame:
 
 
 def accept(pairs: DataFrame, most: int = MAX_PAIRS, per_end: int = MAX_PER_END) -> list[tuple]:
-    """The pairs (a, b, similarity) that a greedy pass takes: the most similar first, per_end at an end, most in all.
-
-    Order decides here, so the driver reads the sorted pairs as a stream and stops at the last taken; it
-    holds no more than those.
-    """
-    taken, used = [], Counter()
-    for row in pairs.select("a", "b", "similarity").orderBy(F.col("similarity").desc(), "a", "b").toLocalIterator():
-        if used[row.a] < per_end and used[row.b] < per_end:
-            used[row.a] += 1
-            used[row.b] += 1
-            taken.append((row.a, row.b, row.similarity))
-            if len(taken) == most:
-                break
-    return taken
+    """The pairs (a, b, similarity) that greedy.accept takes, in their order; most of them are held at once."""
+    return [tuple(r) for r in greedy.accept(pairs, most, per_end).orderBy(F.col("similarity").desc(), "a", "b").collect()]
 
 
 def candidates(items: DataFrame) -> DataFrame:
@@ -133,7 +120,7 @@ def candidates(items: DataFrame) -> DataFrame:
 
 
 def mine(entries: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """Meta edges between similar decisions and facts: (from_id, to_id, relation, confidence, strata, confounded, simpson), capped as accept says.
+    """Meta edges between similar decisions and facts: (from_id, to_id, relation, confidence, strata, confounded, simpson), capped as greedy.accept says.
 
     Whether a pattern was seen in several tasks is judged over all similar pairs of one signature; confidence
     is halved where it was not. Facts belong to no task.
@@ -143,33 +130,16 @@ def mine(entries: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     p = tx.outcome_polarity(F.col("outcome"))
     ends = found.select("signature", F.explode(F.array("a", "b")).alias("id")).join(items.filter("not is_fact").select("id", "task_tag", F.coalesce(p, F.lit(False)).alias("succeeded"), F.coalesce(~p, F.lit(False)).alias("failed")), "id")
     judged = found.join(strata(ends), "signature", "left").withColumns({"confounded": F.coalesce("confounded", F.lit(True)), "simpson": F.coalesce("simpson", F.lit(False)), "strata": F.coalesce("strata", F.lit(0))})
-    taken = entries.sparkSession.createDataFrame(accept(found.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), "similarity")), "from_id string, to_id string, similarity double").select("from_id", "to_id")
+    taken = greedy.accept(found.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), "similarity"), MAX_PAIRS, MAX_PER_END).select(F.col("a").alias("from_id"), F.col("b").alias("to_id"))
     return judged.join(taken, ["from_id", "to_id"]).select("from_id", "to_id", "relation", F.when(F.col("confounded"), F.col("confidence") * 0.5).otherwise(F.col("confidence")).alias("confidence"), "strata", "confounded", "simpson")
 
 
 def rem_transfer(patterns: DataFrame, linked: DataFrame) -> DataFrame:
     """(a, b, similarity): new patterns beside later ones of other tasks: (id, text, tags, is_new), both with tags and none in common.
 
-    Pairs in linked (a, b) are left out; take what accept gives of the rest.
+    Pairs in linked (a, b) are left out; take what greedy.accept gives of the rest.
     """
     items = materialise(patterns.withColumn("tokens", F.array_distinct(tx.tokens(F.col("text")))).filter("size(tags) > 0 and size(tokens) > 0"), "rem-items")
     side = lambda s: items.select(F.col("id").alias(s), F.col("tags").alias(f"t_{s}"), F.col("is_new").alias(f"n_{s}"))
     rows = similar_pairs(items, equal=True).join(side("a"), "a").join(side("b"), "b").filter("n_a and not arrays_overlap(t_a, t_b)")
     return rows.join(linked.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "similarity")
-
-
-def temporal_links(entries: DataFrame, window: int = 300) -> DataFrame:
-    """(a, b, confidence): an outcome followed within window seconds by a decision that takes it up.
-
-    A failure with two shared words, or any outcome with three; confidence falls with the gap. Times are
-    cut into windows, so a row meets only rows of its own and the next one.
-    """
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_\-.]+"), lambda w: F.octet_length(w) >= 4))
-    a = entries.select(F.col("id").alias("a"), F.col("event_time").alias("ta"), words(F.col("outcome")).alias("wa"), F.coalesce(~tx.effective_polarity(F.col("outcome_polarity"), F.col("outcome")), F.lit(False)).alias("bad"))
-    a = a.withColumn("cell", F.explode(F.array(F.floor(F.col("ta") / window), F.floor(F.col("ta") / window) + 1)))
-    b = entries.select(F.col("id").alias("b"), F.col("event_time").alias("tb"), words(F.col("decision")).alias("wb"), F.floor(F.col("event_time") / window).alias("cell"))
-    gap, shared = F.col("tb") - F.col("ta"), F.size(F.array_intersect("wa", "wb"))
-    near = F.when(gap < 60, 0.8).otherwise(0.6)
-    rows = a.join(b, "cell").filter((gap >= 0) & (gap < window) & (F.col("a") < F.col("b"))).withColumn("shared", shared)
-    value = F.when(F.col("bad") & (F.col("shared") >= 2), near * 0.65).when(F.col("shared") >= 3, near * 0.55)
-    return rows.select("a", "b", value.alias("confidence")).filter(F.col("confidence") >= 0.3)
