@@ -150,6 +150,31 @@ def test_random_letters_and_base32_are_found(spark):
     assert not any(got[len(texts) :])
 
 
+IN_CONTEXT = ["%s", "https://hooks.example.com/services/integration/notification/incoming/webhook/%s", "https://api.example.com/v1/%s/messages/list", "production-database-connection-string-%s", "page?authorization_signature=%s&user_name=alice", "stripe_live_%s_backup"]
+
+
+def test_random_strings_are_found_in_paths_queries_and_names(spark):
+    """At least 90 in 100 of each length and kind are covered by a span that takes little else."""
+    rng = random.Random(12)
+    alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.ascii_lowercase + string.digits]
+    cases = [(n, c, a, "".join(rng.choices(a, k=n))) for a in alphabets for n in (20, 24, 32, 40) for c in IN_CONTEXT for _ in range(20)]
+    texts = [c % k for _, c, _, k in cases]
+    found = {r.doc_id: r.spans for r in secrets_scan.find_secrets(table(spark, list(enumerate(texts))), VOCABULARY).collect()}
+    hits = Counter()
+    for i, (n, c, a, k) in enumerate(cases):
+        at = c.index("%s")
+        hits[n, c, a] += any(s.kind in ("random", "assign") and min(s.end, at + n) - max(s.start, at) >= 0.8 * n and s.end - s.start <= n + 30 for s in found[i])
+    assert min(hits.values()) >= 16 and sum(hits.values()) >= 0.97 * len(cases)
+
+
+def test_what_is_no_random_string(spark, small):
+    names = ["warn_on_failure=True", "cpython-313-x86_64-linux-gnu", "skip_if_no_pandas_parser", "org/doc/html/rfc5894/index", "X" * 28, "ACGT" * 8, "iVBORw0KGgoAAAANSUhEUgAAAAEAAAABCAYAAAAf", "use_fp16=use_fp16_inputs", "INVALID_UDTF_NO_EVAL", "src/tests/test_foo/bar", "sort_dicts=sort_dicts", "a" * 20 + "b" * 20]
+    prose = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    got = [[s for s in r.spans if s.kind == "random"] for r in secrets_scan.find_secrets(table(spark, list(enumerate(names + prose))), VOCABULARY).orderBy("doc_id").collect()]
+    assert not any(got[: len(names)])
+    assert sum(map(len, got[len(names) :])) <= 0.02 * len(prose)
+
+
 # ---- Exact deduplication
 
 
