@@ -524,6 +524,16 @@ def test_contaminations_equal_brute_force(spark, monkeypatch, passes):
     assert decontam.contaminations(table(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_an_item_repeated_40000_times_is_searched_for_once(spark):
+    text, other = "one two three four five six seven eight nine", "ten eleven twelve thirteen fourteen fifteen sixteen"
+    bench = spark.range(40_000).select(F.col("id").alias("item_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(50_000, other), (50_001, None), (50_002, "")], "item_id long, text string"))
+    docs = spark.createDataFrame([(1, "x " + text.upper()), (2, "nothing"), (3, other)], "doc_id long, text string")
+    assert decontam._items(bench, "item_id", "text").passes == 1
+    got = decontam.contaminations(docs, bench).groupBy("doc_id").agg(F.count_distinct("item_id").alias("n"), F.max("item_id").alias("most"))
+    assert sorted(map(tuple, got.collect())) == [(1, 40_000, 39_999), (3, 1, 50_000)]
+    assert [r.doc_id for r in decontam.without_contaminated(docs, bench).collect()] == [2]
+
+
 def test_blocks_find_similar_windows_and_little_else():
     """Of windows with a similarity of 0.75 to 0.8 at least 99 in 100 are found; of unlike ones the blocks fetch under 5 in 100."""
     r = random.Random(11)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tracewell.llm import arrays
 from tracewell.llm.pretokens import classes
+from tracewell.operators.blocks import numbered
 from tracewell.session import materialise
 
 SHINGLE = 5
@@ -119,7 +121,7 @@ class Index:
             order = np.argsort(near, kind="stable")
             at = np.zeros((1 << WIDTH) + 1, np.int32)
             np.cumsum(np.bincount(near, minlength=1 << WIDTH), out=at[1:])
-            self.tables.append((at, (order // len(_neighbourhood())).astype(np.int16)))
+            self.tables.append((at, (order // len(_neighbourhood())).astype(np.int16 if len(self.place) < 1 << 15 else np.int32)))
 
     def fetched(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (window, item) that share a block but for NEAR bits; those that share several come as often."""
@@ -220,18 +222,37 @@ def _index(key: str, texts: list[str | None]) -> Index:
     return _INDEXES[key]
 
 
-def _passes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list, list, bool]]:
-    """Ids and texts of the items, a pass at a time, and whether there are more passes: as many as ITEMS and ITEM_BYTES allow, and no more are on the driver at once."""
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
-    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
-    passes = max(1, -(-n // ITEMS), -(-size // ITEM_BYTES))
-    if passes > 1:
-        items = materialise(items.withColumn("p", F.pmod(F.xxhash64("i", "t"), F.lit(passes))), "benchmark-items")
-    for p in range(passes):
-        rows = (items.filter(F.col("p") == p) if passes > 1 else items).collect()
-        rows.sort(key=lambda r: (r.i is None, r.i if r.i is not None else 0, r.t or ""))
-        if rows:
-            yield [r.i for r in rows], [r.t for r in rows], passes > 1
+@dataclass(frozen=True)
+class Items:
+    """The different texts of a benchmark, a pass at a time: ITEMS of them at most, and ITEM_BYTES of text, but for a single longer one.
+
+    texts: (i, t), and p where there are several passes. ids: (no, id) of all rows where texts are repeated or there are several
+    passes, and i is no then; else ids is null, and i the item's id.
+    """
+
+    passes: int
+    texts: DataFrame
+    ids: DataFrame | None
+
+    def each(self) -> Iterator[tuple[list, list]]:
+        """i and t of a pass; no more are on the driver at once."""
+        for p in range(self.passes):
+            rows = (self.texts.filter(F.col("p") == p) if self.passes > 1 else self.texts).collect()
+            rows.sort(key=lambda r: (r.i is None, r.i if r.i is not None else 0, r.t or ""))
+            if rows:
+                yield [r.i for r in rows], [r.t for r in rows]
+
+
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> Items:
+    named = benchmark.select(F.col(item_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("t")).filter("t <> ''")
+    rows, kinds, longest = named.agg(F.count(F.lit(1)), F.count_distinct("t"), F.coalesce(F.max(F.octet_length("t")), F.lit(0))).first()
+    held = max(1, min(ITEMS, ITEM_BYTES // max(1, longest)))
+    passes = max(1, -(-kinds // held))
+    if rows == kinds and passes == 1:
+        return Items(1, named, None)
+    different = numbered(named.select("t").distinct(), "t").select((F.col("place") - 1).alias("no"), "t")
+    different = materialise(different.withColumn("p", F.floor(F.col("no") / held)), "benchmark-texts")
+    return Items(passes, different.select(F.col("no").alias("i"), "t", "p"), materialise(named.join(different.select("no", "t"), "t").select("no", F.col("i").alias("id")), "benchmark-ids"))
 
 
 def _find(docs: DataFrame, ids: list, texts: list, item_type: T.DataType, text_at: int, name: str, keep: str) -> DataFrame:
@@ -263,7 +284,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     window has as many words as the item (the whole document where that is shorter); its similarity is
     the Jaccard similarity of the 5-word shingles, each weighing as often as it occurs, and counts from
     0.75 on. The best window is returned, the first of equals. Items without words are in nothing; null
-    texts are empty; repeated rows give repeated results; ids of any type, null too, are carried as they
+    texts are empty; repeated rows of either table give repeated results (a text that many items have is searched for once); ids of any type, null too, are carried as they
     are; other columns are left out.
 
     Windows of each item size get a fingerprint, and the Hamming blocks alone say which items each is
@@ -272,18 +293,20 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     ten thousand; several windows beside the best one count too. Where one shingle makes most of an item,
     fingerprints differ more. Windows without any shingle of the benchmark have similarity 0 and no fingerprint.
     """
+    items = _items(benchmark, item_col, item_text_col)
     kind = benchmark.schema[item_col].dataType
     named, parts = docs.select(id_col, text_col), []
-    for ids, texts, more in _passes(benchmark, item_col, item_text_col):
-        found = _find(named, ids, texts, kind, 1, "_hits", "hits").select(id_col, F.explode("_hits").alias("_hit")).select(id_col, "_hit.*")
-        parts.append(materialise(found, "contaminations") if more else found)
+    for ids, texts in items.each():
+        found = _find(named, ids, texts, kind if items.ids is None else T.LongType(), 1, "_hits", "hits").select(id_col, F.explode("_hits").alias("_hit")).select(id_col, "_hit.*")
+        parts.append(materialise(found, "contaminations") if items.passes > 1 else found)
+    none = lambda kind: F.lit(None).cast(kind)
     if not parts:
-        none = lambda kind: F.lit(None).cast(kind)
         return docs.limit(0).select(id_col, none(kind).alias("item_id"), none("double").alias("similarity"), none("long").alias("start_word"), none("long").alias("n_words"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    out = reduce(DataFrame.unionByName, parts)
+    if items.ids is None:
+        return out
+    ids = items.ids.select(F.col("no").alias("_no"), F.col("id").alias("_item"))
+    return out.withColumnRenamed("item_id", "_no").join(ids, "_no").select(id_col, F.col("_item").alias("item_id"), "similarity", "start_word", "n_words")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -291,7 +314,8 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
     name = "_hits"
     while name in docs.columns:
         name += "_"
-    for ids, texts, more in _passes(benchmark, item_col, item_text_col):
-        docs = _find(docs, ids, texts, benchmark.schema[item_col].dataType, docs.columns.index(text_col), name, "clean").drop(name)
-        docs = materialise(docs, "uncontaminated") if more else docs
+    items = _items(benchmark, item_col, item_text_col)
+    for ids, texts in items.each():
+        docs = _find(docs, ids, texts, benchmark.schema[item_col].dataType if items.ids is None else T.LongType(), docs.columns.index(text_col), name, "clean").drop(name)
+        docs = materialise(docs, "uncontaminated") if items.passes > 1 else docs
     return docs
