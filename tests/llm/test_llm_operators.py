@@ -312,8 +312,9 @@ def brute_components(rows, k=5):
     return sorted((rows[i][0], len(sets[i]), low[label[i]]) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize("fragment,block,common,fan,collide", [(2_000_000, 1024, 48, 512, False), (400, 8, 3, 2, False), (400, 8, 3, 512, True)])
-def test_jaccard_equals_brute_force(spark, monkeypatch, fragment, block, common, fan, collide):
+@pytest.mark.parametrize("fragment,block,common,fan,collide,tokens", [(2_000_000, 1024, 48, 512, False, 2_000_000), (400, 8, 3, 2, False, 2_000_000), (400, 8, 3, 512, True, 2_000_000), (400, 512, 3, 512, False, 150)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, fragment, block, common, fan, collide, tokens):
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", tokens)
     monkeypatch.setattr(jaccard_join, "FRAGMENT_TOKENS", fragment)
     monkeypatch.setattr(jaccard_join, "FAN_OUT", fan)
     if collide:  # many sets share the first half of the digest
@@ -335,6 +336,18 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, fragment, block, common,
     assert got == brute_components(rows)
 
 
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    """Long near copies of one group: no block holds more than two parts of about the bound."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 3000)
+    rows = [(i, 900 + i % 50) for i in range(40)]
+    found = spark.createDataFrame(rows, "class long, n long")
+    groups = spark.createDataFrame([(i, 0) for i, _ in rows], "node long, component long")
+    placed = jaccard_join._blocks(found, groups).join(found, "class").groupBy("component", "block").agg(F.sum("n").alias("s"), F.collect_set("class").alias("c")).collect()
+    assert max(r.s for r in placed) <= 5 * 3000 and len(placed) > 20  # parts by a hash are uneven
+    pairs = {(a, b) for r in placed for a in r.c for b in r.c if a < b}
+    assert len(pairs) == 40 * 39 // 2
+
+
 def test_links_over_fragments(monkeypatch):
     monkeypatch.setattr(jaccard_join, "COLUMNS", 7)
     r = np.random.default_rng(1)

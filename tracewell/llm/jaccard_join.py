@@ -40,6 +40,8 @@ FAN_OUT = 512
 COMMON = 48
 #: Documents of a candidate block; larger candidate groups become pairs of blocks of near sizes.
 BLOCK = 512
+#: Shingles of those documents (a single longer one is a part of its own); a task holds two such parts.
+BLOCK_TOKENS = 2_000_000
 #: Shingles in a fragment of a block's order.
 COLUMNS = 2048
 #: Rows of a block's table at a time.
@@ -356,23 +358,24 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, k: int, parts: int,
 def _blocks(found: DataFrame, groups: DataFrame) -> DataFrame:
     """(component, block, class): the blocks that each class is compared in.
 
-    A group of BLOCK classes or fewer is one block. A larger one is cut by the size of the sets, each range 1.4
-    times the one before, as linked sets differ by 4/3 at most; and each range into parts by a hash. Any two
-    parts of one range or of neighbouring ones meet in a block.
+    A group of at most BLOCK classes and BLOCK_TOKENS shingles is one block. A larger one is cut by the size of the sets, each range 1.4
+    times the one before, as linked sets differ by 4/3 at most; and each range into parts by a hash, of about so many
+    classes and shingles at most. Any two parts of one range or of neighbouring ones meet in a block.
     """
-    if groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).isEmpty():
+    sized = groups.join(found.select(F.col("class").alias("node"), "n"), "node")
+    if sized.groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).filter((F.col("c") > BLOCK) | (F.col("s") > BLOCK_TOKENS)).isEmpty():
         return groups.select("component", F.col("node").alias("class"), F.lit(0).alias("block"))
     size = F.floor(F.log("n") / F.log(F.lit(1.4))).cast("int")
-    rows = groups.join(found.select(F.col("class").alias("node"), "n"), "node").select("node", "component", F.struct("component", size.alias("size")).alias("range"))
+    rows = sized.select("node", "component", "n", F.struct("component", size.alias("size")).alias("range"))
 
     def neighbours(facts: DataFrame) -> DataFrame:
-        of = facts.select("range.component", "range.size", "_n", F.ceil(F.col("_n") / BLOCK).cast("int").alias("parts"))
+        of = facts.select("range.component", "range.size", "_n", "_s", F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_s") / BLOCK_TOKENS)).cast("int").alias("parts"))
         near = lambda step, name: of.select("component", (F.col("size") + step).alias("size"), F.col("parts").alias(name))
-        whole = of.groupBy("component").agg((F.sum("_n") > BLOCK).alias("large"))
+        whole = of.groupBy("component").agg(((F.sum("_n") > BLOCK) | (F.sum("_s") > BLOCK_TOKENS)).alias("large"))
         every = of.join(whole, "component").join(near(1, "below"), ["component", "size"], "left").join(near(-1, "above"), ["component", "size"], "left")
         return every.select(F.struct("component", "size").alias("range"), "parts", "large", F.coalesce("below", F.lit(0)).alias("below"), F.coalesce("above", F.lit(0)).alias("above"))
 
-    placed = attach(rows, "range", "node", {"_n": F.count(F.lit(1))}, {"_n": F.sum("_n")}, neighbours).withColumn("at", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("size", F.col("range.size"))
+    placed = attach(rows, "range", "node", {"_n": F.count(F.lit(1)), "_s": F.sum("n")}, {"_n": F.sum("_n"), "_s": F.sum("_s")}, neighbours).withColumn("at", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("size", F.col("range.size"))
     name = lambda low, i, high, j: F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     s, at, none = F.col("size"), F.col("at"), F.lit(-1)
