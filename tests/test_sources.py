@@ -1,12 +1,11 @@
 import json
 
-from pyspark.sql import functions as F
-
+import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import calls
 from tracewell.plans.memory import Memory
-from tracewell.sources import jsonl, sessions
+from tracewell.sources import commits, jsonl, sessions
 from tracewell.streaming import ingest
 
 
@@ -65,6 +64,19 @@ def test_snapshots(spark, tmp_path):
     assert set(back) == {"chunks", "causal_edges"} and back["causal_edges"].count() == 1
 
 
+def test_a_half_written_or_repeated_snapshot_is_not_seen(spark, tmp_path):
+    chunks, edges, _ = tables(spark)
+    root = f"file://{tmp_path}/store"
+    jsonl.save_snapshot({"chunks": chunks}, root, 1)
+    bad = F.udf(lambda x: 1 // 0, "string")("text")
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        jsonl.save_snapshot({"chunks": chunks.limit(1), "causal_edges": chunks.withColumn("relation", bad)}, root, 2)
+    assert jsonl.load_snapshot(spark, root)["chunks"].count() == 3  # still the first version
+    with pytest.raises(commits.Conflict):
+        jsonl.save_snapshot({"chunks": chunks.limit(1)}, root, 1)
+    assert jsonl.load_snapshot(spark, root, 1)["chunks"].count() == 3
+
+
 def test_stream_appends_each_turn_once(spark, tmp_path):
     schema = "id string, session_id long, event_ts timestamp, task_tag string, text string"
     rows = spark.sql("select * from values ('a', 1L, timestamp'2025-01-01 00:00:00', 't', 'x'), ('a', 1L, timestamp'2025-01-01 00:00:00', 't', 'x'), ('b', 1L, timestamp'2025-01-01 00:01:00', 't', 'y') as v(id, session_id, event_ts, task_tag, text)")

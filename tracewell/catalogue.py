@@ -16,7 +16,7 @@ from tracewell.fixtures import NOW, with_sql
 from tracewell.functions import calls
 from tracewell.functions import text as tx
 from tracewell.operators.blocks import numbered
-from tracewell.operators import bm25, consolidate, fusion, graph, hops, inverted, linker, patterns, predict, replay, trace, vector
+from tracewell.operators import bm25, consolidate, fusion, graph, hops, inverted, linker, overlay, patterns, predict, replay, trace, vector
 from tracewell.plans import router
 from tracewell.schema import entries
 from tracewell.session import shared_dir
@@ -678,7 +678,7 @@ a2 AS MATERIALIZED (SELECT DISTINCT a1.f, a1.t, e.t AS mid FROM a1 JOIN e ON e.f
 pth AS (SELECT f, t FROM pr WHERE n > 1 UNION SELECT f, t FROM a1 JOIN b1 USING (f, t, mid) UNION SELECT f, t FROM a2 JOIN b1 USING (f, t, mid) UNION SELECT f, t FROM a2 JOIN b2 USING (f, t, mid))"""
 
 
-@query(f"""WITH {_CUSTOMERS}, {_NEIGHBOURS}, b AS (SELECT id, m, sum(s) AS s FROM (SELECT DISTINCT id, m, 1 AS s FROM links JOIN u ON n = from_id WHERE m <> to_id UNION ALL SELECT DISTINCT id, m, 2 FROM links JOIN u ON n = to_id WHERE m <> from_id) GROUP BY ALL),
+_REFUTED = f"""WITH {_CUSTOMERS}, {_NEIGHBOURS}, b AS (SELECT id, m, sum(s) AS s FROM (SELECT DISTINCT id, m, 1 AS s FROM links JOIN u ON n = from_id WHERE m <> to_id UNION ALL SELECT DISTINCT id, m, 2 FROM links JOIN u ON n = to_id WHERE m <> from_id) GROUP BY ALL),
 j AS (SELECT id, count(*) FILTER (s = 3)::DOUBLE / count(*) AS jaccard FROM b GROUP BY id), {_OTHER_PATHS},
 od AS (SELECT from_id AS node, count(*) AS o FROM links GROUP BY 1), ind AS (SELECT to_id AS node, count(*) AS i FROM links GROUP BY 1),
 ch AS MATERIALIZED (SELECT node AS c, o AS dc, md5(node::VARCHAR) AS h FROM od ORDER BY h, node LIMIT 21),
@@ -687,17 +687,18 @@ tried AS (SELECT id, to_id, c FROM (SELECT links.id, to_id, c, row_number() OVER
 hits AS (SELECT id, count(*) AS n, count(near.c) AS k FROM tried LEFT JOIN near ON near.c = tried.c AND near.mid = tried.to_id GROUP BY id),
 x AS (SELECT links.id, CASE WHEN coalesce(jaccard, 0) >= 0.15 THEN 1 WHEN coalesce(jaccard, 0) < 0.03 THEN -1 ELSE 0 END AS confounder, CASE WHEN pth.f IS NOT NULL THEN 1 WHEN i >= 2 THEN 0 ELSE -1 END AS corroboration,
  CASE WHEN coalesce(n, 0) < 3 THEN 0 WHEN round(k::DOUBLE / n + 0.1, 9) <= 0.5 THEN 1 WHEN round(k::DOUBLE / n + 0.1, 9) > 1 THEN -1 ELSE 0 END AS placebo FROM links LEFT JOIN j USING (id) LEFT JOIN pth ON pth.f = from_id AND pth.t = to_id LEFT JOIN hits USING (id) JOIN ind ON ind.node = to_id),
-g AS (SELECT *, (confounder = 1)::INT + (corroboration = 1)::INT + (placebo = 1)::INT AS good, (confounder = -1)::INT + (corroboration = -1)::INT + (placebo = -1)::INT AS bad FROM x)
-SELECT id, confounder, corroboration, placebo, CASE WHEN good >= 3 THEN 'A' WHEN good >= 2 AND bad = 0 THEN 'B' WHEN bad = 0 THEN 'C' WHEN bad >= 2 THEN 'F' ELSE 'D' END AS grade FROM g""")
+g AS (SELECT *, (confounder = 1)::INT + (corroboration = 1)::INT + (placebo = 1)::INT AS good, (confounder = -1)::INT + (corroboration = -1)::INT + (placebo = -1)::INT AS bad FROM x)"""
+
+
+@query(_REFUTED + " SELECT id, confounder, corroboration, placebo, CASE WHEN good >= 3 THEN 'A' WHEN good >= 2 AND bad = 0 THEN 'B' WHEN bad = 0 THEN 'C' WHEN bad >= 2 THEN 'F' ELSE 'D' END AS grade FROM g")
 def refute_edges(spark, d):
     return graph.refute(_links(spark, d))
 
 
-@query(f"""WITH {_CUSTOMERS}, {_OTHER_PATHS} SELECT corroborated, count(*) AS n FROM (SELECT links.id, pth.f IS NOT NULL AS corroborated FROM links LEFT JOIN pth ON pth.f = from_id AND pth.t = to_id) GROUP BY corroborated""")
+@query(_REFUTED + " SELECT grade, count(*) AS n FROM (SELECT *, CASE WHEN good >= 3 THEN 'A' WHEN good >= 2 AND bad = 0 THEN 'B' WHEN bad = 0 THEN 'C' WHEN bad >= 2 THEN 'F' ELSE 'D' END AS grade FROM g) GROUP BY grade")
 def grade_distribution(spark, d):
-    """How many edges another path of up to four edges supports."""
-    grades = graph.refute(_links(spark, d))
-    return grades.groupBy((F.col("corroboration") == 1).alias("corroborated")).agg(F.count(F.lit(1)).alias("n"))
+    """How many edges have each grade."""
+    return graph.refute(_links(spark, d)).groupBy("grade").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH r AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS id, min(l_linenumber) OVER (PARTITION BY l_orderkey, l_suppkey) AS place FROM lineitem), p AS (SELECT a.id AS from_id, b.id AS to_id, count(*) AS n FROM r a JOIN r b ON a.g = b.g AND a.place < b.place AND a.id <> b.id GROUP BY ALL)
@@ -1046,8 +1047,22 @@ def prediction_gap(spark, d):
     return novelty.prediction_gap(rows.select(F.col("event_id").alias("id"), "text"), predicted).select("id", _r("surprise").alias("surprise"), "novel")
 
 
+@query(f"""WITH e AS (SELECT event_id AS id, {_SAYING} AS said FROM events), w AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(said), '\\s+'), lambda x: x <> '')) AS w FROM e),
+v AS (SELECT a.id, 1 - CASE WHEN b.id IS NULL THEN 0 ELSE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(a.w || b.w)) END AS s, list_distinct(a.w || ['really', 'said']) AS told, a.w FROM w a LEFT JOIN w b ON b.id = a.id - 1 AND b.id % 3 < 2),
+h AS (SELECT id, round(s, 9) BETWEEN 0.4 AND 0.7 AS asked, CASE WHEN round(s, 9) BETWEEN 0.4 AND 0.7 AND id % 4 <> 0 THEN 1 - len(w)::DOUBLE / len(told) ELSE s END AS s FROM v)
+SELECT id, round(s, 6) AS surprise, round(s, 9) > 0.5 AS novel, asked FROM h""")
+def hybrid_novelty(spark, d):
+    """Predictions by the event before; where they leave it open, what the event says and two words more, for three in four."""
+    from tracewell.operators import novelty
+
+    rows = _sayings(spark, d).select(F.col("event_id").alias("id"), F.col("text").alias("decision"), "text")
+    predicted = rows.filter("id % 3 < 2").select((F.col("id") + 1).alias("id"), "text")
+    tell = lambda asked: asked.filter("id % 4 <> 0").select("id", F.concat("decision", F.lit(" really said")).alias("text"))
+    return novelty.hybrid(rows, predicted, tell)[0].withColumn("surprise", _r("surprise"))
+
+
 @query(f"""WITH h AS (SELECT user_id AS qid, event_id AS id, list_distinct({tokens_sql(_SAYING)}) AS t FROM events)
-SELECT a.qid, round(coalesce(avg(CASE WHEN b.id IS NOT NULL THEN len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(a.t || b.t)) END), 1), 6) AS agreement FROM h a LEFT JOIN h b ON a.qid = b.qid AND a.id < b.id GROUP BY a.qid""")
+SELECT a.qid, round(coalesce(avg(CASE WHEN b.id IS NULL THEN NULL WHEN len(a.t) + len(b.t) = 0 THEN 1 ELSE len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(a.t || b.t)) END), 1), 6) AS agreement FROM h a LEFT JOIN h b ON a.qid = b.qid AND a.id < b.id GROUP BY a.qid""")
 def agreement(spark, d):
     from tracewell.operators import novelty
 
@@ -1108,6 +1123,20 @@ def swr_log(spark, d):
     return _replayed(spark, d)[2].select("seq", "op", "id", "node", _r("old_value").alias("old_value"), _r("new_value").alias("new_value"))
 
 
+@query(with_sql("edges meta", """, base AS (SELECT from_id AS src, to_id AS dst, relation, confidence AS weight, valid_to IS NULL AS valid FROM edges),
+m AS (SELECT from_id AS src, to_id AS dst, arg_max('meta', (confidence, 'meta')) AS relation, max(confidence) AS weight FROM meta GROUP BY ALL), late AS (SELECT to_id AS src, from_id AS dst, 'caused' AS relation, max(confidence) AS weight FROM meta WHERE id % 2 = 0 GROUP BY ALL),
+void AS (SELECT DISTINCT from_id AS src, to_id AS dst FROM edges WHERE id % 5 = 0 UNION SELECT DISTINCT from_id, to_id FROM meta WHERE id % 4 = 0)
+SELECT src, dst, relation, round(weight, 6) AS weight, valid AND void.src IS NULL AS valid FROM base LEFT JOIN void USING (src, dst) UNION ALL SELECT src, dst, relation, round(weight, 6), true FROM m ANTI JOIN void USING (src, dst) UNION ALL SELECT src, dst, relation, round(weight, 6), true FROM late"""))
+def patched_graph(spark, d):
+    """Edges appended, some edges made invalid, and more edges appended, without a rebuild."""
+    e, m = fx.edges(spark, d), fx.meta_edges(spark, d)
+    new = m.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.lit("meta").alias("relation"), F.col("confidence").alias("weight"), "id")
+    void = e.filter("id % 5 = 0").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).unionByName(new.filter("id % 4 = 0").select("src", "dst"))
+    back = new.filter("id % 2 = 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("caused").alias("relation"), "weight")
+    now = overlay.GraphOverlay.create(spark, shared_dir(spark, "graph"), graph.build(e)).append_edges(new.drop("id")).invalidate(void).append_edges(back)
+    return now.edges().withColumn("weight", _r("weight"))
+
+
 def dates_sql(text: str) -> str:
     return rf"list_distinct(list_filter(regexp_extract_all(regexp_replace({text}, '^\[.*?\] \s*', ''), '\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\b'), lambda x: try_strptime(x, '%Y-%m-%d') IS NOT NULL))"
 
@@ -1205,6 +1234,24 @@ def recurrent_sessions(spark, d):
     return dml.recurrent(items.filter("id % 10 = 1"), items.filter("id % 10 <> 1"), 0.3).select("id", "prior", _r("similarity").alias("similarity"))
 
 
+@query("""WITH s AS (SELECT vec_id AS id, embedding AS v, vec_id % 4 = 0 AS done, vec_id % 7 = 3 AS bare, (vec_id * 37) % 101 AS begun FROM embeddings),
+p AS (SELECT i.id, j.id AS prior, list_cosine_similarity(i.v::DOUBLE[], j.v::DOUBLE[]) AS c FROM s i JOIN s j ON NOT i.done AND NOT i.bare AND NOT j.bare AND (j.done OR (j.begun, j.id) < (i.begun, i.id))), ok AS MATERIALIZED (SELECT * FROM p WHERE c >= 0.4),
+reach AS (SELECT id FROM s WHERE done AND NOT bare UNION SELECT ok.id FROM reach JOIN ok ON ok.prior = reach.id),
+best AS (SELECT id, prior, c FROM ok WHERE prior IN (SELECT id FROM reach) QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(c, 9) DESC, prior) = 1)
+SELECT s.id AS session_id, s.bare OR best.id IS NOT NULL AS distilled, prior, round(c, 6) AS similarity, s.bare OR best.id IS NOT NULL OR s.id IN (SELECT prior FROM best) AS marked, CASE WHEN s.bare THEN 2 WHEN best.id IS NOT NULL THEN 4 ELSE 0 END AS turns FROM s LEFT JOIN best ON best.id = s.id WHERE NOT s.done""".replace("WITH s", "WITH RECURSIVE s"))
+def session_drain(spark, d):
+    """Vectors as sessions of two turns; a quarter is distilled already, a seventh has no embedding."""
+    from tracewell.operators import drain
+
+    s = fx.table(spark, d, "embeddings").withColumn("i", F.explode(F.array(F.lit(0), F.lit(1))))
+    k = F.col("vec_id")
+    turns = s.select(k.alias("session_id"), F.col("i").alias("turn_index"), F.lit("user").alias("speaker"), F.concat(F.lit("turn "), k).alias("text"), (k * 37 % 101 + F.col("i") * 0).cast("long").alias("event_time"), F.when((F.col("i") == 0) & (k % 7 != 3), F.col("embedding")).alias("embedding"), F.when(k % 4 == 0, F.lit(1)).cast("long").alias("distilled_at"))
+    marked, items, outcome = drain.drain(turns, lambda said: said.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns")), NOW, 0.4)
+    marks = marked.filter("turn_index = 0").select("session_id", (F.col("distilled_at") == NOW).alias("m"))
+    rows = outcome.join(marks, "session_id").join(items, "session_id", "left")
+    return rows.select("session_id", "distilled", "prior", _r("similarity").alias("similarity"), F.coalesce("m", F.lit(False)).alias("marked"), F.coalesce("turns", F.lit(0)).alias("turns"))
+
+
 @query(with_sql("chunks", f""", asked AS (SELECT item_id AS qid, list_distinct({tokens_sql('text')}) AS asked FROM benchmark),
 turns AS (SELECT id, array_to_string(string_split(id, '::')[1:2], '::') AS session, TRY_CAST(string_split(id, '::')[3] AS BIGINT) AS number, {tokens_sql('text')} AS tokens FROM chunks),
 found AS (SELECT qid, session, list_intersect(list_distinct(tokens), asked) AS hit FROM asked JOIN turns ON TRY_CAST(substr(session, 2, length(session) - 5) AS BIGINT) % 40 = qid % 40 AND number % 2 = 0),

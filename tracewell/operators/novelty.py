@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as tx
+from tracewell.session import materialise
 
 #: What counts as a surprise, and the band in which the hybrid measure asks for a prediction.
 SURPRISE, BAND = 0.5, (0.4, 0.7)
@@ -26,15 +29,32 @@ def prediction_gap(actual: DataFrame, predicted: DataFrame) -> DataFrame:
     return best.select("id", (1 - F.col("best")).alias("surprise"), (F.round(1 - F.col("best"), 9) > SURPRISE).alias("novel"))
 
 
+def hybrid(rows: DataFrame, predicted: DataFrame, predict: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, counts): the surprise of rows (id, decision, text) by the predictions that are there (id, text), and where that is within BAND by one that is asked for.
+
+    predict gets the rows within BAND alone, (id, decision), and returns (id, text); where it gives no row or a null, the first verdict stands; of several the
+    smallest text counts. verdicts: (id, surprise, novel, asked); counts: one row with rows, asked and answered.
+    """
+    first = materialise(prediction_gap(rows.select("id", "text"), predicted), "novelty-first")
+    near = F.round("surprise", 9).between(*BAND)
+    asked = materialise(rows.join(first.filter(near).select("id"), "id", "left_semi").select("id", "decision"), "novelty-asked")
+    told = materialise(predict(asked).filter("text is not null").groupBy("id").agg(F.min("text").alias("_told")), "novelty-told")
+    again = rows.select("id", "text").join(told, "id").select("id", (1 - tx.text_jaccard(F.col("text"), F.col("_told"))).alias("_s"))
+    out = first.join(again, "id", "left").withColumns({"asked": near, "surprise": F.coalesce("_s", "surprise")})
+    verdicts = out.select("id", "surprise", (F.round("surprise", 9) > SURPRISE).alias("novel"), "asked")
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return verdicts, one(first, "rows").crossJoin(one(asked, "asked")).crossJoin(one(told, "answered"))
+
+
 def agreement(rows: DataFrame) -> DataFrame:
     """(qid, agreement): mean Jaccard similarity of all pairs of a question's results (qid, id, text); 1 for a single one.
 
     Results with equal token sets are counted once each with their number, so pairs are formed of different
-    sets only; copies agree wholly with each other, and those without tokens not at all.
+    sets only; copies agree wholly with each other, those without tokens too.
     """
     sets = rows.select("qid", F.array_sort(F.array_distinct(tx.tokens(F.col("text")))).alias("t")).groupBy("qid", "t").agg(F.count(F.lit(1)).alias("n"))
     side = lambda s: sets.select("qid", F.col("t").alias(f"t{s}"), F.col("n").alias(f"n{s}"))
-    alike = F.when(F.size("ta") > 0, F.col("na") * (F.col("na") - 1) / 2).otherwise(0.0)
+    alike = F.col("na") * (F.col("na") - 1) / 2
     value = F.when(F.col("ta") == F.col("tb"), alike).otherwise(F.col("na") * F.col("nb") * tx.jaccard(F.col("ta"), F.col("tb")))
     total = side("a").join(side("b"), "qid").filter("ta <= tb").groupBy("qid").agg(F.sum(value).alias("s"))
     size = sets.groupBy("qid").agg(F.sum("n").alias("n"))

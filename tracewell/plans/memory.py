@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as tx
-from tracewell.operators import bm25, consolidate, dml, fusion, graph, hops, patterns, predict, trace, vector
+from tracewell.operators import bm25, consolidate, dml, fusion, graph, hops, novelty, patterns, predict, trace, vector
 from tracewell.operators.blocks import against
 from tracewell.plans import router
 from tracewell.schema import entries
 from tracewell.session import materialise
 
-#: Seeds of a question from each source, what ranks add to in a score, and the similarity of decisions alike.
-SEEDS, RANK_OFFSET, ALIKE = 16, 60, 0.5
+#: Seeds of a question from each source, what ranks add to in a score, the similarity of decisions alike, and under what agreement a lesson is unreliable.
+SEEDS, RANK_OFFSET, ALIKE, LOW_AGREEMENT = 16, 60, 0.5, 0.5
 #: Scopes that a question may be kept to; others name a tenant.
 SCOPES = ("user", "session", "agent")
 
@@ -254,14 +254,36 @@ class Memory:
         bucket = tx.polarity_bucket(F.col("outcome_polarity"), F.col("outcome"))
         return predict.contrast(hits.select(F.lit(0).alias("k"), F.when(F.col("qid") == 0, "a").otherwise("b").alias("side"), bucket.alias("bucket")), "k")
 
-    def lesson(self, query: str, limit: int = 20) -> DataFrame:
-        """The neighbourhood of the best hits, as stubs of 120 characters at most to be told."""
-        asked = self.chunks.sparkSession.createDataFrame([(0, query)], "qid long, query string")
-        seeds = self.causal_bm25(asked, 3).select(F.col("id").cast("long").alias("id"))
+    def lesson(self, query: str, limit: int = 20, query_vector: list[float] | None = None) -> DataFrame:
+        """The neighbourhood of the best hits, as stubs of 120 characters at most to be told: by similarity of ALIKE and more, or else by BM25."""
+        asked = self.chunks.sparkSession.createDataFrame([(0, query, query_vector)], "qid long, query string, query_vector array<float>")
+        near = self._none(asked).select("qid", "id")
+        if self.edge_vectors is not None and query_vector is not None:
+            items = self.edge_vectors.join(self.entries.select("id"), "id", "left_semi")
+            near = vector.semantic(items, asked.select("qid", "query_vector"), 3, ALIKE).select("qid", F.col("id").cast("string").alias("id"))
+        seeds = first_that_has(near, self.causal_bm25(asked, 3).select("qid", "id")).select(F.col("id").cast("long").alias("id"))
         around = hops.markov_blanket(self.edges, seeds, limit)
         stub = tx.truncate(F.concat("decision", F.lit(" → "), "relation", F.lit(" → "), "outcome"), 120)
         return around.join(self.entries.select("id", stub.alias("stub")), "id").orderBy("rank")
 
+    def told_lesson(self, query: str, tell: Callable[[DataFrame], DataFrame], samples: int = 0, limit: int = 20, query_vector: list[float] | None = None) -> DataFrame:
+        """One row (query, edges, lesson, samples, agreement, unreliable): the lesson as tell reconstructs it from the stubs, and how far further reconstructions agree.
+
+        tell gets (sample, query, stubs, temperature), sample 0 at temperature 0 for the lesson and samples of them at 0.7, two at least or none, and returns (sample, text), null
+        or no row where it fails. agreement is null for fewer than two texts; under LOW_AGREEMENT what lies beneath may be unreliable. Without any edge nothing is asked.
+        """
+        spark = self.chunks.sparkSession
+        around = materialise(self.lesson(query, limit, query_vector), "lesson")  # limit rows at most
+        stubs = around.agg(F.count(F.lit(1)).alias("edges"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "stub"))), lambda x: x.stub), "\n").alias("stubs"))
+        numbers = [(0, 0.0)] + [(k, 0.7) for k in range(1, samples + 1) if samples >= 2]
+        asked = stubs.filter("edges > 0").crossJoin(spark.createDataFrame(numbers, "sample long, temperature double"))
+        texts = materialise(tell(asked.select("sample", F.lit(query).alias("query"), "stubs", "temperature")).filter("text is not null").select("sample", "text"), "lesson-texts")
+        others = texts.filter("sample > 0")
+        agreed = novelty.agreement(others.select(F.lit(0).alias("qid"), F.col("sample").alias("id"), "text")).select("agreement")
+        row = stubs.select(F.lit(query).alias("query"), "edges").crossJoin(texts.agg(F.max(F.when(F.col("sample") == 0, F.col("text"))).alias("lesson"), F.count_if(F.col("sample") > 0).alias("samples")))
+        row = row.join(F.broadcast(agreed), F.col("samples") >= 2, "left")
+        return row.withColumn("unreliable", F.coalesce(F.col("agreement") < LOW_AGREEMENT, F.lit(False)))
+
     # ---- Changes
 
     def record(self, batch: DataFrame, now: int) -> Memory:

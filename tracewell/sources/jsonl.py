@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.hashing import redact
 from tracewell.schema import SCHEMA_VERSION, TABLES, ensure_schema
+from tracewell.sources import commits
 
 FORMAT_VERSION = 1
 
@@ -55,23 +56,15 @@ def read_export(spark: SparkSession, path: str, chunks: DataFrame, edges: DataFr
 
 
 def save_snapshot(tables: dict[str, DataFrame], root: str, version: int) -> None:
-    """Writes the tables as a new version of a store; versions are never changed."""
-    for name, df in tables.items():
-        ensure_schema(df, name).write.parquet(f"{root}/v{version}/{name}")
-
-
-def load_snapshot(spark: SparkSession, root: str, version: int) -> dict[str, DataFrame]:
-    """The tables of a version; a store of an older schema gets the columns it lacks."""
-    out = {}
-    for name in TABLES:
-        try:
-            df = spark.read.parquet(f"{root}/v{version}/{name}")
-        except Exception as e:  # a table that this version does not have
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            continue
-        out[name] = ensure_schema(df, name)
-    return out
+    """Writes the tables as a version of a store; it is seen whole or not at all, and never changed. A version that is there already is refused."""
+    spark = next(iter(tables.values())).sparkSession
+    commits.Store(spark, root.rstrip("/")).publish(replace={name: ensure_schema(df, name) for name, df in tables.items()}, version=version)
+
+
+def load_snapshot(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The tables of a version, or of the latest; a store of an older schema gets the columns it lacks."""
+    store = commits.Store.open(spark, root, version)
+    return {name: ensure_schema(store.table(name), name) for name in TABLES if name in store.folders}
 
 
 def pages(entries: DataFrame, most: int = 50) -> DataFrame:
