@@ -1281,3 +1281,190 @@ SELECT (SELECT count(DISTINCT item_id) FROM benchmark) AS facts, (SELECT count(*
 def fact_link_audit(spark, d):
     facts = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("item").alias("key"), F.col("text").alias("value"), F.lit(None).cast("long").alias("valid_to"))
     return graph.link_audit(facts, fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+# ---- Rules, transitions and round trips of the store
+
+
+@query(with_sql("facts", r"""SELECT id, regexp_matches(s, '^(user|session|agent)$') OR regexp_matches(s, '^[^:]+:[^:]+$') AS valid FROM (SELECT id, CASE id % 5 WHEN 0 THEN scope || ':x' WHEN 1 THEN ':' || scope WHEN 2 THEN 'session' ELSE scope END AS s FROM facts)"""))
+def scope_rule(spark, d):
+    from tracewell.plans.memory import valid_scope
+
+    k = F.col("id") % 5
+    said = F.when(k == 0, F.concat("scope", F.lit(":x"))).when(k == 1, F.concat(F.lit(":"), "scope")).when(k == 2, "session").otherwise(F.col("scope"))
+    return fx.facts(spark, d).select("id", valid_scope(said).alias("valid"))
+
+
+_TOOL_WORDS = "write search replace image gen edit spawn subagent scheduler create delete notebookedit"
+
+
+@query(f"""SELECT conv_id, turn, array_to_string(list_filter({tokens_sql("text || ' write the NotebookEdit of an image'")}, lambda t: t NOT IN ({", ".join(f"'{w}'" for w in _TOOL_WORDS.split())})), ' ') AS tokens FROM conversations""")
+def content_words(spark, d):
+    said = F.concat("text", F.lit(" write the NotebookEdit of an image"))
+    return fx.table(spark, d, "conversations").select("conv_id", "turn", F.array_join(tx.content_tokens(said), " ").alias("tokens"))
+
+
+_FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, strlen(w) + 1), lambda i: ('0x' || substr(hex(w), 2 * i - 1, 2))::INT::HUGEINT)), lambda h, b: xor(h, b) * 1099511628211::HUGEINT % 18446744073709551616::HUGEINT)"
+
+
+@query(f"""WITH words AS (SELECT item_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS word FROM benchmark), codes AS (SELECT DISTINCT word AS w0 FROM words),
+hashes AS (SELECT w0, {_FNV.replace("w)", "w0)").replace("(w,", "(w0,")} AS low, (SELECT {_FNV} FROM (SELECT w0 || '#2' AS w)) AS high FROM codes),
+bits AS (SELECT id, i, sum((low >> i) & 1) AS a, sum((high >> i) & 1) AS b, count(*) AS n FROM words JOIN hashes ON w0 = word, range(64) r(i) GROUP BY ALL)
+SELECT id, lower(printf('%016x', sum(CASE WHEN 2 * b > n THEN 1::UBIGINT << i ELSE 0 END)::UBIGINT) || printf('%016x', sum(CASE WHEN 2 * a > n THEN 1::UBIGINT << i ELSE 0 END)::UBIGINT)) AS code FROM bits GROUP BY id""")
+def simhash_codes(spark, d):
+    """128-bit codes of the benchmark's items by the majority of the bits of their words' hashes."""
+    from tracewell.functions import hashing
+
+    return fx.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), hashing.simhash(F.col("text")).alias("code"))
+
+
+@query(with_sql("chunks edges entries", """SELECT id, CASE WHEN length(s) > 120 THEN substr(s, 1, 119) || '…' ELSE s END AS stub FROM (SELECT id, decision || ' → ' || relation || ' → ' || outcome AS s FROM entries)"""))
+def edge_stubs(spark, d):
+    e = _entries(spark, d)
+    return e.select("id", tx.truncate(F.concat("decision", F.lit(" → "), "relation", F.lit(" → "), "outcome"), 120).alias("stub"))
+
+
+@query(with_sql("chunks meta", """, asked AS (SELECT conv_id AS qid, lower(substr(text, 1, 12)) AS q FROM conversations WHERE turn = 0 AND conv_id % 10 = 0)
+SELECT qid, m.id, pattern, round(confidence, 6) AS confidence, CASE WHEN m.id % 5 = 0 THEN 'the direction turns between tasks' WHEN m.id % 2 = 0 THEN 'seen in one task only' END AS note
+FROM meta m LEFT JOIN chunks f ON f.id = from_id LEFT JOIN chunks t ON t.id = to_id JOIN asked ON contains(lower(concat_ws(chr(10), pattern, f.text, t.text)), q) WHERE valid_to IS NULL"""))
+def pattern_notes(spark, d):
+    """Beginnings of conversations as questions, against meta edges some of which are confounded or turn."""
+    from dataclasses import replace as changed
+
+    k = F.col("id")
+    memory = _memory(spark, d)
+    memory = changed(memory, meta=memory.meta.withColumns({"simpson": k % 5 == 0, "confounded": k % 2 == 0}))
+    asked = fx.table(spark, d, "conversations").filter("turn = 0 and conv_id % 10 = 0").select(F.col("conv_id").alias("qid"), F.substring("text", 1, 12).alias("query"))
+    return memory.search_patterns(asked).withColumn("confidence", _r("confidence"))
+
+
+@query(with_sql("chunks edges entries", """, asked AS (SELECT conv_id AS qid, lower(substr(text, 1, 10)) AS q FROM conversations WHERE turn = 1 AND conv_id % 10 = 0)
+SELECT qid, id, round(confidence, 6) AS confidence, row_number() OVER (PARTITION BY qid ORDER BY confidence DESC, id) AS rank FROM entries JOIN asked ON contains(lower(outcome), q)"""))
+def trace_cause(spark, d):
+    asked = fx.table(spark, d, "conversations").filter("turn = 1 and conv_id % 10 = 0").select(F.col("conv_id").alias("qid"), F.substring("text", 1, 10).alias("query"))
+    return _memory(spark, d).trace_cause(asked).withColumn("confidence", _r("confidence"))
+
+
+@query(with_sql("meta", f""", b AS (SELECT id + 1000000 AS id, from_id, to_id, CASE WHEN id % 2 = 0 THEN relation ELSE 'similar_to' END AS relation, 0.5::DOUBLE + (id % 4)::DOUBLE / 10 AS confidence FROM meta WHERE id % 5 < 3),
+n AS (SELECT from_id, to_id, relation, arg_max(id, id) AS id, arg_max(confidence, id) AS confidence FROM b GROUP BY ALL)
+SELECT m.id, from_id, to_id, relation, round(CASE WHEN m.valid_to IS NULL AND n.id IS NOT NULL THEN n.confidence ELSE m.confidence END, 6) AS confidence, m.valid_to FROM meta m LEFT JOIN n USING (from_id, to_id, relation)
+UNION ALL SELECT n.id, from_id, to_id, relation, round(n.confidence, 6), NULL FROM n WHERE NOT EXISTS (SELECT 1 FROM meta m WHERE m.valid_to IS NULL AND m.from_id = n.from_id AND m.to_id = n.to_id AND m.relation = n.relation)"""))
+def upserted_meta(spark, d):
+    """A batch of meta edges, some of which are there and valid, some there no longer, and some new."""
+    from tracewell.operators import dml
+
+    meta, k = fx.meta_edges(spark, d), F.col("id")
+    batch = meta.filter(k % 5 < 3).select((k + 1_000_000).alias("id"), "from_id", "to_id", F.when(k % 2 == 0, F.col("relation")).otherwise("similar_to").alias("relation"), (F.lit(0.5) + k % 4 / 10).alias("confidence"))
+    return dml.upsert_meta(meta, batch, NOW).select("id", "from_id", "to_id", "relation", _r("confidence").alias("confidence"), "valid_to")
+
+
+@query(with_sql("edges", """SELECT id, coalesce(outcome_polarity, CASE WHEN id % 3 = 0 THEN 'negative' WHEN id % 3 = 1 THEN 'mixed' END) AS outcome_polarity FROM edges"""))
+def patched_polarity(spark, d):
+    from tracewell.operators import dml
+
+    edges, k = fx.edges(spark, d), F.col("id")
+    batch = edges.filter(k % 3 < 2).select("id", F.explode(F.when(k % 3 == 0, F.array(F.lit("positive"), F.lit("negative"))).otherwise(F.array(F.lit("mixed")))).alias("outcome_polarity"))
+    return dml.patch_polarity(edges, batch).select("id", "outcome_polarity")
+
+
+@query("""SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN -1.0::DOUBLE ELSE round(embedding[1]::DOUBLE, 6) END AS first FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0""")
+def replaced_vectors(spark, d):
+    from tracewell.operators import dml
+
+    rows = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    batch = rows.filter("id % 3 = 0").select("id", F.transform("vector", lambda _: F.lit(-1.0).cast("float")).alias("vector"))
+    return dml.put_vectors(rows.filter("id % 2 = 0"), batch).select("id", F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
+
+
+@query(with_sql("edges", f"""SELECT id, round(CASE WHEN id % 4 = 0 THEN confidence / 2 ELSE confidence END, 6) AS confidence, CASE WHEN id % 8 = 0 THEN {NOW + 5} ELSE valid_to END AS valid_to FROM edges"""))
+def written_back(spark, d):
+    k = F.col("id")
+    down = fx.edges(spark, d).filter(k % 4 == 0).select("id", (F.col("confidence") / 2).alias("confidence"), (k % 8 == 0).alias("retired"))
+    return consolidate.write_back(fx.edges(spark, d), down, NOW + 5).select("id", _r("confidence").alias("confidence"), F.col("valid_to").cast("long").alias("valid_to"))
+
+
+@query(with_sql("edges", f""", a AS (SELECT *, CASE WHEN id % 3 = 0 AND valid_to IS NULL THEN {NOW + 1} ELSE valid_to END AS v1 FROM edges), b AS (SELECT *, CASE WHEN id % 5 = 0 THEN NULL ELSE v1 END AS v2, CASE WHEN id % 5 = 0 THEN NULL ELSE superseded_by END AS s2 FROM a)
+SELECT id, v2 AS valid_to, CASE WHEN id % 7 = 0 THEN id + 1 ELSE s2 END AS superseded_by, round(CASE WHEN v2 IS NULL AND from_id LIKE '%::0' THEN 1.0 ELSE confidence END, 6) AS confidence, CASE WHEN v2 IS NULL AND from_id LIKE '%::0' THEN 'judge' ELSE discovered_by END AS discovered_by FROM b"""))
+def transitions(spark, d):
+    """Edges made invalid, some of them restored, others named as superseded, and decisions judged anew, one after the other."""
+    from tracewell.operators import dml
+
+    edges, k = fx.edges(spark, d), F.col("id")
+    ids = lambda where: fx.edges(spark, d).filter(where).select("id")
+    now = dml.restore(dml.invalidate(edges, ids(k % 3 == 0), NOW + 1), ids(k % 5 == 0))
+    now = dml.annotate_superseded(now, ids(k % 7 == 0).select(k.alias("old"), F.explode(F.array(k + 2, k + 1)).alias("new")))
+    verdicts = edges.filter(F.col("from_id").endswith("::0")).select("from_id", F.explode(F.array(F.lit(0.2), F.lit(1.7))).alias("confidence"), F.lit("judge").alias("discovered_by"))
+    now = dml.rejudge(now, verdicts)
+    return now.select("id", F.col("valid_to").cast("long").alias("valid_to"), "superseded_by", _r("confidence").alias("confidence"), "discovered_by")
+
+
+@query(with_sql("chunks edges", f""", b AS (SELECT 5000000 + conv_id * 100 + turn AS id, role || ': ' || text AS decision, CASE WHEN turn % 2 = 0 THEN 'tests passed' ELSE 'build failed' END AS outcome FROM conversations WHERE conv_id % 4 = 0),
+texts AS (SELECT DISTINCT unnest([decision, outcome]) AS text FROM b), nodes AS (SELECT id, text FROM chunks UNION ALL SELECT 'm' || md5(text), text FROM texts ANTI JOIN chunks USING (text))
+SELECT b.id, f.id AS from_id, t.id AS to_id FROM b JOIN nodes f ON f.text = b.decision JOIN nodes t ON t.text = b.outcome"""))
+def recorded_decisions(spark, d):
+    """A batch of decisions: texts that are there keep their nodes, others get one."""
+    from tracewell.operators import dml
+
+    c = fx.table(spark, d, "conversations").filter("conv_id % 4 = 0")
+    batch = c.select((F.lit(5_000_000) + F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat("role", F.lit(": "), "text").alias("decision"), F.when(F.col("turn") % 2 == 0, "tests passed").otherwise("build failed").alias("outcome"), F.lit("caused").alias("relation"), F.lit(0.7).alias("confidence"),
+                     F.lit(NOW).cast("long").alias("event_time"), F.lit("t").alias("task_tag"), F.lit(None).cast("string").alias("outcome_polarity"))
+    _, edges = dml.record_decisions(fx.chunks(spark, d), fx.edges(spark, d), batch, NOW)
+    return edges.filter("id >= 5000000").select("id", "from_id", "to_id")
+
+
+@query(with_sql("chunks edges entries", "SELECT DISTINCT decision AS from_text, outcome AS to_text, relation, event_time, task_tag FROM entries WHERE confidence >= 0.5"))
+def exported_and_read(spark, d):
+    """The surer valid edges written as lines and read into an empty store."""
+    from tracewell.sources import jsonl
+
+    chunks, edges, path = fx.chunks(spark, d), fx.edges(spark, d), shared_dir(spark, "export")
+    jsonl.export(chunks, edges, fx.meta_edges(spark, d), path, min_confidence=0.5)
+    _, new, _ = jsonl.read_export(spark, path, chunks.limit(0), edges.limit(0))
+    return new.select("from_text", "to_text", "relation", "event_time", "task_tag")
+
+
+@query(with_sql("edges", "SELECT id, from_id, to_id, relation, round(confidence, 6) AS confidence, valid_to, task_tag FROM edges WHERE id % 2 = 0"))
+def snapshot_versions(spark, d):
+    """A store saved twice, the second version read."""
+    from tracewell.sources import jsonl
+
+    root = shared_dir(spark, "store")
+    jsonl.save_snapshot({"causal_edges": fx.edges(spark, d)}, root, 1)
+    jsonl.save_snapshot({"causal_edges": fx.edges(spark, d).filter("id % 2 = 0")}, root, 2)
+    return jsonl.load_snapshot(spark, root)["causal_edges"].select("id", "from_id", "to_id", "relation", _r("confidence").alias("confidence"), "valid_to", "task_tag")
+
+
+@query("""WITH a AS (SELECT l_orderkey AS qid, l_partkey AS id, min(l_linenumber) AS rank FROM lineitem WHERE l_linenumber % 3 <> 0 GROUP BY ALL), b AS (SELECT l_orderkey AS qid, l_partkey AS id, min(8 - l_linenumber) AS rank FROM lineitem WHERE l_linenumber % 4 <> 1 GROUP BY ALL),
+r AS (SELECT qid, id::VARCHAR AS id, sum(1::DOUBLE / (60 + rank)) AS s, min((l, rank)) AS f FROM (SELECT *, 0 AS l FROM a UNION ALL SELECT *, 1 FROM b) GROUP BY ALL), p AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, f, id) AS rank FROM r),
+u AS (SELECT qid, id::VARCHAR AS id, 0 AS l, rank FROM a UNION ALL SELECT qid, id, 1, rank FROM p ANTI JOIN (SELECT qid, id::VARCHAR AS id FROM a) USING (qid, id)) SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY l, rank, id) AS rank FROM u""")
+def two_lists(spark, d):
+    """Parts of each order by line, and what a second list has beside them."""
+    from tracewell.plans import supplement
+
+    n = F.col("l_linenumber")
+    ranked = lambda where, rank: fx.table(spark, d, "lineitem").filter(where).groupBy(F.col("l_orderkey").alias("qid"), F.col("l_partkey").alias("id")).agg(F.min(rank).cast("long").alias("rank"))
+    return supplement.two_lists(ranked(n % 3 != 0, n), ranked(n % 4 != 1, 8 - n))
+
+
+@query("SELECT doc_id AS id, length(text)::DOUBLE AS first FROM documents WHERE doc_id % 11 <> 0")
+def backfilled_vectors(spark, d):
+    """Vectors of all documents in batches; each eleventh cannot be embedded."""
+    from tracewell.operators import backfill
+    from tracewell.sources.commits import Store
+
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    embed = lambda rows: rows.select("id", F.when(F.col("id") % 11 != 0, F.array(F.length("text").cast("float"))).alias("vector"))
+    store = backfill.backfill(Store.open(spark, shared_dir(spark, "vectors")), docs, embed, "length", max(1, -(-docs.count() // 2)))
+    return store.table("vectors").select("id", F.col("vector")[0].cast("double").alias("first"))
+
+
+@query()
+def boosted_lines(spark, d):
+    """What spreading from the names in a conversation's first turn adds to that turn."""
+    from tracewell.plans import supplement
+
+    chunks = fx.chunks(spark, d).withColumn("conv", F.expr("cast(substr(split(id, '::')[0], 2) as bigint)"))
+    nodes = chunks.select("id", "text", "q_value", F.concat(F.lit("t"), F.col("conv") % 5).alias("task_tag"))
+    first = fx.table(spark, d, "conversations").filter("turn = 0 and conv_id % 10 = 0")
+    asked = first.select(F.col("conv_id").alias("qid"), F.concat(F.lit("t"), F.col("conv_id") % 5).alias("task_tag"), F.slice(F.filter(F.split("text", "[^A-Za-z]+"), lambda w: F.length(w) > 5), 1, 5).alias("entities"))
+    return supplement.seeded_boost(asked, nodes, graph.build(fx.edges(spark, d)), first.select(F.col("conv_id").alias("qid"), "text"))

@@ -40,10 +40,10 @@ def budget(ranked: DataFrame, tokens: int, cost) -> DataFrame:
 
 
 def ordered_union(lists: list[DataFrame]) -> DataFrame:
-    """(qid, id, rank): ids of the lists one after the other, each at its first place."""
+    """(qid, id, rank): ids of the lists one after the other, each at its first place; ties go to the smaller id."""
     tagged = [x.select("qid", "id", F.struct(F.lit(i).alias("list"), "rank").alias("at")) for i, x in enumerate(lists)]
     first = reduce(DataFrame.unionByName, tagged).groupBy("qid", "id").agg(F.min("at").alias("at"))
-    return first.select("qid", "id", F.row_number().over(Window.partitionBy("qid").orderBy("at")).cast("long").alias("rank"))
+    return first.select("qid", "id", F.row_number().over(Window.partitionBy("qid").orderBy("at", "id")).cast("long").alias("rank"))
 
 
 def time_weighted(ranked: DataFrame, start: int, end: int) -> DataFrame:
