@@ -395,6 +395,29 @@ def test_later_edits_read_the_kept_leaves(spark, monkeypatch):
             assert (x.n_tokens, x.n_tokens_after, x.text) == (before, len(merge(now[i])), now[i]) and edit_counts.unpacked(x.tokens).sum() == x.n_tokens_after and edit_counts.unpacked(x.lengths).sum() == len(now[i])
             assert e or x.n_reencoded == 0
         leaves = spark.createDataFrame([(x.doc_id, x.text, x.lengths, x.tokens) for x in made], "doc_id long, text string, lengths binary, tokens binary")
+    fresh = {x.doc_id: x for x in edit_counts.count_leaves(table(spark, list(now.items())), VOCABULARY).collect()}
+    of = lambda x: (edit_counts.unpacked(x.lengths).tolist(), edit_counts.unpacked(x.tokens).tolist())
+    assert {x.doc_id: of(x) for x in made} == {i: of(x) for i, x in fresh.items()}
+
+
+def test_leaves_stay_pretokens_after_a_thousand_edits():
+    r = random.Random(3)
+    c = bpe.codec(VOCABULARY)
+    count = edit_counts._counter(c)
+    text = "".join(r.choice(["some ", "don't ", "wörds", "12", "\n\n", "中文", "x" * 9]) for _ in range(60))
+    n, tokens = np.zeros(0, np.int64), None
+    for step in range(250):
+        if tokens is None:
+            data = np.frombuffer(text.encode(), np.uint8)
+            n, tokens, _ = edit_counts._leaves(data, np.array([0, len(data)]), c)
+        tree = edit_counts.CountedText(text, np.cumsum(n) - n, tokens, count)
+        for _ in range(4):
+            tree.edit(r.randrange(len(tree) + 1), r.randrange(0, 5), r.choice(["", " new", "'s", "é", "\n", " 7", "of the"]))
+        text, (n, tokens) = tree.content(), tree.leaves_now()
+        assert tree.reencoded < 120
+    data = np.frombuffer(text.encode(), np.uint8)
+    fresh = edit_counts._leaves(data, np.array([0, len(data)]), c)
+    assert n.tolist() == fresh[0].tolist() and tokens.tolist() == fresh[1].tolist()
 
 
 # ---- Surrogates

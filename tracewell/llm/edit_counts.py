@@ -29,7 +29,8 @@ class CountedText:
     """A text, its pre-tokens as leaves, and a tree of sums of their code points and tokens.
 
     A leaf is a pre-token of the original text until an edit changes it; then it holds the new
-    pre-tokens of the region, and other leaves of the region are empty. The tree's shape stays.
+    pre-tokens of the region (parts), and other leaves of the region are empty. The tree's shape stays; what is kept
+    for later edits has every pre-token as a leaf again.
     """
 
     def __init__(self, text: str, starts: np.ndarray, tokens: np.ndarray, count):
@@ -41,6 +42,7 @@ class CountedText:
         self.leaves = len(starts)
         self.cap = 1 << max(0, self.leaves - 1).bit_length()
         self.edited: dict[int, str] = {}
+        self.parts: dict[int, tuple[list[int], list[int]]] = {}
         self.reencoded = 0
         self.length, self.tokens = np.zeros(2 * self.cap, np.int64), np.zeros(2 * self.cap, np.int64)
         self.length[self.cap : self.cap + self.leaves] = np.diff(starts, append=len(text))
@@ -111,19 +113,26 @@ class CountedText:
                 break  # the old boundary is one of the new text too, so all that follows is as before
             stop, step = min(self.leaves, stop + step), 2 * step
         bounds = [x for x in starts if x < len(region)] + [len(region)]
-        tokens = sum(self.count(region[a:b]) for a, b in zip(bounds, bounds[1:]))
+        tokens = [self.count(region[a:b]) for a, b in zip(bounds, bounds[1:])]
         self.reencoded += len(bounds) - 1
         for leaf in range(first + 1, stop):
+            self.parts.pop(leaf, None)
             if self.length[self.cap + leaf]:
                 self._set(leaf, "", 0)
-        self._set(first, region, tokens)
-
+        self._set(first, region, sum(tokens))
+        self.parts[first] = ([b - a for a, b in zip(bounds, bounds[1:])], tokens)
 
     def leaves_now(self) -> tuple[np.ndarray, np.ndarray]:
-        """Code points and tokens of each leaf that is not empty; an edited region is one leaf."""
-        at = slice(self.cap, self.cap + self.leaves)
-        full = self.length[at] > 0
-        return self.length[at][full], self.tokens[at][full]
+        """Code points and tokens of each pre-token of the text as it is now."""
+        out, last = [], 0
+        for leaf in [*sorted(self.parts), self.leaves]:
+            at = slice(self.cap + last, self.cap + leaf)
+            full = self.length[at] > 0
+            out.append((self.length[at][full], self.tokens[at][full]))
+            if leaf < self.leaves:
+                out.append(tuple(np.array(x, np.int64) for x in self.parts[leaf]))
+            last = leaf + 1
+        return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _counter(c: Codec):
@@ -195,8 +204,8 @@ def apply_edits(leaves: DataFrame, vocabulary: str, id_col: str = "doc_id", edit
     text as edited so far; null edits, null members and places past the end change nothing. Of a document
     without edits nothing is encoded or changed; of others only the regions of edits and some context.
     Returns the id, n_tokens, n_tokens_after, n_pretokens (leaves before), n_reencoded (pre-tokens that
-    edits had encoded anew), and text, lengths and tokens, the leaves for the next batch, in which a region
-    edited now is one leaf, unless keep is false. Repeated rows stay repeated; other columns are left out.
+    edits had encoded anew), and text, lengths and tokens, the leaves for the next batch, each a pre-token
+    of the text as it is then, unless keep is false. Repeated rows stay repeated; other columns are left out.
     """
     rows = leaves.select(F.col(id_col).alias("_id"), "text", "lengths", "tokens", F.col(edits_col).alias("_edits"))
     counts = ("n_tokens", "n_tokens_after", "n_pretokens", "n_reencoded")
