@@ -148,7 +148,7 @@ def _network6(n: int) -> tuple[int, int] | None:
 
 
 def _ip6(text: str, key: bytes) -> str:
-    """In the short form, whatever the form of the original, so that all forms of an address have one surrogate."""
+    """All forms of an address have one surrogate, in the form of the original: groups of four digits, shorter groups, or the short form; in lower case."""
     n = int(IPv6Address(text))
     net = _network6(n)
     if net:
@@ -159,7 +159,12 @@ def _ip6(text: str, key: bytes) -> str:
         n = permutation(n)
         while _network6(n):
             n = permutation(n)
-    return str(IPv6Address(n))
+    full = IPv6Address(n).exploded
+    if "::" in text:
+        made = str(IPv6Address(n))
+    else:
+        made = full if all(len(g) == 4 for g in text.split(":")) else ":".join(g.lstrip("0") or "0" for g in full.split(":"))
+    return made
 
 
 def _iban_rest(text: str) -> int:
@@ -218,7 +223,7 @@ def _email(text: str, key: bytes) -> str:
 
 
 # Titles by gender, and given names by script and gender.
-_TITLES = {"f": "Mrs Ms Miss Frau Madame Mme Mlle Señora Sra Senora Госпожа Κυρία".split(), "m": "Mr Herr Monsieur Señor Senor Sr Господин Κύριος".split(), "": ["Dr", "Prof"]}
+_TITLES = {"f": "Mrs Ms Miss Frau Madame Mme Mlle Señora Sra Senora Госпожа Κυρία".split(), "m": "Mr Herr Monsieur Señor Senor Sr Господин Κύριος".split(), "": ["Dr", "Doktor", "Prof", "Professor"]}
 _GIVEN = {
     ("latin", "f"): "Alice Anna Barbara Camille Carmen Clara Elena Emma Greta Helen Ines Julia Karin Laura Lucía Maria Marie Nina Olga Paula Rosa Sarah Sophie Ursula".split(),
     ("latin", "m"): "Albert Bernard Carlos Daniel Diego Erik Felix Frank Georg Hans Henri James John José Karl Louis Manuel Michael Otto Paul Peter Robert Stefan Thomas".split(),
@@ -229,19 +234,52 @@ _GIVEN = {
 }
 _GIVEN_OF = {name: group for group, names in _GIVEN.items() for name in names}
 _GIVEN_LOW = {_low(name): name for name in _GIVEN_OF}
-_GENDER_OF = {t: g for g, titles in _TITLES.items() for t in titles}
-_PERSON = re.compile(r"(?<!\w)(?:(?P<title>" + "|".join(sorted(_GENDER_OF, key=len, reverse=True)) + r")\b\.?[  ](?P<names>[^\W\d_][^\W\d_'’-]+(?:[  ][^\W\d_][^\W\d_'’-]+)?)|(?P<given>" + "|".join(sorted(_GIVEN_OF, key=len, reverse=True)) + r")[  ](?P<family>[^\W\d_][^\W\d_'’-]+))(?!\w)")
+_GENDER_OF = {t: g for g, titles in _TITLES.items() for title in titles for t in (title, title.upper())}
+#: Endings of family names by gender, the masculine before the feminine. None is the end of another.
+_ENDINGS = [("ов", "ова"), ("ев", "ева"), ("ёв", "ёва"), ("ин", "ина"), ("ын", "ына"), ("ский", "ская"), ("цкий", "цкая"), ("ov", "ova"), ("ev", "eva"), ("ski", "ska"), ("cki", "cka")]
+_ENDING = re.compile("(?:" + "|".join(e for pair in _ENDINGS for e in pair) + ")$")
+_PAIR_OF = {e: i for i, pair in enumerate(_ENDINGS) for e in pair}
+_NAME = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
+_TITLE = "(?:" + "|".join(sorted(_GENDER_OF, key=len, reverse=True)) + r")\b\.?[ \u00a0]"
+_PERSON = re.compile(rf"(?<!\w)(?:(?P<title>{_TITLE})(?:{_TITLE})*(?P<names>{_NAME}(?:[ \u00a0]{_NAME})?)|(?P<given>" + "|".join(sorted([*_GIVEN_OF, *map(str.upper, _GIVEN_OF)], key=len, reverse=True)) + rf")[ \u00a0](?P<family>{_NAME}))(?!\w)")
 
 
 def _name(word: str, key: bytes) -> str:
-    """A given name of the same script and gender, or else a name with vowels and consonants in the same places; case follows the original."""
+    """A given name of the same script and gender, or else a name with vowels and consonants in the same places; case follows the original.
+
+    The ending of a family name that tells the gender stays, and both genders of a family have one stem. Other names keep their
+    last letter, which tells the gender of many given names that are not listed. So no two names have one surrogate.
+    """
     low = _low(word)
     if low in _GIVEN_LOW:
         name = _GIVEN_LOW[low]
         names = _GIVEN[_GIVEN_OF[name]]
         made = names[Permutation(len(names), "given" + "".join(_GIVEN_OF[name]), key)(names.index(name))]
         return made.upper() if word.isupper() else made.lower() if word.islower() else made
-    return _cased(permute_text(low, "family", key, _sound, lambda s: s not in _GIVEN_LOW), word)
+    ending = _ENDING.search(low)
+    if ending and ending.start() > 1:
+        stem, both = low[: ending.start()], _ENDINGS[_PAIR_OF[ending[0]]]
+        made = permute_text(stem, f"family-{both[0]}", key, _sound, lambda s: not any(s + e in _GIVEN_LOW for e in both))
+        return _cased(made + ending[0], word)
+    free = lambda s: s + low[-1] not in _GIVEN_LOW and not ((m := _ENDING.search(s + low[-1])) and m.start() > 1)
+    return _cased(permute_text(low[:-1], f"family{low[-1]}", key, _sound, free) + low[-1], word)
+
+
+_WORD = re.compile(rf"(?<!\w){_NAME}(?!\w)")
+
+
+def _mentions(text: str, people: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Where a name of one of these people stands alone later on, in the same letters and case or in capitals."""
+    names: dict[str, int] = {}
+    for a, b in sorted(people):
+        for word in re.split("[ \u00a0]", text[a:b]):
+            if len(word) > 2 and word[0].isupper():
+                for form in (word, word.upper(), word.capitalize()):
+                    names[form] = min(names.get(form, b), b)
+    if names:
+        for m in _WORD.finditer(text, min(names.values())):
+            if names.get(m[0], len(text)) <= m.start():
+                yield m.span()
 
 
 def _person(text: str, key: bytes) -> str:
@@ -322,6 +360,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
             b -= len(words.pop()) + bool(words)
         if words and (m["title"] or len(words) > 1):
             found.append((a, b, "person"))
+    found += [(a, b, "person") for a, b in _mentions(text, [(a, b) for a, b, kind in found if kind == "person"])]
     starts: list[int] = []
     out: list[tuple[int, int, str]] = []  # in order of their starts
     for a, b, kind in found:
@@ -341,8 +380,9 @@ _HEX[list(b"0123456789abcdefABCDEF:")] = True
 @lru_cache(maxsize=1)
 def _trigger_hashes() -> tuple[np.ndarray, np.ndarray]:
     """Hashes of titles and given names, sorted, and a bitmap of their low bits."""
-    cp = np.array([ord(c) for w in [*_GENDER_OF, *_GIVEN_OF] for c in w], np.uint32)
-    ends = np.cumsum([len(w) for w in [*_GENDER_OF, *_GIVEN_OF]])
+    names = sorted({*_GENDER_OF, *_GIVEN_OF, *map(str.upper, _GIVEN_OF)})
+    cp = np.array([ord(c) for w in names for c in w], np.uint32)
+    ends = np.cumsum([len(w) for w in names])
     hashes = np.sort(arrays.range_hashes(cp, np.concatenate([[0], ends[:-1]]), ends))
     table = np.zeros(1 << 16, bool)
     table[(hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
@@ -392,7 +432,8 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     """(id, text, entities): every whole text with its personal data replaced, and where that was.
 
     Kinds: email, iban (with right check digits), card (13 to 19 digits with a right check digit), ip (version
-    4), ip6, ssn (laid out as 3-2-4 digits), phone, person (after a title, or a given name with a family name). entities has kind, start and end in code points of the
+    4), ip6, ssn (laid out as 3-2-4 digits), phone, person (after a title, or a listed given name with a family name, and later
+    mentions of one of these names alone in the text; a person of no listed given name and without a title is not found). entities has kind, start and end in code points of the
     original text, and replacement. Texts without any are as they were; a null text stays null, with an
     empty array. Repeated rows stay repeated; other columns are left out. The result is written to the
     shared folder, with keyed hashes of entities and replacements, and ValueError is raised where one
