@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,22 @@ from tracewell.llm import bpe, decontam, exact_dedup, jaccard_join, langid, quer
 from tracewell.session import materialise, shared_dir
 
 
+#: Bytes of the batches that stages send to Python and get back. Texts are long, and a task holds a batch, what is made of it and both their copies in the JVM.
+BATCH_BYTES = 16 << 20
+
+
+def bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with batches of BATCH_BYTES at most in its session (a single longer row is a batch)."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@bounded
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language cannot be told: no letters, or several codewords as near and none likely.
 
@@ -29,11 +46,13 @@ def told(predicted: DataFrame) -> DataFrame:
     return predicted.filter(f"lang_pred <> '{langid.UNKNOWN}' and not (ambiguous and score < 0.5)")
 
 
+@bounded
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays. Null texts are empty; repeated rows are equal; a null id gives way to others."""
     return _of_keys(docs, lambda keyed: exact_dedup.exact_dedup(keyed).filter("kept").select("doc_id"))
 
 
+@bounded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similarity the one with the smallest id stays, a null id after all others; of repeated rows one. Texts without words are linked with nothing."""
     return _of_keys(docs, lambda keyed: jaccard_join.jaccard_components(keyed).filter("doc_id = component_id").select("doc_id").distinct())
@@ -53,11 +72,13 @@ def _of_keys(docs: DataFrame, choose: Callable[[DataFrame], DataFrame]) -> DataF
     return keyed.join(kept, keyed[name].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([name]).select(*docs.columns)
 
 
+@bounded
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a passage of the benchmark; null and empty texts have none and stay, as do repeated rows."""
     return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@bounded
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the offsets that decoding a part needs; a null text is empty. Repeated rows stay repeated, other columns go."""
     return bpe.encode(docs, queries.VOCABULARY)
