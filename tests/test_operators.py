@@ -131,6 +131,25 @@ def test_components_and_degrees(spark):
     assert set(got.values()) == {0, 100} and len(got) == 63
 
 
+def test_overlap_of_a_hub_equals_sets(spark):
+    """A hub of 300 leaves, loops, repeated and opposite edges: equal to sets, and far fewer rows than its degree squared."""
+    import random
+
+    rng = random.Random(2)
+    pairs = [("hub", f"n{i}") for i in range(300)] + [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(150)] + [("n1", "hub"), ("hub", "n1"), ("alone", "alone"), ("hub", "hub")]
+    e = edges_of(spark, *[(i, a, b, "caused", 1.0, "x", None) for i, (a, b) in enumerate(pairs)])
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for i, (a, b) in enumerate(pairs):
+        x, y = near.get(a, set()) - {b}, near.get(b, set()) - {a}
+        want[i] = (len(x & y), round(len(x & y) / len(x | y), 9) if x | y else 0.0)
+    assert {r.id: (r.shared, round(r.jaccard, 9)) for r in graph.neighbour_overlap(e).collect()} == want
+
+
 def test_refute_grades(spark):
     e = edges_of(spark, (1, "a", "b", "caused", 1.0, "x", None), (2, "a", "c", "caused", 1.0, "x", None), (3, "c", "b", "caused", 1.0, "x", None), (4, "x", "y", "caused", 1.0, "x", None))
     got = {r.id: (r.confounder, r.corroboration) for r in graph.refute(e).collect()}

@@ -129,14 +129,25 @@ def _neighbours(edges: DataFrame) -> DataFrame:
 
 
 def neighbour_overlap(edges: DataFrame) -> DataFrame:
-    """(id, shared, jaccard) of each valid edge: neighbours that its ends have in common, the ends left out."""
-    near = _neighbours(edges)
-    live = edges.filter("valid_to is null").select("id", "from_id", "to_id")
-    a = live.join(near, F.col("from_id") == F.col("n")).filter("m <> to_id").select("id", "m", F.lit(1).alias("s"))
-    b = live.join(near, F.col("to_id") == F.col("n")).filter("m <> from_id").select("id", "m", F.lit(2).alias("s"))
-    sides = a.unionByName(b).groupBy("id", "m").agg(F.sum("s").alias("s"))
-    counts = sides.groupBy("id").agg(F.sum((F.col("s") == 3).cast("long")).alias("shared"), F.count(F.lit(1)).alias("u"))
-    return live.select("id").join(counts, "id", "left").select("id", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce(F.col("shared") / F.nullif("u", F.lit(0)), F.lit(0.0)).alias("jaccard"))
+    """(id, shared, jaccard) of each valid edge: neighbours that its ends have in common, the ends left out.
+
+    Only the neighbours of the end with fewer are looked up among those of the other, so a hub's are not listed for
+    each of its edges; all sizes follow from the degrees. Edges between the same two nodes are looked at once.
+    """
+    near = materialise(_neighbours(edges), "overlap-neighbours")
+    live = edges.filter("valid_to is null").select("id", F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b"))
+    degree = near.groupBy(F.col("n").alias("node")).agg(F.count(F.lit(1)).alias("d"))
+    side = lambda s: degree.select(F.col("node").alias(s), F.col("d").alias(f"d_{s}"))
+    pairs = materialise(live.select("a", "b").distinct().join(side("a"), "a", "left").join(side("b"), "b", "left").withColumns({"d_a": F.coalesce("d_a", F.lit(0)), "d_b": F.coalesce("d_b", F.lit(0))}), "overlap-pairs")
+    fewer = F.col("d_a") <= F.col("d_b")
+    asked = pairs.filter("a <> b").select("a", "b", F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("n"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("_other"))
+    wedges = asked.join(near, "n").select("a", "b", F.col("_other").alias("n"), "m")
+    counts = wedges.join(near, ["n", "m"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    loop = F.col("a") == F.col("b")
+    shared = F.when(loop, F.col("d_a")).otherwise(F.coalesce("shared", F.lit(0)))
+    union = F.when(loop, F.col("d_a")).otherwise(F.col("d_a") + F.col("d_b") - 2 - F.coalesce("shared", F.lit(0)))  # each end is a neighbour of the other
+    of = pairs.join(counts, ["a", "b"], "left").select("a", "b", shared.alias("shared"), union.alias("_u"))
+    return live.join(of, ["a", "b"]).select("id", "shared", F.coalesce(F.col("shared") / F.nullif("_u", F.lit(0)), F.lit(0.0)).alias("jaccard"))
 
 
 def _other_paths(live: DataFrame, max_hops: int) -> DataFrame:
@@ -201,8 +212,8 @@ def refute(edges: DataFrame, max_hops: int = 4, sample: int = 20, placebos: int
 def personalised_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations: int = 10) -> DataFrame:
     """(node, p) after so many steps of p = alpha S'p + (1 - alpha) s, S row-normalised by confidence, s uniform over the seeds (node)."""
     live = edges.filter("valid_to is null").select(F.col("from_id").alias("_a"), F.col("to_id").alias("_b"), F.col("confidence").alias("_c"))
-    w = Window.partitionBy("_a")
-    step = materialise(live.withColumn("_w", F.col("_c") / F.nullif(F.sum("_c").over(w), F.lit(0.0))), "ppr-edges")
+    total = live.groupBy("_a").agg(F.sum("_c").alias("_all"))  # summed before it is shuffled, so a hub is one row a task
+    step = materialise(live.join(total, "_a").select("_a", "_b", "_c", (F.col("_c") / F.nullif("_all", F.lit(0.0))).alias("_w")), "ppr-edges")
     start = materialise(seeds.select("node").distinct().crossJoin(seeds.select("node").distinct().agg((1.0 / F.count(F.lit(1))).alias("s"))), "ppr-seeds")
     p = start.select("node", F.col("s").alias("p"))
     for _ in range(iterations):
