@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import calls
 from tracewell.plans.memory import Memory
-from tracewell.sources import commits, jsonl, sessions
+from tracewell.sources import commits, jsonl, sessions, wiki
 from tracewell.streaming import ingest
 
 
@@ -167,3 +167,21 @@ def test_facade(spark):
     assert {r.id for r in vectors.search_memory(near).collect()} == {"causal:1", "fact:1"}
     assert [r.id for r in m.lesson("deploy").collect()] == [1]
     assert jsonl.pages(m.entries).filter(F.col("node") == "build failed").first().page.endswith("deploy server sk-abcdefgh123")
+
+
+def test_vault_has_every_node_fact_and_connection(spark, monkeypatch):
+    monkeypatch.setattr(wiki, "CONNECTIONS", 3)
+    rows = [(i, "hub", f"n{i}", "deploy: the hub", f"outcome {i}", "caused" if i % 2 else "prevented", i / 10, "t" if i else None, "agent") for i in range(8)]
+    entries = spark.createDataFrame(rows, "id long, from_id string, to_id string, decision string, outcome string, relation string, confidence double, task_tag string, discovered_by string")
+    facts = spark.createDataFrame([(1, "editor", "vim", "user", 0.8, "agent", None), (2, "shell", "vim", "user", 0.8, None, None), (3, "old", "x", "user", 0.8, "agent", 5)], "id long, key string, value string, scope string, confidence double, source string, valid_to long")
+    pages = {r.path: r.page for r in wiki.vault(entries, facts).collect()}
+    hub = sorted(p for p in pages if p.startswith("deploy-the-hub-"))
+    assert len(hub) == 3 and len(pages) == 3 + 8 + 2 + 1
+    lines = [x for p in sorted(hub, key=lambda p: (len(p), p)) for x in pages[p].splitlines() if x.startswith("- **")]
+    assert [x.split("|")[1][:9] for x in lines] == [f"outcome {i}" for i in range(7, -1, -1)]
+    assert lines[0].startswith("- **caused** → [[outcome-7-") and lines[0].endswith("]] (70% confidence)") and lines[1].startswith("- **prevented** ⊣")
+    links = {x.split("[[")[1].split("|")[0] + ".md" for p in pages.values() for x in p.splitlines() if "[[" in x}
+    assert links <= set(pages)
+    assert pages["README.md"].startswith("# Vault\n\n8 causal edges across 9 nodes.\n2 facts.")
+    assert sum(p.startswith("Facts/vim-") for p in pages) == 2
+    assert "| Task | — |" in next(pages[p] for p in pages if p.startswith("outcome-0-"))

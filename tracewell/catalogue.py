@@ -1468,3 +1468,15 @@ def boosted_lines(spark, d):
     first = fx.table(spark, d, "conversations").filter("turn = 0 and conv_id % 10 = 0")
     asked = first.select(F.col("conv_id").alias("qid"), F.concat(F.lit("t"), F.col("conv_id") % 5).alias("task_tag"), F.slice(F.filter(F.split("text", "[^A-Za-z]+"), lambda w: F.length(w) > 5), 1, 5).alias("entities"))
     return supplement.seeded_boost(asked, nodes, graph.build(fx.edges(spark, d)), first.select(F.col("conv_id").alias("qid"), "text"))
+
+
+@query(with_sql("chunks edges entries facts", """, ends AS (SELECT from_id AS node, decision AS text, id FROM entries UNION ALL SELECT to_id, outcome, id FROM entries), sizes AS (SELECT node, count(*) AS n FROM ends GROUP BY node)
+SELECT kind, count(*) AS pages, sum(lines)::BIGINT AS lines FROM (SELECT 'fact' AS kind, 0 AS lines FROM facts WHERE valid_to IS NULL UNION ALL SELECT 'node', least(500, n - 500 * p) FROM sizes, unnest(range((n + 499) // 500)) u(p) UNION ALL SELECT 'index', 0) GROUP BY kind"""))
+def vault_pages(spark, d):
+    """How many notes of each kind a store makes, and their connections."""
+    from tracewell.sources import wiki
+
+    pages = wiki.vault(_entries(spark, d), fx.facts(spark, d))
+    kind = F.when(F.col("path") == "README.md", "index").when(F.col("path").startswith("Facts/"), "fact").otherwise("node")
+    lines = F.when(kind == "node", F.size(F.split("page", r"\]\] \([0-9]+% confidence\)")) - 1).otherwise(0)
+    return pages.groupBy(kind.alias("kind")).agg(F.count_distinct("path").alias("pages"), F.sum(lines).alias("lines"))
