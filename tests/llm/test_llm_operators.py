@@ -202,6 +202,47 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_query_equals_plain_scoring(spark, small):
+    """The model's weights added up gram by gram, and the codewords compared one by one."""
+    from math import exp, log1p
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~queries.held_out()))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    near = 0
+    for r in queries.op5_language_id(spark, small).collect():
+        letters = [c.isalpha() for c in texts[r.doc_id]]
+        x = [ord(c) if is_letter else 32 for c, is_letter in zip(texts[r.doc_id], letters)]
+        if not any(letters):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        features = []
+        for i in range(len(x)):
+            acc = 0
+            for order in (1, 2, 3):
+                acc = (acc * 0x9E3779B1 + (x[i + order - 1] if i + order <= len(x) else 32) + order) % 2**32
+                features.append(((acc ^ acc >> 15) * 0x85EBCA6B % 2**32) >> 17)
+        margins = model.weights[features].astype(np.float64).sum(axis=0) / (3 * len(x))
+        losses = []
+        for code, trust in zip(model.code.tolist(), model.trust.tolist()):
+            signed = [max(-12.0, min(12.0, m * s)) * c for m, s, c in zip(margins.tolist(), model.scale.tolist(), code)]
+            losses.append(sum(log1p(exp(-v)) * (trust[b] if isinstance(trust, list) else trust) for b, v in enumerate(signed)))
+        likely = [exp(-(v - min(losses)) * len(model.code[0])) for v in losses]
+        two = sorted(losses)
+        assert r.lang_pred == model.languages[losses.index(min(losses))] and abs(r.score - max(likely) / sum(likely)) < 1e-4
+        if abs(two[1] - two[0] - langid.AMBIGUOUS * two[-1]) > 1e-6:
+            assert r.ambiguous == (two[1] - two[0] < langid.AMBIGUOUS * two[-1])
+        near += max(likely) / sum(likely) < 0.999
+    assert near
+
+
+def test_a_prediction_does_not_depend_on_the_rows_beside_it():
+    texts = ["der die das", "el la los", "x", "", "the of and", "ab"]
+    for order, alone in enumerate(zip(*[langid._grams(*arrays.string_buffers(pa.array([t])))[0] for t in texts])):
+        together = langid._grams(*arrays.string_buffers(pa.array(texts)))[0][order]
+        assert together.tolist() == np.concatenate(alone).tolist()
+
+
 def test_bits_are_learned_apart_and_correct_each_other(spark):
     """Held-out short and whole texts: decoding is as good as naive Bayes over the same n-grams, and stays so when a bit is turned round."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")

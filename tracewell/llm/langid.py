@@ -70,6 +70,9 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.
     for order in ORDERS:
         shifted = np.full(len(x), 32, np.uint32)
         shifted[: len(x) - order + 1] = x[order - 1 :]
+        for back in range(1, order):  # what follows a document's last code points is another's
+            last = edges[1:] - back
+            shifted[last[last >= edges[:-1]]] = 32
         acc = acc * np.uint32(0x9E3779B1) + shifted + np.uint32(order)
         mixed = acc ^ (acc >> np.uint32(15))
         mixed *= np.uint32(0x85EBCA6B)
