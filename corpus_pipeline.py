@@ -13,7 +13,7 @@ from tracewell.session import materialise, shared_dir
 
 
 #: Bytes of the batches that stages send to Python and get back. Texts are long, and a task holds a batch, what is made of it and both their copies in the JVM.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
