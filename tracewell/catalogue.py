@@ -1480,3 +1480,58 @@ def vault_pages(spark, d):
     kind = F.when(F.col("path") == "README.md", "index").when(F.col("path").startswith("Facts/"), "fact").otherwise("node")
     lines = F.when(kind == "node", F.size(F.split("page", r"\]\] \([0-9]+% confidence\)")) - 1).otherwise(0)
     return pages.groupBy(kind.alias("kind")).agg(F.count_distinct("path").alias("pages"), F.sum(lines).alias("lines"))
+
+
+# ---- Session logs in three layouts, written from events and read back
+
+
+def _read_log(spark, d, layout: str) -> DataFrame:
+    """Events as tool calls with their results, two lines each, in this layout; what is extracted from them."""
+    from tracewell.sources import sessions
+
+    tool, arguments, result, call = F.expr(_TOOL), F.expr(_ARGUMENTS), F.expr(_RESULT), F.concat(F.lit("call"), "event_id")
+    line = lambda **parts: F.to_json(F.struct(*[(v if not isinstance(v, str) else F.lit(v)).alias(k) for k, v in parts.items()]))
+    named = lambda **parts: F.struct(*[(v if not isinstance(v, str) else F.lit(v)).alias(k) for k, v in parts.items()])
+    pairs = {
+        "blocks": (line(type="assistant", message=named(content=F.array(named(type="tool_use", id=call, name=tool, input=arguments)))), line(type="user", message=named(content=F.array(named(type="tool_result", tool_use_id=call, content=result))))),
+        "positional": (line(type="assistant", toolCalls=F.array(named(id=call, name=tool, arguments=arguments))), line(type="toolResult", content=result)),
+        "calls": (line(type="function_call", call_id=call, name=tool, arguments=arguments), line(type="function_call_output", call_id=call, output=result)),
+    }
+    path = shared_dir(spark, f"log-{layout}")
+    fx.table(spark, d, "events").select(F.explode(F.array(*pairs[layout])).alias("value")).write.text(path)
+    return sessions.extract(sessions.PARSERS[layout](spark, path)).select("tool", "decision", "outcome", "failed", "confidence", "source", "task_tag")
+
+
+_EXTRACTED = f"""WITH e AS (SELECT event_id AS id, {_TOOL} AS tool, {_ARGUMENTS} AS args, {_RESULT} AS result, CASE event_id % 3 WHEN 0 THEN concat('src/file', event_id % 7, '.rs') WHEN 1 THEN 'cargo build' ELSE concat('git push origin ', event_id) END AS said FROM events),
+g AS (SELECT *, tool || '(' || said || ')' AS decision, lower(tool || ' ' || args) AS low, {_any_sql('result', calls.FAILURES)} AS bad, false AS good,
+    len(list_filter(regexp_split_to_array(lower(said), '[^a-z0-9_.-]+'), lambda t: length(t) >= 4 AND contains(lower(result), t))) > 0 OR {" OR ".join(f"(contains(lower(tool || said), '{a}') AND {_any_sql('lower(result)', w)})" for a, w in calls.ACTION_WORDS.items())} AS related FROM e)
+SELECT tool, decision, substr(result, 1, 200) AS outcome, bad OR {_any_sql('result', calls.CLEAR_FAILURES)} AS failed, {_grade_sql(0)} AS confidence, {_grade_sql(1)} AS source, CASE {" ".join(f"WHEN {_any_sql('low', w)} THEN '{t}'" for t, w in calls.TASKS.items())} ELSE 'general' END AS task_tag
+FROM g WHERE CASE WHEN {_any_sql('tool', calls.READ_ONLY)} THEN {_any_sql('result', calls.CLEAR_FAILURES)} ELSE {_any_sql('tool', calls.STATE_CHANGING)} END"""
+
+
+@query(_EXTRACTED)
+def read_blocks(spark, d):
+    return _read_log(spark, d, "blocks")
+
+
+@query(_EXTRACTED)
+def read_positional(spark, d):
+    return _read_log(spark, d, "positional")
+
+
+@query(_EXTRACTED)
+def read_calls(spark, d):
+    return _read_log(spark, d, "calls")
+
+
+@query("SELECT conv_id % 1000 AS session, turn AS place, role AS speaker, text FROM conversations")
+def read_conversations(spark, d):
+    """Conversations written as JSON documents, one a folder of its own, and read back."""
+    from tracewell.sources import sessions
+
+    said = fx.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))  # a conversation's turns
+    path = shared_dir(spark, "conversations")
+    documents = said.select((F.col("conv_id") % 1000).alias("k"), F.to_json(F.struct(F.transform("m", lambda x: F.struct(x.role.alias("role"), x.text.alias("content"))).alias("messages"))).alias("value"))
+    documents.repartition("k").write.partitionBy("k").option("maxRecordsPerFile", 1).text(path)
+    rows = sessions.conversations(spark, f"{path}/*")
+    return rows.select(F.regexp_extract("session", "/k=([0-9]+)/", 1).cast("long").alias("session"), F.col("place").cast("long").alias("place"), "speaker", "text")
