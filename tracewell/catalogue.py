@@ -1535,3 +1535,91 @@ def read_conversations(spark, d):
     documents.repartition("k").write.partitionBy("k").option("maxRecordsPerFile", 1).text(path)
     rows = sessions.conversations(spark, f"{path}/*")
     return rows.select(F.regexp_extract("session", "/k=([0-9]+)/", 1).cast("long").alias("session"), F.col("place").cast("long").alias("place"), "speaker", "text")
+
+
+# ---- Streams over tables written as logs
+
+
+def _streamed(spark, rows: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """What a stream over rows, written as a log first, gives until it has read all of it; in complete mode what its last batch gives."""
+    from tracewell.streaming import ingest
+
+    log, out = shared_dir(spark, "log"), shared_dir(spark, "streamed")
+    rows.write.parquet(log)
+    made = build(spark.readStream.schema(rows.schema).parquet(log))
+    made.writeStream.outputMode(mode).foreachBatch(ingest.append_batches(out)).option("checkpointLocation", shared_dir(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(out)
+    return (found.filter(F.col("batch") == found.agg(F.max("batch")).first()[0]) if mode == "complete" else found).drop("batch")
+
+
+@query("SELECT event_id::VARCHAR AS id, event_type AS task_tag FROM events")
+def streamed_turns(spark, d):
+    """A log that has every turn twice, taken in once."""
+    from tracewell.streaming import ingest
+
+    rows = fx.table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("event_ts"), F.col("event_type").alias("task_tag"))
+    log, out = shared_dir(spark, "log"), shared_dir(spark, "streamed")
+    rows.unionByName(rows).write.parquet(log)
+    ingest.start(ingest.turns(spark, log, rows.schema), shared_dir(spark, "stream"), ingest.append_batches(out), once=True).awaitTermination()
+    return spark.read.parquet(out).select("id", "task_tag")
+
+
+@query("SELECT (floor(epoch(ts) / 300) * 300)::BIGINT AS start, event_type AS task_tag, count(*) AS turns FROM events GROUP BY ALL")
+def streamed_activity(spark, d):
+    from tracewell.streaming import ingest
+
+    rows = fx.table(spark, d, "events").select(F.col("ts").alias("event_ts"), F.col("event_type").alias("task_tag"))
+    return _streamed(spark, rows, ingest.activity, "complete").withColumn("start", F.unix_timestamp("start"))
+
+
+@query("SELECT user_id AS id, count(*) AS n, floor(epoch(max(ts)))::BIGINT AS last FROM events GROUP BY user_id")
+def streamed_accesses(spark, d):
+    from tracewell.streaming import ingest
+
+    rows = fx.table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("ts").alias("event_ts"))
+    return _streamed(spark, rows, ingest.access_counts, "complete").select("id", "n", F.unix_timestamp("last").alias("last"))
+
+
+@query("""WITH o AS (SELECT l_orderkey AS k, list(l_suppkey ORDER BY l_linenumber, l_suppkey) AS ids FROM lineitem GROUP BY l_orderkey), p AS (SELECT ids[i] AS from_id, ids[j] AS to_id FROM o, unnest(range(1, len(ids))) a(i), unnest(range(i + 1, len(ids) + 1)) b(j))
+SELECT from_id, to_id, count(*) AS n, round(least(1, 0.2::DOUBLE + 0.05::DOUBLE * (count(*) - 1)), 6) AS weight FROM p WHERE from_id <> to_id GROUP BY ALL""")
+def streamed_pairs(spark, d):
+    """Suppliers of each order as a retrieval; pairs counted over the stream."""
+    from tracewell.streaming import ingest
+
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: x.l_suppkey)
+    rows = fx.table(spark, d, "lineitem").groupBy("l_orderkey").agg(ordered.alias("ids")).select("ids")
+    return _streamed(spark, rows, ingest.pair_counts, "complete").withColumn("weight", _r("weight"))
+
+
+@query(with_sql("chunks edges meta", """, ends AS (SELECT DISTINCT unnest([from_id, to_id]) AS id FROM edges WHERE id % 3 = 0), steps AS (SELECT from_id AS id, max(c.q_value) AS best FROM (SELECT from_id, to_id FROM edges WHERE valid_to IS NULL UNION ALL SELECT from_id, to_id FROM meta WHERE valid_to IS NULL) JOIN chunks c ON c.id = to_id GROUP BY from_id)
+SELECT id, round(CASE WHEN ends.id IS NOT NULL THEN greatest(0, least(1, q_value + 0.1::DOUBLE * (1 + 0.9::DOUBLE * greatest(0, coalesce(best, 0)) - q_value))) ELSE q_value END, 6) AS q_value FROM chunks LEFT JOIN ends USING (id) LEFT JOIN steps USING (id)"""))
+def reinforced(spark, d):
+    """Q-values after one step at the ends of every third edge."""
+    protected = fx.edges(spark, d).filter("id % 3 = 0").select("id")
+    return consolidate.reinforce(fx.chunks(spark, d), fx.edges(spark, d), fx.meta_edges(spark, d), protected).select("id", _r("q_value").alias("q_value"))
+
+
+_ITEMS = """items AS (SELECT item_id AS id, (['fact', 'preference', 'lesson', 'event', 'causal'])[item_id % 5 + 1] AS kind, '[2025-01-01] ' || trim(text, ' ') AS t, CASE WHEN item_id % 2 = 0 THEN 'did ' || item_id END AS decision, (['caused', 'enabled', 'prevented'])[item_id % 3 + 1] AS r FROM benchmark),
+new AS (SELECT *, CASE WHEN kind = 'causal' THEN coalesce(decision, 'unknown action') ELSE t END AS f FROM items QUALIFY row_number() OVER (PARTITION BY t ORDER BY id) = 1)"""
+
+
+def _distilled(spark, d):
+    """The benchmark's items as what was distilled from sessions, written into the store."""
+    from tracewell.operators import ingest
+
+    k = F.col("item_id")
+    none = F.lit(None).cast("string")
+    kind = F.element_at(F.array(*map(F.lit, ingest.KINDS)), (k % 5 + 1).cast("int"))
+    relation = F.element_at(F.array(*map(F.lit, ingest.RELATIONS)), (k % 3 + 1).cast("int"))
+    items = fx.table(spark, d, "benchmark").select(k.alias("id"), kind.alias("kind"), "text", none.alias("date"), none.alias("supersedes"), relation.alias("causal_relation"), F.when(k % 2 == 0, F.concat(F.lit("did "), k)).alias("decision"), F.lit("t").alias("task_tag"))
+    return ingest.record_distilled(fx.chunks(spark, d), fx.edges(spark, d).filter("id < 0"), items, NOW)
+
+
+@query(f"WITH {_ITEMS} SELECT DISTINCT 'distill:' || md5(x) AS id, x AS text FROM (SELECT unnest([f, t]) AS x FROM new)")
+def distilled_nodes(spark, d):
+    return _distilled(spark, d)[0].filter("id like 'distill:%'").select("id", "text")
+
+
+@query(f"WITH {_ITEMS} SELECT id, 'distill:' || md5(f) AS from_id, 'distill:' || md5(t) AS to_id, CASE WHEN kind = 'causal' THEN r ELSE 'caused' END AS relation, CASE WHEN kind IN ('lesson', 'causal') THEN 0.7 ELSE 0.6 END::DOUBLE AS confidence FROM new")
+def distilled_edges(spark, d):
+    return _distilled(spark, d)[1].select("id", "from_id", "to_id", "relation", "confidence")
