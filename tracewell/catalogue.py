@@ -1623,3 +1623,19 @@ def distilled_nodes(spark, d):
 @query(f"WITH {_ITEMS} SELECT id, 'distill:' || md5(f) AS from_id, 'distill:' || md5(t) AS to_id, CASE WHEN kind = 'causal' THEN r ELSE 'caused' END AS relation, CASE WHEN kind IN ('lesson', 'causal') THEN 0.7 ELSE 0.6 END::DOUBLE AS confidence FROM new")
 def distilled_edges(spark, d):
     return _distilled(spark, d)[1].select("id", "from_id", "to_id", "relation", "confidence")
+
+
+@query(with_sql("chunks edges entries", ", terms AS (SELECT item_id * 10 + k AS item_id, string_split(text, ' ')[k + 1] AS text FROM benchmark, range(3) r(k)), hits AS (WITH " + bm25_sql("SELECT id, decision || ' ' || outcome AS text FROM entries", 4).replace("FROM benchmark", "FROM terms") + ") SELECT q AS qid, id, row_number() OVER (PARTITION BY q ORDER BY f) AS rank FROM (SELECT qid // 10 AS q, id, min((qid % 10, rank)) AS f FROM hits GROUP BY ALL)"))
+def query_terms(spark, d):
+    """What the first three words of each question find one after the other."""
+    asked = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.posexplode(F.slice(F.split("text", " "), 1, 3)).alias("place", "term"))
+    return _memory(spark, d).query_terms(asked, 4)
+
+
+@query(with_sql("chunks edges entries", ", " + bm25_sql("SELECT id, decision || ' ' || outcome AS text FROM entries", 5).replace("SELECT qid, id, round(score, 6) AS score, rank FROM ranked", ", best AS (SELECT qid, id, rank FROM ranked").rstrip() + ") SELECT qid, e.id, CASE WHEN length(s) > 120 THEN substr(s, 1, 119) || '…' ELSE s END AS stub, rank FROM best JOIN (SELECT id, decision || ' → ' || relation || ' → ' || outcome AS s FROM entries) e ON e.id::VARCHAR = best.id"))
+def told_stubs(spark, d):
+    """The edges that BM25 finds for each question, as they are told."""
+    memory = _memory(spark, d)
+    stub = tx.truncate(F.concat("decision", F.lit(" → "), "relation", F.lit(" → "), "outcome"), 120)
+    texts = memory.entries.select(F.col("id").alias("_id"), stub.alias("stub"))
+    return memory.causal_bm25(_questions(spark, d), 5).join(texts, F.col("id") == F.col("_id").cast("string")).select("qid", F.col("_id").alias("id"), "stub", "rank")
