@@ -164,6 +164,14 @@ def test_mining_thresholds(spark):
     assert got == {(1, 2): round(9 / 11, 6), (2, 4): round(9 / 11, 6)}  # equal sets and 6/14 are left out
 
 
+def test_classes_of_copies_make_no_pairs(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    rows = [(i, words) for i in range(500)] + [(1000, words[:9] + ["lam"]), (1001, words[:9] + ["lam"]), (2000, ["other"]), (3000, [])]
+    members, links = patterns.similar_classes(spark.createDataFrame(rows, "id long, tokens array<string>"))
+    assert {r.id: r.set for r in members.collect()} == {**{i: 0 for i in range(500)}, 1000: 1000, 1001: 1000, 2000: 2000, 3000: 3000}
+    assert [(r.a, r.b, round(r.similarity, 6)) for r in links.collect()] == [(0, 1000, round(9 / 11, 6))]
+
+
 def test_classify_relations(spark):
     items = spark.createDataFrame([(1, "x", 1, "build failed"), (2, "x", 2, "all passed"), (3, "y", 3, "all passed"), (4, "y", 4, "hm")], "id long, task_tag string, event_time long, outcome string")
     pairs = spark.createDataFrame([(1, 2, 0.8), (1, 3, 0.8), (2, 3, 0.8), (3, 4, 0.8)], "a long, b long, similarity double")

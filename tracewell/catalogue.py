@@ -784,6 +784,15 @@ _SETS = f"""t AS MATERIALIZED (SELECT doc_id AS id, list_distinct({tokens_sql('t
 o AS (SELECT a.id AS a, b.id AS b, count(*)::DOUBLE / any_value(a.n + b.n - 0) AS part, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.token = b.token AND a.id < b.id GROUP BY 1, 2), p AS (SELECT a, b, c::DOUBLE / (na + nb - c) AS similarity FROM o)"""
 
 
+@query(f"""WITH {_SETS}, s AS (SELECT id, min(id) OVER (PARTITION BY list_sort(tokens)) AS set FROM t) SELECT 'member' AS kind, id AS a, set AS b, 1::DOUBLE AS similarity FROM s
+UNION ALL SELECT 'link', a, b, round(similarity, 6) FROM p WHERE similarity >= 0.65::DOUBLE AND similarity < 1 AND a IN (SELECT set FROM s) AND b IN (SELECT set FROM s)""")
+def similar_classes(spark, d):
+    """Every document's class of equal token sets, and the similar classes."""
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(tx.tokens(F.col("text"))).alias("tokens"))
+    members, links = patterns.similar_classes(docs)
+    return members.select(F.lit("member").alias("kind"), F.col("id").alias("a"), F.col("set").alias("b"), F.lit(1.0).alias("similarity")).unionByName(links.select(F.lit("link").alias("kind"), "a", "b", _r("similarity").alias("similarity")))
+
+
 @query(f"WITH {_SETS} SELECT a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.65::DOUBLE AND similarity < 1")
 def similar_pairs(spark, d):
     docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(tx.tokens(F.col("text"))).alias("tokens"))

@@ -29,13 +29,23 @@ def decisions(entries: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     return first.withColumn("is_fact", F.col("id.is_fact")).withColumn("tokens", F.array_distinct(tx.content_tokens(F.col("text")))).filter(F.size("tokens") >= MIN_TOKENS).drop("_n")
 
 
+def similar_classes(items: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of items (id, tokens): members (id, set) names every item's set by its smallest id, links (a, b, similarity), a < b, are those of different sets.
+
+    Copies are a row each, and no pairs of them are formed.
+    """
+    rows = materialise(items.select("id", F.array_sort("tokens").alias("tokens")), "similar-rows")
+    sets = materialise(rows.groupBy("tokens").agg(F.min("id").alias("id")), "similar-sets")
+    return rows.join(sets.withColumnRenamed("id", "set"), "tokens").select("id", "set"), _similar_sets(sets.select("id", "tokens"), threshold)
+
+
 def similar_pairs(items: DataFrame, threshold: float = SIMILARITY, equal: bool = False) -> DataFrame:
     """(a, b, similarity), a < b, of items (id, tokens) with a Jaccard similarity of at least threshold; equal: equal sets too.
 
     A set-similarity join: tokens are put in order of rarity, and two similar sets share one of the first
     n - ceil(threshold n) + 1 of each. Pairs meet on those tokens; their number and the last places bound
     the overlap from above, and only pairs that can still reach the threshold are compared. Items with equal
-    sets are compared once.
+    sets are compared once, but each of them has all their pairs here: similar_classes has not.
     """
     rows = materialise(items.select("id", F.array_sort("tokens").alias("tokens")), "similar-rows")
     sets = materialise(rows.groupBy("tokens").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "similar-sets")
