@@ -84,6 +84,11 @@ def test_periodic_runs_query(spark, small):
     assert sum(r[1] > 0 for r in want) > 3
 
 
+@pytest.mark.parametrize("name", ["op1_warc", "op7_jaccard_join", "op12_periodic_runs"])
+def test_queries_equal_sql(spark, small, same, name):
+    same(queries.queries()[name](spark, small), queries.oracle_sql()[name])
+
+
 def slow_components(rows, radius=2):
     """The smallest id reachable over fingerprints within the radius, by comparing all of them."""
     codes = sorted({c for _, c in rows})

@@ -145,6 +145,45 @@ WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_
 """
 
 
+#: Digests in base32 from their bits; equal payloads as windows.
+OP1_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+bits AS (SELECT page_id, h, first, array_to_string(list_transform(string_split(sha1(h), ''), lambda c: right('000' || bin(('0x' || c)::INT), 4)), '') AS b FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_reduce(list_prepend(0, list_transform(string_split(substr(b, (5 * i + 1)::INT, 5), ''), lambda x: x::INT)), lambda n, x: 2 * n + x) + 1, 1)), '') AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM bits
+"""
+
+#: Pairs meet on every shingle; components by reachability.
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, least(len(w), 1) + 1)), lambda i: w[i:i + 4])) AS shingle FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+ways AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, a AS seen FROM ways UNION SELECT r.doc_id, ways.b FROM reach r JOIN ways ON ways.a = r.seen)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(seen) AS c FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+#: The checksum by its table; equal words at every distance as islands.
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i))),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) AS h FROM documents, crc),
+g AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS changed, h // 10 % greatest(len(w), 1) AS a, h // 10 % 8 AS k FROM d),
+m AS MATERIALIZED (SELECT doc_id, n, CASE WHEN changed THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + k)) END + 1]) ELSE w END AS w FROM g),
+word AS MATERIALIZED (SELECT doc_id, n, i - 1 AS i, w[i] AS x FROM m, unnest(range(1, n + 1)) r(i)),
+same AS (SELECT a.doc_id, b.i - a.i AS p, a.i FROM word a JOIN word b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND b.i - a.i <= a.n // 3),
+stretch AS (SELECT doc_id, p, min(i) AS s, count(*) + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM same) GROUP BY doc_id, p, island HAVING count(*) + p >= greatest(24, 3 * p)),
+run AS MATERIALIZED (SELECT doc_id, s, length, min(p) AS p FROM stretch GROUP BY doc_id, s, length),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / p DESC, s, p) = 1),
+said AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || length || ',' || p || chr(10), '' ORDER BY s, p) AS runs FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, i FROM run, unnest(range(s + p, s + length)) r(i)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, length, p AS period, 1000 * length // p AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM (SELECT doc_id FROM documents) LEFT JOIN said USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 _QUERIES = (op1_warc, op2_byte_bpe, op3_secrets, op4_exact_dedup, op5_language_id, op6_url_rules, op7_jaccard_join, op8_edit_counts, op9_surrogates, op10_decontamination, op11_collocations, op12_periodic_runs, op13_simhash_dedup)
 
 
@@ -153,4 +192,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op11_collocations": OP11_SQL, "op6_url_rules": url_rules.judge_urls_sql()}
+    return {"op1_warc": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_url_rules": url_rules.judge_urls_sql(), "op7_jaccard_join": OP7_SQL, "op11_collocations": OP11_SQL, "op12_periodic_runs": OP12_SQL}
