@@ -135,3 +135,11 @@ def test_replay_without_walks(spark):
     graph, _, log = replay.consolidate(frame, spark.createDataFrame([("a", 0, 0)], "node string, replay_count long, last_activated long"), none)
     assert {r.id: (round(r.weight, 6), r.valid) for r in graph.collect()} == {1: (0.495, True), 2: (0.0396, False)}
     assert [r.op for r in log.orderBy("seq").collect()] == ["ltd", "ltd", "gc"]
+
+
+def test_links_of_entries_whose_ids_repeat(spark):
+    rows = [(1, "n1", "n2", "start cache server", "cache server failed", 100), (1, "n3", "n4", "restart cache server", "index done", 130), (1, "n5", "n6", "rebuild search index", "search index failed", 150), (1, "n7", "n8", "rebuild search index", "none", 190)]
+    df = spark.createDataFrame(rows, "id long, from_id string, to_id string, decision string, outcome string, event_time long")
+    assert sorted((r.na, r.nb, round(r.confidence, 4)) for r in linker.links(df).collect()) == [("n2", "n3", 0.52), ("n6", "n7", 0.52)]
+    made = linker.bridges(df, spark.createDataFrame([], "from_id string, to_id string"), 7)
+    assert sorted((r.from_id, r.to_id) for r in made.collect()) == [("n2", "n3"), ("n6", "n7")]
