@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as tx
-from tracewell.operators.blocks import against
-from tracewell.operators.vector import cosine
+from tracewell.operators.nearest import near
 from tracewell.schema import ensure_schema
 
 #: Similarity at which decisions count as the same, and how far a hint has to cover a text.
@@ -52,9 +51,9 @@ def falsified_pairs(entries: DataFrame) -> DataFrame:
 
 def semantic_contradictions(entries: DataFrame, vectors: DataFrame, batch: DataFrame) -> DataFrame:
     """(old, new): valid failures with a decision close to that of a success in the batch (id, decision, polarity, vector); vectors (id, vector)."""
-    failed = entries.filter(~tx.effective_polarity(F.col("outcome_polarity"), F.col("outcome"))).join(vectors, "id").select(F.col("id").alias("old"), F.col("decision").alias("_d"), F.col("vector").alias("_v"))
-    good = batch.filter("polarity").select(F.col("id").alias("new"), "decision", "vector")
-    return against(failed, good, "old", "new", (F.col("_d") != F.col("decision")) & (cosine(F.col("_v"), F.col("vector")) >= SAME_DECISION)).select("old", "new")
+    failed = entries.filter(~tx.effective_polarity(F.col("outcome_polarity"), F.col("outcome"))).join(vectors, "id").select(F.col("id").alias("old"), F.col("decision").alias("_d"), "vector")
+    good = batch.filter("polarity").select(F.col("id").alias("new"), F.col("decision").alias("_said"), F.col("vector").alias("query_vector"))
+    return near(failed, good, "old", "new", least=SAME_DECISION).filter(F.col("_d") != F.col("_said")).select("old", "new")
 
 
 def invalidate(edges: DataFrame, ids: DataFrame, now: int) -> DataFrame:
@@ -178,6 +177,6 @@ def add_access(edges: DataFrame, log: DataFrame) -> DataFrame:
 
 def recurrent(queries: DataFrame, prior: DataFrame, threshold: float) -> DataFrame:
     """(id, prior, similarity): sessions (id, vector) with an earlier one at least so similar: the nearest of prior (id, vector)."""
-    rows = against(prior.select(F.col("id").alias("prior"), F.col("vector").alias("_v")), queries, "prior", "id").withColumn("similarity", cosine(F.col("_v"), F.col("vector")))
+    rows = near(prior.select(F.col("id").alias("prior"), "vector"), queries.select("id", F.col("vector").alias("query_vector")), "prior", "id", 1)
     best = rows.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.round("similarity", 9).desc(), "prior"))).filter("_n = 1")
     return best.filter(F.col("similarity") >= threshold).select("id", "prior", "similarity")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.blocks import against
 from tracewell.operators.bm25 import top
+from tracewell.operators.nearest import near
 
 
 _ADD = lambda s, x: s + x
@@ -26,24 +26,18 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     return F.when((F.size(a) == F.size(b)) & (size > 0), _dot(a, b) / F.nullif(size, zero)).otherwise(zero)
 
 
-def _scored(items: DataFrame, queries: DataFrame, *columns: str) -> DataFrame:
-    """Every item with every query and their similarity; norms are taken once a row."""
-    items, queries = items.withColumn("_n", norm(F.col("vector"))), queries.withColumn("_qn", norm(F.col("query_vector")))
-    return against(items, queries, "id", "qid").select("qid", "id", *columns, cosine(F.col("vector"), F.col("query_vector"), F.col("_n"), F.col("_qn")).alias("similarity"))
-
-
 def semantic(items: DataFrame, queries: DataFrame, limit: int, min_similarity: float | None = None) -> DataFrame:
     """(qid, id, similarity, rank) of the items (id, vector) nearest to each query (qid, query_vector).
 
-    Each query row meets every item, which is what exact search means; a set too large
-    to be sent to the items is dealt in blocks. The threshold applies after the cut to limit rows.
+    Each query row meets every item, which is what exact search means, in blocks and tiles; each sends on its own best
+    alone. The threshold applies after the cut to limit rows.
     """
-    out = top(_scored(items, queries), limit, F.round("similarity", 9).desc(), "id")
+    found = near(items.select("id", "vector"), queries.select("qid", "query_vector"), "id", "qid", limit).select("qid", "id", "similarity")
+    out = top(found, limit, F.round("similarity", 9).desc(), "id")
     return out if min_similarity is None else out.filter(F.col("similarity") >= min_similarity)
 
 
 def entity_boosted(items: DataFrame, queries: DataFrame, limit: int, boost: float = 0.5) -> DataFrame:
     """As semantic, over items (id, vector, entities) and queries (qid, query_vector, query_entities): similarity grows by boost for each shared entity."""
-    shared = F.size(F.array_intersect("entities", "query_entities"))
-    scored = _scored(items, queries, "entities", "query_entities").select("qid", "id", (F.col("similarity") * (1 + boost * shared)).alias("similarity"))
-    return top(scored, limit, F.round("similarity", 9).desc(), "id")
+    found = near(items.select("id", "vector", "entities"), queries.select("qid", "query_vector", "query_entities"), "id", "qid", limit, boost=("entities", "query_entities", boost))
+    return top(found.select("qid", "id", "similarity"), limit, F.round("similarity", 9).desc(), "id")
