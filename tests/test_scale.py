@@ -2,7 +2,7 @@
 
 import pytest
 
-from tracewell.operators import dml, nearest, vector
+from tracewell.operators import dml, drain, nearest, vector
 
 
 @pytest.mark.parametrize("tile", [3, 32768])
@@ -16,3 +16,18 @@ def test_nearest_in_tiles_and_blocks(spark, monkeypatch, tile):
     assert sorted((r.qid, r["rank"], r.id, round(r.similarity, 6)) for r in found.collect()) == [(0, 1, 0, 1.0), (0, 2, 1, 1.0), (0, 3, 3, 0.707107), (1, 1, 6, 1.0), (1, 2, 0, 0.0), (1, 3, 1, 0.0), (2, 1, 0, 0.0), (2, 2, 1, 0.0), (2, 3, 2, 0.0)]
     plan = dml.recurrent(items, items, 0.3)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_drain_keeps_no_pairs(spark, monkeypatch):
+    held, write = {}, drain.materialise
+
+    def seen(df, name):
+        out = write(df, name)
+        held[name] = out.count()
+        return out
+
+    monkeypatch.setattr(drain, "materialise", seen)
+    turns = spark.createDataFrame([(i, 0, "user", "t", i, [1.0, float(i % 2)], 1 if i == 0 else None) for i in range(40)], "session_id long, turn_index int, speaker string, text string, event_time long, embedding array<double>, distilled_at long")
+    outcome = drain.drain(turns, lambda said: said, 9, 0.5)[2]
+    assert [(r.prior, r.distilled) for r in outcome.orderBy("session_id").collect()] == [(0 if i % 2 == 0 else 0 if i == 1 else 1, True) for i in range(1, 40)]
+    assert max(held.values()) <= 40

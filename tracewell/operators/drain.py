@@ -3,40 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.blocks import against
-from tracewell.operators.vector import cosine
+from tracewell.operators.blocks import numbered
+from tracewell.operators.nearest import near
 from tracewell.session import materialise, release
 
 
 def _recurring(sessions: DataFrame, least: float) -> DataFrame:
     """(session_id, prior, similarity) of waiting sessions that are to be distilled, prior null for those without a vector.
 
-    One at a time in order, a session goes if it is alike to one distilled before, in this batch too. So what is
-    alike is found once, and reached from the distilled ones in rounds along pairs that lead onward in the order.
+    One at a time in order, a session goes if it is alike to one distilled before, in this batch too. In rounds, those
+    still open are held against what the round before has reached, of which they need one alike before them; and at the end what is reached
+    against all that is, for its nearest. Pairs that are alike are never kept, so a large cluster costs its comparisons alone.
     """
-    waiting, done = sessions.filter("not distilled and vector is not null"), sessions.filter("distilled and vector is not null")
-    before = sessions.filter("vector is not null").select(F.col("session_id").alias("prior"), F.col("vector").alias("_v"), F.struct(~F.col("distilled"), "begun", "session_id").alias("_at"))
-    asked = waiting.select("session_id", "vector", F.struct(F.lit(True), F.col("begun"), F.col("session_id")).alias("at"))
-    alike = F.col("_similar") >= least
-    pairs = against(before, asked, "prior", "session_id").filter("_at < at").withColumn("_similar", cosine(F.col("_v"), F.col("vector"))).filter(alike)
-    pairs = materialise(pairs.select("session_id", "prior", F.col("_similar").alias("similarity")), "drain-pairs")
-    reached = materialise(done.select(F.col("session_id").alias("prior")), "drain-reached")
-    fresh = reached
+    told = sessions.filter("vector is not null")
+    waiting = numbered(told.filter("not distilled"), "begun", "session_id").select("session_id", F.col("vector"), F.col("place").alias("at"))
+    waiting = materialise(waiting, "drain-waiting")
+    fresh = materialise(told.filter("distilled").select("session_id", "vector", F.lit(0).cast("long").alias("at")), "drain-fresh")
+    reached, open_ = [fresh], waiting
+    prior = lambda rows: rows.select(F.col("session_id").alias("prior"), "vector", F.col("at").alias("_at"))
+    asked = lambda rows: rows.select("session_id", F.col("vector").alias("query_vector"), "at")
     while True:
-        new = pairs.join(fresh, "prior", "left_semi").select(F.col("session_id").alias("prior")).distinct().join(reached, "prior", "left_anti")
-        fresh = materialise(new, "drain-fresh")
-        if fresh.isEmpty():
+        met = materialise(near(prior(fresh), asked(open_), "prior", "session_id", 1, least, ("_at", "at")).select("session_id").distinct(), "drain-met")
+        if met.isEmpty():
             break
-        reached = materialise(reached.unionByName(fresh), "drain-reached")
+        fresh = materialise(open_.join(met, "session_id", "left_semi").select(*waiting.columns), "drain-fresh")
+        open_ = materialise(open_.join(met, "session_id", "left_anti").select(*waiting.columns), "drain-open")
+        reached.append(fresh)
+    every = reduce(DataFrame.unionByName, reached)
+    pairs = near(prior(every), asked(reduce(DataFrame.unionByName, reached[1:], waiting.limit(0))), "prior", "session_id", 1, least, ("_at", "at"))
     best = Window.partitionBy("session_id").orderBy(F.round("similarity", 9).desc(), "prior")
-    found = pairs.join(reached, "prior", "left_semi").withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
+    found = pairs.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("session_id", "prior", "similarity")
     eager = sessions.filter("not distilled and vector is null").select("session_id", F.lit(None).cast("long").alias("prior"), F.lit(None).cast("double").alias("similarity"))
     out = materialise(found.unionByName(eager), "drain-found")
-    release(pairs, reached, fresh)
+    release(waiting, *reached)
     return out
 
 
