@@ -1,8 +1,49 @@
 """Steps whose work has to grow with the input: small cases with known results, and what is written on the way."""
 
+import random
+
 import pytest
 
-from tracewell.operators import dml, drain, nearest, vector
+from tracewell.operators import dml, drain, graph, nearest, vector
+
+
+@pytest.mark.parametrize("part", [2, 1024])
+def test_other_paths_lists_nodes_once(spark, monkeypatch, part):
+    monkeypatch.setattr(graph, "LIST", part)
+    held, write = {}, graph.materialise
+
+    def seen(df, name):
+        out = write(df, name)
+        held[name] = max(held.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(graph, "materialise", seen)
+    r = random.Random(5)
+    edges = [(r.randrange(14), r.randrange(14)) for _ in range(30)]
+    live = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(edges)], "id long, from_id long, to_id long")
+    got = {hops: {tuple(x) for x in graph._other_paths(live, hops).collect()} for hops in (2, 3, 4, 5)}
+
+    def led(a, b, hops):
+        if edges.count((a, b)) > 1:
+            return True
+        now = {(a,)}
+        for _ in range(hops):
+            now = {(*p, y) for p in now for x, y in edges if p[-1] == x and x != y and (y == b or y not in p) and not (len(p) == 1 and y == b)}
+            if any(p[-1] == b for p in now):
+                return True
+            now = {p for p in now if p[-1] != b and p[-1] != a}
+        return False
+
+    for hops in got:
+        assert got[hops] == {e for e in edges if led(*e, hops)}
+    assert held["refute-walks"] <= 14 * 14 and ("refute-ahead" not in held or held["refute-ahead"] <= 30 * 14)
+
+
+def test_four_hops_keep_no_walks_of_edges(spark, monkeypatch):
+    names, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: names.append(name) or write(df, name))
+    graph._other_paths(spark.createDataFrame([(0, 1, 2), (1, 2, 3), (2, 1, 3)], "id long, from_id long, to_id long"), 4).collect()
+    assert "refute-ahead" not in names and "refute-behind" not in names
 
 
 @pytest.mark.parametrize("tile", [3, 32768])
