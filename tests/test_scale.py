@@ -86,3 +86,16 @@ def test_unlike_sets_are_refused_where_they_meet(spark):
     want = {(a, b) for x, a in first.items() for y, b in first.items() if a < b and len(x & y) >= 0.65 * len(x | y)}
     assert want and {(x.a, x.b) for x in found.collect()} == want
     assert "bit_count" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hints_refuse_unlike_texts_where_they_meet(spark):
+    r = random.Random(3)
+    words = ["".join(chr(97 + int(c)) for c in f"{i:04d}") + "x" for i in range(50)]
+    said = [{words[r.randrange(50)] for _ in range(r.randrange(3, 14))} for _ in range(40)]
+    row = lambda i: (i, " ".join(sorted(said[i])), "t", i)
+    entries = spark.createDataFrame([(*row(i), None) for i in range(40)], "id long, decision string, task_tag string, event_time long, valid_to long")
+    hints = spark.createDataFrame([row(i) for i in range(40)], "hint long, text string, task_tag string, event_time long")
+    found = dml.supersede_by_hint(entries, hints)
+    want = {(i, h) for i in range(40) for h in range(i, 40) if len(said[i] & said[h]) >= max(2, 0.5 * min(len(said[i]), len(said[h])))}
+    assert {(x.id, x.hint) for x in found.collect()} == want
+    assert "bit_count" in found._jdf.queryExecution().executedPlan().toString()

@@ -88,3 +88,19 @@ def redact(text: Column) -> Column:
     out = F.regexp_replace(out, r"(?i)\b(bearer)\s+\S+", "$1 " + mark)
     out = F.regexp_replace(out, r"(?i)\b(password|passwd)\s*[=:]\s*\S+", "$1=" + mark)
     return F.when(out == text, text).otherwise(F.trim(F.regexp_replace(out, r"\s+", " ")))
+
+
+#: Numbers of 64 bits that a set's signature has.
+SIGNS = 8
+
+
+def signature(words: Column, name: str) -> list[Column]:
+    """The parity of a set's words at each of 64 SIGNS hashed bits, as numbers name0, name1 and on."""
+    at = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(64 * SIGNS)))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))
+    return [F.aggregate(F.filter(at, lambda h: F.floor(h / 64) == k), F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(bit(h))).alias(f"{name}{k}") for k in range(SIGNS)]
+
+
+def unlike(a: str, b: str) -> Column:
+    """Bits in which signatures a and b differ: two sets differ in as many words at least."""
+    return sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(SIGNS)), F.lit(0))

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as tx
+from tracewell.functions.hashing import signature, unlike
 from tracewell.operators.nearest import near
 from tracewell.schema import ensure_schema
+from tracewell.session import materialise
 
 #: Similarity at which decisions count as the same, and how far a hint has to cover a text.
 SAME_DECISION, MIN_SHARED, MIN_CONTAINMENT = 0.85, 2, 0.5
@@ -86,15 +88,20 @@ def supersede_by_hint(entries: DataFrame, hints: DataFrame) -> DataFrame:
     """(id, hint): valid edges that a hint (hint, text, task_tag, event_time) retires.
 
     Not later than the hint, of its task, no retraction themselves, without a date in common with it,
-    and sharing two words or more, digits left out, that make half of the smaller text.
+    and sharing two words or more, digits left out, that make half of the smaller text. Pairs whose signatures differ too much
+    to share so many are refused where they meet, before they are counted.
     """
     words = lambda c: F.array_distinct(F.filter(tx.tokens(c), lambda t: ~F.regexp_like(t, F.lit("^[0-9]+$"))))
     old = entries.filter("valid_to is null").select("id", "task_tag", "event_time", F.col("decision").alias("_text"), words(F.col("decision")).alias("_w"), tx.date_tokens(F.col("decision")).alias("_dates"))
     old = old.filter(~tx.is_retraction(F.col("_text")))
     new = hints.select("hint", F.col("task_tag").alias("_tag"), F.col("event_time").alias("_at"), words(F.col("text")).alias("_hw"), tx.date_tokens(F.col("text")).alias("_hd"))
-    held = old.select("id", "task_tag", "event_time", F.explode("_w").alias("_t"))
-    asked = new.select("hint", "_tag", "_at", F.explode("_hw").alias("_t"))
-    near = held.join(asked, (held["_t"] == asked["_t"]) & F.col("task_tag").eqNullSafe(F.col("_tag")) & (F.col("event_time") <= F.col("_at"))).groupBy("id", "hint").agg(F.count(F.lit(1)).alias("_shared")).filter(F.col("_shared") >= MIN_SHARED)
+    old, new = materialise(old.drop("_text"), "hint-old"), materialise(new, "hint-new")  # words are taken once, and signatures once a text
+    signed_old = materialise(old.select("id", "task_tag", "event_time", "_w", F.size("_w").alias("_n"), *signature(F.col("_w"), "s")), "hint-old-signed")
+    signed_new = materialise(new.select("hint", "_tag", "_at", "_hw", F.size("_hw").alias("_hn"), *signature(F.col("_hw"), "h")), "hint-new-signed")
+    held, asked = signed_old.withColumn("_t", F.explode("_w")).drop("_w"), signed_new.withColumn("_t", F.explode("_hw")).drop("_hw")
+    needed = F.greatest(F.lit(MIN_SHARED), MIN_CONTAINMENT * F.least("_n", "_hn"))
+    met = held.join(asked, (held["_t"] == asked["_t"]) & F.col("task_tag").eqNullSafe(F.col("_tag")) & (F.col("event_time") <= F.col("_at")))
+    near = met.filter(unlike("s", "h") <= F.col("_n") + F.col("_hn") - 2 * needed).groupBy("id", "hint").agg(F.count(F.lit(1)).alias("_shared")).filter(F.col("_shared") >= MIN_SHARED)
     rows = near.join(old, "id").join(new, "hint")
     return rows.filter(F.col("task_tag").eqNullSafe(F.col("_tag")) & (F.col("event_time") <= F.col("_at")) & ~F.arrays_overlap("_dates", "_hd") & (F.col("_shared") >= MIN_CONTAINMENT * F.least(F.size("_w"), F.size("_hw")))).select("id", "hint")
 
