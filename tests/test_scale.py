@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tracewell.operators import dml, drain, graph, nearest, patterns, vector
+from tracewell.operators import blocks, dml, drain, graph, nearest, patterns, vector
 
 
 @pytest.mark.parametrize("part", [2, 1024])
@@ -99,3 +100,38 @@ def test_hints_refuse_unlike_texts_where_they_meet(spark):
     want = {(i, h) for i in range(40) for h in range(i, 40) if len(said[i] & said[h]) >= max(2, 0.5 * min(len(said[i]), len(said[h])))}
     assert {(x.id, x.hint) for x in found.collect()} == want
     assert "bit_count" in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("needles", [3, 500_000])
+def test_texts_that_contain_a_question_are_looked_up(spark, monkeypatch, needles):
+    monkeypatch.setattr(blocks, "NEEDLES", needles)
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abAé.😀 ") for _ in range(n))
+    texts = [(i, word(r.randrange(60)), r.choice(["s", "t", None])) for i in range(80)] + [(90, None, "s"), (91, "", "s"), (92, "x" * 70 + "Y", "s")]
+    asked = [(i, word(r.randrange(1, 9)), r.choice(["s", "t", None])) for i in range(40)] + [(90, None, "s"), (91, "", "s"), (92, "X" * 70, "s"), (93, "x" * 65 + "z", "s")]
+    items, queries = spark.createDataFrame(texts, "id long, text string, tag string"), spark.createDataFrame(asked, "qid long, query string, tag string")
+    holds = lambda t, q: t is not None and q is not None and q.lower() in t.lower()
+    found = blocks.containing(items.drop("tag"), "text", queries.drop("tag"), "query")
+    assert sorted((x.id, x.qid) for x in found.collect()) == sorted((i, q) for i, t, _ in texts for q, s, _ in asked if holds(t, s))
+    tagged = blocks.containing(items, "text", queries, "query", ("tag",))
+    assert sorted((x.id, x.qid, x.tag) for x in tagged.collect()) == sorted((i, q, a) for i, t, a in texts for q, s, b in asked if a == b is not None and holds(t, s))
+    assert blocks.containing(items, "text", queries.limit(0).drop("tag"), "query").count() == 0
+    for df in (found, tagged):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_searches_for_contained_texts_form_no_pairs_of_all_rows(spark):
+    from tracewell.plans.memory import Memory
+
+    chunks = spark.createDataFrame([(f"c{i}", f"text {i} Here", i, 0.5) for i in range(9)], "id string, text string, created_at long, q_value double")
+    edges = spark.createDataFrame([(i, f"c{i}", f"c{i + 1}", "caused", 0.5 + i / 100, None) for i in range(8)], "id long, from_id string, to_id string, relation string, confidence double, valid_to long")
+    meta = edges.withColumn("pattern", F.lit("p"))
+    asked = spark.createDataFrame([(0, "TEXT 3"), (1, "here"), (2, ""), (3, None)], "qid long, query string")
+    memory = Memory(chunks, edges, meta, None)
+    cause, pattern = memory.trace_cause(asked), memory.search_patterns(asked)
+    assert sorted((x.qid, x.id, x["rank"]) for x in cause.collect()) == [(0, 2, 1)] + [(1, i, 8 - i) for i in range(8)]
+    assert sorted((x.qid, x.id) for x in pattern.collect()) == [(0, 2), (0, 3)] + [(q, i) for q in (1, 2) for i in range(8)]
+    for df in (cause, pattern):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 4096
 #: Items that a tile holds, about.
 TILE_ROWS = 100_000
+#: Lengths of the beginnings by which queries are looked up in texts (the longest that a query has), and queries that are sent at once.
+BEGINNINGS, NEEDLES = (0, 1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 48, 64), 500_000
 
 
 def against(items: DataFrame, queries: DataFrame, item_key: str, query_key: str, where: Column | None = None) -> DataFrame:
@@ -31,6 +35,27 @@ def against(items: DataFrame, queries: DataFrame, item_key: str, query_key: str,
     return pairs if where is None else pairs.filter(where)
 
 
+def containing(items: DataFrame, text: str, queries: DataFrame, query: str, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of items and queries whose text has the query in it, whatever the case, with the columns of both; these columns have to be equal too.
+
+    No text meets a query that it has no beginning of: a text's distinct parts of the lengths that the queries' beginnings have are looked
+    up among those, and the pairs found are compared whole. Over NEEDLES queries (counted) go in several sets, each sent by itself. A null is in nothing.
+    """
+    from tracewell.session import materialise
+
+    low = F.lower(F.col(query))
+    size = reduce(lambda out, n: F.when(F.char_length("_q") >= n, F.lit(n)).otherwise(out), BEGINNINGS[1:], F.lit(BEGINNINGS[0]))
+    asked = queries.withColumn("_q", low).filter("_q is not null").withColumn("_n", size).withColumn("_key", F.expr("substring(_q, 1, _n)"))
+    asked = materialise(asked, "containing-queries")
+    held = asked.groupBy("_n").count().collect()  # a row for each of BEGINNINGS at most
+    sizes, sets = F.array(*[F.lit(n) for n in sorted(r["_n"] for r in held)]), max(1, -(-sum(r["count"] for r in held) // NEEDLES))
+    parts = F.array_distinct(F.regexp_extract_all("_low", F.concat(F.lit("(?s)(?=(.{"), "_n", F.lit("}))")), F.lit(1)))
+    rows = items.withColumn("_low", F.lower(F.col(text))).withColumn("_n", F.explode(sizes if held else F.array().cast("array<int>"))).withColumn("_key", F.explode(parts))
+    of = lambda k: asked.filter(F.pmod(F.xxhash64("_q", *on), F.lit(sets)) == k) if sets > 1 else asked
+    met = [rows.join(F.broadcast(of(k)), ["_n", "_key", *on]).filter(F.contains("_low", "_q")) for k in range(sets)]
+    return reduce(DataFrame.unionByName, met).drop("_low", "_q", "_n", "_key")
+
+
 def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
     """rows with place, from 1, in this total order over all of them: sorted by ranges, with the counts of the ranges before added."""
     from tracewell.session import materialise

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text as tx
 from tracewell.operators import bm25, consolidate, dml, fusion, graph, hops, novelty, patterns, predict, trace, vector
-from tracewell.operators.blocks import against
+from tracewell.operators.blocks import containing
 from tracewell.plans import router
 from tracewell.schema import entries
 from tracewell.session import materialise
@@ -202,13 +202,13 @@ class Memory:
         rows = self.meta.filter("valid_to is null").join(text.select(F.col("id").alias("from_id"), F.col("text").alias("_f")), "from_id", "left").join(text.select(F.col("id").alias("to_id"), F.col("text").alias("_t")), "to_id", "left")
         flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in rows.columns else F.lit(False)
         note = F.when(flag("simpson"), "the direction turns between tasks").when(flag("confounded"), "seen in one task only")
-        said = F.lower(F.concat_ws("\n", "pattern", "_f", "_t"))
-        return against(rows.withColumns({"_said": said, "note": note}), queries, "id", "qid", F.contains(F.col("_said"), F.lower(F.col("query")))).select("qid", "id", "pattern", "confidence", "note")
+        said = rows.select("id", "pattern", "confidence", note.alias("note"), F.concat_ws("\n", "pattern", "_f", "_t").alias("_said"))
+        return containing(said, "_said", queries.select("qid", "query"), "query").select("qid", "id", "pattern", "confidence", "note")
 
     # ---- Traces and predictions
 
     def _containing(self, queries: DataFrame, column: str) -> DataFrame:
-        return against(self.entries, queries.filter("query <> ''"), "id", "qid", F.contains(F.lower(F.col(column)), F.lower(F.col("query"))))
+        return containing(self.entries.select("id", "confidence", column), column, queries.select("qid", "query").filter("query <> ''"), "query")
 
     def _anchors(self, queries: DataFrame, seeds: int, column: str) -> DataFrame:
         """Edges whose text contains the question, or else those that BM25 finds."""
