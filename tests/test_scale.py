@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import blocks, dml, drain, graph, nearest, patterns, vector
+from tracewell.plans import supplement
 
 
 @pytest.mark.parametrize("part", [2, 1024])
@@ -135,3 +136,18 @@ def test_searches_for_contained_texts_form_no_pairs_of_all_rows(spark):
     for df in (cause, pattern):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_names_spread_once_and_only_where_that_can_change_the_nearest(spark, monkeypatch):
+    begun, spread = [], graph.spread
+    monkeypatch.setattr(graph, "spread", lambda g, seeds, **k: begun.append({(x.name, x.node) for x in seeds.collect()}) or spread(g, seeds, **k))
+    monkeypatch.setattr(supplement, "NEAREST", 3)
+    text = lambda i: f"{i:02d} " + ("Often" if i < 8 else "Seldom" if i < 10 else "other") + " said"
+    q = [0.9 if i in (2, 4, 5, 7, 8) else 0.1 for i in range(14)]
+    nodes = spark.createDataFrame([(f"n{i:02d}", text(i), q[i], "t") for i in range(14)], "id string, text string, q_value double, task_tag string")
+    links = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}", "caused", 0.9, True) for i in range(13)], "src string, dst string, relation string, weight double, valid boolean")
+    asked = spark.createDataFrame([(k, "t", ["often", "Seldom"]) for k in range(3)], "qid long, task_tag string, entities array<string>")
+    shown = spark.createDataFrame([(k, "none") for k in range(3)], "qid long, text string")
+    got = sorted((x.qid, x.place, x.id) for x in supplement.seeded_boost(asked, nodes, links, shown).collect())
+    assert got == sorted((k, i + 1, n) for k in range(3) for i, n in enumerate(["n02", "n04", "n05", "n08", "n09", "n10"]))
+    assert begun == [{("seldom", "n08"), ("seldom", "n09")}]

@@ -73,6 +73,12 @@ def spread(graph: DataFrame, seeds: DataFrame, reverse: bool = False, inhibition
     return now.filter(F.abs("activation") >= THRESHOLD).drop("fresh")
 
 
+def most_passed(graph: DataFrame) -> DataFrame:
+    """One row (most): the largest sum of the sizes of what the valid edges into a node can pass on in a hop."""
+    passed = graph.filter("valid").groupBy("dst").agg(F.sum(F.abs(F.col("weight") * coefficient(F.col("relation")) * DECAY)).alias("_p"))
+    return passed.agg(F.max("_p").alias("most"))
+
+
 def entity_links(facts: DataFrame, chunks: DataFrame, min_tokens: int = 3, df_limit: int = 20, most: int = 8) -> DataFrame:
     """(fact_id, chunk_id, shared, weight): chunks that share tokens, none of them common, with a fact; the best of each fact."""
     fact = facts.filter("valid_to is null").select(F.col("id").alias("fact_id"), F.explode(F.array_distinct(tx.tokens(F.concat(F.translate("key", "_", " "), F.lit(" "), "value")))).alias("token"))
