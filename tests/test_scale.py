@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import blocks, dml, drain, graph, nearest, patterns, vector
+from tracewell.operators import blocks, bm25, dml, drain, graph, hops, nearest, patterns, vector
 from tracewell.plans import supplement
 
 
@@ -151,3 +151,18 @@ def test_names_spread_once_and_only_where_that_can_change_the_nearest(spark, mon
     got = sorted((x.qid, x.place, x.id) for x in supplement.seeded_boost(asked, nodes, links, shown).collect())
     assert got == sorted((k, i + 1, n) for k in range(3) for i, n in enumerate(["n02", "n04", "n05", "n08", "n09", "n10"]))
     assert begun == [{("seldom", "n08"), ("seldom", "n09")}]
+
+
+def test_edges_and_queries_that_name_the_same_meet_once(spark, monkeypatch):
+    met, write = {}, bm25.pruned
+    monkeypatch.setattr(hops, "pruned", lambda *a: met.setdefault("rows", write(*a)))
+    named = ["Then Alice met Bob", "Then Bob left", "Then Carol sat with Dave and Alice", "nobody"]
+    edges = spark.createDataFrame([(i, named[i % 4], "") for i in range(200)], "id long, decision string, outcome string")
+    asked = spark.createDataFrame([(i, ["Then Bob and Alice", "Then Zoe met Bob", "Then Dave", "who"][i % 4]) for i in range(120)], "qid long, query string")
+    holds, wants = [{"alice", "bob"}, {"bob"}, {"carol", "dave", "alice"}, set()], [{"alice", "bob"}, {"bob"}, {"dave"}, set()]
+    want = []
+    for qid in range(120):
+        hits = sorted((-len(wants[qid % 4] & holds[i % 4]), i) for i in range(200) if wants[qid % 4] & holds[i % 4])
+        want += [(qid, i, -n, k + 1) for k, (n, i) in enumerate(hits[:7])]
+    assert sorted((x.qid, x.id, x.overlap, x["rank"]) for x in hops.entity_search(edges, asked, 7).collect()) == sorted(want)
+    assert met["rows"].count() <= 9
