@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import blocks, bm25, dml, drain, graph, hops, nearest, patterns, vector
+from tracewell.operators import blocks, bm25, consolidate, dml, drain, graph, hops, nearest, patterns, vector
 from tracewell.plans import supplement
 
 
@@ -166,3 +166,24 @@ def test_edges_and_queries_that_name_the_same_meet_once(spark, monkeypatch):
         want += [(qid, i, -n, k + 1) for k, (n, i) in enumerate(hits[:7])]
     assert sorted((x.qid, x.id, x.overlap, x["rank"]) for x in hops.entity_search(edges, asked, 7).collect()) == sorted(want)
     assert met["rows"].count() <= 9
+
+
+def test_only_opposed_sets_meet(spark, monkeypatch):
+    held, write = {}, patterns.materialise
+
+    def seen(df, name):
+        out = write(df, name)
+        held[name] = out.count()
+        return out
+
+    monkeypatch.setattr(patterns, "materialise", seen)
+    r = random.Random(13)
+    words = [f"{a}{b}x" for a in "bcdfg" for b in "klmnp"]
+    said = [" ".join(r.sample(words[:12], r.randrange(3, 9))) for _ in range(70)]
+    rows = [(i, said[i % 60], "it did fail" if i % 7 == 0 or i >= 60 else "passed" if i % 3 else "so") for i in range(70)]
+    table = lambda of: spark.createDataFrame(of, "id long, decision string, outcome string")
+    alike = lambda x, y: len(x & y) >= 0.65 * len(x | y)
+    bad = lambda t: "fail" in t
+    want = {i for i, d, o in rows for _, e, p in rows if bad(o) != bad(p) and alike(set(d.split()), set(e.split()))}
+    assert want and {x.id for x in consolidate.contradicted(table(rows)).collect()} == want and held["similar-prefixes"] > 0
+    assert consolidate.contradicted(table([(i, d, "passed") for i, d, _ in rows])).count() == 0 and held["similar-prefixes"] == 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text as tx
 from tracewell.operators import dml, graph, greedy, patterns
-from tracewell.operators.patterns import similar_pairs
+from tracewell.operators.patterns import opposed_pairs
 from tracewell.schema import ensure_schema
 from tracewell.schema import entries as entries_of
 from tracewell.session import materialise
@@ -63,15 +63,16 @@ def diversity(chunks: DataFrame, last: int = 64) -> DataFrame:
 def contradicted(entries: DataFrame, threshold: float = 0.65) -> DataFrame:
     """(id) of edges with a similar decision elsewhere whose outcome contradicts theirs.
 
-    Decisions of equal token sets are grouped; similar sets are found by the set-similarity join.
+    Decisions of equal token sets are grouped; similar sets are found by the set-similarity join, in which sets with a failure meet those with another outcome alone.
     """
     items = entries.select("id", F.array_sort(F.array_distinct(tx.tokens(F.col("decision")))).alias("tokens"), tx.outcome_polarity(F.col("outcome")).alias("p"))
     items = items.filter(F.size("tokens") > 0).withColumn("failed", F.coalesce(~F.col("p"), F.lit(False)))
     sets = items.groupBy("tokens").agg(F.min("id").alias("set"), F.bool_or("failed").alias("bad"), F.bool_or(~F.col("failed")).alias("good"))
     sets = materialise(sets, "decision-sets")
-    pairs = similar_pairs(sets.select(F.col("set").alias("id"), "tokens"), threshold).select("a", "b")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(sets.select(F.col("set").alias("a"), F.col("set").alias("b")))
-    other = both.join(sets.select(F.col("set").alias("b"), "bad", "good"), "b").groupBy("a").agg(F.bool_or("bad").alias("bad"), F.bool_or("good").alias("good"))
+    found = materialise(opposed_pairs(sets.select(F.col("set").alias("id"), "tokens", F.col("bad").alias("left"), F.col("good").alias("right")), threshold).select("a", "b"), "opposed-sets")
+    own = sets.filter("bad and good").select("set", F.lit(True).alias("bad"), F.lit(True).alias("good"))
+    some = found.select(F.col("a").alias("set"), F.lit(False).alias("bad"), F.lit(True).alias("good")).unionByName(found.select(F.col("b").alias("set"), F.lit(True).alias("bad"), F.lit(False).alias("good"))).unionByName(own)
+    other = some.groupBy(F.col("set").alias("a")).agg(F.bool_or("bad").alias("bad"), F.bool_or("good").alias("good"))
     at = items.join(sets.select("tokens", F.col("set").alias("a")), "tokens").join(other, "a")
     return at.filter((F.col("failed") & F.col("good")) | (~F.col("failed") & F.col("bad"))).select("id")
 
