@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import blocks, bm25, consolidate, dml, drain, graph, hops, nearest, patterns, vector
+from tracewell.operators import backfill, blocks, bm25, consolidate, dml, drain, graph, hops, nearest, patterns, vector
 from tracewell.plans import supplement
 
 
@@ -187,3 +187,12 @@ def test_only_opposed_sets_meet(spark, monkeypatch):
     want = {i for i, d, o in rows for _, e, p in rows if bad(o) != bad(p) and alike(set(d.split()), set(e.split()))}
     assert want and {x.id for x in consolidate.contradicted(table(rows)).collect()} == want and held["similar-prefixes"] > 0
     assert consolidate.contradicted(table([(i, d, "passed") for i, d, _ in rows])).count() == 0 and held["similar-prefixes"] == 0
+
+
+def test_a_batch_is_cut_without_one_task(spark):
+    items = spark.range(50).select(F.expr("id * 37 % 50").alias("id"), F.col("id").cast("string").alias("text")).repartition(4)
+    for n in (1, 17, 50, 60):
+        some = backfill._first(items, n)
+        assert sorted(x.id for x in some.collect()) == list(range(min(n, 50)))
+        plan = some._jdf.queryExecution().executedPlan().toString()
+        assert "Limit" not in plan and "TakeOrdered" not in plan and "SinglePartition" not in plan

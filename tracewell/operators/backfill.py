@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.blocks import numbered
 from tracewell.session import materialise, release
 from tracewell.sources.commits import Store
 
@@ -29,7 +30,7 @@ def backfill(store: Store, items: DataFrame, embed: Callable[[DataFrame], DataFr
     while True:
         have = store.table("vectors").filter(F.col("model") == model).select("id")
         tried = store.table("attempts").filter(F.col("model") == model).groupBy("id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= TRIES).select("id")
-        next_ = materialise(rows.join(have, "id", "left_anti").join(tried, "id", "left_anti").orderBy("id").limit(batch), "backfill-batch")
+        next_ = materialise(_first(rows.join(have, "id", "left_anti").join(tried, "id", "left_anti"), batch), "backfill-batch")
         if next_.isEmpty():
             release(next_, rows)
             return store
@@ -38,6 +39,16 @@ def backfill(store: Store, items: DataFrame, embed: Callable[[DataFrame], DataFr
         release(next_)
 
 
+def _first(rows: DataFrame, n: int) -> DataFrame:
+    """The n rows of the smallest ids, none of which comes twice. Only the id of the last is sought, in sorted ranges; a limit would bring all rows to one task."""
+    ids = materialise(rows.select("id"), "backfill-ids")
+    if ids.count() > n:
+        last = numbered(ids, "id").filter(F.col("place") == n).select("id").first()[0]
+        rows = rows.filter(F.col("id") <= F.lit(last))
+    release(ids)
+    return rows
+
+
 def edge_vectors(vectors: DataFrame, edges: DataFrame) -> DataFrame:
     """(edge_id, model, vector): vectors of chunks for the first edge (smallest id) that begins with each, or else ends with it; those of no edge are left out. Of chunks with one edge the smallest id counts."""
     begins = edges.groupBy(F.col("from_id").alias("id")).agg(F.min("id").alias("_begins"))
