@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import backfill, blocks, bm25, consolidate, dml, drain, graph, hops, nearest, patterns, vector
+from tracewell.operators import backfill, blocks, bm25, consolidate, dml, drain, graph, hops, inverted, nearest, patterns, vector
 from tracewell.plans import supplement
 
 
@@ -196,3 +196,24 @@ def test_a_batch_is_cut_without_one_task(spark):
         assert sorted(x.id for x in some.collect()) == list(range(min(n, 50)))
         plan = some._jdf.queryExecution().executedPlan().toString()
         assert "Limit" not in plan and "TakeOrdered" not in plan and "SinglePartition" not in plan
+
+
+def test_postings_are_dealt_once(spark, tmp_path, monkeypatch):
+    names, write = [], inverted.materialise
+    monkeypatch.setattr(inverted, "materialise", lambda df, name: names.append(name) or write(df, name))
+    postings = spark.createDataFrame([(f"t{i % 5}", f"d{i}", 1, 2) for i in range(20)], "term string, id string, tf int, dl int")
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    plan = inverted._laid(postings, df, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(bucket#") == 1 and plan.count("Exchange hashpartitioning") == 1
+    docs = spark.createDataFrame([(i, f"t{i % 5} t{i} t{i}") for i in range(20)] + [(90, None), (91, "")], "id long, text string")
+    index = inverted.InvertedIndex.open(spark, f"file://{tmp_path}/i").append(docs, buckets=4).compact()
+    assert index.documents == 22 and index.store.table("postings").agg(F.sum("n")).first()[0] == 35
+    assert not {"index-postings", "index-compacted"} & set(names)
+
+
+def test_stop_words_are_a_set(spark):
+    from tracewell.functions import text as tx
+
+    said = spark.createDataFrame([("The cat, and über 我们们 I",)], "text string").select(tx.tokens(F.col("text")).alias("t"))
+    assert "array_contains" not in said._jdf.queryExecution().optimizedPlan().toString()
+    assert said.first().t == ["cat", "ü", "ber", "我们", "们们"]

@@ -24,16 +24,19 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _blocks(postings: DataFrame) -> DataFrame:
-    """(term, block, n, most_tf, least_dl, postings) of postings (term, id, tf, dl).
+def _laid(postings: DataFrame, df: DataFrame, buckets: int) -> DataFrame:
+    """(term, block, n, most_tf, least_dl, postings, bucket) of postings (term, id, tf, dl), in the parts and the order that they are written in.
 
-    Only terms of more than BLOCK documents are looked up to be dealt; there are at most one in BLOCK postings.
+    df (term, _df) has how many postings terms have. Only terms of more than BLOCK documents are looked up to be dealt; there are at most one
+    in BLOCK postings. Postings are dealt once: a part has all of its blocks' postings.
     """
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).filter(F.col("_df") > BLOCK)
-    hot = materialise(df.select("term", F.ceil(F.col("_df") / BLOCK).alias("_blocks")), "index-hot")
+    hot = materialise(df.filter(F.col("_df") > BLOCK).select("term", F.ceil(F.col("_df") / BLOCK).alias("_blocks")), "index-hot")
     placed = postings.join(bm25.sent(hot, hot.count()), "term", "left").withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("_blocks", F.lit(1))).cast("int"))
-    posting = F.struct("id", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
-    return placed.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").cast("int").alias("most_tf"), F.min("dl").cast("int").alias("least_dl"), F.array_sort(F.collect_list(posting)).alias("postings"))
+    posting = F.struct("id", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl")).alias("p")
+    tasks = min(buckets * FILES, max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets))
+    dealt = placed.select("term", "block", posting, _bucket(F.col("term"), buckets).alias("bucket")).withColumn("_file", F.pmod("block", F.lit(FILES))).repartition(tasks, "bucket", "_file")
+    grouped = dealt.groupBy("bucket", "_file", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("p.tf").alias("most_tf"), F.min("p.dl").alias("least_dl"), F.array_sort(F.collect_list("p")).alias("postings"))
+    return grouped.sortWithinPartitions("bucket", "term", "block").select("term", "block", "n", "most_tf", "least_dl", "postings", "bucket")
 
 
 @dataclass(frozen=True)
@@ -60,19 +63,18 @@ class InvertedIndex:
         return self.store.properties.get("tokens", 0) / self.documents if self.documents else 0.0
 
     def _write(self, batch: DataFrame, replace: bool, buckets: int) -> InvertedIndex:
-        """batch: rows (id, tokens) of new documents."""
-        held = materialise(batch.select("id", F.size("tokens").alias("dl"), "tokens"), "index-batch")
-        counts = held.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-        postings = materialise(counts, "index-postings")
-        blocks = _blocks(postings).withColumn("bucket", _bucket(F.col("term"), buckets))
-        tasks = min(buckets * FILES, max(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets))
-        laid = blocks.repartition(tasks, "bucket", F.pmod("block", F.lit(FILES))).sortWithinPartitions("bucket", "term", "block")
+        """batch: rows (id, tokens) of new documents, each once and dealt by id, so that a document is counted where it is."""
+        counts = batch.select("id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        some = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))
+        held = materialise(counts.groupBy("id", "dl").agg(some.alias("terms")), "index-batch")
+        df = held.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+        laid = _laid(held.select("id", "dl", F.explode("terms").alias("t")).select("t.term", "id", "t.tf", "dl"), df, buckets)
         rows = {"postings": laid, "documents": held.select("id", "dl")}
         n, tokens = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
         before = {} if replace else self.store.properties
         properties = {"documents": before.get("documents", 0) + n, "tokens": before.get("tokens", 0) + tokens, "buckets": buckets}
         out = self.store.publish(**{"replace" if replace else "append": rows}, properties=properties, partition_by={"postings": ["bucket"]})
-        release(held, postings)
+        release(held)
         return InvertedIndex(out)
 
     def append(self, docs: DataFrame, text_col: str = "text", buckets: int = 64) -> InvertedIndex:
@@ -86,10 +88,9 @@ class InvertedIndex:
 
     def compact(self) -> InvertedIndex:
         """The index with the blocks of all batches put together; what searches give stays the same."""
-        postings = self._blocks_of(None).select("term", F.explode("postings").alias("p")).select("term", "p.*")
-        buckets = self.store.properties["buckets"]
-        blocks = _blocks(materialise(postings, "index-compacted")).withColumn("bucket", _bucket(F.col("term"), buckets))
-        laid = blocks.repartition(buckets * FILES, "bucket", F.pmod("block", F.lit(FILES))).sortWithinPartitions("bucket", "term", "block")
+        rows, buckets = self._blocks_of(None), self.store.properties["buckets"]
+        df = rows.groupBy("term").agg(F.sum("n").alias("_df"))
+        laid = _laid(rows.select("term", F.explode("postings").alias("p")).select("term", "p.*"), df, buckets)
         return InvertedIndex(self.store.publish(replace={"postings": laid, "documents": self.store.table("documents")}, partition_by={"postings": ["bucket"]}))
 
     def _blocks_of(self, terms: DataFrame | None) -> DataFrame:
