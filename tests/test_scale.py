@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell.functions import calls
 from tracewell.operators import backfill, blocks, bm25, consolidate, dml, drain, graph, hops, inverted, nearest, patterns, vector
 from tracewell.plans import supplement
 
@@ -217,3 +218,17 @@ def test_stop_words_are_a_set(spark):
     said = spark.createDataFrame([("The cat, and über 我们们 I",)], "text string").select(tx.tokens(F.col("text")).alias("t"))
     assert "array_contains" not in said._jdf.queryExecution().optimizedPlan().toString()
     assert said.first().t == ["cat", "ü", "ber", "我们", "们们"]
+
+
+def test_a_call_is_graded_once_a_row(spark):
+    calls_of = [("write", '{"file_path": "src/a.rs"}', r, e) for r in ("src/a.rs written", "error: no", "error in src/a.rs", "so", None) for e in (None, "success", "timeout")]
+    rows = spark.createDataFrame(calls_of, "tool string, arguments string, result string, event string")
+    told, result, event = calls.decision(F.col("tool"), F.col("arguments")), F.col("result"), F.col("event")
+    got = calls.with_grade(rows, told, result, event)
+    related, failed, done = (lambda r: r is not None and "src/a.rs" in r), (lambda r, e: e == "timeout" or (r or "").startswith("error")), (lambda e: e == "success")
+    name = lambda r, e: ("failure" if failed(r, e) else "success" if done(e) else "") + (", related" if related(r) else "")
+    grade = lambda r, e: calls.GRADES[{"": "none", ", related": "related"}.get(name(r, e), name(r, e))]
+    key = lambda x: (x[0] or "", x[1] or "")
+    assert sorted(((x.result, x.event, x.decision, x.confidence, x.source) for x in got.collect()), key=key) == sorted(((r, e, "write(src/a.rs)", *grade(r, e)) for _, _, r, e in calls_of), key=key)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Arguments that tell a call best, in order, and the characters kept of one.
@@ -96,14 +96,28 @@ def relates(decision: Column, result: Column) -> Column:
 
 def grade(decision: Column, result: Column, event: Column) -> tuple[Column, Column]:
     """(confidence, source) that the result came of the decision; event: the outcome that the log gives, or null."""
+    return _graded(_case(decision, result, event))
+
+
+def _case(decision: Column, result: Column, event: Column) -> Column:
+    """The name among GRADES that fits."""
     failed = F.coalesce(event.isin(FAILED_EVENTS), F.lit(False)) | has_any(result, FAILURES)
     done, related = F.coalesce(event == "success", F.lit(False)), relates(decision, result)
-    cases = {"failure, related": failed & related, "failure": failed, "success, related": done & related, "success": done, "related": related}
+    return F.when(related, F.when(failed, "failure, related").when(done, "success, related").otherwise("related")).when(failed, "failure").when(done, "success").otherwise("none")
+
 
+def _graded(case: Column) -> tuple[Column, Column]:
     def pick(i: int) -> Column:
         out = F
-        for name, holds in cases.items():
-            out = out.when(holds, F.lit(GRADES[name][i]))
-        return out.otherwise(F.lit(GRADES["none"][i]))
+        for name, grade in GRADES.items():
+            out = out.when(case == name, F.lit(grade[i]))
+        return out
 
     return pick(0), pick(1)
+
+
+def with_grade(rows: DataFrame, decision: Column, result: Column, event: Column) -> DataFrame:
+    """rows with decision, confidence and source, as grade says. The decision and what it says of the result are worked out once a row, in columns of their own."""
+    cased = rows.withColumn("decision", decision).withColumn("_case", _case(F.col("decision"), result, event))
+    confidence, source = _graded(F.col("_case"))
+    return cased.withColumns({"confidence": confidence, "source": source}).drop("_case")

@@ -145,8 +145,7 @@ def extract(session: Session) -> DataFrame:
     kth = lambda *order: F.row_number().over(Window.partitionBy("session", "tool").orderBy(*order))
     queue = session.events.select("session", "tool", kth("line").alias("k"), F.col("outcome").alias("event"), "ts")
     rows = rows.withColumn("k", kth("line", "place", "call")).join(queue, ["session", "tool", "k"], "left")
-    rows = rows.withColumn("decision", calls_of.decision(F.col("tool"), F.col("arguments")))
-    confidence, source = calls_of.grade(F.col("decision"), F.col("content"), F.col("event"))
+    rows = calls_of.with_grade(rows, calls_of.decision(F.col("tool"), F.col("arguments")), F.col("content"), F.col("event"))
     failed = calls_of.clear_failure(F.col("content")) | calls_of.has_any(F.col("content"), calls_of.FAILURES) | F.coalesce(F.col("event").isin(calls_of.FAILED_EVENTS), F.lit(False))
-    return rows.select("session", "line", "tool", "decision", F.substring("content", 1, 200).alias("outcome"), failed.alias("failed"), F.lit("caused").alias("relation"), confidence.alias("confidence"), source.alias("source"),
+    return rows.select("session", "line", "tool", "decision", F.substring("content", 1, 200).alias("outcome"), failed.alias("failed"), F.lit("caused").alias("relation"), "confidence", "source",
                        calls_of.task_tag(F.col("tool"), F.col("arguments")).alias("task_tag"), F.unix_timestamp(F.try_to_timestamp("ts")).alias("at"))
