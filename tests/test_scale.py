@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import calls
-from tracewell.operators import backfill, blocks, bm25, consolidate, dml, drain, graph, hops, inverted, nearest, patterns, vector
+from tracewell.operators import backfill, blocks, bm25, consolidate, dml, drain, fusion, graph, hops, inverted, nearest, patterns, vector
 from tracewell.plans import supplement
 
 
@@ -232,3 +232,22 @@ def test_a_call_is_graded_once_a_row(spark):
     assert sorted(((x.result, x.event, x.decision, x.confidence, x.source) for x in got.collect()), key=key) == sorted(((r, e, "write(src/a.rs)", *grade(r, e)) for _, _, r, e in calls_of), key=key)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract(") == 1
+
+
+def test_places_in_groups_come_from_ranges(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "PART_ROWS", 40)
+    r = random.Random(3)
+    rows = [(None if i % 9 == 0 else i % 3, r.randrange(20), i) for i in range(700)]
+    got = blocks.placed(spark.createDataFrame(rows, "g long, v long, i long").repartition(5), "g", F.col("v").desc(), "i").collect()
+    want = {}
+    for g in {x[0] for x in rows}:
+        want |= {i: n for n, (_, i) in enumerate(sorted((-v, i) for k, v, i in rows if k == g), 1)}
+    assert len(got) == 700 and {x.i: x.place for x in got} == want
+
+
+def test_fused_lists_meet_by_question_and_id(spark):
+    lists = [spark.range(60).select((F.col("id") % 2).alias("qid"), F.col("id"), (F.floor(F.col("id") / 2) + 1).alias("rank")).repartition(3, "qid") for _ in range(2)]
+    fused = fusion.rrf(lists, 5, parts=7)
+    plan = fused._jdf.queryExecution().executedPlan().toString()
+    assert "7), REPARTITION_BY_NUM" in plan
+    assert sorted((x.qid, x.rank, x.id) for x in fused.collect()) == [(q, n, str(2 * n - 2 + q)) for q in (0, 1) for n in range(1, 6)]

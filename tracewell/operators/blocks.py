@@ -13,6 +13,13 @@ BLOCK_ROWS = 4096
 TILE_ROWS = 100_000
 #: Lengths of the beginnings by which queries are looked up in texts (the longest that a query has), and queries that are sent at once.
 BEGINNINGS, NEEDLES = (0, 1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 48, 64), 500_000
+#: Rows that a task of a dealt table gets, about, and that it gets at least where there are fewer than that for every core.
+PART_ROWS, LEAST_ROWS = 500_000, 10_000
+
+
+def parts_of(df: DataFrame, rows: int) -> int:
+    """Into how many parts so many rows are dealt: more with the rows, so that what a task holds does not grow with them."""
+    return max(-(-rows // PART_ROWS), min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // LEAST_ROWS)), 1)
 
 
 def against(items: DataFrame, queries: DataFrame, item_key: str, query_key: str, where: Column | None = None) -> DataFrame:
@@ -65,3 +72,21 @@ def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
     before = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
     return cut.withColumn("_row", F.row_number().over(w)).join(F.broadcast(before), "_part").withColumn("place", (F.col("_row") + F.col("_before")).cast("long")).drop("_part", "_row", "_before")
+
+
+def placed(rows: DataFrame, by: str, *order: str | Column) -> DataFrame:
+    """rows with place, from 1, in this total order within each group of by: sorted by ranges of both, so no task holds a group.
+
+    Rows are counted first. A place is the row's in its range, less that of its group's first row there, and the group's counts of the
+    ranges before are added.
+    """
+    from tracewell.operators.bm25 import sent
+    from tracewell.session import materialise
+
+    cut = rows.repartitionByRange(parts_of(rows, rows.count()), by, *order).sortWithinPartitions(by, *order)
+    cut = materialise(cut.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "placed")
+    ahead = Window.partitionBy("_by").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range that the group is in
+    first = cut.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_of")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = materialise(first.select("_by", "_of", (F.col("_first") - F.coalesce(F.sum("_n").over(ahead), F.lit(0))).alias("_first")), "placed-first")
+    met = cut.join(sent(first, first.count()), (F.col("_part") == F.col("_of")) & F.col(by).eqNullSafe(F.col("_by")))
+    return met.withColumn("place", F.col("_at") - F.col("_first") + 1).select(*rows.columns, "place")

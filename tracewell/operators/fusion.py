@@ -15,11 +15,15 @@ RRF_K = 60
 LEVEL_COST = {"L0": 25, "L1": 60, "L2": 100}
 
 
-def rrf(lists: list[DataFrame], limit: int | None = None, k: int = RRF_K) -> DataFrame:
-    """(qid, id, score, rank) from lists (qid, id, rank from 1): sum of 1 / (k + rank). Ties: the first list that has it, then its rank there, then id."""
-    tagged = [x.select("qid", F.col("id").cast("string").alias("id"), "rank", F.lit(i).alias("list")) for i, x in enumerate(lists)]
-    union = reduce(DataFrame.unionByName, tagged)
-    scores = union.groupBy("qid", "id").agg(F.sum(1 / (k + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("first"))
+def rrf(lists: list[DataFrame], limit: int | None = None, k: int = RRF_K, parts: int | None = None) -> DataFrame:
+    """(qid, id, score, rank) from lists (qid, id, rank from 1): sum of 1 / (k + rank). Ties: the first list that has it, then its rank there, then id.
+
+    Rows meet by qid and id, never by qid alone; parts: into how many tasks long lists are dealt for that. Ranks are under 2^40.
+    """
+    first = lambda i: F.lit(i << 40).cast("long") + F.col("rank")
+    union = reduce(DataFrame.unionByName, [x.select("qid", F.col("id").cast("string").alias("id"), "rank", first(i).alias("first")) for i, x in enumerate(lists)])
+    dealt = union if parts is None else union.repartition(parts, "qid", "id")
+    scores = dealt.groupBy("qid", "id").agg(F.sum(1 / (k + F.col("rank"))).alias("score"), F.min("first").alias("first"))
     order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "first", "id")
     out = scores.withColumn("rank", F.row_number().over(order).cast("long")).drop("first")
     return out if limit is None else out.filter(F.col("rank") <= limit)
