@@ -251,3 +251,21 @@ def test_fused_lists_meet_by_question_and_id(spark):
     plan = fused._jdf.queryExecution().executedPlan().toString()
     assert "7), REPARTITION_BY_NUM" in plan
     assert sorted((x.qid, x.rank, x.id) for x in fused.collect()) == [(q, n, str(2 * n - 2 + q)) for q in (0, 1) for n in range(1, 6)]
+
+
+def test_pairs_retrieved_together_are_dealt_by_counted_rows(spark, monkeypatch):
+    r = random.Random(11)
+    rows = [(None if i % 50 == 0 else r.randrange(40), r.randrange(9), r.randrange(6)) for i in range(400)]
+    monkeypatch.setattr(blocks, "PART_ROWS", 50)
+    got = graph.cooccurrence(spark.createDataFrame(rows, "retrieval long, id long, place long"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("16), REPARTITION_BY_NUM") == plan.count("Exchange ") == 2 and "Join" not in plan
+    first, want = {}, {}
+    for g, i, p in rows:
+        if g is not None:
+            first[g, i] = min(p, first.get((g, i), p))
+    for (g, a), p in first.items():
+        for (h, b), q in first.items():
+            if g == h and p < q and a != b:
+                want[a, b] = want.get((a, b), 0) + 1
+    assert {(x.from_id, x.to_id): (x.n, round(x.weight, 6)) for x in got.collect()} == {k: (n, round(min(1, 0.2 + 0.05 * (n - 1)), 6)) for k, n in want.items()}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as tx
+from tracewell.operators.blocks import parts_of
 from tracewell.operators.components import connected_components
 from tracewell.session import materialise, release
 
@@ -16,6 +17,8 @@ COEFFICIENTS = {"caused": 1.0, "fact": 0.8, "meta": 0.6, "enabled": 0.5, "co_occ
 DECAY, THRESHOLD, MAX_HOPS, LTP, LTD, GC, WEIGHT_CAP = 0.7, 0.1, 5, 1.05, 0.99, 0.05, 2.0
 #: Nodes in a part of what can be reached from a node, about.
 LIST = 1024
+#: Deals of a part of retrievals, in each of which a pair is counted once.
+DEALS = 16
 META_RELATIONS = ("similar_to", "repeated", "contradicts", "refines")
 
 
@@ -263,8 +266,17 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.8
 
 
 def cooccurrence(retrievals: DataFrame) -> DataFrame:
-    """(from_id, to_id, n, weight) of ordered pairs retrieved together: retrievals (retrieval, id, place)."""
-    a = retrievals.select("retrieval", F.col("id").alias("from_id"), F.col("place").alias("_i"))
-    b = retrievals.select("retrieval", F.col("id").alias("to_id"), F.col("place").alias("_j"))
-    pairs = a.join(b, "retrieval").filter("_i < _j and from_id <> to_id").groupBy("from_id", "to_id").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.withColumn("weight", F.least(F.lit(1.0), 0.2 + 0.05 * (F.col("n") - 1)))
+    """(from_id, to_id, n, weight) of ordered pairs retrieved together: retrievals (retrieval, id, place), of an id that a retrieval has several times the first place.
+
+    Rows are counted, and dealt once by retrieval into parts that do not grow with them. Pairs are listed and counted within a part
+    first, in deals of it, so a pair that many retrievals have is shuffled a few times alone.
+    """
+    parts = parts_of(retrievals, 2 * retrievals.count())  # a row gives more pairs than one
+    dealt = retrievals.withColumn("_deal", F.pmod(F.xxhash64("retrieval"), F.lit(DEALS * parts))).repartition(parts, "_deal")
+    firsts = dealt.groupBy("_deal", "retrieval", "id").agg(F.min("place").alias("place"))
+    held = firsts.filter("retrieval is not null").groupBy("_deal", "retrieval").agg(F.collect_list(F.struct("place", "id")).alias("m"))  # what was retrieved at once
+    later = F.filter("m", lambda y: (y.place > F.col("a.place")) & (y.id != F.col("a.id")))
+    pairs = held.select("_deal", "m", F.explode("m").alias("a")).select("_deal", F.col("a.id").alias("from_id"), F.explode(later).alias("b"))
+    counted = pairs.groupBy("_deal", "from_id", F.col("b.id").alias("to_id")).agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.repartition(parts, "from_id", "to_id").groupBy("from_id", "to_id").agg(F.sum("n").alias("n"))
+    return counted.withColumn("weight", F.least(F.lit(1.0), 0.2 + 0.05 * (F.col("n") - 1)))
