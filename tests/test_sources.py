@@ -112,6 +112,23 @@ def test_conversation_files(spark, tmp_path):
     assert sorted((r.place, r.speaker, r.text) for r in sessions.conversations(spark, str(tmp_path)).collect()) == [(0, "Ann", "no"), (0, "user", "hi"), (1, "assistant", "yes")]
 
 
+def test_conversations_of_a_line_each(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"messages": [{"role": "user", "content": "hi\\nthere"}, {"role": "assistant", "content": "yes"}]}\n\n {"turns": [{"speaker": "Bo", "text": "a\u2028b"}]}\nno json\n')
+    (tmp_path / "b.jsonl").write_text('[{"speaker": "Ann", "text": "no"}]')
+    rows = sessions.conversations(spark, str(tmp_path), lines=True).collect()
+    assert sorted((r.session[-7:], r.line, r.place, r.speaker, r.text) for r in rows) == [("a.jsonl", 0, 0, "user", "hi\nthere"), ("a.jsonl", 0, 1, "assistant", "yes"), ("a.jsonl", 2, 0, "Bo", "a\u2028b"), ("b.jsonl", 0, 0, "Ann", "no")]
+
+
+def test_written_conversations_share_the_files_of_a_session(spark, tmp_path, monkeypatch):
+    from tracewell import catalogue
+
+    monkeypatch.setattr(catalogue, "shared_dir", lambda spark, name: f"{tmp_path}/{name}")
+    spark.range(9).selectExpr("1000 * id + 7 as conv_id", "0L as turn", "'user' as role", "concat('text ', id) as text").write.parquet(f"{tmp_path}/in/conversations.parquet")
+    rows = catalogue.queries()["read_conversations"](spark, f"{tmp_path}/in").collect()
+    assert sorted((r.session, r.place, r.speaker, r.text) for r in rows) == [(7, 0, "user", f"text {i}") for i in range(9)]
+    assert len(list((tmp_path / "conversations").glob("*/*.txt"))) == 1
+
+
 def test_lines_of_a_log_in_splits_keep_their_order(spark, tmp_path):
     text = "".join(f'{{"type": "message", "text": "{i:04d}{"x" * 100}"}}\n' for i in range(500))
     (tmp_path / "log.jsonl").write_text(text)

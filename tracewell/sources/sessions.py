@@ -28,15 +28,20 @@ class Session:
     texts: DataFrame
 
 
-def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """(session, line, j): a number orders a line within its file.
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(session, line, value): a number orders a line within its file.
 
     Large files are read in splits; a line's number is where its split begins plus the lines before it there, so
     numbers rise along a file and are not those of an editor beyond the first split.
     """
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("session"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
     line = F.col("start") + F.col("n") - F.min("n").over(Window.partitionBy("session", "start"))
-    return raw.select("session", line.cast("long").alias("line"), F.from_json("value", schema).alias("j")).filter("j is not null and j.type is not null")
+    return raw.select("session", line.cast("long").alias("line"), "value")
+
+
+def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(session, line, j) of the lines that are JSON with a type."""
+    return _numbered(spark, path).select("session", "line", F.from_json("value", schema).alias("j")).filter("j is not null and j.type is not null")
 
 
 def _texts(rows: DataFrame, text: Column) -> DataFrame:
@@ -110,17 +115,20 @@ def calls(spark: SparkSession, path: str) -> Session:
 PARSERS = {"directory": directory, "blocks": blocks, "positional": positional, "calls": calls}
 
 
-def conversations(spark: SparkSession, path: str) -> DataFrame:
+def conversations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(session, place, speaker, text) of JSON documents that hold whole conversations: an array of messages, or an object with one under messages or turns.
 
-    A message has a role or speaker, and its text under content or text. A document is a file.
+    A message has a role or speaker, and its text under content or text. A document is a file; or, with lines, a line of a
+    file that has many, which costs no file for each: rows then have the line too, and the session is their file.
     """
     message = "array<struct<role: string, speaker: string, content: string, text: string>>"
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("session"), F.trim("value").alias("value"))
+    raw = _numbered(spark, path) if lines else spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("session"))
+    raw = raw.withColumn("value", F.trim("value"))
     held = F.from_json("value", f"struct<messages: {message}, turns: {message}>")
     messages = F.when(F.col("value").startswith("["), F.from_json("value", message)).otherwise(F.coalesce(held["messages"], held["turns"]))
-    rows = raw.select("session", F.posexplode(messages).alias("place", "m"))
-    return rows.select("session", "place", F.coalesce("m.role", "m.speaker").alias("speaker"), F.coalesce("m.content", "m.text").alias("text"))
+    of = ["session", "line"] if lines else ["session"]
+    rows = raw.select(*of, F.posexplode(messages).alias("place", "m"))
+    return rows.select(*of, "place", F.coalesce("m.role", "m.speaker").alias("speaker"), F.coalesce("m.content", "m.text").alias("text"))
 
 
 def reasoned(session: Session, find: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
