@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as tx
 from tracewell.functions.hashing import signature, unlike
+from tracewell.operators import alike
 from tracewell.operators.nearest import near
 from tracewell.schema import ensure_schema
 from tracewell.session import materialise
 
 #: Similarity at which decisions count as the same, and how far a hint has to cover a text.
 SAME_DECISION, MIN_SHARED, MIN_CONTAINMENT = 0.85, 2, 0.5
+#: Pairs of hints and texts of their tasks that are looked up by words, at most; texts and hints of a block where there are more.
+HINT_PAIRS, HINT_BLOCK = 10_000_000, 1 << 14
 
 
 def chunk_id(text: Column) -> Column:
@@ -88,14 +96,18 @@ def supersede_by_hint(entries: DataFrame, hints: DataFrame) -> DataFrame:
     """(id, hint): valid edges that a hint (hint, text, task_tag, event_time) retires.
 
     Not later than the hint, of its task, no retraction themselves, without a date in common with it,
-    and sharing two words or more, digits left out, that make half of the smaller text. Pairs whose signatures differ too much
-    to share so many are refused where they meet, before they are counted.
+    and sharing two words or more, digits left out, that make half of the smaller text. Up to HINT_PAIRS pairs of a task's texts (counted) meet on their
+    words, and those whose signatures differ too much to share so many are refused where they meet, before they are counted. More meet in blocks, and no pair is shuffled.
     """
     words = lambda c: F.array_distinct(F.filter(tx.tokens(c), lambda t: ~F.regexp_like(t, F.lit("^[0-9]+$"))))
     old = entries.filter("valid_to is null").select("id", "task_tag", "event_time", F.col("decision").alias("_text"), words(F.col("decision")).alias("_w"), tx.date_tokens(F.col("decision")).alias("_dates"))
     old = old.filter(~tx.is_retraction(F.col("_text")))
     new = hints.select("hint", F.col("task_tag").alias("_tag"), F.col("event_time").alias("_at"), words(F.col("text")).alias("_hw"), tx.date_tokens(F.col("text")).alias("_hd"))
     old, new = materialise(old.drop("_text"), "hint-old"), materialise(new, "hint-new")  # words are taken once, and signatures once a text
+    sizes = old.groupBy("task_tag").count().join(new.groupBy("_tag").agg(F.count(F.lit(1)).alias("_c")), F.col("task_tag").eqNullSafe(F.col("_tag"))).drop("_tag")
+    sizes = materialise(sizes.withColumnsRenamed({"task_tag": "_of", "count": "_n"}), "hint-sizes")
+    if (sizes.agg(F.sum(F.col("_n") * F.col("_c"))).first()[0] or 0) > HINT_PAIRS:
+        return _hinted_in_blocks(old, new, sizes)
     signed_old = materialise(old.select("id", "task_tag", "event_time", "_w", F.size("_w").alias("_n"), *signature(F.col("_w"), "s")), "hint-old-signed")
     signed_new = materialise(new.select("hint", "_tag", "_at", "_hw", F.size("_hw").alias("_hn"), *signature(F.col("_hw"), "h")), "hint-new-signed")
     held, asked = signed_old.withColumn("_t", F.explode("_w")).drop("_w"), signed_new.withColumn("_t", F.explode("_hw")).drop("_hw")
@@ -106,6 +118,47 @@ def supersede_by_hint(entries: DataFrame, hints: DataFrame) -> DataFrame:
     return rows.filter(F.col("task_tag").eqNullSafe(F.col("_tag")) & (F.col("event_time") <= F.col("_at")) & ~F.arrays_overlap("_dates", "_hd") & (F.col("_shared") >= MIN_CONTAINMENT * F.least(F.size("_w"), F.size("_hw")))).select("id", "hint")
 
 
+def _hinted_in_blocks(old: DataFrame, new: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, hint) of old (id, task_tag, event_time, _w, _dates) and new (hint, _tag, _at, _hw, _hd), as supersede_by_hint says; sizes (_of, _n, _c): how many of both a task has.
+
+    Each task's texts are dealt into blocks by a hash of their ids, and two blocks meet in a task, which counts the words that pairs share.
+    """
+    parts = sizes.select("_of", F.ceil(F.col("_n") / HINT_BLOCK).cast("int").alias("_po"), F.ceil(F.col("_c") / HINT_BLOCK).cast("int").alias("_ph"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    held = old.filter("event_time is not null").join(parts, F.col("task_tag").eqNullSafe(F.col("_of"))).withColumn("_j", every("_ph"))
+    held = held.select("_of", block("id", "_po").alias("_i"), "_j", "id", none(new, "hint"), F.col("event_time").cast("long").alias("at"), F.col("_w").alias("words"), F.col("_dates").alias("dates"), F.lit(True).alias("old"))
+    asked = new.filter("_at is not null").join(parts, F.col("_tag").eqNullSafe(F.col("_of"))).withColumn("_i", every("_po"))
+    asked = asked.select("_of", "_i", block("hint", "_ph").alias("_j"), none(old, "id"), "hint", F.col("_at").cast("long").alias("at"), F.col("_hw").alias("words"), F.col("_hd").alias("dates"), F.lit(False).alias("old"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        a, b = rows.filter(pc.invert(rows["old"])).combine_chunks(), rows.filter(rows["old"]).sort_by("at").combine_chunks()
+        words = lambda t: t["words"].combine_chunks()
+        na, nb = (pc.list_value_length(words(t)).to_numpy().astype(np.int64) for t in (a, b))
+        if not na.any() or not nb.any():
+            return
+        code = pc.dictionary_encode(pa.concat_arrays([words(a).flatten(), words(b).flatten()])).indices.to_numpy().astype(np.int64) << alike.BITS
+        index = code[na.sum() :] + np.repeat(np.arange(len(nb)), nb)
+        index.sort()
+        high = np.searchsorted(b["at"].to_numpy(), a["at"].to_numpy(), side="right")
+        da, db = ([frozenset(x or ()) for x in t["dates"].to_pylist()] for t in (a, b))
+        dated_a, dated_b = (np.array([bool(x) for x in d]) for d in (da, db))
+        for row, first, shared in alike.counted(index, code[: na.sum()], na, np.zeros(len(na), np.int64), high):
+            least = np.minimum(na[row : row + len(shared), None], nb[None, first : first + shared.shape[1]])
+            i, j = np.nonzero((shared >= MIN_SHARED) & (shared >= MIN_CONTAINMENT * least))
+            i, j = i + row, j + first
+            both = np.flatnonzero(dated_a[i] & dated_b[j])
+            same = both[[not da[x].isdisjoint(db[y]) for x, y in zip(i[both], j[both])]] if len(both) else both
+            i, j = np.delete(i, same), np.delete(j, same)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([b["id"].combine_chunks().take(pa.array(j)), a["hint"].combine_chunks().take(pa.array(i))], names=["id", "hint"])
+
+    schema = f"id {old.schema['id'].dataType.simpleString()}, hint {new.schema['hint'].dataType.simpleString()}"
+    return held.unionByName(asked).groupBy("_of", "_i", "_j").applyInArrow(meet, schema)
+
+
 def upsert_facts(facts: DataFrame, batch: DataFrame, now: int, replace: bool = False) -> DataFrame:
     """Facts with a batch (id, key, value, scope, confidence, and source if any): an equal (key, value, scope) is renewed and valid again, others are added.
 
